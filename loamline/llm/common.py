@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,13 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Ask for the removal of shuffle files that nothing refers to any more: Spark removes them when the driver's heap is
+    collected, which on an idle driver may be long after they are of use."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most limit bytes of text each, or a single longer row."""
     sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import keep, pieces, raw, text_of, width, word_spans
+from loamline.llm.common import keep, pieces, raw, release, text_of, width, word_spans
 
-PACKED = "part int, kind int, dids array<bigint>, keys array<bigint>, counts array<int>, places binary, hashes binary"
-FOUND = "did bigint, key bigint, places array<int>"
-#: The kinds of packed rows: windows to look up with their places; hashes that are present more than once; places known to repeat.
-PROBES, PRESENT, KNOWN = 0, 1, 2
+PACKED = "part int, kind int, piece bigint, docs binary, places binary, hashes binary, dids array<bigint>, keys array<bigint>"
+FOUND = "piece bigint, doc int, did bigint, key bigint, places array<int>"
+#: The kinds of packed rows: windows to look up with their places; hashes that are present more than once; places known to
+#: repeat; the texts of a piece, which the others name by their number in it.
+PROBES, PRESENT, KNOWN, TEXTS = 0, 1, 2, 3
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 SIGN = np.uint32(1 << 31)
 
@@ -72,26 +73,30 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return rolled(LETTERS[data], starts, ends, ODD[0]) ^ mixed((ends - starts).astype(np.uint64))
 
 
-def rows_of(part: np.ndarray, kind: int, doc: np.ndarray, place: np.ndarray, hashes: np.ndarray, dids: np.ndarray, keys: np.ndarray) -> Iterator[dict]:
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as 4 bytes each; bytes of equal weight stand together, so that the constant ones compress."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def numbers(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def rows_of(part: np.ndarray, kind: int, doc: np.ndarray, place: np.ndarray, hashes: np.ndarray) -> Iterator[tuple]:
     """A packed row for each part; entries come in the order of texts and places."""
     order = np.argsort(part, kind="stable")
     part, doc, place, hashes = part[order], doc[order], place[order], hashes[order]
     cuts = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else np.zeros(0, np.int64)
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=True):
-        d = doc[a:b]
-        heads = np.flatnonzero(np.diff(d, prepend=-1)) if kind != PRESENT else np.zeros(0, np.int64)
-        # bytes of equal weight stand together, so that the constant ones compress
-        yield {"part": int(part[a]), "kind": kind, "dids": dids[d[heads]], "keys": keys[d[heads]], "counts": np.diff(np.append(heads, b - a)).astype(np.int32) if len(heads) else np.zeros(0, np.int32), "places": np.ascontiguousarray(place[a:b].astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() if kind != PRESENT else b"", "hashes": np.ascontiguousarray(hashes[a:b].T).tobytes()}
-
-
-def packed(rows: list[dict]) -> pa.RecordBatch:
-    lists = lambda name, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[name]) for r in rows)]).astype(np.int32)), pa.array(np.concatenate([r[name] for r in rows]) if rows else [], kind))
-    return pa.RecordBatch.from_arrays([pa.array([r["part"] for r in rows], pa.int32()), pa.array([r["kind"] for r in rows], pa.int32()), lists("dids", pa.int64()), lists("keys", pa.int64()), lists("counts", pa.int32()), pa.array([r["places"] for r in rows], pa.binary()), pa.array([r["hashes"] for r in rows], pa.binary())], names=["part", "kind", "dids", "keys", "counts", "places", "hashes"])
+        own = (b"", b"") if kind == PRESENT else (planes(np.diff(doc[a:b], prepend=0)), planes(place[a:b]))
+        yield int(part[a]), kind, *own, np.ascontiguousarray(hashes[a:b].T).tobytes(), [], []
 
 
 def entries(codes: np.ndarray, more: np.ndarray, doc: np.ndarray, place: np.ndarray, ref: np.ndarray, dids: np.ndarray, keys: np.ndarray, parts: int, n_bytes: int) -> pa.RecordBatch | None:
     """What a piece has to tell the others of its windows. codes, more: the hash's 64 and further 64 bits; ref: whether a
-    window is a reference block. Windows repeated inside the piece, a reference among them, are known to repeat."""
+    window is a reference block. Windows repeated inside the piece, a reference among them, are known to repeat.
+
+    A piece is named by a hash of what it holds, so a task that runs again gives the same rows."""
     if not len(codes):
         return None
     order = np.lexsort((more, codes)) if n_bytes > 8 else np.argsort(codes, kind="stable")
@@ -101,72 +106,74 @@ def entries(codes: np.ndarray, more: np.ndarray, doc: np.ndarray, place: np.ndar
         new[1:] |= more[order][1:] != more[order][:-1]
     group = np.empty(len(codes), np.int64)
     group[order] = np.cumsum(new) - 1
-    count = np.bincount(group)
-    settled = (count > 1) & (np.bincount(group, weights=ref) > 0)
+    settled = (np.bincount(group) > 1) & (np.bincount(group, weights=ref) > 0)
     known = settled[group]
     part = ((codes >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
     low = codes.astype("<u8").view(np.uint8).reshape(-1, 8)
     hashes = low[:, :n_bytes] if n_bytes <= 8 else np.concatenate([low, more.astype("<u8").view(np.uint8).reshape(-1, 8)], axis=1)
     marked = place.astype(np.uint32) | np.where(ref, SIGN, np.uint32(0))
     ask = ~known
-    out = list(rows_of(part[ask], PROBES, doc[ask], marked[ask], hashes[ask], dids, keys))
     tell = order[new][settled]  # one window of each settled group
-    out += rows_of(part[tell], PRESENT, doc[tell], marked[tell], hashes[tell], dids, keys)
-    if known.any():
-        out += rows_of(np.full(known.sum(), int(codes[0] % np.uint64(parts)), np.int32), KNOWN, doc[known], place[known].astype(np.uint32), hashes[known][:, :0], dids, keys)
-    return packed(out)
+    piece = int.from_bytes(hashlib.blake2b(dids.tobytes() + keys.tobytes(), digest_size=8).digest(), "little", signed=True)
+    rows = [(piece % parts, TEXTS, b"", b"", b"", dids, keys)]
+    rows += rows_of(part[ask], PROBES, doc[ask], marked[ask], hashes[ask])
+    rows += rows_of(part[tell], PRESENT, doc[tell], marked[tell], hashes[tell])
+    rows += rows_of(np.full(known.sum(), piece % parts, np.int32), KNOWN, doc[known], place[known], hashes[known][:, :0])
+    own = list(zip(*rows, strict=True))
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    columns = [pa.array(x, t) for x, t in zip(own, kinds, strict=True)]
+    columns.insert(2, pa.array([piece] * len(rows), pa.int64()))
+    return pa.RecordBatch.from_arrays(columns, names=["part", "kind", "piece", "docs", "places", "hashes", "dids", "keys"])
 
 
 def met(n_bytes: int):
     """For one part: the places of those windows whose hash is present twice or more, a reference among them."""
 
-    def places(row_bytes: bytes) -> np.ndarray:
-        return np.ascontiguousarray(np.frombuffer(row_bytes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
     def f(group: pa.Table) -> pa.Table:
-        rows = group.combine_chunks().to_batches()
-        dids, keys, counts, found = [], [], [], []
-        codes, weight, ref, mine = [], [], [], []
-        asked: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        for b in rows:
-            for i, kind in enumerate(b["kind"].to_pylist()):
-                d, k, c = (np.asarray(b[n][i].values) for n in ("dids", "keys", "counts"))
+        out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # piece, texts, ids, keys, counts, places
+        codes, weight, ref, asked = [], [], [], []
+
+        def found(piece: int, doc: np.ndarray, place: np.ndarray) -> None:
+            own, n = np.unique(doc, return_counts=True)
+            none = np.zeros(len(own), np.int64)
+            out.append((piece, own, none, none, n, place))
+
+        for b in group.to_batches():
+            for i, (kind, piece) in enumerate(zip(b["kind"].to_pylist(), b["piece"].to_pylist(), strict=True)):
+                if kind == TEXTS:
+                    dids, keys = np.asarray(b["dids"][i].values), np.asarray(b["keys"][i].values)
+                    out.append((piece, np.arange(len(dids)), dids, keys, np.zeros(len(dids), np.int64), np.zeros(0, np.int64)))
+                    continue
+                doc, place = np.cumsum(numbers(b["docs"][i].as_py())), numbers(b["places"][i].as_py())
                 if kind == KNOWN:
-                    dids.append(d), keys.append(k), counts.append(c), found.append(places(b["places"][i].as_py()))
+                    found(piece, doc, place)
                     continue
                 h = np.frombuffer(b["hashes"][i].as_py(), np.uint8).reshape(n_bytes, -1).T
-                n = len(h)
-                if n_bytes <= 8:
-                    wide = np.zeros((n, 8), np.uint8)
-                    wide[:, :n_bytes] = h
-                    codes.append(wide.view("<u8").ravel())
-                else:
-                    codes.append(np.ascontiguousarray(h).view("<u8").reshape(-1, 2).copy())
+                padded = np.zeros((len(h), -(-n_bytes // 8) * 8), np.uint8)
+                padded[:, :n_bytes] = h
+                codes.append(padded.view("<u8"))
                 if kind == PRESENT:
-                    weight.append(np.full(n, 2)), ref.append(np.ones(n, bool)), mine.append(np.zeros(n, bool))
+                    weight.append(np.full(len(h), 2)), ref.append(np.ones(len(h), bool)), asked.append((piece, doc, place, len(h)))
                 else:
-                    p = places(b["places"][i].as_py())
-                    weight.append(np.ones(n, np.int64)), ref.append(p >= SIGN), mine.append(np.ones(n, bool))
-                    asked.append((d, k, c, p & ~SIGN))
-        if asked:
+                    weight.append(np.ones(len(h), np.int64)), ref.append(place >= SIGN), asked.append((piece, doc, place & ~SIGN, len(h)))
+        if codes:
             code = np.concatenate(codes)
-            order = np.argsort(code, kind="stable") if code.ndim == 1 else np.lexsort((code[:, 1], code[:, 0]))
-            diff = code[order][1:] != code[order][:-1]
-            new = np.concatenate([[True], diff if code.ndim == 1 else diff.any(axis=1)])
+            order = np.lexsort(code.T) if code.shape[1] > 1 else np.argsort(code[:, 0], kind="stable")
+            new = np.concatenate([[True], (code[order][1:] != code[order][:-1]).any(axis=1)])
             group_of = np.empty(len(order), np.int64)
             group_of[order] = np.cumsum(new) - 1
             good = (np.bincount(group_of, weights=np.concatenate(weight)) > 1) & (np.bincount(group_of, weights=np.concatenate(ref)) > 0)
-            hit = good[group_of][np.concatenate(mine)]
-            at = 0
-            for d, k, c, p in asked:
-                h = hit[at : at + len(p)]
-                at += len(p)
-                if h.any():
-                    owner = np.repeat(np.arange(len(c)), c)[h]
-                    own, n = np.unique(owner, return_counts=True)
-                    dids.append(d[own]), keys.append(k[own]), counts.append(n), found.append(p[h])
-        whole = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        return pa.table({"did": whole(dids, np.int64), "key": whole(keys, np.int64), "places": pa.ListArray.from_arrays(pa.array(np.cumsum(np.append(0, whole(counts, np.int32))).astype(np.int32)), pa.array(whole(found, np.int32)))})
+            hit, at = good[group_of], 0
+            for piece, doc, place, n in asked:
+                h = hit[at : at + n]
+                at += n
+                if len(doc) and h.any():
+                    found(piece, doc[h], place[h])
+        whole = lambda k, kind: pa.array(np.concatenate([x[k] for x in out]).astype(kind) if out else np.zeros(0, kind))
+        sizes = np.concatenate([[0], *(x[4] for x in out)])
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), whole(5, np.int32))
+        pieces_ = pa.array(np.repeat(np.array([x[0] for x in out], np.int64), [len(x[1]) for x in out]))
+        return pa.table({"piece": pieces_, "doc": whole(1, np.int32), "did": whole(2, np.int64), "key": whole(3, np.int64), "places": lists})
 
     return f
 
@@ -255,12 +262,20 @@ def removal(window: int, texts: bool):
 def repeated_windows(texts: DataFrame, window: int = 35) -> DataFrame:
     """(did, key, places): the starts of each text's windows whose words also start at another place.
 
-    texts: did, key, text, without nulls."""
-    parts = max(64, 4 * width(texts.sparkSession))
-    gather = lambda df: df.groupBy("did", "key").agg(F.flatten(F.collect_list("places")).alias("places"))
-    hits = texts.mapInArrow(anchors(window, parts), PACKED).groupBy("part").applyInArrow(met(5), FOUND)
-    near = texts.join(gather(hits), ["did", "key"])
-    return gather(near.mapInArrow(extensions(window, parts), PACKED).groupBy("part").applyInArrow(met(16), FOUND))
+    texts: did, key, text, without nulls. Each of the two rounds ends with a written table, so that the shuffled hashes
+    of the first are gone from the disks when the second writes its own."""
+    parts = max(64, 2 * width(texts.sparkSession))
+
+    def resolved(packed: DataFrame, n_bytes: int) -> DataFrame:
+        found = packed.groupBy("part").applyInArrow(met(n_bytes), FOUND)
+        named = found.groupBy("piece", "doc").agg(F.bit_or("did").alias("did"), F.bit_or("key").alias("key"), F.flatten(F.collect_list("places")).alias("places"))
+        return keep(named.where(F.size("places") > 0).groupBy("did", "key").agg(F.flatten(F.collect_list("places")).alias("places")))
+
+    hits = resolved(texts.mapInArrow(anchors(window, parts), PACKED), 5)
+    release(texts.sparkSession)
+    found = resolved(texts.join(hits, ["did", "key"]).mapInArrow(extensions(window, parts), PACKED), 16)
+    release(texts.sparkSession)
+    return found
 
 
 def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 35, with_text: bool = False) -> DataFrame:
@@ -274,6 +289,6 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     texts = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"))
     texts = texts.withColumns({"did": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "key": F.xxhash64("doc_id", "text")})
-    found = keep(repeated_windows(texts.select("did", "key", "text"), window))
+    found = repeated_windows(texts.select("did", "key", "text"), window)
     schema = f"doc_id {dict(texts.dtypes)['doc_id']}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text
     return texts.join(found, ["did", "key"], "left").select("doc_id", "text", "places").mapInArrow(removal(window, with_text), schema)
