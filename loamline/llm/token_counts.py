@@ -44,8 +44,9 @@ class PieceCounter:
 
     def boundaries(self, text: str, begin: int, end: int) -> np.ndarray:
         """Where the tokens of text[begin:end] begin, by the text's characters; the tokens of one character all do there."""
-        found = self.library.encode(text[begin:end], out_type="immutable_proto")
-        return np.fromiter((p.begin for p in found.pieces), np.int64) + begin
+        found = self.library.encode(text[begin:end], return_type="proto")
+        starts = (np.frombuffer(text[begin:end].encode(), np.uint8) & 0xC0) != 0x80  # the library's places are bytes
+        return (np.cumsum(starts) - 1)[np.fromiter((p.begin for p in found.pieces), np.int64)] + begin
 
     def count(self, text: str) -> int:
         if len(text) <= 2 * self.chunk or not self.divisible:
