@@ -46,6 +46,7 @@ def keep(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Ask for the removal of shuffle files that nothing refers to any more: Spark removes them when the driver's heap is
     collected, which on an idle driver may be long after they are of use."""
+    spark.range(1).count()  # the scheduler holds on to the last job that it was given
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
