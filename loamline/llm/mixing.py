@@ -148,7 +148,9 @@ def mix(docs: DataFrame, sources: Column, size: Column, id_column: str = "doc_id
     """
     names = F.array_sort(F.array_distinct(sources.cast("array<string>")))
     h = F.shiftright(F.xxhash64(F.lit(seed), F.col(id_column), size, names), 1).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
-    slim = keep(docs.select(F.col(id_column).alias("doc_id"), names.alias("sources"), F.coalesce(size, F.lit(0)).cast("bigint").alias("size"), h.alias("h"), *(extra or [])))
+    all_ = docs.select(F.col(id_column).alias("doc_id"), names.alias("sources"), F.coalesce(size, F.lit(0)).cast("bigint").alias("size"), h.alias("h"), *(extra or []))
+    slim = keep(all_.select("doc_id", "sources", "size", "h"))
+    out = all_ if extra else slim  # what a document gets is told by its own columns, so texts needn't be kept with the sizes
     rows = slim.groupBy("sources").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
         raise ValueError(f"over {MAX_PATTERNS} membership patterns; give coarser sources")
@@ -156,7 +158,7 @@ def mix(docs: DataFrame, sources: Column, size: Column, id_column: str = "doc_id
     known = sorted({s for own, _ in patterns for s in own}, key=lambda s: (s is None, s or ""))
     if not known:
         none = {"repeats": "int", "taken": "bigint", "source_size": "bigint", "target": "double"}
-        return slim.drop("h").withColumns({c: F.lit(0 if c in ("repeats", "taken") else None).cast(t) for c, t in none.items()})
+        return out.drop("h").withColumns({c: F.lit(0 if c in ("repeats", "taken") else None).cast(t) for c, t in none.items()})
     sizes = {s: sum(n for own, n in patterns if s in own) for s in known}
     targets = reshared(sizes, weights or {s: 1 + k % 3 for k, s in enumerate(known)}, most)
     number = {s: k for k, s in enumerate(known)}
@@ -166,10 +168,10 @@ def mix(docs: DataFrame, sources: Column, size: Column, id_column: str = "doc_id
     shape = T.StructType([T.StructField("sources", T.ArrayType(T.StringType())), T.StructField("pattern", T.IntegerType()), T.StructField("rounds", T.IntegerType()), T.StructField("rest", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
     table = docs.sparkSession.createDataFrame(plan, shape)
     # a row for each pattern, MAX_PATTERNS at most
-    wide = slim.join(F.broadcast(table), slim["sources"].eqNullSafe(table["sources"]), "left").drop(table["sources"])
-    once_more = last_rounds(wide.select("pattern", "size", "h"), {p: rest for _, p, _, rest, _, _ in plan}, passes)
+    numbered = lambda df: df.join(F.broadcast(table.withColumnRenamed("sources", "_own")), F.col("sources").eqNullSafe(F.col("_own")), "left").drop("_own")
+    once_more = last_rounds(numbered(slim).select("pattern", "size", "h"), {p: rest for _, p, _, rest, _, _ in plan}, passes)
     repeats = F.when(F.col("size") > 0, F.coalesce("rounds", F.lit(0)) + F.when(once_more, 1).otherwise(0)).otherwise(0)
-    return wide.withColumn("repeats", repeats.cast("int")).withColumn("taken", (F.col("repeats") * F.col("size")).cast("bigint")).drop("h", "pattern", "rounds", "rest")
+    return numbered(out).withColumn("repeats", repeats.cast("int")).withColumn("taken", (F.col("repeats") * F.col("size")).cast("bigint")).drop("h", "pattern", "rounds", "rest")
 
 
 def words(text_column: str = "text") -> Column:

@@ -66,17 +66,20 @@ def measures(text: Column) -> Column:
     return F.struct(of_words.alias("w"), of_lines.alias("l"), only(r"[^#*$%&|<>]+").alias("symbols"), only(r"[^\p{L}]+").alias("letters"), only(r"[^\p{Lu}]+").alias("upper"))
 
 
-def ledger(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per input row: doc_id, the measurements (see MEASURES) as longs, and failed, the bits of the rules it fails.
+def ledger(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: list[Column] | None = None) -> DataFrame:
+    """One row per input row: doc_id, the measurements (see MEASURES) as longs, failed, the bits of the rules it fails, and
+    the columns to carry.
 
     Words part at white space; null is a text without words. word_chars: code points in words. n_symbols: characters of
     #*$%&|<>. n_lines: lines that hold a word; n_dup_lines: those equal to an earlier one. n_repeat_words: words in
     windows of 8 that are found twice or more in the text. n_letters, n_upper: letters, and capital ones. Repeated rows,
     null ids and further columns of any name change nothing; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_column).alias("doc_id"), measures(text_of(text_column)).alias("m"))
+    carry = carry or []
+    rows = docs.select(F.col(id_column).alias("doc_id"), measures(text_of(text_column)).alias("m"), *carry)
+    names = [c for c in rows.columns if c not in ("doc_id", "m")]
     named = {"n_words": "w.n", "word_chars": "w.chars", "n_symbols": "symbols", "n_dup_lines": "l.dup", "n_repeat_words": "w.repeat", "n_lines": "l.n", "n_letters": "letters", "n_upper": "upper"}
-    measured = rows.select("doc_id", *(F.col(f"m.{named[c]}").cast("bigint").alias(c) for c in MEASURES))
+    measured = rows.select("doc_id", *(F.col(f"m.{named[c]}").cast("bigint").alias(c) for c in MEASURES), *names)
     bits = [F.when(fails(), F.lit(BIT[name])).otherwise(F.lit(0)) for name, fails in RULES]
     failed = bits[0]
     for b in bits[1:]:
@@ -105,6 +108,12 @@ def ablations(rows: DataFrame, policy: str) -> DataFrame:
     return each.groupBy("rule").agg(F.sum(failing).cast("bigint").alias("n_failed"), F.sum(alone).cast("bigint").alias("n_only"))
 
 
+def kept_rows(docs: DataFrame, policy: str = "web-1", text_column: str = "text") -> DataFrame:
+    """The rows that a policy keeps, with their own columns."""
+    whole = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
+    return apply_policy(ledger(docs, docs.columns[0], text_column, [whole]), policy).where("kept").select("row.*")
+
+
 def quality(docs: DataFrame, policy: str = "web-1", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The ledger's rows with base_failed and kept under a policy; see ledger for the edge cases."""
     rows = ledger(docs, id_column, text_column)

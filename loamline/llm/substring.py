@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm.common import keep, pieces, raw, release, text_of, width, word_spans
@@ -251,7 +251,7 @@ def removal(window: int, texts: bool):
                     kept = b" ".join(words)
                     digests.append(hashlib.sha256(kept).hexdigest())
                     if texts:
-                        kept_texts.append(kept.decode())
+                        kept_texts.append(kept.decode() if n_removed[-1] else data[offsets[i] : offsets[i + 1]].tobytes().decode())
                 out = [b.column(b.schema.get_field_index(c)) for c in b.schema.names if c not in ("text", "places")] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
                 names = [c for c in b.schema.names if c not in ("text", "places")] + ["n_words", "n_removed", "kept_sha256"]
                 yield pa.RecordBatch.from_arrays(out + [pa.array(kept_texts, pa.string())] * texts, names=names + ["kept_text"] * texts)
@@ -278,8 +278,9 @@ def repeated_windows(texts: DataFrame, window: int = 35) -> DataFrame:
     return found
 
 
-def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 35, with_text: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept_sha256 and, with_text, kept_text.
+def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 35, with_text: bool = False, carry: list[Column] | None = None) -> DataFrame:
+    """One row per input row: doc_id, columns to carry, n_words, n_removed, kept_sha256 and, with_text, kept_text, which is
+    the text itself where nothing goes.
 
     A word goes if a window of ``window`` consecutive words covers it whose word sequence also starts at another place,
     in any text, the same one included; windows are judged on the input. Kept words are joined by one space.
@@ -287,8 +288,10 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
     Rows repeated with the same id and text count as two places each, so they lose all that they can. A null id stays
     null. Other columns, whatever their names, are ignored. An empty table gives an empty result.
     """
-    texts = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"))
+    texts = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"), *(carry or []))
+    carried = [c for c in texts.columns if c not in ("doc_id", "text")]
+    kinds = dict(texts.dtypes)
     texts = texts.withColumns({"did": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "key": F.xxhash64("doc_id", "text")})
     found = repeated_windows(texts.select("did", "key", "text"), window)
-    schema = f"doc_id {dict(texts.dtypes)['doc_id']}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text
-    return texts.join(found, ["did", "key"], "left").select("doc_id", "text", "places").mapInArrow(removal(window, with_text), schema)
+    schema = "".join(f"{c} {kinds[c]}, " for c in ("doc_id", *carried)) + "n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text
+    return texts.join(found, ["did", "key"], "left").select("doc_id", *carried, "text", "places").mapInArrow(removal(window, with_text), schema)
