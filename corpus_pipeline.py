@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loamline.llm.bpe import encode_decode
 from loamline.llm.common import table
 from loamline.llm.mixing import mixed_rows
-from loamline.llm.quality import quality
+from loamline.llm.quality import kept_rows
 from loamline.llm.queries import tokenizer
 from loamline.llm.simhash import simhash_components
 from loamline.llm.substring import substring_dedup
@@ -18,12 +18,8 @@ from loamline.llm.token_files import shared_folder
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality rules: documents that the policy rejects go. A row's verdict is of its own text: rows of one id and text
-    share it."""
-    keyed = docs.withColumn("_row", F.xxhash64("text"))
-    verdicts = quality(keyed.select(F.struct("doc_id", "_row").alias("id"), "text"), id_column="id")
-    kept = verdicts.where("kept").select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id._row").alias("_verdict")).distinct()
-    return keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_row"] == kept["_verdict"]), "left_semi").select(*docs.columns)
+    """Quality rules: documents that the policy rejects go."""
+    return kept_rows(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +31,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Substring dedup: texts lose the words that repeat elsewhere; a text that loses none stays as it is, and one that
     loses all goes."""
-    cut = substring_dedup(docs, with_text=True).where("n_removed > 0").select("doc_id", F.col("kept_text").alias("_kept"))
-    joined = docs.join(cut, "doc_id", "left").where("_kept IS NULL OR _kept <> ''")
-    text = F.coalesce("_kept", "text")
-    return joined.withColumns({"text": text, "n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.char_length(text)).cast("bigint")}).select(*docs.columns)
+    rest = F.struct(*(F.col(c) for c in docs.columns if c != "text")).alias("rest")
+    cut = substring_dedup(docs, with_text=True, carry=[rest]).where("n_removed = 0 OR n_removed < n_words")
+    own = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") == 0, F.col("rest.n_chars")).otherwise(F.char_length("kept_text")).cast("bigint")}
+    return cut.select(*((own[c] if c in own else F.col(f"rest.{c}")).alias(c) for c in docs.columns))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
