@@ -5,7 +5,7 @@ pair of lowest rank. A merge changes three leaves (its own pair's, the one befor
 paths to the root are updated: log(n) steps a merge, until the root holds no pair. Words of like length are encoded as
 the rows of one matrix of trees, with one merge in each row at a time; one very long word is a matrix with one row.
 
-Texts are cut into units before a space; what stands on either side of such a cut never shares a token (units_of tells
+Texts are cut into units before a space; what stands on either side of such a cut never shares a token (Remembered tells
 the cases in which that isn't so). Each unit is split by the tokenizer's own pattern. Encoded units are remembered up to
 a fixed number.
 """
@@ -16,7 +16,8 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from loamline.llm.common import pieces, text_of
 #: The pattern by which byte-level BPE parts a text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = np.int64(1 << 62)
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 #: A space between two other white spaces, or one and the end: no cut may stand there.
 NO_CUT = re.compile(r"\s (?:\s|\Z)")
 
@@ -133,26 +134,57 @@ class PairMerges:
         return out
 
 
-def units_of(text: str) -> list[str]:
-    """Cuts before spaces. A run of white space decides as a whole how it is parted, so a space inside of one starts no
-    unit if white space or the end follows it and white space stands before it; such a text stays whole."""
-    if not text:
-        return []
-    if NO_CUT.search(text):
-        return [text]
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+class Remembered:
+    """Ids of whole texts, put together from the ids of their units, which are remembered.
+
+    Texts are cut before spaces. A run of white space decides as a whole how it is parted, so a space inside of one starts
+    no unit if white space or the end follows it and white space stands before it; a text with such a space stays whole.
+    learn: the ids of units, as bytes. At most REMEMBERED units of 256 characters or fewer are remembered."""
+
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], dtype: str = "<u4") -> None:
+        self.learn, self.dtype = learn, dtype
+        self.heads: dict[str, bytes] = {"": b""}
+        self.spaced: dict[str, bytes] = {}  # by what follows the space
+
+    def values(self, known: dict[str, bytes], keys: list[str], lead: str) -> list[bytes]:
+        found = list(map(known.get, keys))
+        if None in found:
+            new = list({k for k, v in zip(keys, found, strict=True) if v is None})
+            known.update(zip(new, self.learn([lead + k for k in new] if lead else new), strict=True))
+            found = list(map(known.__getitem__, keys))
+            for k in new:
+                if len(k) > 256:
+                    del known[k]
+        return found
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.spaced) > REMEMBERED:
+            self.spaced = {}
+        if len(self.heads) > REMEMBERED:
+            self.heads = {"": b""}
+        heads, rests = [], []
+        for text in texts:
+            parts = [text] if NO_CUT.search(text) else text.split(" ")
+            heads.append(parts[0])
+            rests.append(parts[1:])
+        first = self.values(self.heads, heads, "")
+        found = self.values(self.spaced, list(chain.from_iterable(rests)), " ")
+        out, at = [], 0
+        for head, rest in zip(first, rests, strict=True):
+            out.append(np.frombuffer(head + b"".join(found[at : at + len(rest)]), self.dtype))
+            at += len(rest)
+        return out
 
 
 class Codec:
-    """Encodes and decodes texts; remembers units and words it has met, REMEMBERED at most of each, long ones excepted."""
+    """Encodes and decodes texts."""
 
     def __init__(self, path: str) -> None:
         self.merges = PairMerges(path)
         self.pattern = regex.compile(PATTERN)
         self.library_split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.merges.specials)) + ")") if self.merges.specials else None
-        self.units: dict[str, bytes] = {}
+        self.units = Remembered(self.learn)
         self.words: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
@@ -162,40 +194,30 @@ class Codec:
             return [text[a:b] for _, (a, b) in self.library_split(text)]
         return self.pattern.findall(text)
 
-    def learn(self, units: set[str]) -> None:
-        """Encode units anew, all their words in one go."""
+    def learn(self, units: list[str]) -> list[bytes]:
+        """The ids of units, whose words are encoded all in one go."""
+        if len(self.words) > REMEMBERED:
+            self.words = {}
         known, plan = self.words, []
         for u in units:
             if self.special and self.special.search(u):
                 parts: list[str | int] = []
                 for k, text in enumerate(self.special.split(u)):
                     parts += [self.merges.specials[text]] if k % 2 else self.split(text)
-                plan.append((u, parts))
+                plan.append(parts)
             else:
-                plan.append((u, self.split(u)))
-        if new := list({w for _, parts in plan for w in parts if w not in known and isinstance(w, str)}):
+                plan.append(self.split(u))
+        if new := list({w for parts in plan for w in parts if isinstance(w, str) and w not in known}):
             known.update(zip(new, self.merges.encode([w.encode() for w in new]), strict=True))
-        for u, parts in plan:
-            self.units[u] = known[parts[0]] if len(parts) == 1 and isinstance(parts[0], str) else b"".join([known[p] if isinstance(p, str) else p.to_bytes(4, "little") for p in parts])
+        out = [known[parts[0]] if len(parts) == 1 and isinstance(parts[0], str) else b"".join([known[p] if isinstance(p, str) else p.to_bytes(4, "little") for p in parts]) for parts in plan]
         for w in new:
             if len(w) > 256:
                 del known[w]
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.units) > REMEMBERED:
-            self.units = {}
-        if len(self.words) > REMEMBERED:
-            self.words = {}
-        cut = [units_of(t) for t in texts]
-        known = self.units
-        if new := {u for units in cut for u in units if u not in known}:
-            self.learn(new)
-        out = [np.frombuffer(b"".join(map(known.__getitem__, units)), "<u4") for units in cut]
-        for u in new:
-            if len(u) > 256:
-                del known[u]
-        return out
+        return self.units.encode(texts)
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.merges.token_bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")

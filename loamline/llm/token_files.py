@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loamline.llm.bpe import REMEMBERED, units_of
+from loamline.llm.bpe import Remembered
 from loamline.llm.common import pieces, text_of, width
 from loamline.llm.substring import mixed
 
@@ -142,7 +142,7 @@ def write_shard(uri: str, part: str, dtype: str, docs: Iterator[tuple[object, np
     with fs.open_output_stream(temporary := f"{path}.{part}") as out:
         for doc_id, tokens in docs:
             ids.append(doc_id), counts.append(len(tokens))
-            out.write(tokens.astype(dtype).tobytes())
+            out.write(tokens.astype(dtype, copy=False).tobytes())
         keys = distinct_keys(ids)
         index = PerfectHash.build(keys)
         order = index.lookup(keys)
@@ -161,28 +161,27 @@ def write_shard(uri: str, part: str, dtype: str, docs: Iterator[tuple[object, np
     return len(keys), int(count.sum())
 
 
-def library_encoder(path: str):
-    """Encodes lists of texts with the tokenizers library, which gets each unit (see bpe.units_of) once as long as it is
-    remembered."""
+def library_encoder(path: str, dtype: str):
+    """Encodes lists of texts with the tokenizers library, which gets each unit (see bpe.Remembered) once as long as it is
+    remembered. Units reach it many at a time, parted by a special token, at which it always divides a text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation(), tokenizer.no_padding()
-    known: dict[str, bytes] = {}
-
-    def encode(texts: list[str]) -> Iterator[np.ndarray]:
-        if len(known) > REMEMBERED:
-            known.clear()
-        cut = [units_of(t) for t in texts]
-        new = list({u for units in cut for u in units if u not in known})
-        for u, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[u] = np.array(e.ids, "<u4").tobytes()
-        for units in cut:
-            yield np.frombuffer(b"".join(map(known.__getitem__, units)), "<u4")
-        for u in new:
-            if len(u) > 256:
-                del known[u]
+    separator = next(((t.content, i) for i, t in tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)), None)
+    encode = tokenizer.encode_batch_fast
+
+    def learn(units: list[str]) -> list[bytes]:
+        if separator is None or any(separator[0] in u for u in units):
+            return [np.array(e.ids, dtype).tobytes() for e in encode(units, add_special_tokens=False)]
+        out: list[bytes] = []
+        size = np.dtype(dtype).itemsize
+        for e in encode([separator[0].join(units[i : i + 256]) for i in range(0, len(units), 256)], add_special_tokens=False):
+            ids = np.array(e.ids, dtype)
+            data, ends = ids.tobytes(), np.flatnonzero(ids == separator[1]).tolist()
+            out += [data[a * size : b * size] for a, b in zip([0, *(x + 1 for x in ends)], [*ends, len(ids)], strict=True)]
+        return out
 
-    return encode
+    return Remembered(learn, dtype).encode
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -210,9 +209,9 @@ def write_token_files(docs: DataFrame, path: str, folder: str, id_column: str =
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = library_encoder(path)
+        encode = library_encoder(path, dtype)
         task = TaskContext.get()
-        end = np.array([end_id], np.uint32)
+        end = np.array([end_id], dtype)
 
         def rows() -> Iterator[tuple[object, np.ndarray]]:
             for whole in batches:
