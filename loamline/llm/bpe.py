@@ -139,28 +139,31 @@ class Remembered:
 
     Texts are cut before spaces. A run of white space decides as a whole how it is parted, so a space inside of one starts
     no unit if white space or the end follows it and white space stands before it; a text with such a space stays whole.
-    learn: the ids of units, as bytes. At most REMEMBERED units of 256 characters or fewer are remembered."""
+    learn: the ids of units, as bytes. Units of over 256 characters are not remembered, and all are forgotten when there
+    are more than ``most``."""
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]], dtype: str = "<u4") -> None:
-        self.learn, self.dtype = learn, dtype
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], dtype: str = "<u4", most: int = REMEMBERED) -> None:
+        self.learn, self.dtype, self.most = learn, dtype, most
         self.heads: dict[str, bytes] = {"": b""}
         self.spaced: dict[str, bytes] = {}  # by what follows the space
 
     def values(self, known: dict[str, bytes], keys: list[str], lead: str) -> list[bytes]:
         found = list(map(known.get, keys))
         if None in found:
-            new = list({k for k, v in zip(keys, found, strict=True) if v is None})
+            missing = [i for i, v in enumerate(found) if v is None]
+            new = list({keys[i] for i in missing})
             known.update(zip(new, self.learn([lead + k for k in new] if lead else new), strict=True))
-            found = list(map(known.__getitem__, keys))
+            for i in missing:
+                found[i] = known[keys[i]]
             for k in new:
                 if len(k) > 256:
                     del known[k]
         return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.spaced) > REMEMBERED:
+        if len(self.spaced) > self.most:
             self.spaced = {}
-        if len(self.heads) > REMEMBERED:
+        if len(self.heads) > self.most:
             self.heads = {"": b""}
         heads, rests = [], []
         for text in texts:

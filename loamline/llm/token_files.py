@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loamline.llm.bpe import Remembered
+from loamline.llm.bpe import REMEMBERED, Remembered
 from loamline.llm.common import pieces, text_of, width
 from loamline.llm.substring import mixed
 
@@ -163,25 +163,41 @@ def write_shard(uri: str, part: str, dtype: str, docs: Iterator[tuple[object, np
 
 def library_encoder(path: str, dtype: str):
     """Encodes lists of texts with the tokenizers library, which gets each unit (see bpe.Remembered) once as long as it is
-    remembered. Units reach it many at a time, parted by a special token, at which it always divides a text."""
+    remembered. Units that start with a space and a character and end with one reach it many at a time, one after the
+    other, as they might in a text; which ids are whose is told by the tokens' lengths in bytes."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation(), tokenizer.no_padding()
-    separator = next(((t.content, i) for i, t in tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)), None)
     encode = tokenizer.encode_batch_fast
+    added = tokenizer.get_added_tokens_decoder()
+    vocab = tokenizer.get_vocab(with_added_tokens=False)
+    lengths = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True) + 1, np.int64)
+    lengths[list(vocab.values())] = [len(t) for t in vocab]  # in a byte-level vocabulary a character stands for a byte
+    size = np.dtype(dtype).itemsize
+
+    def alone(units: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype).tobytes() for e in encode(units, add_special_tokens=False)]
 
     def learn(units: list[str]) -> list[bytes]:
-        if separator is None or any(separator[0] in u for u in units):
-            return [np.array(e.ids, dtype).tobytes() for e in encode(units, add_special_tokens=False)]
-        out: list[bytes] = []
-        size = np.dtype(dtype).itemsize
-        for e in encode([separator[0].join(units[i : i + 256]) for i in range(0, len(units), 256)], add_special_tokens=False):
+        joinable = [len(u) > 1 and u[0] == " " and not u[1].isspace() and not u[-1].isspace() and not any(t.content in u for t in added.values()) for u in units]
+        many = [u for u, j in zip(units, joinable, strict=True) if j]
+        others = iter(alone([u for u, j in zip(units, joinable, strict=True) if not j]))
+        groups = [many[i : i + 512] for i in range(0, len(many), 512)]
+        joined: list[bytes] = []
+        for group, e in zip(groups, encode(["".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype)
-            data, ends = ids.tobytes(), np.flatnonzero(ids == separator[1]).tolist()
-            out += [data[a * size : b * size] for a, b in zip([0, *(x + 1 for x in ends)], [*ends, len(ids)], strict=True)]
-        return out
-
-    return Remembered(learn, dtype).encode
+            ends = np.cumsum([len(u.encode()) for u in group])
+            upto = np.cumsum(lengths[ids])
+            cuts = np.searchsorted(upto, ends)
+            if not (upto[cuts] == ends).all():  # a token across units: not in a vocabulary like this
+                joined += alone(group)
+                continue
+            data, at = ids.tobytes(), (size * (cuts + 1)).tolist()
+            joined += [data[a:b] for a, b in zip([0, *at], at, strict=False)]
+        rest = iter(joined)
+        return [next(rest) if j else next(others) for j in joinable]
+
+    return Remembered(learn, dtype, 2 * REMEMBERED).encode
 
 
 def shared_folder(spark: SparkSession) -> str:
