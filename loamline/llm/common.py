@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,7 @@ def release(spark: SparkSession) -> None:
     collected, which on an idle driver may be long after they are of use."""
     spark.range(1).count()  # the scheduler holds on to the last job that it was given
     gc.collect()
+    time.sleep(0.5)  # Python tells the driver in the background which objects it has dropped
     spark.sparkContext._jvm.System.gc()
 
 
