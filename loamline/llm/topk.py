@@ -71,7 +71,7 @@ def far_apart(sample: np.ndarray, n: int, steps: int = 8) -> np.ndarray:
     return pivots
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", query_id: str = "vec_id", scale: int = 256, pivots: int = 128, annuli: int = 24, sample: int = 8192) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", query_id: str = "vec_id", scale: int = 256, pivots: int = 32, annuli: int = 8, sample: int = 8192) -> DataFrame:
     """For every query its k best rows by inner product of the quantized vectors: query_id, rank, vec_id, score.
 
     A row never answers a query of its own id. Ties go to the lesser id. Queries with fewer than k rows get them all.
@@ -90,6 +90,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "
     if facts.top >= 1 << 21:
         raise ValueError("components are too large for exact products")
     dim, length2 = facts.dim, facts.length2
+    stored = "<i2" if facts.top < 1 << 15 else "<i4"
     fitted = points.orderBy(F.xxhash64("vec_id")).limit(sample).select("v").toArrow()["v"].combine_chunks()
     centres = far_apart(raised(matrix(fitted, dim), length2), pivots)
     sampled = distances(raised(matrix(fitted, dim), length2), centres)
@@ -106,7 +107,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "
                     home = d.argmin(axis=1)
                     own = d[np.arange(len(d)), home]
                     ring = home * per_pivot + np.searchsorted(edges, own, side="right")
-                    yield pa.RecordBatch.from_arrays([b["vec_id"], pa.array(ring.astype(np.int32)), pa.array(own), pa.array([r.tobytes() for r in x.astype("<f8")], pa.binary())], names=["vec_id", "ring", "distance", "x"])
+                    yield pa.RecordBatch.from_arrays([b["vec_id"], pa.array(ring.astype(np.int32)), pa.array(own), pa.array([r.tobytes() for r in x.astype(stored)], pa.binary())], names=["vec_id", "ring", "distance", "x"])
 
         return f
 
@@ -145,9 +146,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "
         for b in pairs:
             for i in range(b.num_rows):
                 q_ids, ids = np.asarray(b["q_ids"][i].values), np.asarray(b["ids"][i].values)
-                q = np.frombuffer(b["q_xs"][i].as_py(), "<f8").reshape(len(q_ids), dim)
+                q = np.frombuffer(b["q_xs"][i].as_py(), stored).reshape(len(q_ids), dim).astype(np.float64)
                 floor = np.asarray(b["floors"][i].values)
-                scores = np.rint(q @ np.frombuffer(b["xs"][i].as_py(), "<f8").reshape(len(ids), dim).T).astype(np.int64)
+                scores = np.rint(q @ np.frombuffer(b["xs"][i].as_py(), stored).reshape(len(ids), dim).astype(np.float64).T).astype(np.int64)
                 own = q_ids[:, None] == ids[None, :]
                 masked = np.where(own, np.iinfo(np.int64).min, scores)
                 if len(ids) > k:
@@ -192,9 +193,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                x = np.frombuffer(b"".join(b["x"].to_pylist()), "<f8").reshape(b.num_rows, dim)
+            for at in range(0, whole.num_rows, 128):
+                b = whole.slice(at, 128)
+                x = np.frombuffer(b"".join(b["x"].to_pylist()), stored).reshape(b.num_rows, dim).astype(np.float64)
                 row, ring = np.nonzero(bounds(x) >= np.asarray(b["floor"])[:, None])
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(ring_ids[ring].astype(np.int32)), b["vec_id"].take(take), b["x"].take(take), b["floor"].take(take)], names=["ring", "vec_id", "x", "floor"])
