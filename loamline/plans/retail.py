@@ -150,10 +150,11 @@ def touch_modified(changes: DataFrame, as_of: str, column: str = "modified") ->
 
 def _moved(lines: DataFrame, t: dict[str, DataFrame], fullest: bool) -> DataFrame:
     places = t["employees"].select(F.col("employee_id").alias("warehouse_id"), "region_id")
-    homes = lines.join(t["orders"].select("order_id", "customer_id"), "order_id").join(t["customers"].select("customer_id", "region_id"), "customer_id")
+    own = lines.groupBy("order_id", "line_no", "product_id").agg(F.sum("quantity").alias("quantity"))
+    homes = own.join(t["orders"].select("order_id", "customer_id"), "order_id").join(t["customers"].select("customer_id", "region_id"), "customer_id")
     candidates = homes.select("order_id", "line_no", "product_id", "quantity", "region_id").join(t["stock"].join(places, "warehouse_id"), ["product_id", "region_id"])
     order = [F.desc("on_hand") if fullest else F.asc("on_hand"), F.asc("warehouse_id")]
-    first = candidates.withColumn("rn", F.row_number().over(Window.partitionBy("order_id", "line_no").orderBy(*order))).where("rn = 1")
+    first = candidates.withColumn("rn", F.row_number().over(Window.partitionBy("order_id", "line_no", "product_id").orderBy(*order))).where("rn = 1")
     return first.groupBy("product_id", "warehouse_id").agg(F.sum("quantity").alias("moved"))
 
 

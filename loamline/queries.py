@@ -381,7 +381,7 @@ def audit_from_changes(spark, d):
     return retail.audit_from_changes(o.where("order_id % 5 <> 0"), o.where("order_id % 7 <> 0").withColumn("status", changed), "order_id", "orders")
 
 
-MOVED = f"""WITH {LINES}, k AS (SELECT l.l_orderkey, l.l_linenumber, l.quantity, s.product_id, s.warehouse_id, row_number() OVER (PARTITION BY l.l_orderkey, l.l_linenumber ORDER BY s.on_hand {{order}}, s.warehouse_id) AS rn FROM lines l JOIN supplier ON s_nationkey = l.c_nationkey JOIN stock s ON s.product_id = l.l_partkey AND s.warehouse_id = s_suppkey WHERE {{what}}),
+MOVED = f"""WITH {LINES}, k AS (SELECT l.l_orderkey, l.l_linenumber, l.quantity, s.product_id, s.warehouse_id, rank() OVER (PARTITION BY l.l_orderkey, l.l_linenumber, l.l_partkey ORDER BY s.on_hand {{order}}, s.warehouse_id) AS rn FROM lines l JOIN supplier ON s_nationkey = l.c_nationkey JOIN stock s ON s.product_id = l.l_partkey AND s.warehouse_id = s_suppkey WHERE {{what}}),
 m AS (SELECT product_id, warehouse_id, sum(quantity) AS moved FROM k WHERE rn = 1 GROUP BY ALL) SELECT product_id, warehouse_id, {{after}}::BIGINT AS on_hand, reorder_point FROM stock LEFT JOIN m USING (product_id, warehouse_id)"""
 
 
