@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: With it, Spark removes a query's shuffle files when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: White space that parts words: U+0020 and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = np.zeros(256, bool)
@@ -28,7 +28,8 @@ def width(spark: SparkSession) -> int:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder that the cluster names.
+    """Cut the lineage with a reliable checkpoint in the shared folder that the cluster names, and let go of the shuffle
+    files that led to it: else they stay until the driver happens to collect its garbage.
 
     Only where the session names none (a bare test session) a local one is set."""
     context = df.sparkSession.sparkContext
@@ -41,16 +42,12 @@ def keep(df: DataFrame) -> DataFrame:
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         else:
             raise ValueError("spark.checkpoint.dir names no shared folder")
-    return df.checkpoint()
-
-
-def release(spark: SparkSession) -> None:
-    """Ask for the removal of shuffle files that nothing refers to any more: Spark removes them when the driver's heap is
-    collected, which on an idle driver may be long after they are of use."""
-    spark.range(1).count()  # the scheduler holds on to the last job that it was given
-    gc.collect()
-    time.sleep(0.5)  # Python tells the driver in the background which objects it has dropped
-    spark.sparkContext._jvm.System.gc()
+    settings, before = df.sparkSession.conf, df.sparkSession.conf.get(CLEANUP)
+    settings.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()  # planned under the setting
+    finally:
+        settings.set(CLEANUP, before)
 
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import keep, pieces, raw, release, text_of, width, word_spans
+from loamline.llm.common import keep, pieces, raw, text_of, width, word_spans
 
 PACKED = "part int, kind int, piece bigint, docs binary, places binary, hashes binary, dids array<bigint>, keys array<bigint>"
 FOUND = "piece bigint, doc int, did bigint, key bigint, places array<int>"
@@ -272,10 +272,7 @@ def repeated_windows(texts: DataFrame, window: int = 35) -> DataFrame:
         return keep(named.where(F.size("places") > 0).groupBy("did", "key").agg(F.flatten(F.collect_list("places")).alias("places")))
 
     hits = resolved(texts.mapInArrow(anchors(window, parts), PACKED), 5)
-    release(texts.sparkSession)
-    found = resolved(texts.join(hits, ["did", "key"]).mapInArrow(extensions(window, parts), PACKED), 16)
-    release(texts.sparkSession)
-    return found
+    return resolved(texts.join(hits, ["did", "key"]).mapInArrow(extensions(window, parts), PACKED), 16)
 
 
 def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 35, with_text: bool = False, carry: list[Column] | None = None) -> DataFrame:
