@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ from loamline.llm.common import pieces, text_of, width
 from loamline.llm.substring import mixed
 
 MAGIC = b"loamtok1"
+#: A space and what neither starts nor ends with white space.
+JOINABLE = re.compile(r" \S(?:.*\S)?\Z", re.S)
 ROOMS = 2  # slots for each key that is left at a level
 
 
@@ -168,36 +172,32 @@ def library_encoder(path: str, dtype: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation(), tokenizer.no_padding()
-    encode = tokenizer.encode_batch_fast
-    added = tokenizer.get_added_tokens_decoder()
+    specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     vocab = tokenizer.get_vocab(with_added_tokens=False)
     lengths = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True) + 1, np.int64)
     lengths[list(vocab.values())] = [len(t) for t in vocab]  # in a byte-level vocabulary a character stands for a byte
     size = np.dtype(dtype).itemsize
 
-    def alone(units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype).tobytes() for e in encode(units, add_special_tokens=False)]
+    def alone(unit: str) -> bytes:
+        return np.array(tokenizer.encode(unit, add_special_tokens=False).ids, dtype).tobytes()
 
     def learn(units: list[str]) -> list[bytes]:
-        joinable = [len(u) > 1 and u[0] == " " and not u[1].isspace() and not u[-1].isspace() and not any(t.content in u for t in added.values()) for u in units]
+        whole = "\0".join(units)
+        clean = not any(c in whole for c in specials)
+        joinable = [JOINABLE.match(u) is not None and (clean or not any(c in u for c in specials)) for u in units]
         many = [u for u, j in zip(units, joinable, strict=True) if j]
-        others = iter(alone([u for u, j in zip(units, joinable, strict=True) if not j]))
-        groups = [many[i : i + 512] for i in range(0, len(many), 512)]
-        joined: list[bytes] = []
-        for group, e in zip(groups, encode(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype)
-            ends = np.cumsum([len(u.encode()) for u in group])
-            upto = np.cumsum(lengths[ids])
-            cuts = np.searchsorted(upto, ends)
-            if not (upto[cuts] == ends).all():  # a token across units: not in a vocabulary like this
-                joined += alone(group)
-                continue
-            data, at = ids.tobytes(), (size * (cuts + 1)).tolist()
-            joined += [data[a:b] for a, b in zip([0, *at], at, strict=False)]
-        rest = iter(joined)
-        return [next(rest) if j else next(others) for j in joinable]
-
-    return Remembered(learn, dtype, 2 * REMEMBERED).encode
+        parts = ("".join(many[i : i + 32]) for i in range(0, len(many), 32))
+        ids = np.fromiter(chain.from_iterable(tokenizer.encode(t, add_special_tokens=False).ids for t in parts), dtype)
+        ends = np.cumsum([len(u.encode()) for u in many])
+        upto = np.cumsum(lengths[ids])
+        cuts = np.searchsorted(upto, ends)
+        if len(many) and (cuts[-1] >= len(upto) or not (upto[cuts] == ends).all()):
+            return list(map(alone, units))  # a token across units: not in a vocabulary like this
+        data, at = ids.tobytes(), (size * (cuts + 1)).tolist()
+        joined = iter([data[x:y] for x, y in zip([0, *at], at, strict=False)])
+        return [next(joined) if j else alone(u) for u, j in zip(units, joinable, strict=True)]
+
+    return Remembered(learn, dtype, 3 * REMEMBERED).encode
 
 
 def shared_folder(spark: SparkSession) -> str:
