@@ -84,9 +84,11 @@ def numbers(x: bytes) -> np.ndarray:
 
 def rows_of(part: np.ndarray, kind: int, doc: np.ndarray, place: np.ndarray, hashes: np.ndarray) -> Iterator[tuple]:
     """A packed row for each part; entries come in the order of texts and places."""
+    if not len(part):
+        return
     order = np.argsort(part, kind="stable")
     part, doc, place, hashes = part[order], doc[order], place[order], hashes[order]
-    cuts = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=True):
         own = (b"", b"") if kind == PRESENT else (planes(np.diff(doc[a:b], prepend=0)), planes(place[a:b]))
         yield int(part[a]), kind, *own, np.ascontiguousarray(hashes[a:b].T).tobytes(), [], []

@@ -29,6 +29,13 @@ def test_substring_dedup_is_brute_force(docs, rows, window):
     assert got == sorted((str(r[0]), *x) for r, x in zip(rows, brute_repeats([r[1] for r in rows], window), strict=True))
 
 
+@pytest.mark.parametrize("texts", [["a b c d e f g", "h i j k l m n"], ["a b c d e f g"], ["a a a a a a a"], ["a b c d", "a b c d"]])
+def test_with_nothing_and_with_everything_repeated(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [(r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(df, window=4).orderBy("doc_id").collect()]
+    assert got == list(brute_repeats(texts, 4))
+
+
 def test_kept_text_is_left_alone_where_nothing_goes(docs):
     for r in substring_dedup(docs, with_text=True, carry=[F.col("text").alias("original")]).collect():
         assert r.n_removed or r.kept_text == (r.original or "")
