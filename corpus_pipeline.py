@@ -23,9 +23,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: of each component the document with the least id stays, once."""
-    heads = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """SimHash near-dedup: of each component the document with the least id stays, once. Rows of one id are told apart by
+    their texts."""
+    key = F.struct("doc_id", F.xxhash64("text").alias("h"))
+    found = simhash_components(docs.select(key.alias("key"), "text"), "key")
+    heads = found.where("doc_id <=> component_id").select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.h").alias("_of")).distinct()
+    keyed = docs.withColumn("_h", F.xxhash64("text"))
+    kept = keyed.join(heads, keyed["doc_id"].eqNullSafe(heads["_id"]) & (keyed["_h"] == heads["_of"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
