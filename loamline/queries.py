@@ -495,3 +495,121 @@ def month_window(spark, d):
     events = table(spark, d, "events")
     month = str(events.agg(F.date_format(F.min("ts"), "yyyy-MM-dd")).first()[0])
     return landed.time_window(events, "month", "ts", month=month).select("event_id")
+
+
+# further operators on the same bindings
+
+
+@registered("SELECT DISTINCT 'u' || (user_id % 4) AS user_id, 's' AS source, event_type AS scope, max(event_id % 2 = 0) AS again FROM events GROUP BY ALL")
+def grant_access(spark, d):
+    """Grants from odd events, granted again from even ones."""
+    e = table(spark, d, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 4).cast("string")).alias("user_id"), F.lit("s").alias("source"), F.col("event_type").alias("scope"), (F.col("event_id") % 2).alias("odd"))
+    before = index.grant_access(e.where("odd = 1").limit(0).withColumn("last_synced", F.lit(None).cast("timestamp")), e.where("odd = 1"), "2001-01-01")
+    return index.grant_access(before, e.where("odd = 0"), "2001-02-01").select("user_id", "source", "scope", (F.col("last_synced") > F.to_timestamp(F.lit("2001-01-15"))).alias("again"))
+
+
+@registered("SELECT doc_id, text FROM documents WHERE doc_id % 5 > 0")
+def delete_resources(spark, d):
+    docs = table(spark, d, "documents").withColumn("resource_id", F.col("doc_id"))
+    return index.delete_resources(docs, docs.where("doc_id % 5 = 0")).select("doc_id", "text")
+
+
+@registered("SELECT vec_id AS resource_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)")
+def resource_exists(spark, d):
+    ids = table(spark, d, "embeddings").select(F.col("vec_id").alias("resource_id"))
+    return index.resource_exists(ids, table(spark, d, "documents").select(F.col("doc_id").alias("resource_id")))
+
+
+@registered("SELECT doc_id, source AS db_name, lang AS title, 'x' AS kept, 1 AS n_left FROM documents")
+def promote_metadata(spark, d):
+    bag = F.create_map(F.lit("db_name"), "source", F.lit("title"), "lang", F.lit("other"), F.lit("x"))
+    rows = index.promote_metadata(table(spark, d, "documents").select("doc_id", bag.alias("metadata")))
+    return rows.select("doc_id", "db_name", "title", F.col("metadata")["other"].alias("kept"), F.size("metadata").alias("n_left"))
+
+
+@registered("SELECT page_id, CASE WHEN url LIKE '%/en/%' THEN 'new:' || page_id ELSE url END AS url FROM pages")
+def backfill_urls(spark, d):
+    after, _ = index.backfill_urls(table(spark, d, "pages"), ["%/en/%"], F.concat(F.lit("new:"), F.col("page_id").cast("string")))
+    return after.select("page_id", "url")
+
+
+@registered(f"{QUOTA} SELECT query_id, source, resource_id, chunk_index, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, resource_id ORDER BY score DESC, chunk_index) AS best FROM p) WHERE best = 1")
+def best_per_resource(spark, d):
+    q = questions(spark, d)
+    hits = search.vector_topk(q, chunks(spark, d), search.query_scopes(q, grants(spark, d)))
+    return search.best_per_resource(hits).select("query_id", "source", "resource_id", "chunk_index", F.round("score", 6).alias("score"))
+
+
+@registered(f"WITH {CHUNKS}, o AS (SELECT query_id // 4 AS question_id, source, resource_id, chunk_index, max(score) AS score FROM v GROUP BY ALL) SELECT question_id, resource_id, round(score, 6) AS score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, resource_id, chunk_index)::INTEGER AS rank FROM o")
+def pool_subqueries(spark, d):
+    q = questions(spark, d)
+    hits = search.vector_topk(q, chunks(spark, d), search.query_scopes(q, grants(spark, d)))
+    pooled = search.pool_subqueries(hits, q.select("query_id", F.floor(F.col("query_id") / 4).alias("question_id")))
+    return pooled.select("question_id", "resource_id", F.round("score", 6).alias("score"), "rank")
+
+
+LEGS = f"""WITH {CHUNKS}, k AS (SELECT query_id, source, resource_id, chunk_index, 1 - score AS score FROM v WHERE rank % 2 = 0),
+l AS (SELECT *, 0 AS leg, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, resource_id, chunk_index) AS place FROM (SELECT query_id, source, resource_id, chunk_index, score FROM v) UNION ALL SELECT *, 1, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, resource_id, chunk_index) FROM k)"""
+
+
+@registered(f"{LEGS} SELECT query_id, source, resource_id, round(sum(1.0::DOUBLE / (60 + place)), 9) AS rrf FROM l GROUP BY ALL")
+def rank_fusion(spark, d):
+    """The vector leg fused with its own even ranks turned round."""
+    q = questions(spark, d)
+    hits = search.vector_topk(q, chunks(spark, d), search.query_scopes(q, grants(spark, d)))
+    other = hits.where("rank % 2 = 0").withColumn("score", 1 - F.col("score"))
+    return search.rrf(hits, other).select("query_id", "source", "resource_id", F.round("rrf", 9).alias("rrf"))
+
+
+@registered(f"WITH {CHUNKS} SELECT query_id, sha256(string_agg(source || chr(31) || scope, chr(30) ORDER BY source || chr(31) || scope) || chr(30) || 'simple') AS scope_fingerprint FROM s GROUP BY query_id")
+def scope_fingerprints(spark, d):
+    q = questions(spark, d)
+    return search.scope_fingerprint(search.query_scopes(q, grants(spark, d)), q)
+
+
+@registered("""WITH w AS (SELECT conv_id, turn, text, list_distinct(list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS t FROM conversations),
+p AS (SELECT q.conv_id, a.turn, coalesce(len(list_intersect(q.t, a.t)) / nullif(len(q.t), 0), 0) AS s FROM w q JOIN w a ON a.conv_id = q.conv_id AND a.turn > q.turn WHERE q.turn = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY s DESC, turn) AS place FROM p) SELECT conv_id, turn, round(s, 6) AS rerank_score, place::INTEGER AS place FROM r WHERE place <= 3""")
+def rerank_turns(spark, d):
+    """Later turns of a conversation by how much they have of the first one."""
+    c = table(spark, d, "conversations")
+    first = c.where("turn = 0").select("conv_id", F.col("text").alias("question"))
+    hits = c.where("turn > 0").join(first, "conv_id").select(F.col("conv_id").alias("query_id"), F.lit("r").alias("resource_id"), F.col("turn").alias("chunk_index"), "question", "text")
+    return search.rerank(hits, 3).select(F.col("query_id").alias("conv_id"), F.col("chunk_index").alias("turn"), F.round("rerank_score", 6).alias("rerank_score"), "place")
+
+
+@registered("SELECT DISTINCT user_id::VARCHAR AS user_id, 'u' || user_id || '@x' AS email, 's' AS source, event_type AS scope FROM events")
+def access_list(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("user_id"), F.lit("s").alias("source"), F.col("event_type").alias("scope")).distinct()
+    return usage.access_list(e, e.select("user_id").distinct().withColumn("email", F.concat(F.lit("u"), "user_id", F.lit("@x"))))
+
+
+@registered("SELECT event_id AS completed_at, event_type AS source FROM events WHERE user_id = 3 ORDER BY event_id DESC LIMIT 5")
+def recent_runs(spark, d):
+    log = table(spark, d, "events").select(F.col("user_id").cast("string").alias("user_id"), F.col("event_id").alias("completed_at"), F.col("event_type").alias("source"), F.lit("x").alias("scope"))
+    return usage.recent_runs(log, "3").select("completed_at", "source")
+
+
+@registered("SELECT user_id AS question_id, count(*) AS n_calls, sum(event_id)::BIGINT AS prompt_tokens, round(sum(value), 4) AS duration_ms FROM events GROUP BY user_id")
+def accumulate_usage(spark, d):
+    a = audit(spark, d).withColumn("cost", F.lit(0.0)).withColumn("question_id", F.col("user_id").cast("bigint"))
+    return usage.accumulate_usage(a).select("question_id", "n_calls", "prompt_tokens", F.round("duration_ms", 4).alias("duration_ms"))
+
+
+@registered(f"WITH {LINES} SELECT l_orderkey AS order_id, l_linenumber AS line_no, l_partkey AS product_id, period AS fiscal_period FROM done WHERE order_date BETWEEN DATE '1996-01-01' AND DATE '1998-06-30'")
+def stage_completed_lines(spark, d):
+    return retail.stage_completed_lines(t(spark, d), "1996-01-01", "1998-06-30").select("order_id", "line_no", "product_id", "fiscal_period")
+
+
+@registered("SELECT c_custkey AS customer_id, c_name AS customer_name, c_mktsegment AS segment, c_nationkey::INT AS region_id FROM customer")
+def customer_segment_snapshot(spark, d):
+    return retail.customer_segment_snapshot(t(spark, d))
+
+
+@registered("SELECT c_custkey::VARCHAR AS name, n FROM (SELECT 'n' || c_nationkey AS o, count(*) AS n FROM customer GROUP BY ALL) JOIN customer ON o = 'n' || c_nationkey WHERE c_custkey % 50 = 0")
+def shared_nation(spark, d):
+    """How many customers share a customer's nation: a downstream walk of one hop from what an upstream hop finds."""
+    e = edges(spark, d).where("subject LIKE 'c%'")
+    up = lineage.walk(e, e.where("CAST(substring(subject, 2) AS INT) % 50 = 0").select(F.col("subject").alias("start")), 1)
+    down = lineage.walk(e, up.select(F.col("object").alias("start")), 1, "downstream", cap=None).groupBy("start").count()
+    return up.join(down, up["object"] == down["start"]).select(F.substring("subject", 2, 20).alias("name"), F.col("count").alias("n"))
