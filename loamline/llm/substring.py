@@ -266,7 +266,7 @@ def repeated_windows(texts: DataFrame, window: int = 35) -> DataFrame:
 
     texts: did, key, text, without nulls. Each of the two rounds ends with a written table, so that the shuffled hashes
     of the first are gone from the disks when the second writes its own."""
-    parts = max(64, 2 * width(texts.sparkSession))
+    parts = max(64, 8 * width(texts.sparkSession))  # several for each task, so that tasks are even
 
     def resolved(packed: DataFrame, n_bytes: int) -> DataFrame:
         found = packed.groupBy("part").applyInArrow(met(n_bytes), FOUND)
