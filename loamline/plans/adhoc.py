@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,18 +37,24 @@ def check_select(query: str) -> str:
 def run_select(spark: SparkSession, query: str, tables: dict[str, DataFrame], cap: int | None = None) -> DataFrame:
     """At most min(cap or 50, 100) rows of the statement over these tables (row_policy gives what a user may see).
 
-    Spark's own parser has to take it for a query before it runs, in a session where nothing else has a name."""
+    Spark's parser has to take it for a query before anything runs, and it may name these tables and its own CTEs only:
+    no other table, view or file of the session. The session's views keep their names."""
     text = check_select(query)
-    own = spark.newSession()
-    plan = own._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    if "Command" in plan.getClass().getName() or plan.nodeName() in ("UnresolvedWith",) and "Command" in plan.toString():
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    if "Command" in plan.getClass().getName():
         raise Refused("only queries may run")
-    names = {}
-    for name, df in tables.items():
-        names[name] = f"adhoc_{name}"
-        df.createOrReplaceTempView(name)
+    known = {n.lower() for n in tables} | {n.lower() for n in re.findall(r"(\w+)\s*(?:\([^()]*\)\s*)?AS\s*\(", text, re.I)}
+    for name in re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan.toString()):
+        if name.lower() not in known:
+            raise Refused(f"{name} is not among the tables")
+    views = {name: f"adhoc_{uuid.uuid4().hex}" for name in tables}
+    for name, view in views.items():
+        tables[name].createTempView(view)
+    own = ", ".join(f"`{name}` AS (SELECT * FROM {view})" for name, view in views.items())
+    head = re.match(r"WITH(\s+RECURSIVE)?\s+", text, re.I)
+    whole = f"WITH{head[1] or ''} {own}, {text[head.end() :]}" if head else f"WITH {own} {text}"
     try:
-        return spark.sql(text).limit(min(cap or 50, 100))
+        return spark.sql(whole).limit(min(cap or 50, 100))
     finally:
-        for name in names:
-            spark.catalog.dropTempView(name)
+        for view in views.values():
+            spark.catalog.dropTempView(view)

@@ -165,6 +165,12 @@ def test_ad_hoc_select_is_capped(spark):
     t = spark.range(500)
     assert adhoc.run_select(spark, "SELECT id FROM t WHERE 'a;b' <> 'drop' -- c", {"t": t}).count() == 50
     assert adhoc.run_select(spark, "WITH a AS (SELECT * FROM t) SELECT * FROM a;", {"t": t}, 1000).count() == 100
+    spark.range(3).createOrReplaceTempView("t")
+    spark.range(4).createOrReplaceTempView("secret")
+    assert adhoc.run_select(spark, "SELECT count(*) AS n FROM t WHERE id IN (SELECT id FROM t)", {"t": t}).first().n == 500 and spark.table("t").count() == 3
+    for query in ("SELECT * FROM secret", "SELECT * FROM t WHERE id IN (SELECT id FROM secret)", "SELECT * FROM parquet.`/tmp/x`", "SELECT (SELECT max(id) FROM secret) FROM t"):
+        with pytest.raises(adhoc.Refused):
+            adhoc.run_select(spark, query, {"t": t})
 
 
 # sources
