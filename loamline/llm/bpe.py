@@ -17,6 +17,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -226,11 +227,17 @@ class Codec:
         return b"".join(map(self.merges.token_bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def kept_codec(path: str) -> Codec:
+    """A Python worker keeps its codec from task to task."""
+    return Codec(path)
+
+
 def digests(path: str, outputs: bool):
     """n_tokens and hashes of the ids and of the decoded text; outputs: the ids and the text too."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = kept_codec(path)
         decimal = [str(i) for i in range(codec.merges.base)]
         for whole in batches:
             for b in pieces(whole, "text", 1 << 20):

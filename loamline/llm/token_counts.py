@@ -9,6 +9,7 @@ an overlap has no such place it is widened, up to the whole rest of the text. Ot
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -71,9 +72,15 @@ class PieceCounter:
             left, begin = splice, after
 
 
+@lru_cache(maxsize=2)
+def kept_counter(path: str, chunk: int, overlap: int) -> PieceCounter:
+    """A Python worker keeps its model from task to task."""
+    return PieceCounter(path, chunk, overlap)
+
+
 def counted(path: str, limit: int, chunk: int, overlap: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(path, chunk, overlap)
+        counter = kept_counter(path, chunk, overlap)
         for whole in batches:
             for b in pieces(whole, "text", 1 << 20):
                 texts = b["text"].to_pylist()

@@ -20,6 +20,7 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -165,10 +166,11 @@ def write_shard(uri: str, part: str, dtype: str, docs: Iterator[tuple[object, np
     return len(keys), int(count.sum())
 
 
+@lru_cache(maxsize=2)
 def library_encoder(path: str, dtype: str):
     """Encodes lists of texts with the tokenizers library, which gets each unit (see bpe.Remembered) once as long as it is
     remembered. Units that start with a space and a character and end with one reach it many at a time, one after the
-    other, as they might in a text; which ids are whose is told by the tokens' lengths in bytes."""
+    other, as they might in a text; which ids are whose is told by the tokens' lengths in bytes. A Python worker keeps its encoder from task to task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation(), tokenizer.no_padding()
@@ -197,7 +199,7 @@ def library_encoder(path: str, dtype: str):
         joined = iter([data[x:y] for x, y in zip([0, *at], at, strict=False)])
         return [next(joined) if j else alone(u) for u, j in zip(units, joinable, strict=True)]
 
-    return Remembered(learn, dtype, 3 * REMEMBERED).encode
+    return Remembered(learn, dtype, 2 * REMEMBERED).encode
 
 
 def shared_folder(spark: SparkSession) -> str:
