@@ -32,7 +32,7 @@ from loamline.llm.common import pieces, text_of
 #: The pattern by which byte-level BPE parts a text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = np.int64(1 << 62)
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: A space between two other white spaces, or one and the end: no cut may stand there.
 NO_CUT = re.compile(r"\s (?:\s|\Z)")
 
@@ -227,7 +227,7 @@ class Codec:
         return b"".join(map(self.merges.token_bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def kept_codec(path: str) -> Codec:
     """A Python worker keeps its codec from task to task."""
     return Codec(path)

@@ -72,7 +72,7 @@ class PieceCounter:
             left, begin = splice, after
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def kept_counter(path: str, chunk: int, overlap: int) -> PieceCounter:
     """A Python worker keeps its model from task to task."""
     return PieceCounter(path, chunk, overlap)

@@ -166,7 +166,7 @@ def write_shard(uri: str, part: str, dtype: str, docs: Iterator[tuple[object, np
     return len(keys), int(count.sum())
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def library_encoder(path: str, dtype: str):
     """Encodes lists of texts with the tokenizers library, which gets each unit (see bpe.Remembered) once as long as it is
     remembered. Units that start with a space and a character and end with one reach it many at a time, one after the
@@ -199,7 +199,7 @@ def library_encoder(path: str, dtype: str):
         joined = iter([data[x:y] for x, y in zip([0, *at], at, strict=False)])
         return [next(joined) if j else alone(u) for u, j in zip(units, joinable, strict=True)]
 
-    return Remembered(learn, dtype, 2 * REMEMBERED).encode
+    return Remembered(learn, dtype, 4 * REMEMBERED).encode
 
 
 def shared_folder(spark: SparkSession) -> str:
