@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loamline.llm.common import pieces, text_of
+from loamline.llm.common import modest_batches, pieces, text_of
 
 #: The pattern by which byte-level BPE parts a text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -268,5 +268,6 @@ def encode_decode(docs: DataFrame, path: str, id_column: str = "doc_id", text_co
     of any length are encoded whole: a single unbroken word of n bytes takes about n log(n) steps. Repeated rows, null
     ids and further columns of any name change nothing; an empty table gives an empty result.
     """
+    modest_batches(docs.sparkSession)
     texts = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"))
     return texts.mapInArrow(digests(path, outputs), f"doc_id {dict(texts.dtypes)['doc_id']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * outputs)

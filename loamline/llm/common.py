@@ -50,6 +50,14 @@ def keep(df: DataFrame) -> DataFrame:
         settings.set(CLEANUP, before)
 
 
+def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let the session hand Python this many rows at a time at most: ten thousand long texts, the default, take tens of
+    megabytes in Spark and several times as much in Python. The setting stays, since plans read it when they run."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most limit bytes of text each, or a single longer row."""
     sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)

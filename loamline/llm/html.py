@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import text_of
+from loamline.llm.common import modest_batches, text_of
 
 #: Elements of HTML by what becomes of their text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -212,5 +212,6 @@ def extract_pages(pages: DataFrame, id_column: str = "page_id", url_column: str
     off ones too. Repeated rows, null ids and further columns of any name change nothing; an empty table gives an empty
     result.
     """
+    modest_batches(pages.sparkSession)
     rows = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).cast("string").alias("url"), text_of(html_column).alias("html"))
     return rows.mapInArrow(extracted, f"page_id {dict(rows.dtypes)['page_id']}, url string, text string, n_chars bigint")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import pieces, raw, text_of, word_spans
+from loamline.llm.common import modest_batches, pieces, raw, text_of, word_spans
 
 #: Bytes that part words here: all of ASCII but letters and digits.
 PARTS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -218,5 +218,6 @@ def license_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     1 with a base phrase. detections: label, first and last word, score. Null is an empty text. Texts are scanned whole.
     Repeated rows, null ids and further columns of any name change nothing; an empty table gives an empty result.
     """
+    modest_batches(docs.sparkSession)
     texts = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"))
     return texts.mapInArrow(scanned, f"doc_id {dict(texts.dtypes)['doc_id']}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, detections array<struct<label: string, first: bigint, last: bigint, score: double>>")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import keep, pieces, raw, text_of
+from loamline.llm.common import keep, modest_batches, pieces, raw, text_of
 from loamline.llm.components import components
 
 SEED = 42
@@ -178,6 +178,7 @@ def simhash_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     only has the id null. Repeated rows come out as often as they come in. Other columns are ignored. An empty table
     gives an empty result.
     """
+    modest_batches(docs.sparkSession)
     texts = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"))
     kind = dict(texts.dtypes)["doc_id"]
     prints = keep(texts.mapInArrow(fingerprinted(shingle), f"doc_id {kind}, fp bigint"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from loamline.llm.common import pieces, text_of
+from loamline.llm.common import modest_batches, pieces, text_of
 
 SPACE = "▁"
 
@@ -101,5 +101,6 @@ def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
     long as overlaps have stable places. Repeated rows, null ids and further columns of any name change nothing; an empty
     table gives an empty result.
     """
+    modest_batches(docs.sparkSession)
     texts = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("bigint"))
     return texts.mapInArrow(counted(path, limit, chunk, overlap), f"doc_id {dict(texts.dtypes)['doc_id']}, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loamline.llm.bpe import REMEMBERED, Remembered
-from loamline.llm.common import pieces, text_of, width
+from loamline.llm.common import modest_batches, pieces, text_of, width
 from loamline.llm.substring import mixed
 
 MAGIC = b"loamtok1"
@@ -218,6 +218,7 @@ def shared_folder(spark: SparkSession) -> str:
 def write_token_files(docs: DataFrame, path: str, folder: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = 0) -> list[tuple[int, int, int]]:
     """Encode and write all documents; (shard, documents, ids) for each shard, in order. The list is as long as the
     session has shuffle partitions, at most."""
+    modest_batches(docs.sparkSession)
     tokenizer = Tokenizer.from_file(path)
     dtype = "<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
