@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from loamline.llm.bpe import encode_decode
 from loamline.llm.common import table
+from loamline.llm.jaccard import jaccard_components
 from loamline.llm.mixing import mixed_rows
 from loamline.llm.quality import kept_rows
 from loamline.llm.queries import tokenizer
-from loamline.llm.simhash import simhash_components
 from loamline.llm.substring import substring_dedup
 from loamline.llm.token_files import shared_folder
 
@@ -23,10 +23,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: of each component the document with the least id stays, once. Rows of one id are told apart by
-    their texts."""
+    """Near-dedup by five-word shingles at a Jaccard similarity of 0.8: of each component the document with the least id
+    stays, once. Rows of one id are told apart by their texts."""
     key = F.struct("doc_id", F.xxhash64("text").alias("h"))
-    found = simhash_components(docs.select(key.alias("key"), "text"), "key")
+    found = jaccard_components(docs.select(key.alias("key"), "text"), "key")
     heads = found.where("doc_id <=> component_id").select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.h").alias("_of")).distinct()
     keyed = docs.withColumn("_h", F.xxhash64("text"))
     kept = keyed.join(heads, keyed["doc_id"].eqNullSafe(heads["_id"]) & (keyed["_h"] == heads["_of"]), "left_semi")
@@ -66,5 +66,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Fingerprints by majority of hash bits, their components and byte-level BPE are beyond SQL: tests hold run() against brute force.
+#: Components of near copies and byte-level BPE are beyond SQL: tests hold run() against brute force.
 ORACLE_SQL = None
