@@ -3,9 +3,10 @@
 A page is cut into text nodes, each with the path of tags from the root. For each path the lengths and the punctuation of
 its texts are summed over its nodes: running text has long nodes with much punctuation, menus have short ones without.
 The two ratios are smoothed along the page, so that a short paragraph among long ones isn't lost, fused by product, and
-the paths above a threshold are content. The element that holds most of the content is the article; inside of it nothing
-is dropped but what is marked as something else (navigation, forms, adverts, notices, comments and the like), and outside
-of it nothing is kept.
+the paths above a threshold are content. The lowest element that holds all content is the article, with the headings
+right before it; inside of it nothing is dropped but what is marked as something else (navigation, forms, adverts,
+notices, comments and the like), and outside of it nothing is kept. Inside a marked article, class names and ids mark
+an element only if its own ratios are low too.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 OTHER = frozenset("nav header footer aside form button dialog menu fieldset".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dt dd tr td th tbody".split())
 ARTICLE = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: Parts of class names and ids that mark something else than the article.
 MARKS = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|nav|navbar|navigation|menu|breadcrumbs?|sidebar|widget|footer|masthead|site-?header|header|share|sharing|social|related|recommended|comments?|commentlist|respond|disqus|discussion|replies|login|signup|search|pagination|pager|toolbar)(?:$|[-_\s\d])", re.I)
@@ -40,10 +42,10 @@ SMOOTHING /= SMOOTHING.sum()
 
 
 class Element:
-    __slots__ = ("name", "parent", "other", "path", "block")
+    __slots__ = ("name", "parent", "other", "doubtful", "path", "block")
 
-    def __init__(self, name: str, parent: Element | None, other: bool) -> None:
-        self.name, self.parent, self.other = name, parent, other or (parent is not None and parent.other)
+    def __init__(self, name: str, parent: Element | None, other: bool, doubtful: bool = False) -> None:
+        self.name, self.parent, self.other, self.doubtful = name, parent, other or (parent is not None and parent.other), doubtful
         self.path = f"{parent.path}/{name}" if parent else name
         self.block: Element = parent.block if parent and name in INLINE else self
 
@@ -58,11 +60,19 @@ def is_other(name: str, attrs: str, inside_article: bool) -> bool:
         found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attrs)}
         if found.get("role", "").lower() in ROLES or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
             return True
-        if name not in ("html", "body", "article", "main") and any(MARKS.search(found.get(k, "")) for k in ("class", "id")):
+        if not inside_article and name not in ("html", "body", "article", "main") and any(MARKS.search(found.get(k, "")) for k in ("class", "id")):
             return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attrs))
 
 
+def is_doubtful(name: str, attrs: str) -> bool:
+    """Whether an element inside an article has class names or ids of something else; a header is a part of the article."""
+    if "=" not in attrs or name in ARTICLE or name == "header":
+        return False
+    found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attrs)}
+    return any(m.group().strip("-_ \t\n").lower() != "header" for k in ("class", "id") for m in MARKS.finditer(found.get(k, "")))
+
+
 def text_nodes(page: str) -> list[tuple[Element, int, str]]:
     """The page's texts in order: the element, the number of the block that the text is in, and the text as it stands."""
     root = Element("", None, False)
@@ -127,13 +137,13 @@ def text_nodes(page: str) -> list[tuple[Element, int, str]]:
                 top = close(top)
         if attrs.endswith("/") and name not in INLINE and name not in ENDS_P:
             continue
-        top = Element(name, top, is_other(name, attrs, articles > 0))
+        top = Element(name, top, is_other(name, attrs, articles > 0), articles > 0 and is_doubtful(name, attrs))
         articles += name in ARTICLE
     return out
 
 
-def content_paths(nodes: list[tuple[Element, str]]) -> set[str]:
-    """The paths whose smoothed and fused ratios are above the threshold, a part of their spread over the page."""
+def content_paths(nodes: list[tuple[Element, str]]) -> tuple[set[str], float]:
+    """The paths whose smoothed and fused ratios are above the threshold, a part of their spread over the page; and it."""
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for element, text in nodes:
         length[element.path] += len(text)
@@ -147,7 +157,14 @@ def content_paths(nodes: list[tuple[Element, str]]) -> set[str]:
     for (element, _), x in zip(nodes, fused.tolist(), strict=True):
         best[element.path] = max(best[element.path], x)
     threshold = min(0.8 * float(fused.std()), max(best.values()))
-    return {path for path, x in best.items() if x >= threshold}
+    return {path for path, x in best.items() if x >= threshold}, threshold
+
+
+def above(element: Element | None) -> Iterator[Element]:
+    """An element and all that hold it, from the inside."""
+    while element is not None:
+        yield element
+        element = element.parent
 
 
 def main_text(page: str) -> str:
@@ -166,31 +183,40 @@ def main_text(page: str) -> str:
         marked[key] = x is not None
     if any(marked.values()):
         nodes = [(e, t) for e, t in nodes if marked[id(e)]]
-    paths = content_paths(nodes)
-    # the deepest element with most of the content holds the article
-    share: dict[int, int] = defaultdict(int)
-    seen: dict[int, Element] = {}
-    total = 0
+    paths, threshold = content_paths(nodes)
+    # inside an article, what its class names mark goes if its own ratios are low
+    texts: dict[int, list[str]] = defaultdict(list)
     for e, t in nodes:
-        if e.path in paths:
-            total += len(t)
-            x = e.block
-            while x is not None:
-                share[id(x)] += len(t)
-                seen[id(x)] = x
-                x = x.parent
-    holder = max((x for k, x in seen.items() if share[k] >= 0.9 * total and (x.name not in ("p", "li", "td", "blockquote") or x.parent is None)), key=lambda x: x.path.count("/"))
-    article: Element | None = holder
-    while article is not None and article.name not in ARTICLE:
-        article = article.parent
-    holder = article or holder
-    out: dict[int, list[str]] = {}
+        for x in above(e):
+            if x.doubtful:
+                texts[id(x)].append(t.strip())
+    low = {k for k, own in texts.items() if sum(map(len, own)) / len(own) * (1 + sum(len(PUNCTUATION.findall(t)) for t in own)) / len(own) < threshold}
+    if low:
+        nodes = [(e, t) for e, t in nodes if not any(id(x) in low for x in above(e))] or nodes
+    # the lowest element with all of the content holds the article
+    content = [e.block for e, _ in nodes if e.path in paths] or [e.block for e, _ in nodes]
+    common = list(above(content[0]))
+    for e in {id(e): e for e in content}.values():
+        own = {id(x) for x in above(e)}
+        common = [x for x in common if id(x) in own]
+    holder = next((x for x in common if x.name not in ("p", "li", "td", "blockquote")), common[-1])
+    holder = next((x for x in above(holder) if x.name in ARTICLE), holder)
+    kept: list[tuple[Element, int, str]] = []
+    headings: list[tuple[Element, int, str]] = []
     for e, block, text in blocks:
-        x: Element | None = e
-        while x is not None and x is not holder:
-            x = x.parent
-        if x is holder:
-            out.setdefault(block, []).append(text)
+        chain = list(above(e))
+        if any(id(x) in low for x in chain):
+            continue
+        if any(x is holder for x in chain):
+            kept += [*(headings if not kept else []), (e, block, text)]
+            headings = []
+        elif any(x.name in HEADINGS for x in chain):
+            headings.append((e, block, text))
+        elif text.strip():
+            headings = []
+    out: dict[int, list[str]] = {}
+    for _, block, text in kept:
+        out.setdefault(block, []).append(text)
     lines = (" ".join(entities.unescape("".join(parts)).split()) for parts in out.values())
     return "\n".join(line for line in lines if line)
 
