@@ -2,8 +2,8 @@
 
 Hundreds of regular expressions over a text's words (in lower case, joined by one space) say what marks a license: short
 identifiers, references by name, headers and sentences of the licenses' own texts. They are made from a table of licenses
-and from the ways in which people refer to one. A rule runs only if its keyword occurs in the text at all; most texts
-have no keyword and are left after one pass over their bytes.
+and from the ways in which people refer to one. A rule runs only if what it needs (its license's name or identifier, or a
+piece of its sentence) occurs in the words at all; most texts have nothing of it and are left after one pass.
 
 Detections overlap: "apache license version 2.0" also holds "apache license". They are settled in order of the rules'
 priority, then of length, then of place: a detection inside of one that is kept is suppressed.
@@ -28,58 +28,58 @@ BETWEEN = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]"
 #: The base: phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Licenses by label, the word that must occur, how their names are written (words in lower case, digits
+#: Licenses by label, how their names are written (words in lower case, digits
 #: apart as white space and signs part them), and their short identifiers.
-LICENSES: list[tuple[str, str, str, str]] = [
-    ("mit", "mit", r"mit(?: x11)?|expat", r"mit"),
-    ("apache-2", "apache", r"apache(?: software)?(?: license)?(?: version)? (?:v?2|v2)(?: 0)?", r"apache 2 0"),
-    ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version)? 1 1", r"apache 1 1"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)", r"bsd 2 clause"),
-    ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)", r"bsd 3 clause"),
-    ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)", r"bsd 4 clause"),
-    ("0bsd", "bsd", r"(?:0bsd|zero clause bsd|bsd zero clause)", r"0bsd"),
-    ("gpl-1", "g", r"(?:gpl|gnu general public license|gnu gpl)(?: version)? v?1(?: 0)?", r"gpl 1 0(?: only| or later)?"),
-    ("gpl-2", "g", r"(?:gpl|gnu general public license|gnu gpl)(?: version)? v?2(?: 0)?", r"gpl 2 0(?: only| or later)?"),
-    ("gpl-3", "g", r"(?:gpl|gnu general public license|gnu gpl)(?: version)? v?3(?: 0)?", r"gpl 3 0(?: only| or later)?"),
-    ("lgpl-2", "l", r"(?:lgpl|gnu (?:library|lesser) general public license|gnu lgpl)(?: version)? v?2(?: 0)?", r"lgpl 2 0(?: only| or later)?"),
-    ("lgpl-2.1", "l", r"(?:lgpl|gnu (?:library|lesser) general public license|gnu lgpl)(?: version)? v?2 1", r"lgpl 2 1(?: only| or later)?"),
-    ("lgpl-3", "l", r"(?:lgpl|gnu lesser general public license|gnu lgpl)(?: version)? v?3(?: 0)?", r"lgpl 3 0(?: only| or later)?"),
-    ("agpl-3", "a", r"(?:agpl|gnu affero general public license|gnu agpl)(?: version)? v?3(?: 0)?", r"agpl 3 0(?: only| or later)?"),
-    ("gfdl-1.3", "documentation", r"gnu free documentation license(?: version)? 1 3", r"gfdl 1 3"),
-    ("mpl-1.1", "m", r"(?:mozilla public license|mpl)(?: version)? v?1 1", r"mpl 1 1"),
-    ("mpl-2", "m", r"(?:mozilla public license|mpl)(?: version)? v?2(?: 0)?", r"mpl 2 0"),
-    ("epl-1", "e", r"(?:eclipse public license|epl)(?: version)? v?1(?: 0)?", r"epl 1 0"),
-    ("epl-2", "e", r"(?:eclipse public license|epl)(?: version)? v?2(?: 0)?", r"epl 2 0"),
-    ("eupl-1.2", "eu", r"(?:european union public licen[cs]e|eupl)(?: version)? v?1 2", r"eupl 1 2"),
-    ("cddl-1", "development", r"common development and distribution license(?: version)?(?: 1 0)?|cddl(?: 1 0)?", r"cddl 1 0"),
-    ("cpl-1", "public", r"common public license(?: version)?(?: 1 0)?", r"cpl 1 0"),
-    ("artistic-1", "artistic", r"artistic license(?: version)? 1(?: 0)?", r"artistic 1 0"),
-    ("artistic-2", "artistic", r"artistic license(?: version)? 2(?: 0)?", r"artistic 2 0"),
-    ("isc", "isc", r"isc", r"isc"),
-    ("zlib", "zlib", r"zlib(?: libpng)?", r"zlib"),
-    ("unlicense", "unlicense", r"unlicense", r"unlicense"),
-    ("wtfpl", "wtf", r"wtfpl|do what the f\w+ you want to public license", r"wtfpl"),
-    ("bsl-1", "boost", r"boost software license(?: version)?(?: 1 0)?", r"bsl 1 0"),
-    ("python-2", "python", r"(?:python software foundation|psf) license(?: version)?(?: 2)?", r"python 2 0"),
-    ("php-3", "php", r"php license(?: version)?(?: 3 01?)?", r"php 3 01?"),
-    ("openssl", "openssl", r"openssl(?: toolkit)?", r"openssl"),
-    ("ms-pl", "microsoft", r"microsoft public license(?: ms pl)?", r"ms pl"),
-    ("ms-rl", "microsoft", r"microsoft reciprocal license(?: ms rl)?", r"ms rl"),
-    ("osl-3", "open software", r"open software license(?: version)?(?: 3 0)?", r"osl 3 0"),
-    ("afl-3", "academic", r"academic free license(?: version)?(?: 3 0)?", r"afl 3 0"),
-    ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)?", r"ncsa"),
-    ("postgresql", "postgresql", r"postgresql", r"postgresql"),
-    ("ofl-1.1", "font", r"(?:sil )?open font license(?: version)?(?: 1 1)?", r"ofl 1 1"),
-    ("odbl-1", "database", r"(?:odc )?open database license(?: odbl)?(?: v?1 0)?", r"odbl 1 0"),
-    ("odc-by-1", "attribution", r"open data commons attribution license", r"odc by 1 0"),
-    ("pddl-1", "dedication", r"public domain dedication and license", r"pddl 1 0"),
-    ("cc0-1", "cc0", r"cc0(?: 1 0)?(?: universal)?", r"cc0 1 0"),
-    ("cc-by", "by", r"(?:creative commons attribution|cc by)(?: [1-4] [05])?(?: international| unported)?", r"cc by [1-4] [05]"),
-    ("cc-by-sa", "sharealike|sa", r"(?:creative commons attribution share ?alike|cc by sa)(?: [1-4] [05])?(?: international| unported)?", r"cc by sa [1-4] [05]"),
-    ("cc-by-nd", "noderiv|nd", r"(?:creative commons attribution no ?deriv\w*|cc by nd)(?: [1-4] [05])?(?: international| unported)?", r"cc by nd [1-4] [05]"),
-    ("cc-by-nc", "noncommercial|nc", r"(?:creative commons attribution non ?commercial|cc by nc)(?: [1-4] [05])?(?: international| unported)?", r"cc by nc [1-4] [05]"),
-    ("cc-by-nc-sa", "sa|sharealike", r"(?:creative commons attribution non ?commercial share ?alike|cc by nc sa)(?: [1-4] [05])?(?: international| unported)?", r"cc by nc sa [1-4] [05]"),
-    ("cc-by-nc-nd", "nd|noderiv", r"(?:creative commons attribution non ?commercial no ?deriv\w*|cc by nc nd)(?: [1-4] [05])?(?: international| unported)?", r"cc by nc nd [1-4] [05]"),
+LICENSES: list[tuple[str, str, str]] = [
+    ("mit", r"mit(?: x11)?|expat", r"mit"),
+    ("apache-2", r"apache(?: software)?(?: license)?(?: version)? (?:v?2|v2)(?: 0)?", r"apache 2 0"),
+    ("apache-1.1", r"apache(?: software)?(?: license)?(?: version)? 1 1", r"apache 1 1"),
+    ("bsd-2-clause", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)", r"bsd 2 clause"),
+    ("bsd-3-clause", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)", r"bsd 3 clause"),
+    ("bsd-4-clause", r"(?:bsd 4 clause|4 clause bsd|original bsd)", r"bsd 4 clause"),
+    ("0bsd", r"(?:0bsd|zero clause bsd|bsd zero clause)", r"0bsd"),
+    ("gpl-1", r"(?:gpl|gnu general public license|gnu gpl)(?: version)? v?1(?: 0)?", r"gpl 1 0(?: only| or later)?"),
+    ("gpl-2", r"(?:gpl|gnu general public license|gnu gpl)(?: version)? v?2(?: 0)?", r"gpl 2 0(?: only| or later)?"),
+    ("gpl-3", r"(?:gpl|gnu general public license|gnu gpl)(?: version)? v?3(?: 0)?", r"gpl 3 0(?: only| or later)?"),
+    ("lgpl-2", r"(?:lgpl|gnu (?:library|lesser) general public license|gnu lgpl)(?: version)? v?2(?: 0)?", r"lgpl 2 0(?: only| or later)?"),
+    ("lgpl-2.1", r"(?:lgpl|gnu (?:library|lesser) general public license|gnu lgpl)(?: version)? v?2 1", r"lgpl 2 1(?: only| or later)?"),
+    ("lgpl-3", r"(?:lgpl|gnu lesser general public license|gnu lgpl)(?: version)? v?3(?: 0)?", r"lgpl 3 0(?: only| or later)?"),
+    ("agpl-3", r"(?:agpl|gnu affero general public license|gnu agpl)(?: version)? v?3(?: 0)?", r"agpl 3 0(?: only| or later)?"),
+    ("gfdl-1.3", r"gnu free documentation license(?: version)? 1 3", r"gfdl 1 3"),
+    ("mpl-1.1", r"(?:mozilla public license|mpl)(?: version)? v?1 1", r"mpl 1 1"),
+    ("mpl-2", r"(?:mozilla public license|mpl)(?: version)? v?2(?: 0)?", r"mpl 2 0"),
+    ("epl-1", r"(?:eclipse public license|epl)(?: version)? v?1(?: 0)?", r"epl 1 0"),
+    ("epl-2", r"(?:eclipse public license|epl)(?: version)? v?2(?: 0)?", r"epl 2 0"),
+    ("eupl-1.2", r"(?:european union public licen[cs]e|eupl)(?: version)? v?1 2", r"eupl 1 2"),
+    ("cddl-1", r"common development and distribution license(?: version)?(?: 1 0)?|cddl(?: 1 0)?", r"cddl 1 0"),
+    ("cpl-1", r"common public license(?: version)?(?: 1 0)?", r"cpl 1 0"),
+    ("artistic-1", r"artistic license(?: version)? 1(?: 0)?", r"artistic 1 0"),
+    ("artistic-2", r"artistic license(?: version)? 2(?: 0)?", r"artistic 2 0"),
+    ("isc", r"isc", r"isc"),
+    ("zlib", r"zlib(?: libpng)?", r"zlib"),
+    ("unlicense", r"unlicense", r"unlicense"),
+    ("wtfpl", r"wtfpl|do what the f\w+ you want to public license", r"wtfpl"),
+    ("bsl-1", r"boost software license(?: version)?(?: 1 0)?", r"bsl 1 0"),
+    ("python-2", r"(?:python software foundation|psf) license(?: version)?(?: 2)?", r"python 2 0"),
+    ("php-3", r"php license(?: version)?(?: 3 01?)?", r"php 3 01?"),
+    ("openssl", r"openssl(?: toolkit)?", r"openssl"),
+    ("ms-pl", r"microsoft public license(?: ms pl)?", r"ms pl"),
+    ("ms-rl", r"microsoft reciprocal license(?: ms rl)?", r"ms rl"),
+    ("osl-3", r"open software license(?: version)?(?: 3 0)?", r"osl 3 0"),
+    ("afl-3", r"academic free license(?: version)?(?: 3 0)?", r"afl 3 0"),
+    ("ncsa", r"(?:university of illinois )?ncsa(?: open source)?", r"ncsa"),
+    ("postgresql", r"postgresql", r"postgresql"),
+    ("ofl-1.1", r"(?:sil )?open font license(?: version)?(?: 1 1)?", r"ofl 1 1"),
+    ("odbl-1", r"(?:odc )?open database license(?: odbl)?(?: v?1 0)?", r"odbl 1 0"),
+    ("odc-by-1", r"open data commons attribution license", r"odc by 1 0"),
+    ("pddl-1", r"public domain dedication and license", r"pddl 1 0"),
+    ("cc0-1", r"cc0(?: 1 0)?(?: universal)?", r"cc0 1 0"),
+    ("cc-by", r"(?:creative commons attribution|cc by)(?: [1-4] [05])?(?: international| unported)?", r"cc by [1-4] [05]"),
+    ("cc-by-sa", r"(?:creative commons attribution share ?alike|cc by sa)(?: [1-4] [05])?(?: international| unported)?", r"cc by sa [1-4] [05]"),
+    ("cc-by-nd", r"(?:creative commons attribution no ?deriv\w*|cc by nd)(?: [1-4] [05])?(?: international| unported)?", r"cc by nd [1-4] [05]"),
+    ("cc-by-nc", r"(?:creative commons attribution non ?commercial|cc by nc)(?: [1-4] [05])?(?: international| unported)?", r"cc by nc [1-4] [05]"),
+    ("cc-by-nc-sa", r"(?:creative commons attribution non ?commercial share ?alike|cc by nc sa)(?: [1-4] [05])?(?: international| unported)?", r"cc by nc sa [1-4] [05]"),
+    ("cc-by-nc-nd", r"(?:creative commons attribution non ?commercial no ?deriv\w*|cc by nc nd)(?: [1-4] [05])?(?: international| unported)?", r"cc by nc nd [1-4] [05]"),
 ]
 #: Ways to refer to a license: a kind, the pattern with the name (or the identifier) in it, its confidence.
 REFERENCES: list[tuple[str, str, float]] = [
@@ -94,22 +94,22 @@ REFERENCES: list[tuple[str, str, float]] = [
 ]
 #: Sentences of the licenses' own texts.
 SENTENCES: list[tuple[str, str, str]] = [
-    ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("apache-2", "apache", r"you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("bsd-3-clause", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted(?: \S+){1,120}? neither the name of"),
-    ("bsd-2-clause", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("gpl-2", "redistribute", r"under the terms of the gnu general public license as published by the free software foundation either version 2"),
-    ("gpl-3", "redistribute", r"under the terms of the gnu general public license as published by the free software foundation either version 3"),
-    ("lgpl-2.1", "redistribute", r"under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1"),
-    ("agpl-3", "affero", r"under the terms of the gnu affero general public license as published by the free software foundation either version 3"),
-    ("mpl-2", "mozilla", r"subject to the terms of the mozilla public license v 2 0"),
-    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
-    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
-    ("bsl-1", "boost", r"boost software license version 1 0"),
-    ("public-domain", "domain", r"(?:placed|released|dedicated)(?: \w+)? (?:in|into|to) the public domain"),
-    ("proprietary", "reserved", r"copyright(?: \S+){1,12}? all rights reserved"),
-    ("proprietary", "proprietary", r"(?:confidential and proprietary|proprietary and confidential)"),
+    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("isc", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("apache-2", r"you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("bsd-3-clause", r"redistribution and use in source and binary forms with or without modification are permitted(?: \S+){1,120}? neither the name of"),
+    ("bsd-2-clause", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("gpl-2", r"under the terms of the gnu general public license as published by the free software foundation either version 2"),
+    ("gpl-3", r"under the terms of the gnu general public license as published by the free software foundation either version 3"),
+    ("lgpl-2.1", r"under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1"),
+    ("agpl-3", r"under the terms of the gnu affero general public license as published by the free software foundation either version 3"),
+    ("mpl-2", r"subject to the terms of the mozilla public license v 2 0"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("zlib", r"the origin of this software must not be misrepresented"),
+    ("bsl-1", r"boost software license version 1 0"),
+    ("public-domain", r"(?:placed|released|dedicated)(?: \w+)? (?:in|into|to) the public domain"),
+    ("proprietary", r"copyright(?: \S+){1,12}? all rights reserved"),
+    ("proprietary", r"(?:confidential and proprietary|proprietary and confidential)"),
 ]
 #: Names that are words of their own: they tell a license only in company.
 WEAK = frozenset("mit isc zlib openssl postgresql ncsa unlicense".split())
@@ -118,27 +118,34 @@ WEAK = frozenset("mit isc zlib openssl postgresql ncsa unlicense".split())
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: re.Pattern[bytes]
+    needs: re.Pattern[str]
     pattern: re.Pattern[str]
     priority: int
     score: float
 
 
+def needed(sentence: str) -> str:
+    """A pattern that stands wherever the sentence does: its longest piece outside of groups, or all of it if there is none."""
+    return max(re.sub(r"\(\?:[^()]*\)(?:\{[\d,]+\}|\?)?\??", "\0", sentence).split("\0"), key=len) or sentence
+
+
 def rules() -> list[Rule]:
-    """All rules in order of priority: sentences first, then references by their kind."""
-    out = [Rule(label, re.compile(word.encode()), re.compile(rf"(?<!\S){pattern}(?!\S)"), 0, 1.0) for label, word, pattern in SENTENCES]
-    for label, word, name, short in LICENSES:
+    """All rules in order of priority: sentences first, then references by their kind. A reference holds its license's name
+    or identifier, at the start of a word."""
+    out = [Rule(label, re.compile(needed(pattern)), re.compile(rf"(?<!\S){pattern}(?!\S)"), 0, 1.0) for label, pattern in SENTENCES]
+    for label, name, short in LICENSES:
+        needs = re.compile(rf"(?<!\S)(?:{name}|{short})")
         for k, (kind, pattern, score) in enumerate(REFERENCES):
             if kind == "bare" and label in WEAK or kind == "family" and short == name:
                 continue
             full = pattern.replace("{name}", f"(?:{name})").replace("{id}", f"(?:{short})")
-            out.append(Rule(label, re.compile(word.encode()), re.compile(rf"(?<!\S){full}(?!\S)"), k + 1, score))
+            out.append(Rule(label, needs, re.compile(rf"(?<!\S){full}(?!\S)"), k + 1, score))
     return sorted(out, key=lambda r: r.priority)
 
 
 RULES = rules()
-#: A text without any of these has no license and no base phrase: every pattern above needs one of them.
-GATE = re.compile(rb"licen|copyright|public domain|permission is|permission to use|redistribut|misrepresented|proprietary|unencumbered|creative|apache|gpl|mozilla|mpl|bsd|cddl|epl|eupl|wtfpl|cc0|ncsa|cc" + BETWEEN + rb"+by")
+#: A text without any of these has no license and no base phrase: what the rules need, and the base.
+GATE = re.compile("|".join([rf"(?<!\S)(?:{'|'.join([f'{name}|{short}' for _, name, short in LICENSES] + [phrase for phrase, _ in BASE])})", *(needed(pattern) for _, pattern in SENTENCES)]))
 
 
 @dataclass
@@ -159,14 +166,14 @@ def settled(found: list[Detection]) -> list[Detection]:
     return kept
 
 
-def detections(joined: str, raw_text: bytes) -> list[Detection]:
+def detections(joined: str, gated: bool = True) -> list[Detection]:
     """Kept detections, by places in the words joined by one space."""
-    gates: dict[re.Pattern[bytes], bool] = {}
+    gates: dict[re.Pattern[str], bool] = {}
     found = []
     for r in RULES:
-        if r.keyword not in gates:
-            gates[r.keyword] = r.keyword.search(raw_text) is not None
-        if gates[r.keyword]:
+        if gated and r.needs not in gates:
+            gates[r.needs] = r.needs.search(joined) is not None
+        if not gated or gates[r.needs]:
             found += [Detection(m.start(), m.end(), r.label, r.priority, r.score) for m in r.pattern.finditer(joined)]
     return settled(found)
 
@@ -192,12 +199,12 @@ def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, (x, y) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 n = int(before[i + 1] - before[i])
                 text = lowered[x:y]
-                if GATE.search(text) is None:
+                joined = re.sub(BETWEEN + rb"+", b" ", text).strip().decode()
+                if GATE.search(joined) is None:
                     rows.append((n, 0, None, None, "", "", 0.0, []))
                     continue
-                joined = re.sub(BETWEEN + rb"+", b" ", text).strip().decode()
                 base = base_places(joined)
-                kept = detections(joined, text)
+                kept = detections(joined)
                 word = lambda at: joined.count(" ", 0, at)
                 firsts = [word(at) for at, _ in base]
                 own = {label for _, label in base}
