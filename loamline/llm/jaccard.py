@@ -10,6 +10,7 @@ whole sets. Equality of shingles is equality of 64-bit hashes.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from loamline.llm.common import keep, modest_batches, pieces, raw, text_of
 from loamline.llm.components import components
 from loamline.llm.simhash import SEED, shingle_hashes
+from loamline.llm.token_files import shared_folder
 
 #: Fixed value: counters of shingles by their low bits.
 BUCKETS = 1 << 18
@@ -93,6 +95,14 @@ def verified(size: int):
     return f
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows from Parquet in the shared folder. Checkpoints carry on the sizes that Spark guesses, which joins
+    multiply: after some rounds their digits alone take minutes."""
+    path = f"{shared_folder(df.sparkSession)}/near-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def links_of(base: DataFrame, size: int) -> DataFrame:
     """Links (a, b) that have the components of all pairs of base's reps at 4/5 or more. base: rep, text, a row for each rep."""
     counts = base.select("text").mapInArrow(counted(size), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -111,8 +121,8 @@ def links_of(base: DataFrame, size: int) -> DataFrame:
     window = Window.partitionBy("shingle")
     places = keep(places.withColumn("before", F.lag(F.struct("n", "rep", "at")).over(window.orderBy("n", "rep"))).withColumn("after", F.lead("rep").over(window.orderBy("n", "rep"))).where("before IS NOT NULL OR after IS NOT NULL").drop("after"))
     near = places.where("before IS NOT NULL").select(F.col("before").alias("a"), F.struct("n", "at").alias("b"), F.col("rep"))
-    first = linked(near.where(REACHED).select(F.col("a.rep").alias("a"), F.col("rep").alias("b")))
-    tied = components(first)
+    first = written(linked(near.where(REACHED).select(F.col("a.rep").alias("a"), F.col("rep").alias("b"))))
+    tied = written(components(first))
     labelled = keep(places.drop("before").join(tied, places["rep"] == tied["node"], "left").select("shingle", "rep", "n", "at", F.coalesce("root", "rep").alias("root")))
     mixed = labelled.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("shingle")
     rest = keep(labelled.join(mixed, "shingle", "left_semi"))
@@ -136,7 +146,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     found = texts.mapInArrow(represented, f"doc_id {kind}, rep bigint, text string")
     prints = keep(found.select("doc_id", "rep"))
     base = keep(found.select("rep", "text").dropDuplicates(["rep"]))
-    tied = components(links_of(base, shingle))
+    tied = written(components(written(links_of(base, shingle))))
     least = prints.groupBy("rep").agg(F.min("doc_id").alias("least"))
     classes = keep(least.join(tied, least["rep"] == tied["node"], "left").select("rep", F.coalesce("root", "rep").alias("root"), "least"))
     roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))
