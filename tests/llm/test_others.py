@@ -39,6 +39,36 @@ def test_targets_and_flow():
     assert [sum(f) for f in flow] == [100, 100, 100]  # nothing is repeated where it needn't be
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_flow_is_a_cheapest_one(seed):
+    """Against shortest augmenting paths by Bellman and Ford."""
+    rng = np.random.default_rng(seed)
+    n_p, n_s, rounds = int(rng.integers(1, 7)), int(rng.integers(1, 5)), 3
+    capacity, quota = rng.integers(0, 12, n_p).tolist(), rng.integers(0, 25, n_s).tolist()
+    members = [sorted(rng.choice(n_s, rng.integers(1, n_s + 1), replace=False).tolist()) for _ in range(n_p)]
+    flow = mixing.min_cost_flow(capacity, members, quota, rounds)
+    arcs = [["start", p, c, k] for p, c in enumerate(capacity) for k in range(rounds)] + [[p, ("s", s), 99, 0] for p, own in enumerate(members) for s in own] + [[("s", s), "end", q, 0] for s, q in enumerate(quota)]
+    both = [[a, b, c, w, i ^ 1] for i, (a, b, c, w) in enumerate(y for x in arcs for y in (x, [x[1], x[0], 0, -x[3]]))]
+    cost = sent = 0
+    while True:
+        far, came = {"start": 0}, {}
+        for _ in range(n_p + n_s + 2):
+            for i, (a, b, c, w, _) in enumerate(both):
+                if c and a in far and far[a] + w < far.get(b, 1 << 30):
+                    far[b], came[b] = far[a] + w, i
+        if "end" not in far:
+            break
+        at = "end"
+        while at != "start":
+            both[came[at]][2] -= 1
+            both[came[at] ^ 1][2] += 1
+            at = both[came[at]][0]
+        cost, sent = cost + far["end"], sent + 1
+    taken = [sum(f) for f in flow]
+    assert sum(taken) == sent and all(sum(flow[p][own.index(s)] for p, own in enumerate(members) if s in own) <= q for s, q in enumerate(quota))
+    assert sum(k * min(c, max(0, t - k * c)) for t, c in zip(taken, capacity, strict=True) for k in range(rounds)) == cost and all(t <= rounds * c for t, c in zip(taken, capacity, strict=True))
+
+
 def test_overlapping_sources(spark):
     df = spark.createDataFrame([(1, ["a", "b"], 100), (2, ["a"], 50), (3, ["b", None], 30), (4, [], 9), (5, None, 3), (None, ["a"], None)], "doc_id int, src array<string>, z int")
     got = {r.doc_id: (r.repeats, r.source_size) for r in mixing.mix(df, F.col("src"), F.col("z")).collect()}
