@@ -4,9 +4,13 @@ A page is cut into text nodes, each with the path of tags from the root. For eac
 its texts are summed over its nodes: running text has long nodes with much punctuation, menus have short ones without.
 The two ratios are smoothed along the page, so that a short paragraph among long ones isn't lost, fused by product, and
 the paths above a threshold are content. The lowest element that holds all content is the article, with the headings
-right before it; inside of it nothing is dropped but what is marked as something else (navigation, forms, adverts,
-notices, comments and the like), and outside of it nothing is kept. Inside a marked article, class names and ids mark
-an element only if its own ratios are low too.
+right before it; inside of it nothing is dropped but what is something else by its element (navigation, forms, asides and
+the like) or by its class names and ids, and outside of it nothing is kept.
+
+Names only suggest: an element that they mark stays if most of the page's content is in it, and one inside a marked
+article stays if its own ratios are those of content. Elements that are named as reader comments always go, unless there
+is nothing else. Elements are rows of lists, a path is a number (of its parent's path and a tag), and each step goes over
+all elements once, so time and memory grow with the page's length however deep it is.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 OTHER = frozenset("nav header footer aside form button dialog menu fieldset".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dt dd tr td th tbody".split())
 ARTICLE = frozenset("article main".split())
+#: What an element closes of its own kind, unless one of these stands between.
+CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: Parts of class names and ids that mark something else than the article.
@@ -41,76 +47,100 @@ SMOOTHING = np.exp(-0.5 * np.arange(-2, 3) ** 2)
 SMOOTHING /= SMOOTHING.sum()
 
 
-class Element:
-    __slots__ = ("name", "parent", "other", "doubtful", "path", "block")
+#: Those of reader comments.
+COMMENTS = re.compile(r"(?:^|[-_\s])(?:comments?|commentlist|respond|disqus|discussion|replies|reply)(?:$|[-_\s\d])", re.I)
+#: What a marked element's names say: nothing, another part of the page, reader comments.
+PLAIN, MARKED, COMMENT = 0, 1, 2
+
+
+class Page:
+    """The elements of a page in the order in which they open, the root first, as columns; and its texts in order: element,
+    number of the block that the text is in, and the text as it stands."""
+
+    def __init__(self) -> None:
+        self.names, self.parents, self.paths, self.others, self.marks, self.blocks = [""], [0], [0], [False], [PLAIN], [0]
+        self.texts: list[tuple[int, int, str]] = []
+        self.known: dict[tuple[int, str], int] = {}
 
-    def __init__(self, name: str, parent: Element | None, other: bool, doubtful: bool = False) -> None:
-        self.name, self.parent, self.other, self.doubtful = name, parent, other or (parent is not None and parent.other), doubtful
-        self.path = f"{parent.path}/{name}" if parent else name
-        self.block: Element = parent.block if parent and name in INLINE else self
+    def open(self, name: str, parent: int, other: bool, mark: int) -> int:
+        self.names.append(name), self.parents.append(parent)
+        self.paths.append(self.known.setdefault((self.paths[parent], name), len(self.known) + 1))
+        self.others.append(other or self.others[parent]), self.marks.append(mark)
+        own = len(self.names) - 1
+        self.blocks.append(self.blocks[parent] if name in INLINE else own)
+        return own
 
 
 def is_other(name: str, attrs: str, inside_article: bool) -> bool:
-    """Whether an element is marked as something else than the article. Inside an article a header is a part of it."""
+    """Whether an element is something else than the article. Inside an article a header is a part of it."""
     if name in OTHER and not (name == "header" and inside_article):
         return True
-    if not attrs:
-        return False
     if "=" in attrs:
-        found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attrs)}
+        found = attributes(attrs)
         if found.get("role", "").lower() in ROLES or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
             return True
-        if not inside_article and name not in ("html", "body", "article", "main") and any(MARKS.search(found.get(k, "")) for k in ("class", "id")):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attrs))
+    return bool(attrs and re.search(r"(?:^|\s)hidden(?:\s|$)", attrs))
+
 
+def attributes(attrs: str) -> dict[str, str]:
+    return {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attrs)}
 
-def is_doubtful(name: str, attrs: str) -> bool:
-    """Whether an element inside an article has class names or ids of something else; a header is a part of the article."""
-    if "=" not in attrs or name in ARTICLE or name == "header":
-        return False
-    found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attrs)}
-    return any(m.group().strip("-_ \t\n").lower() != "header" for k in ("class", "id") for m in MARKS.finditer(found.get(k, "")))
 
+def mark_of(name: str, attrs: str, inside_article: bool) -> int:
+    """What an element's class names and ids say of it. An article's header is a part of it."""
+    if "=" not in attrs or name in ("html", "body"):
+        return PLAIN
+    found = attributes(attrs)
+    own = [found.get(k, "") for k in ("class", "id")]
+    if any(map(COMMENTS.search, own)):
+        return COMMENT
+    if name in ARTICLE or name == "header":
+        return PLAIN
+    parts = [m.group().strip("-_ \t\n").lower() for x in own for m in MARKS.finditer(x)]
+    return MARKED if any(not inside_article or x != "header" for x in parts) else PLAIN
 
-def text_nodes(page: str) -> list[tuple[Element, int, str]]:
-    """The page's texts in order: the element, the number of the block that the text is in, and the text as it stands."""
-    root = Element("", None, False)
-    top, block, articles = root, 0, 0
-    out: list[tuple[Element, int, str]] = []
-    at = 0
 
-    def close(element: Element) -> Element:
-        nonlocal articles
-        articles -= element.name in ARTICLE
-        return element.parent or root
+def parsed(page: str) -> Page:
+    out, top, block, articles, at = Page(), 0, 0, 0, 0
+    names, parents = out.names, out.parents
+    open_now: dict[str, int] = defaultdict(int)  # how many elements of a name are open
+
+    def close(upto: int) -> None:
+        """Close the open elements up to this one."""
+        nonlocal top, articles
+        while True:
+            closed = top
+            open_now[names[closed]] -= 1
+            articles -= names[closed] in ARTICLE
+            top = parents[closed]
+            if closed == upto:
+                return
 
     while at < len(page):
         m = TOKEN.search(page, at)
         end = m.start() if m else len(page)
         if end > at:
-            out.append((top, block, page[at:end]))
+            out.texts.append((top, block, page[at:end]))
         if not m:
             break
         at = m.end()
         if m["cdata"]:
-            out.append((top, block, m["cdata"]))
+            out.texts.append((top, block, m["cdata"]))
         if not m["name"]:
             continue
         name, attrs = m["name"].lower(), m["attrs"]
         if name == "br":
-            out.append((top, block, " "))
+            out.texts.append((top, block, " "))
             continue
         block += name not in INLINE
         if m["close"]:
-            open_ = top
             # an end tag closes what it names; without a fellow it closes nothing, and inline ones stop at a block
-            while open_ is not root and open_.name != name and not (name in INLINE and open_.name not in INLINE):
-                open_ = open_.parent or root
-            if open_ is not root and open_.name == name:
-                while top is not open_:
-                    top = close(top)
-                top = close(top)
+            if open_now[name]:
+                x = top
+                while x and names[x] != name and not (name in INLINE and names[x] not in INLINE):
+                    x = parents[x]
+                if x and names[x] == name:
+                    close(x)
             continue
         if name in VOID:
             continue
@@ -118,104 +148,124 @@ def text_nodes(page: str) -> list[tuple[Element, int, str]]:
             ends = re.compile(rf"</{re.escape(name)}\s*(?:/?>|\Z)", re.I).search(page, at)
             at = ends.end() if ends else len(page)
             continue
-        if name in ENDS_P or name == "body":
-            open_ = top
-            while open_ is not root and (open_.name in INLINE or open_.name == "p"):
-                if open_.name == "p":
-                    while top is not open_:
-                        top = close(top)
-                    top = close(top)
-                    break
-                open_ = open_.parent or root
-        if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            open_, stop = top, {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}[name]
-            while open_ is not root and open_.name not in stop and open_.name != name:
-                open_ = open_.parent or root
-            if open_.name == name:
-                while top is not open_:
-                    top = close(top)
-                top = close(top)
+        if (name in ENDS_P or name == "body") and open_now["p"]:
+            x = top
+            while x and names[x] in INLINE:
+                x = parents[x]
+            if names[x] == "p":
+                close(x)
+        if name in CLOSES and open_now[name]:
+            x = top
+            while x and names[x] not in CLOSES[name] and names[x] != name:
+                x = parents[x]
+            if names[x] == name:
+                close(x)
         if attrs.endswith("/") and name not in INLINE and name not in ENDS_P:
             continue
-        top = Element(name, top, is_other(name, attrs, articles > 0), articles > 0 and is_doubtful(name, attrs))
+        top = out.open(name, top, is_other(name, attrs, articles > 0), mark_of(name, attrs, articles > 0))
+        open_now[name] += 1
         articles += name in ARTICLE
     return out
 
 
-def content_paths(nodes: list[tuple[Element, str]]) -> tuple[set[str], float]:
-    """The paths whose smoothed and fused ratios are above the threshold, a part of their spread over the page; and it."""
+def content_paths(nodes: list[tuple[int, str]]) -> tuple[set[int], float]:
+    """The paths whose smoothed and fused ratios are above the threshold, a part of their spread over the page; and it.
+    nodes: path and text."""
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for element, text in nodes:
-        length[element.path] += len(text)
-        marks[element.path] += len(PUNCTUATION.findall(text))
-        count[element.path] += 1
-    ratio = np.array([[length[e.path] / count[e.path], (1 + marks[e.path]) / count[e.path]] for e, _ in nodes])
+    for path, text in nodes:
+        length[path] += len(text)
+        marks[path] += len(PUNCTUATION.findall(text))
+        count[path] += 1
+    ratio = np.array([[length[p] / count[p], (1 + marks[p]) / count[p]] for p, _ in nodes])
     padded = np.pad(ratio, ((2, 2), (0, 0)), mode="edge")
     smooth = np.stack([np.convolve(padded[:, k], SMOOTHING, mode="valid") for k in (0, 1)])
     fused = smooth[0] * smooth[1]
-    best: dict[str, float] = defaultdict(float)
-    for (element, _), x in zip(nodes, fused.tolist(), strict=True):
-        best[element.path] = max(best[element.path], x)
+    best: dict[int, float] = defaultdict(float)
+    for (path, _), x in zip(nodes, fused.tolist(), strict=True):
+        best[path] = max(best[path], x)
     threshold = min(0.8 * float(fused.std()), max(best.values()))
     return {path for path, x in best.items() if x >= threshold}, threshold
 
 
-def above(element: Element | None) -> Iterator[Element]:
-    """An element and all that hold it, from the inside."""
-    while element is not None:
-        yield element
-        element = element.parent
+def inherited(page: Page, own: Callable[[int], object]) -> list:
+    """For each element the value of the first of it and what holds it, from the inside, that has one."""
+    out: list = [None] * len(page.names)
+    for x in range(len(page.names)):
+        mine = own(x)
+        out[x] = mine if mine is not None else (out[page.parents[x]] if x else None)
+    return out
+
+
+def held(page: Page, values: dict[int, int]) -> list[int]:
+    """For each element the sum of the values of it and of all that it holds."""
+    out = [0] * len(page.names)
+    for x, v in values.items():
+        out[x] += v
+    for x in range(len(out) - 1, 0, -1):
+        out[page.parents[x]] += out[x]
+    return out
+
+
+def sums(pairs: Iterable[tuple[int, int]]) -> dict[int, int]:
+    out: dict[int, int] = defaultdict(int)
+    for x, v in pairs:
+        out[x] += v
+    return out
 
 
-def main_text(page: str) -> str:
+def main_text(html: str) -> str:
     """The text of a page's article, one line for each block."""
-    blocks = [(e, block, text) for e, block, text in text_nodes(page) if not e.other]
-    nodes = [(e, t) for e, _, t in blocks if t.strip()]
+    page = parsed(html)
+    names, parents, paths = page.names, page.parents, page.paths
+    texts = [(x, block, text) for x, block, text in page.texts if not page.others[x]]
+    nodes = [(x, t.strip()) for x, _, t in texts if t.strip()]
     if not nodes:
         return ""
+
+    # elements that are named as something else go, comments first; an element with most of the content stays
+    gone = [False] * len(names)
+    articles = inherited(page, lambda x: x if names[x] in ARTICLE and page.marks[x] != COMMENT else None)
+    for kind, most in ((COMMENT, 1.0), (MARKED, 0.5)):
+        if kind not in page.marks:
+            continue
+        left = [(x, t) for x, t in nodes if not gone[x]]
+        inside = [(x, t) for x, t in left if articles[x] is not None] or left
+        good, threshold = content_paths([(paths[x], t) for x, t in inside])
+        weight = held(page, sums((x, len(t)) for x, t in inside if paths[x] in good))
+        length, marks, count = (held(page, sums((x, f(t)) for x, t in left)) for f in (len, lambda t: len(PUNCTUATION.findall(t)), lambda t: 1))
+        for x in range(1, len(names)):
+            drop = page.marks[x] == kind and count[x] > 0 and weight[x] < most * weight[0]
+            if drop and kind == MARKED and articles[x] is not None:
+                drop = length[x] / count[x] * (1 + marks[x]) / count[x] < threshold
+            gone[x] = gone[x] or drop or gone[parents[x]]
+    nodes = [(x, t) for x, t in nodes if not gone[x]]
     # an article that is marked as one stands above what lies outside of it
-    inside = {id(e): e for e, _ in nodes}
-    marked: dict[int, bool] = {}
-    for key, e in inside.items():
-        x: Element | None = e
-        while x is not None and x.name not in ARTICLE:
-            x = x.parent
-        marked[key] = x is not None
-    if any(marked.values()):
-        nodes = [(e, t) for e, t in nodes if marked[id(e)]]
-    paths, threshold = content_paths(nodes)
-    # inside an article, what its class names mark goes if its own ratios are low
-    texts: dict[int, list[str]] = defaultdict(list)
-    for e, t in nodes:
-        for x in above(e):
-            if x.doubtful:
-                texts[id(x)].append(t.strip())
-    low = {k for k, own in texts.items() if sum(map(len, own)) / len(own) * (1 + sum(len(PUNCTUATION.findall(t)) for t in own)) / len(own) < threshold}
-    if low:
-        nodes = [(e, t) for e, t in nodes if not any(id(x) in low for x in above(e))] or nodes
+    nodes = [(x, t) for x, t in nodes if articles[x] is not None] or nodes
+    good, _ = content_paths([(paths[x], t) for x, t in nodes])
     # the lowest element with all of the content holds the article
-    content = [e.block for e, _ in nodes if e.path in paths] or [e.block for e, _ in nodes]
-    common = list(above(content[0]))
-    for e in {id(e): e for e in content}.values():
-        own = {id(x) for x in above(e)}
-        common = [x for x in common if id(x) in own]
-    holder = next((x for x in common if x.name not in ("p", "li", "td", "blockquote")), common[-1])
-    holder = next((x for x in above(holder) if x.name in ARTICLE), holder)
-    kept: list[tuple[Element, int, str]] = []
-    headings: list[tuple[Element, int, str]] = []
-    for e, block, text in blocks:
-        chain = list(above(e))
-        if any(id(x) in low for x in chain):
+    content = {page.blocks[x]: 1 for x, _ in nodes if paths[x] in good}
+    inner = held(page, content)
+    holder = max(x for x in range(len(names)) if inner[x] == len(content))
+    while holder and names[holder] in ("p", "li", "td", "blockquote"):
+        holder = parents[holder]
+    outer = inherited(page, lambda x: x if names[x] in ARTICLE else None)[holder]
+    holder = holder if outer is None else outer
+    within = inherited(page, lambda x: True if x == holder else None)
+    heading = inherited(page, lambda x: True if names[x] in HEADINGS else None)
+    kept: list[tuple[int, str]] = []
+    headings: list[tuple[int, str]] = []
+    for x, block, text in texts:
+        if gone[x]:
             continue
-        if any(x is holder for x in chain):
-            kept += [*(headings if not kept else []), (e, block, text)]
+        if within[x]:
+            kept += [*(headings if not kept else []), (block, text)]
             headings = []
-        elif any(x.name in HEADINGS for x in chain):
-            headings.append((e, block, text))
+        elif heading[x]:
+            headings.append((block, text))
         elif text.strip():
             headings = []
     out: dict[int, list[str]] = {}
-    for _, block, text in kept:
+    for block, text in kept:
         out.setdefault(block, []).append(text)
     lines = (" ".join(entities.unescape("".join(parts)).split()) for parts in out.values())
     return "\n".join(line for line in lines if line)
