@@ -1,8 +1,9 @@
 """License scans by ordered signature rules.
 
 Hundreds of regular expressions over a text's words (in lower case, joined by one space) say what marks a license: short
-identifiers, references by name, headers and sentences of the licenses' own texts. They are made from a table of licenses
-and from the ways in which people refer to one. A rule runs only if what it needs (its license's name or identifier, or a
+identifiers, references by name, headers, notices, exceptions, denials and sentences of the licenses' own texts. Those of
+SENTENCES are written one by one; references are made from a table of licenses and of the ways in which people refer to
+one. A rule runs only if what it needs (its license's name or identifier, or a
 piece of its sentence) occurs in the words at all; most texts have nothing of it and are left after one pass.
 
 Detections overlap: "apache license version 2.0" also holds "apache license". They are settled in order of the rules'
@@ -12,19 +13,19 @@ priority, then of length, then of place: a detection inside of one that is kept
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import modest_batches, pieces, raw, text_of, word_spans
+from loamline.llm.common import modest_batches, pieces, text_of
 
-#: Bytes that part words here: all of ASCII but letters and digits.
-PARTS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-BETWEEN = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]"
+#: What becomes of each byte: A-Z become lower case, and all of ASCII but letters and digits parts words.
+PLAIN = bytes(32 if b < 128 and not chr(b).isalnum() else ord(chr(b).lower()) if b < 128 else b for b in range(256))
 #: The base: phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
@@ -35,7 +36,8 @@ LICENSES: list[tuple[str, str, str]] = [
     ("apache-2", r"apache(?: software)?(?: license)?(?: version)? (?:v?2|v2)(?: 0)?", r"apache 2 0"),
     ("apache-1.1", r"apache(?: software)?(?: license)?(?: version)? 1 1", r"apache 1 1"),
     ("bsd-2-clause", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)", r"bsd 2 clause"),
-    ("bsd-3-clause", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)", r"bsd 3 clause"),
+    ("bsd-3-clause", r"(?:bsd 3 clause|3 clause bsd)", r"bsd 3 clause"),
+    ("bsd-3-clause", r"(?:new|modified|revised) bsd", r"bsd 3 clause"),
     ("bsd-4-clause", r"(?:bsd 4 clause|4 clause bsd|original bsd)", r"bsd 4 clause"),
     ("0bsd", r"(?:0bsd|zero clause bsd|bsd zero clause)", r"0bsd"),
     ("gpl-1", r"(?:gpl|gnu general public license|gnu gpl)(?: version)? v?1(?: 0)?", r"gpl 1 0(?: only| or later)?"),
@@ -58,7 +60,7 @@ LICENSES: list[tuple[str, str, str]] = [
     ("isc", r"isc", r"isc"),
     ("zlib", r"zlib(?: libpng)?", r"zlib"),
     ("unlicense", r"unlicense", r"unlicense"),
-    ("wtfpl", r"wtfpl|do what the f\w+ you want to public license", r"wtfpl"),
+    ("wtfpl", r"wtfpl", r"wtfpl"),
     ("bsl-1", r"boost software license(?: version)?(?: 1 0)?", r"bsl 1 0"),
     ("python-2", r"(?:python software foundation|psf) license(?: version)?(?: 2)?", r"python 2 0"),
     ("php-3", r"php license(?: version)?(?: 3 01?)?", r"php 3 01?"),
@@ -92,51 +94,157 @@ REFERENCES: list[tuple[str, str, float]] = [
     ("family", r"licen[sc]e (?:version )?{id}", 0.8),
     ("bare", r"{name}(?= or later| or any later| only|$| )", 0.5),
 ]
-#: Sentences of the licenses' own texts.
-SENTENCES: list[tuple[str, str, str]] = [
+#: Sentences of the licenses' own texts, headers, notices and exceptions, each written for itself. The empty
+#: label is for what denies a license: it labels nothing, and what stands inside of it doesn't either.
+SENTENCES: list[tuple[str, str]] = [
+    ("", r"(?:not|never|no longer) (?:be )?(?:licen[sc]ed|released|distributed|available|published|provided|covered)(?: to you)? (?:under|by|with)(?: \S+){1,8}? licen[sc]es?"),
+    ("", r"(?:incompatible|not compatible) with(?: the)?(?: \S+){1,6}? licen[sc]e"),
+    ("", r"(?:instead of|rather than|other than)(?: the)?(?: \S+){1,4}? licen[sc]e"),
     ("mit", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", r"use of this source code is governed by an mit style license"),
+    ("mit-0", r"mit no attribution(?: license)?"),
     ("isc", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("0bsd", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("hpnd", r"permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted"),
     ("apache-2", r"you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-2", r"https? www apache org licenses license 2 0(?: txt| html)?"),
+    ("apache-1.1", r"this product includes software developed by the apache software foundation"),
     ("bsd-3-clause", r"redistribution and use in source and binary forms with or without modification are permitted(?: \S+){1,120}? neither the name of"),
+    ("bsd-3-clause", r"use of this source code is governed by a bsd style license"),
     ("bsd-2-clause", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
     ("gpl-2", r"under the terms of the gnu general public license as published by the free software foundation either version 2"),
+    ("gpl-2", r"under the terms of the gnu general public license version 2 as published by the free software foundation"),
     ("gpl-3", r"under the terms of the gnu general public license as published by the free software foundation either version 3"),
+    ("gpl-3", r"gnu general public license version 3 29 june 2007"),
+    ("gpl-2", r"gnu general public license version 2 june 1991"),
+    ("lgpl-2.1", r"gnu lesser general public license version 2 1 february 1999"),
+    ("lgpl-2", r"under the terms of the gnu (?:library|lesser) general public license as published by the free software foundation either version 2(?! 1)"),
     ("lgpl-2.1", r"under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1"),
+    ("lgpl-3", r"under the terms of the gnu lesser general public license as published by the free software foundation either version 3"),
     ("agpl-3", r"under the terms of the gnu affero general public license as published by the free software foundation either version 3"),
+    ("gfdl-1.3", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gpl-classpath-exception", r"linking this library statically or dynamically with other modules is making a combined work based on this library"),
+    ("gpl-classpath-exception", r"gpl(?: v?2(?: 0)?)? with(?: the)? classpath exception"),
+    ("gpl-gcc-exception", r"gcc runtime library exception"),
+    ("gpl-bison-exception", r"as a special exception you may create a larger work that contains part or all of the bison parser skeleton"),
+    ("apache-llvm-exception", r"apache(?: license)?(?: version)? v?2(?: 0)? with llvm exceptions?"),
+    ("gpl-font-exception", r"if you create a document which uses this font and embed this font"),
     ("mpl-2", r"subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-1.1", r"the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl-2", r"made available under the terms of the eclipse public license 2 0"),
+    ("epl-1", r"made available under the terms of the eclipse public license v1 0"),
+    ("cddl-1", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("artistic-2", r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed the artistic license 2 0"),
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", r"https? unlicense org"),
+    ("wtfpl", r"do what the f\w+ you want to public license"),
+    ("wtfpl", r"you just do what the f\w+ you want to"),
     ("zlib", r"the origin of this software must not be misrepresented"),
+    ("zlib", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
     ("bsl-1", r"boost software license version 1 0"),
+    ("bsl-1", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("ncsa", r"redistributions of source code must retain the above copyright notice(?: \S+){1,60}? university of illinois"),
+    ("python-2", r"psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("openssl", r"this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("postgresql", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("ofl-1.1", r"this font software is licensed under the sil open font license"),
+    ("ms-pl", r"this license governs use of the accompanying software if you use the software you accept this license"),
+    ("cc0-1", r"to the extent possible under law(?: \S+){1,16}? waived all copyright and related or neighboring rights"),
+    ("cc-by", r"https? creativecommons org licenses by [1-4] [05]"),
+    ("cc-by-sa", r"https? creativecommons org licenses by sa [1-4] [05]"),
+    ("cc-by-nd", r"https? creativecommons org licenses by nd [1-4] [05]"),
+    ("cc-by-nc", r"https? creativecommons org licenses by nc [1-4] [05]"),
+    ("cc-by-nc-sa", r"https? creativecommons org licenses by nc sa [1-4] [05]"),
+    ("cc-by-nc-nd", r"https? creativecommons org licenses by nc nd [1-4] [05]"),
+    ("cc0-1", r"https? creativecommons org publicdomain zero 1 0"),
     ("public-domain", r"(?:placed|released|dedicated)(?: \w+)? (?:in|into|to) the public domain"),
+    ("public-domain", r"this work is in the public domain"),
+    ("commons-clause", r"commons clause license condition"),
+    ("sspl-1", r"server side public license(?: version)?(?: v?1)?"),
+    ("busl-1.1", r"business source license(?: version)?(?: 1 1)?"),
+    ("elastic-2", r"elastic license(?: version)? (?:v?2)(?: 0)?"),
     ("proprietary", r"copyright(?: \S+){1,12}? all rights reserved"),
     ("proprietary", r"(?:confidential and proprietary|proprietary and confidential)"),
+    ("proprietary", r"unauthori[sz]ed (?:copying|use|reproduction|distribution)(?: \S+){1,12}? (?:is )?strictly prohibited"),
+    ("proprietary", r"(?:may not|not to) be (?:reproduced|copied|redistributed)(?: \S+){1,12}? without(?: the)?(?: express| prior)* written (?:permission|consent)"),
 ]
 #: Names that are words of their own: they tell a license only in company.
-WEAK = frozenset("mit isc zlib openssl postgresql ncsa unlicense".split())
+WEAK = frozenset((r"mit(?: x11)?|expat", r"isc", r"zlib(?: libpng)?", r"openssl(?: toolkit)?", r"postgresql", r"(?:university of illinois )?ncsa(?: open source)?", r"unlicense", r"(?:new|modified|revised) bsd"))
+
+
+@dataclass(frozen=True)
+class Need:
+    """What a rule can't do without: a piece of text, or a pattern and the words one of which each of its matches begins with."""
+
+    piece: str
+    pattern: re.Pattern[str]
+    words: frozenset[str]
+
+    def met(self, joined: str, words: set[str]) -> bool:
+        if self.piece:
+            return self.piece in joined
+        return (not self.words or not self.words.isdisjoint(words)) and self.pattern.search(joined) is not None
 
 
 @dataclass(frozen=True)
 class Rule:
     label: str
-    needs: re.Pattern[str]
+    needs: Need
     pattern: re.Pattern[str]
     priority: int
     score: float
 
 
-def needed(sentence: str) -> str:
-    """A pattern that stands wherever the sentence does: its longest piece outside of groups, or all of it if there is none."""
-    return max(re.sub(r"\(\?:[^()]*\)(?:\{[\d,]+\}|\?)?\??", "\0", sentence).split("\0"), key=len) or sentence
+#: What isn't a literal in a sentence: groups, classes and escapes with what repeats them, and single letters that may miss.
+LOOSE = re.compile(r"(?:\(\?[:!=][^()]*\)|\[[^\]]*\]|\\\w)(?:\{[\d,]+\}|[?*+])?\??|.[?*]")
+
+
+def needed(sentence: str) -> Need:
+    """A sentence's longest literal piece; the sentence itself if there is no long one."""
+    piece = max(LOOSE.sub("\0", sentence).split("\0"), key=len)
+    return Need(piece if len(piece) > 8 else "", re.compile(sentence), frozenset())
+
+
+def alternatives(pattern: str) -> list[str]:
+    out, depth = [""], 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def first_words(pattern: str) -> set[str]:
+    """The words with which the matches of a name may begin: names are words and groups of them, and begin with either."""
+    out = set()
+    for own in alternatives(pattern):
+        if own.startswith("(?:"):
+            depth = end = 0
+            for end, c in enumerate(own):
+                depth += (c == "(") - (c == ")")
+                if not depth:
+                    break
+            out |= first_words(own[3:end])
+            if own[end + 1 : end + 2] == "?":
+                out |= first_words(own[end + 2 :])
+        else:
+            out.add(re.split(r"[ (]", own)[0])
+    return {w.strip() for w in out}
 
 
 def rules() -> list[Rule]:
     """All rules in order of priority: sentences first, then references by their kind. A reference holds its license's name
     or identifier, at the start of a word."""
-    out = [Rule(label, re.compile(needed(pattern)), re.compile(rf"(?<!\S){pattern}(?!\S)"), 0, 1.0) for label, pattern in SENTENCES]
+    denied = Need("licen", re.compile("licen"), frozenset())
+    out = [Rule(label, needed(pattern) if label else denied, re.compile(rf"(?<!\S){pattern}(?!\S)"), 0, 1.0) for label, pattern in SENTENCES]
     for label, name, short in LICENSES:
-        needs = re.compile(rf"(?<!\S)(?:{name}|{short})")
+        needs = Need("", re.compile(rf"(?<!\S)(?:{name}|{short})"), frozenset(first_words(f"{name}|{short}")))
         for k, (kind, pattern, score) in enumerate(REFERENCES):
-            if kind == "bare" and label in WEAK or kind == "family" and short == name:
+            if kind == "bare" and name in WEAK or kind == "family" and short == name:
                 continue
             full = pattern.replace("{name}", f"(?:{name})").replace("{id}", f"(?:{short})")
             out.append(Rule(label, needs, re.compile(rf"(?<!\S){full}(?!\S)"), k + 1, score))
@@ -144,8 +252,8 @@ def rules() -> list[Rule]:
 
 
 RULES = rules()
-#: A text without any of these has no license and no base phrase: what the rules need, and the base.
-GATE = re.compile("|".join([rf"(?<!\S)(?:{'|'.join([f'{name}|{short}' for _, name, short in LICENSES] + [phrase for phrase, _ in BASE])})", *(needed(pattern) for _, pattern in SENTENCES)]))
+#: The needs of rules that give a label; a text that meets none has no license.
+GATES = tuple({r.needs: None for r in RULES if r.label})
 
 
 @dataclass
@@ -158,54 +266,65 @@ class Detection:
 
 
 def settled(found: list[Detection]) -> list[Detection]:
-    """What stays: detections by priority, length and place, without those inside of a kept one."""
+    """What stays: detections by priority, length and place, without those inside of a kept one.
+
+    Of the kept ones that no other holds, starts and ends both ascend, so the last to start before a detection tells
+    whether one holds it."""
     kept: list[Detection] = []
+    starts: list[int] = []
+    ends: list[int] = []
     for d in sorted(found, key=lambda d: (d.priority, d.start - d.end, d.start, d.label)):
-        if not any(k.start <= d.start and d.end <= k.end for k in kept):
-            kept.append(d)
+        at = bisect_right(starts, d.start)
+        if at and ends[at - 1] >= d.end:
+            continue
+        kept.append(d)
+        first = bisect_left(starts, d.start)
+        last = bisect_right(ends, d.end)
+        if first < last:  # those inside of it
+            del starts[first:last], ends[first:last]
+        starts.insert(first, d.start)
+        ends.insert(first, d.end)
     return kept
 
 
 def detections(joined: str, gated: bool = True) -> list[Detection]:
-    """Kept detections, by places in the words joined by one space."""
-    gates: dict[re.Pattern[str], bool] = {}
+    """Kept detections of a license, by places in the words joined by one space."""
+    words = set(joined.split(" "))
+    met = {need for need in GATES if need.met(joined, words)} if gated else set()
+    if gated and not met:
+        return []
     found = []
     for r in RULES:
-        if gated and r.needs not in gates:
-            gates[r.needs] = r.needs.search(joined) is not None
-        if not gated or gates[r.needs]:
+        if not gated or r.needs in met or not r.label:
             found += [Detection(m.start(), m.end(), r.label, r.priority, r.score) for m in r.pattern.finditer(joined)]
-    return settled(found)
+    return [d for d in settled(found) if d.label]
 
 
 def base_places(joined: str) -> list[tuple[int, str]]:
     """The characters at which base phrases start, overlapping ones too, and their labels."""
     out = []
     for phrase, label in BASE:
-        at = f" {joined} ".find(f" {phrase} ")
-        while at >= 0:
-            out.append((at, label))
-            at = f" {joined} ".find(f" {phrase} ", at + 1)
+        if phrase in joined:
+            whole = f" {joined} "
+            at = whole.find(f" {phrase} ")
+            while at >= 0:
+                out.append((at, label))
+                at = whole.find(f" {phrase} ", at + 1)
     return out
 
 
 def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in pieces(whole, "text"):
-            data, offsets = raw(b["text"])
-            _, _, before = word_spans(data, offsets, PARTS)
-            lowered = data.tobytes().lower()
             rows: list[tuple] = []
-            for i, (x, y) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                n = int(before[i + 1] - before[i])
-                text = lowered[x:y]
-                joined = re.sub(BETWEEN + rb"+", b" ", text).strip().decode()
-                if GATE.search(joined) is None:
-                    rows.append((n, 0, None, None, "", "", 0.0, []))
-                    continue
+            for text in pc.cast(b["text"], pa.large_binary()).to_pylist():
+                words = (text or b"").translate(PLAIN).split(b" ")
+                words = [w for w in words if w]
+                n, joined = len(words), b" ".join(words).decode()
                 base = base_places(joined)
                 kept = detections(joined)
-                word = lambda at: joined.count(" ", 0, at)
+                spaces = [m.start() for m in re.finditer(" ", joined)] if base or kept else []
+                word = lambda at: bisect_left(spaces, at)
                 firsts = [word(at) for at, _ in base]
                 own = {label for _, label in base}
                 spans = [{"label": d.label, "first": word(d.start), "last": word(d.end - 1) if d.end > d.start else word(d.start), "score": d.score} for d in sorted(kept, key=lambda d: (d.start, d.end))]
