@@ -71,6 +71,23 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
         yield batch.slice(begin)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold limit bytes of text: what a task works on at once doesn't depend on how rows come."""
+    held, size = [], 0
+    for b in batches:
+        own = pc.sum(pc.binary_length(b[column])).as_py() or 0
+        if held and size + own > 2 * limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(b)
+        size += own
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, one text after the other, and the offsets of the texts; null is empty."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")

@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import keep, modest_batches, pieces, raw, text_of, width, word_spans
+from loamline.llm.common import gathered, keep, modest_batches, pieces, raw, text_of, word_spans
 
-PACKED = "part int, kind int, piece bigint, docs binary, places binary, hashes binary, dids array<bigint>, keys array<bigint>"
-FOUND = "piece bigint, doc int, did bigint, key bigint, places array<int>"
+PACKED = "part int, kind int, piece bigint, pieces binary, docs binary, places binary, hashes binary, dids array<bigint>, keys array<bigint>"
+FOUND = "piece bigint, docs binary, places binary, dids array<bigint>, keys array<bigint>"
 #: The kinds of packed rows: windows to look up with their places; hashes that are present more than once; places known to
 #: repeat; the texts of a piece, which the others name by their number in it.
 PROBES, PRESENT, KNOWN, TEXTS = 0, 1, 2, 3
+#: Bytes of text for which there is one hash part, what a task gathers before it sends, and the parts that it sends to.
+PART, GATHER, FAN = 2 << 20, 4 << 20, 4096
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 SIGN = np.uint32(1 << 31)
 
@@ -99,7 +101,7 @@ def rows_of(part: np.ndarray, kind: int, doc: np.ndarray, place: np.ndarray, has
     cuts = np.flatnonzero(np.diff(part, prepend=-1))
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=True):
         own = (b"", b"") if kind == PRESENT else (planes(np.diff(doc[a:b], prepend=0)), planes(place[a:b]))
-        yield int(part[a]), kind, *own, np.ascontiguousarray(hashes[a:b].T).tobytes(), [], []
+        yield int(part[a]), kind, b"", *own, np.ascontiguousarray(hashes[a:b].T).tobytes(), [], []
 
 
 def entries(codes: np.ndarray, more: np.ndarray, doc: np.ndarray, place: np.ndarray, ref: np.ndarray, dids: np.ndarray, keys: np.ndarray, parts: int, n_bytes: int) -> pa.RecordBatch | None:
@@ -125,40 +127,89 @@ def entries(codes: np.ndarray, more: np.ndarray, doc: np.ndarray, place: np.ndar
     ask = ~known
     tell = order[new][settled]  # one window of each settled group
     piece = int.from_bytes(hashlib.blake2b(dids.tobytes() + keys.tobytes(), digest_size=8).digest(), "little", signed=True)
-    rows = [(piece % parts, TEXTS, b"", b"", b"", dids, keys)]
+    rows = [(piece % parts, TEXTS, b"", b"", b"", b"", dids, keys)]
     rows += rows_of(part[ask], PROBES, doc[ask], marked[ask], hashes[ask])
     rows += rows_of(part[tell], PRESENT, doc[tell], marked[tell], hashes[tell])
     rows += rows_of(np.full(known.sum(), piece % parts, np.int32), KNOWN, doc[known], place[known], hashes[known][:, :0])
-    own = list(zip(*rows, strict=True))
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-    columns = [pa.array(x, t) for x, t in zip(own, kinds, strict=True)]
-    columns.insert(2, pa.array([piece] * len(rows), pa.int64()))
-    return pa.RecordBatch.from_arrays(columns, names=["part", "kind", "piece", "docs", "places", "hashes", "dids", "keys"])
+    return packed(rows, [piece] * len(rows))
+
+
+def packed(rows: list[tuple], piece: list[int]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int64()), pa.list_(pa.int64()))
+    columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+    columns.insert(2, pa.array(piece, pa.int64()))
+    return pa.RecordBatch.from_arrays(columns, names=["part", "kind", "piece", "pieces", "docs", "places", "hashes", "dids", "keys"])
+
+
+def unpacked(b: pa.RecordBatch, i: int, n_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a row of windows or of present hashes: pieces, texts, places and hashes, the first three empty for the latter."""
+    doc, place = np.cumsum(numbers(b["docs"][i].as_py()), dtype=np.uint32).astype(np.int64), numbers(b["places"][i].as_py())
+    own = b["pieces"][i].as_py()
+    piece = np.frombuffer(own, "<i8") if own else np.full(len(doc), b["piece"][i].as_py(), np.int64)
+    return piece, doc, place, np.frombuffer(b["hashes"][i].as_py(), np.uint8).reshape(max(n_bytes, 1), -1).T
+
+
+def split(n_bytes: int, fan: int, most: int):
+    """Rows of coarse parts, which come sorted by part, as rows of fan times as many parts: a task gathers most windows of
+    one coarse part, whatever pieces they are of, before it sends them on, so that rows stay long."""
+
+    def sent(part: int, kind: int, held: list[tuple]) -> pa.RecordBatch | None:
+        piece, doc, place, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
+        low = np.zeros((len(hashes), 8), np.uint8)
+        low[:, :5] = hashes[:, :5]
+        fine = (low.view("<u8").ravel() % np.uint64(fan)).astype(np.int64) + part * fan
+        order, rows = np.argsort(fine, kind="stable"), []
+        cuts = np.flatnonzero(np.diff(fine[order], prepend=-1))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+            at = order[a:b]
+            own = (b"", b"", b"") if kind == PRESENT else (piece[at].astype("<i8").tobytes(), planes(np.diff(doc[at], prepend=0)), planes(place[at]))
+            rows.append((int(fine[order[a]]), kind, *own, np.ascontiguousarray(hashes[at].T).tobytes(), [], []))
+        return packed(rows, [0] * len(rows)) if rows else None
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {PROBES: [], PRESENT: []}
+        last = None
+        for b in batches:
+            for i, (part, kind) in enumerate(zip(b["part"].to_pylist(), b["kind"].to_pylist(), strict=True)):
+                if kind in (KNOWN, TEXTS):  # to any part of its own
+                    yield b.slice(i, 1).set_column(0, "part", pa.array([part * fan + b["piece"][i].as_py() % fan], pa.int32()))
+                    continue
+                for k, own in held.items():
+                    if own and (part != last or sum(len(x[3]) for x in own) >= most):
+                        yield sent(last, k, own)
+                        held[k] = []
+                last = part
+                held[kind].append(unpacked(b, i, n_bytes))
+        for k, own in held.items():
+            if own:
+                yield sent(last, k, own)
+
+    return f
 
 
 def met(n_bytes: int):
     """For one part: the places of those windows whose hash is present twice or more, a reference among them."""
 
     def f(group: pa.Table) -> pa.Table:
-        out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # piece, texts, ids, keys, counts, places
+        out: list[tuple] = []
         codes, weight, ref, asked = [], [], [], []
 
-        def found(piece: int, doc: np.ndarray, place: np.ndarray) -> None:
-            own, n = np.unique(doc, return_counts=True)
-            none = np.zeros(len(own), np.int64)
-            out.append((piece, own, none, none, n, place))
+        def found(piece: np.ndarray, doc: np.ndarray, place: np.ndarray) -> None:
+            order = np.argsort(piece, kind="stable")
+            cuts = np.flatnonzero(np.diff(piece[order], prepend=piece[order[:1]] - 1))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+                at = order[a:b]
+                out.append((int(piece[at[0]]), planes(np.diff(doc[at], prepend=0)), planes(place[at]), [], []))
 
         for b in group.to_batches():
-            for i, (kind, piece) in enumerate(zip(b["kind"].to_pylist(), b["piece"].to_pylist(), strict=True)):
+            for i, kind in enumerate(b["kind"].to_pylist()):
                 if kind == TEXTS:
-                    dids, keys = np.asarray(b["dids"][i].values), np.asarray(b["keys"][i].values)
-                    out.append((piece, np.arange(len(dids)), dids, keys, np.zeros(len(dids), np.int64), np.zeros(0, np.int64)))
+                    out.append((b["piece"][i].as_py(), b"", b"", b["dids"][i].as_py(), b["keys"][i].as_py()))
                     continue
-                doc, place = np.cumsum(numbers(b["docs"][i].as_py())), numbers(b["places"][i].as_py())
+                piece, doc, place, h = unpacked(b, i, 0 if kind == KNOWN else n_bytes)
                 if kind == KNOWN:
                     found(piece, doc, place)
                     continue
-                h = np.frombuffer(b["hashes"][i].as_py(), np.uint8).reshape(n_bytes, -1).T
                 padded = np.zeros((len(h), -(-n_bytes // 8) * 8), np.uint8)
                 padded[:, :n_bytes] = h
                 codes.append(padded.view("<u8"))
@@ -178,23 +229,38 @@ def met(n_bytes: int):
                 h = hit[at : at + n]
                 at += n
                 if len(doc) and h.any():
-                    found(piece, doc[h], place[h])
-        whole = lambda k, kind: pa.array(np.concatenate([x[k] for x in out]).astype(kind) if out else np.zeros(0, kind))
-        sizes = np.concatenate([[0], *(x[4] for x in out)])
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), whole(5, np.int32))
-        pieces_ = pa.array(np.repeat(np.array([x[0] for x in out], np.int64), [len(x[1]) for x in out]))
-        return pa.table({"piece": pieces_, "doc": whole(1, np.int32), "did": whole(2, np.int64), "key": whole(3, np.int64), "places": lists})
+                    found(piece[h], doc[h], place[h])
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)]
+        return pa.Table.from_arrays(columns, names=["piece", "docs", "places", "dids", "keys"])
 
     return f
 
 
+def named(group: pa.Table) -> pa.Table:
+    """Of all that was found for one piece: the ids and keys of its texts with a place, and their places."""
+    docs, places, dids, keys = [], [], [], []
+    for b in group.to_batches():
+        for i in range(b.num_rows):
+            if own := b["dids"][i].as_py():
+                dids, keys = own, b["keys"][i].as_py()
+            else:
+                docs.append(np.cumsum(numbers(b["docs"][i].as_py()), dtype=np.uint32)), places.append(numbers(b["places"][i].as_py()))
+    doc, place = (np.concatenate([*x, np.zeros(0, np.uint32)]).astype(np.int64) for x in (docs, places))
+    order = np.lexsort((place, doc))
+    own, n = np.unique(doc, return_counts=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(place[order].astype(np.int32)))
+    ids = [pa.array(np.array(x, np.int64)[own]) for x in (dids, keys)]
+    return pa.Table.from_arrays([*ids, lists], names=["did", "key", "places"])
+
+
 def anchors(window: int, parts: int):
     """The reference blocks and the probes of each piece."""
     block = (window + 1) // 2
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in pieces(whole, "text"):
+        for whole in gathered(batches, "text", GATHER):
+            for b in pieces(whole, "text", 2 * GATHER):
                 data, offsets = raw(b["text"])
                 starts, ends, before = word_spans(data, offsets)
                 n = np.diff(before)
@@ -217,8 +283,8 @@ def extensions(window: int, parts: int):
     block = (window + 1) // 2
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in pieces(whole, "text"):
+        for whole in gathered(batches, "text", GATHER):
+            for b in pieces(whole, "text", 2 * GATHER):
                 data, offsets = raw(b["text"])
                 starts, ends, before = word_spans(data, offsets)
                 n = np.diff(before)
@@ -269,23 +335,31 @@ def removal(window: int, texts: bool):
     return f
 
 
-def repeated_windows(texts: DataFrame, window: int = 35) -> DataFrame:
+def repeated_windows(texts: DataFrame, window: int = 35, part: int = PART, fan: int = FAN) -> DataFrame:
     """(did, key, places): the starts of each text's windows whose words also start at another place.
 
-    texts: did, key, text, without nulls. Each of the two rounds ends with a written table, so that the shuffled hashes
-    of the first are gone from the disks when the second writes its own."""
-    parts = max(64, 8 * width(texts.sparkSession))  # several for each task, so that tasks are even
+    texts: did, key, text, without nulls. Hash parts follow the bytes of all texts, part for each, not the session's width:
+    a part's windows, some 6 bytes of text each, take about 60 bytes of memory each while it is resolved. Up to fan parts,
+    a task sends GATHER bytes of text as 2 * fan packed rows at most; over more, windows travel twice, to fan coarse parts
+    first and then on to their own ones, so that rows stay kilobytes long. Each of the two rounds ends with a written
+    table: the shuffled hashes of the first are gone from the disks when the second writes its own."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // part))
+    further = -(-parts // fan) if parts > fan else 1
+    coarse = -(-parts // further)
 
-    def resolved(packed: DataFrame, n_bytes: int) -> DataFrame:
-        found = packed.groupBy("part").applyInArrow(met(n_bytes), FOUND)
-        named = found.groupBy("piece", "doc").agg(F.bit_or("did").alias("did"), F.bit_or("key").alias("key"), F.flatten(F.collect_list("places")).alias("places"))
-        return keep(named.where(F.size("places") > 0).groupBy("did", "key").agg(F.flatten(F.collect_list("places")).alias("places")))
+    def resolved(rows: DataFrame, n_bytes: int) -> DataFrame:
+        if further > 1:
+            rows = rows.repartition("part").sortWithinPartitions("part").mapInArrow(split(n_bytes, further, GATHER // 2), PACKED)
+        found = rows.groupBy("part").applyInArrow(met(n_bytes), FOUND)
+        owned = found.groupBy("piece").applyInArrow(named, "did bigint, key bigint, places array<int>")
+        return keep(owned.groupBy("did", "key").agg(F.flatten(F.collect_list("places")).alias("places")))
 
-    hits = resolved(texts.mapInArrow(anchors(window, parts), PACKED), 5)
-    return resolved(texts.join(hits, ["did", "key"]).mapInArrow(extensions(window, parts), PACKED), 16)
+    hits = resolved(texts.mapInArrow(anchors(window, coarse), PACKED), 5)
+    return resolved(texts.join(hits, ["did", "key"]).mapInArrow(extensions(window, coarse), PACKED), 16)
 
 
-def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 35, with_text: bool = False, carry: list[Column] | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 35, with_text: bool = False, carry: list[Column] | None = None, part: int = PART, fan: int = FAN) -> DataFrame:
     """One row per input row: doc_id, columns to carry, n_words, n_removed, kept_sha256 and, with_text, kept_text, which is
     the text itself where nothing goes.
 
@@ -300,6 +374,6 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
     carried = [c for c in texts.columns if c not in ("doc_id", "text")]
     kinds = dict(texts.dtypes)
     texts = texts.withColumns({"did": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "key": F.xxhash64("doc_id", "text")})
-    found = repeated_windows(texts.select("did", "key", "text"), window)
+    found = repeated_windows(texts.select("did", "key", "text"), window, part, fan)
     schema = "".join(f"{c} {kinds[c]}, " for c in ("doc_id", *carried)) + "n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text
     return texts.join(found, ["did", "key"], "left").select("doc_id", *carried, "text", "places").mapInArrow(removal(window, with_text), schema)

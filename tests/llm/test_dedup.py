@@ -29,6 +29,12 @@ def test_substring_dedup_is_brute_force(docs, rows, window):
     assert got == sorted((str(r[0]), *x) for r, x in zip(rows, brute_repeats([r[1] for r in rows], window), strict=True))
 
 
+@pytest.mark.parametrize(("part", "fan"), [(4000, 4096), (4000, 3), (1000, 2)])
+def test_substring_dedup_whatever_the_parts(docs, rows, part, fan):
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(docs, window=4, part=part, fan=fan).collect())
+    assert got == sorted((str(r[0]), *x) for r, x in zip(rows, brute_repeats([r[1] for r in rows], 4), strict=True))
+
+
 @pytest.mark.parametrize("texts", [["a b c d e f g", "h i j k l m n"], ["a b c d e f g"], ["a a a a a a a"], ["a b c d", "a b c d"]])
 def test_with_nothing_and_with_everything_repeated(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
