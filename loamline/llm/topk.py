@@ -26,13 +26,16 @@ from loamline.llm.common import keep, width
 
 BLOCK = 1024
 PACK = 256
+#: Blocks of a ring that one key of the join holds.
+PART = 64
 
 
 def quantized(vectors: DataFrame, id_column: str, vector_column: str, scale: int) -> DataFrame:
-    """vec_id and v, floor(scale * x) of each component; vectors that are null, empty or not finite are left out."""
+    """vec_id and v, floor(scale * x) of each component; vectors that are null or not finite are left out. An empty one is
+    the vector 0."""
     v = F.col(vector_column).cast("array<double>")
-    usable = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return vectors.where(F.coalesce(usable, F.lit(False)) & F.col(id_column).isNotNull()).select(F.col(id_column).cast("bigint").alias("vec_id"), F.transform(v, lambda x: F.floor(x * float(scale)).cast("double")).alias("v"))
+    usable = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return vectors.where(F.coalesce(usable, F.lit(False)) & F.col(id_column).isNotNull()).select(F.col(id_column).cast("bigint").alias("vec_id"), F.when(F.size(v) > 0, F.transform(v, lambda x: F.floor(x * float(scale)).cast("double"))).otherwise(F.array(F.lit(0.0))).alias("v"))
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -76,9 +79,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "
 
     A row never answers a query of its own id. Ties go to the lesser id. Queries with fewer than k rows get them all.
     Pivots are fitted on ``sample`` rows with the least hashes of their ids; every row is indexed and the results don't
-    depend on the pivots. Null, empty and not finite vectors, and null ids, take no part; vectors of unequal lengths meet
-    as if zeros filled them up. Repeated rows are rows of their own. Quantized components must be below 2**21, so that
-    the products are whole in a double. Other columns are ignored. Empty tables give an empty result.
+    depend on the pivots. Null and not finite vectors, and null ids, take no part; vectors of unequal lengths meet as if
+    zeros filled them up, empty ones too. Repeated rows are rows of their own. Products are taken in doubles where these
+    are exact and in 64-bit integers beyond; components so large that a score might not fit a long are refused with an
+    error. Other columns are ignored. Empty tables give an empty result.
     """
     spark = vectors.sparkSession
     none = "query_id bigint, rank int, vec_id bigint, score bigint"
@@ -87,10 +91,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "
     facts = points.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("length2"), F.max(F.size("v")).alias("dim"), F.max(F.array_max(F.transform("v", F.abs))).alias("top")).first()
     if facts.dim is None:
         return spark.createDataFrame([], none)
-    if facts.top >= 1 << 21:
-        raise ValueError("components are too large for exact products")
     dim, length2 = facts.dim, facts.length2
-    stored = "<i2" if facts.top < 1 << 15 else "<i4"
+    if dim * facts.top**2 >= 1 << 63:
+        raise ValueError("scores of such components may not fit a long")
+    stored = "<i2" if facts.top < 1 << 15 else "<i4" if facts.top < 1 << 31 else "<i8"
+    exact = np.float64 if dim * facts.top**2 < 1 << 53 else np.int64
     fitted = points.orderBy(F.xxhash64("vec_id")).limit(sample).select("v").toArrow()["v"].combine_chunks()
     centres = far_apart(raised(matrix(fitted, dim), length2), pivots)
     sampled = distances(raised(matrix(fitted, dim), length2), centres)
@@ -131,7 +136,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "
     n = width(spark)
     blocks = keep(points.mapInArrow(placed(False), shape).repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(packed(BLOCK), block))
     asked = keep(quantized(queries, query_id, vector_column, scale).mapInArrow(placed(True), shape))
-    rings = blocks.groupBy("ring").agg(F.min("low").alias("low"), F.max("high").alias("high")).toPandas().sort_values("ring")  # pivots * annuli rows at most
+    rings = blocks.groupBy("ring").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("blocks")).toPandas().sort_values("ring")  # pivots * annuli rows at most
     ring_ids, low, high = (rings[c].to_numpy() for c in ("ring", "low", "high"))
     ring_pivot = ring_ids // per_pivot
 
@@ -146,9 +151,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "
         for b in pairs:
             for i in range(b.num_rows):
                 q_ids, ids = np.asarray(b["q_ids"][i].values), np.asarray(b["ids"][i].values)
-                q = np.frombuffer(b["q_xs"][i].as_py(), stored).reshape(len(q_ids), dim).astype(np.float64)
+                q = np.frombuffer(b["q_xs"][i].as_py(), stored).reshape(len(q_ids), dim).astype(exact)
                 floor = np.asarray(b["floors"][i].values)
-                scores = np.rint(q @ np.frombuffer(b["xs"][i].as_py(), stored).reshape(len(ids), dim).astype(np.float64).T).astype(np.int64)
+                scores = np.rint(q @ np.frombuffer(b["xs"][i].as_py(), stored).reshape(len(ids), dim).astype(exact).T).astype(np.int64)
                 own = q_ids[:, None] == ids[None, :]
                 masked = np.where(own, np.iinfo(np.int64).min, scores)
                 if len(ids) > k:
@@ -201,13 +206,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(ring_ids[ring].astype(np.int32)), b["vec_id"].take(take), b["x"].take(take), b["floor"].take(take)], names=["ring", "vec_id", "x", "floor"])
 
     probes = packs(floored.mapInArrow(sent, "ring int, vec_id bigint, x binary, floor bigint"))
-    hits = probes.join(blocks.select("ring", "ids", "xs"), "ring").select(*pair).mapInArrow(best, hit)
+    # a ring's blocks are dealt to parts, and packs go to each of them: no ring, however full, is one task's
+    parts = F.broadcast(spark.createDataFrame([(int(r), -(-int(m) // PART)) for r, m in zip(ring_ids, rings["blocks"], strict=True)], "ring int, parts int"))
+    dealt = blocks.join(parts, "ring").select("ring", "ids", "xs", F.pmod(F.xxhash64("low", "high", F.element_at("ids", 1)), F.col("parts")).cast("int").alias("part"))
+    asking = probes.join(parts, "ring").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    hits = asking.join(dealt, ["ring", "part"]).select(*pair).mapInArrow(best, hit)
     return kth_best(hits, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 ORACLE = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5

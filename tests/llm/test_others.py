@@ -82,7 +82,7 @@ def test_topk_is_brute_force(spark, n):
     x[n // 2 :: 3] = x[: 1] if n else x  # many ties
     data = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + ([(n, None), (n + 1, [1.0, None]), (n + 2, [float("nan")]), (n + 3, [float("inf")]), (n + 4, []), (None, [1.0] * 12), (n + 5, [1.0, 2.0])] if n else [])
     df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>").withColumn("score", F.lit("clash")).repartition(3)
-    use = [(i, np.floor(256 * np.pad(np.array(v), (0, 12 - len(v))))) for i, v in data if i is not None and v and None not in v and np.isfinite(v).all()]
+    use = [(i, np.floor(256 * np.pad(np.array(v), (0, 12 - len(v))))) for i, v in data if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     expected = []
     for q, a in use:
         if q % 5 == 0:
@@ -92,6 +92,21 @@ def test_topk_is_brute_force(spark, n):
     assert sorted(map(tuple, got.collect())) == sorted(expected)
 
 
+def test_topk_of_large_components_and_full_rings(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    monkeypatch.setattr(topk, "PART", 2)
+    rng = np.random.default_rng(3)
+    x = rng.integers(-(1 << 24), 1 << 24, (300, 3)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = topk.top_k(df, df.where("vec_id % 50 = 0"), k=3, scale=64, pivots=2, annuli=2, sample=50)
+    whole = [[int(v) * 64 for v in row] for row in x]
+    expected = [(q, k + 1, i, s) for q in range(0, 300, 50) for k, (s, i) in enumerate(sorted(((sum(a * b for a, b in zip(whole[q], w, strict=True)), i) for i, w in enumerate(whole) if i != q), key=lambda t: (-t[0], t[1]))[:3])]
+    assert sorted(map(tuple, got.collect())) == expected
+    with pytest.raises(ValueError, match="long"):
+        big = spark.createDataFrame([(1, [1e12]), (2, [1.0])], "vec_id bigint, embedding array<double>")
+        topk.top_k(big, big)
+
+
 def test_base_phrases_and_labels(spark, docs, rows, none, clashing):
     texts = ["Released UNDER the\nMIT-License. under the mit license", "Licensed under the Apache License, Version 2.0", "CC BY-NC 4.0", "SPDX-License-Identifier: GPL-3.0-or-later", "the permit licensee", None, "", "under the mit", "xcc by nc", "cc/by&nc cc by ncx"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
