@@ -29,7 +29,8 @@ def width(spark: SparkSession) -> int:
 
 def keep(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder that the cluster names, and let go of the shuffle
-    files that led to it: else they stay until the driver happens to collect its garbage.
+    files that led to it: else they stay until the driver happens to collect its garbage. The session's own setting for
+    that holds for what other queries leave.
 
     Only where the session names none (a bare test session) a local one is set."""
     context = df.sparkSession.sparkContext
@@ -50,12 +51,20 @@ def keep(df: DataFrame) -> DataFrame:
         settings.set(CLEANUP, before)
 
 
-def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let the session hand Python this many rows at a time at most: ten thousand long texts, the default, take tens of
-    megabytes in Spark and several times as much in Python. The setting stays, since plans read it when they run."""
+def prepared(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """The session, set to hand Python this many rows at a time at most: ten thousand long texts, the default, take tens of
+    megabytes in Spark and several times as much in Python. The registered queries and the pipeline's stages, which are
+    applications, call this; the operators change no setting of their caller's."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    return spark
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate results, in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

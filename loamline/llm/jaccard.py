@@ -1,11 +1,13 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, through prefixes of ordered shingle sets.
-
-Texts of the same words meet as one. Two sets at 4/5 or more, both in any one order, have a first common shingle, which
-stands among the first n // 9 + 1 of the smaller set and the first n // 5 + 1 of the larger one: these prefixes reach all
-pairs. The order is by frequency class (of a hashed count of fixed size), then by hash, so that what many texts have in
-common comes last; any order gives right results. A first round compares neighbours by size under each shingle and ties
-dense groups; the second compares all that is left to compare between different components. Each pair is verified on its
-whole sets. Equality of shingles is equality of 64-bit hashes.
+"""Near-duplicates by word shingles: SimHash's index first, then an exact completion at a Jaccard similarity of 0.8.
+
+Texts of the same words meet as one. The Gray-order index of SimHash links fingerprints at few differing bits, and such
+pairs are verified on their shingle sets. That finds most copies, but no small radius reaches all pairs at 0.8, so the
+rest is found through prefixes of ordered shingle sets: two sets at 4/5 or more, both in any one order, have a first
+common shingle, which stands among the first n // 9 + 1 of the smaller set and the first n // 5 + 1 of the larger one:
+these prefixes reach all pairs. The order is by frequency class (of a hashed count of fixed size), then by hash, so that
+what many texts have in common comes last; any order gives right results. A first round compares what the index links and
+neighbours by size under each shingle, and ties dense groups; the second compares all that is left to compare between
+different components. Each pair is verified on its whole sets. Equality of shingles is equality of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -19,9 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamline.llm.common import keep, modest_batches, pieces, raw, text_of
+from loamline.llm.common import keep, pieces, raw, text_of
 from loamline.llm.components import components
-from loamline.llm.simhash import SEED, shingle_hashes
+from loamline.llm.simhash import SEED, fingerprinted, shingle_hashes
+from loamline.llm.simhash import links_of as simhash_links
 from loamline.llm.token_files import shared_folder
 
 #: Fixed value: counters of shingles by their low bits.
@@ -103,7 +106,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def links_of(base: DataFrame, size: int) -> DataFrame:
+def index_links(base: DataFrame, size: int, radius: int) -> DataFrame:
+    """Pairs (a, b) of base's reps that SimHash's index links, each fingerprint standing for one of its reps."""
+    prints = keep(base.select("rep", "text").mapInArrow(fingerprinted(size), "rep bigint, fp bigint"))
+    heads = keep(prints.groupBy("fp").agg(F.min("rep").alias("head")))
+    own = prints.join(heads, "fp").where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
+    near = simhash_links(heads.select("fp"), radius, 2048)
+    a, b = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}")) for c in "ab")
+    return own.unionByName(near.join(a, "a").join(b, "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b")))
+
+
+def links_of(base: DataFrame, size: int, radius: int) -> DataFrame:
     """Links (a, b) that have the components of all pairs of base's reps at 4/5 or more. base: rep, text, a row for each rep."""
     counts = base.select("text").mapInArrow(counted(size), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     counts = keep(counts)
@@ -121,7 +134,7 @@ def links_of(base: DataFrame, size: int) -> DataFrame:
     window = Window.partitionBy("shingle")
     places = keep(places.withColumn("before", F.lag(F.struct("n", "rep", "at")).over(window.orderBy("n", "rep"))).withColumn("after", F.lead("rep").over(window.orderBy("n", "rep"))).where("before IS NOT NULL OR after IS NOT NULL").drop("after"))
     near = places.where("before IS NOT NULL").select(F.col("before").alias("a"), F.struct("n", "at").alias("b"), F.col("rep"))
-    first = written(linked(near.where(REACHED).select(F.col("a.rep").alias("a"), F.col("rep").alias("b"))))
+    first = written(linked(near.where(REACHED).select(F.col("a.rep").alias("a"), F.col("rep").alias("b")).unionByName(index_links(base, size, radius))))
     tied = written(components(first))
     labelled = keep(places.drop("before").join(tied, places["rep"] == tied["node"], "left").select("shingle", "rep", "n", "at", F.coalesce("root", "rep").alias("root")))
     mixed = labelled.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("shingle")
@@ -131,22 +144,21 @@ def links_of(base: DataFrame, size: int) -> DataFrame:
     return first.unionByName(linked(pairs))
 
 
-def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, radius: int = 2) -> DataFrame:
     """One row per input row: doc_id, component_id.
 
     A-Z become lower case, words part at white space; a text's set holds its shingles of ``shingle`` words (fewer words:
     the whole sequence). Texts of the same words, and those whose sets' Jaccard similarity is 0.8 or more, are linked;
     component_id is the least doc_id that links reach, the row's own included. Null, empty and blank texts are the same.
-    A null id takes part without being the least. Repeated rows come out as often as they come in. Other columns are
+    radius is the index's, and changes no result. A null id takes part without being the least. Repeated rows come out as often as they come in. Other columns are
     ignored. An empty table gives an empty result.
     """
-    modest_batches(docs.sparkSession)
     texts = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"))
     kind = dict(texts.dtypes)["doc_id"]
     found = texts.mapInArrow(represented, f"doc_id {kind}, rep bigint, text string")
     prints = keep(found.select("doc_id", "rep"))
     base = keep(found.select("rep", "text").dropDuplicates(["rep"]))
-    tied = written(components(written(links_of(base, shingle))))
+    tied = written(components(written(links_of(base, shingle, radius))))
     least = prints.groupBy("rep").agg(F.min("doc_id").alias("least"))
     classes = keep(least.join(tied, least["rep"] == tied["node"], "left").select("rep", F.coalesce("root", "rep").alias("root"), "least"))
     roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loamline.llm.bpe import encode_decode
-from loamline.llm.common import table
+from loamline.llm.common import prepared
+from loamline.llm.common import table as any_table
 from loamline.llm.html import extract_pages
 from loamline.llm.licenses import license_scan
 from loamline.llm.mixing import mix_documents
@@ -21,6 +22,10 @@ from loamline.llm.topk import ORACLE as TOPK_SQL
 from loamline.llm.topk import top_k
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return any_table(prepared(spark), sf_dir, name)
+
+
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 

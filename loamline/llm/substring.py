@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import gathered, keep, modest_batches, pieces, raw, text_of, word_spans
+from loamline.llm.common import gathered, keep, pieces, raw, text_of, word_spans
 
 PACKED = "part int, kind int, piece bigint, pieces binary, docs binary, places binary, hashes binary, dids array<bigint>, keys array<bigint>"
 FOUND = "piece bigint, docs binary, places binary, dids array<bigint>, keys array<bigint>"
@@ -369,7 +369,6 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
     Rows repeated with the same id and text count as two places each, so they lose all that they can. A null id stays
     null. Other columns, whatever their names, are ignored. An empty table gives an empty result.
     """
-    modest_batches(docs.sparkSession)
     texts = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"), *(carry or []))
     carried = [c for c in texts.columns if c not in ("doc_id", "text")]
     kinds = dict(texts.dtypes)

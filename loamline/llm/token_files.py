@@ -33,12 +33,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loamline.llm.bpe import REMEMBERED, Remembered
-from loamline.llm.common import modest_batches, pieces, text_of, width
+from loamline.llm.common import pieces, text_of, width
 from loamline.llm.substring import mixed
 
 MAGIC = b"loamtok1"
 #: A space and what neither starts nor ends with white space.
 JOINABLE = re.compile(r" \S(?:.*\S)?\Z", re.S)
+#: Bytes of text for a shard: what a task encodes, and whose keys and counts it holds.
+SHARD = 128 << 20
 ROOMS = 2  # slots for each key that is left at a level
 
 
@@ -162,6 +164,8 @@ def write_shard(uri: str, part: str, dtype: str, docs: Iterator[tuple[object, np
         head = json.dumps({"docs": len(keys), "dtype": dtype, "seed": index.seed, "levels": [len(x) for x in index.levels], "parts": [[k, len(v)] for k, v in parts.items()]}).encode()
         out.write(len(head).to_bytes(8, "little") + head + b"".join(parts.values()))
         out.write((int(count.sum()) * np.dtype(dtype).itemsize).to_bytes(8, "little") + MAGIC)
+    if fs.get_file_info(path).type != pyarrow.fs.FileType.NotFound:
+        fs.delete_file(path)  # of an attempt whose end Spark didn't see, with the same bytes
     fs.move(temporary, path)
     return len(keys), int(count.sum())
 
@@ -216,9 +220,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def write_token_files(docs: DataFrame, path: str, folder: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = 0) -> list[tuple[int, int, int]]:
-    """Encode and write all documents; (shard, documents, ids) for each shard, in order. The list is as long as the
-    session has shuffle partitions, at most."""
-    modest_batches(docs.sparkSession)
+    """Encode and write all documents; (shard, documents, ids) for each shard, in order. There is a shard for each SHARD
+    bytes of text, and as many as the session has shuffle partitions at least."""
     tokenizer = Tokenizer.from_file(path)
     dtype = "<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
@@ -242,7 +245,8 @@ def write_token_files(docs: DataFrame, path: str, folder: str, id_column: str =
         n_docs, n_ids = write_shard(f"{folder}/shard-{shard:06d}", f"{task.taskAttemptId()}", dtype, rows())
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "docs": pa.array([n_docs], pa.int64()), "ids": pa.array([n_ids], pa.int64())})
 
-    done = texts.repartitionByRange(width(docs.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(write, "shard int, docs bigint, ids bigint").collect()
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    done = texts.repartitionByRange(max(width(docs.sparkSession), -(-size // SHARD)), *order).sortWithinPartitions(*order).mapInArrow(write, "shard int, docs bigint, ids bigint").collect()
     return sorted((r.shard, r.docs, r.ids) for r in done)
 
 

@@ -1,6 +1,8 @@
 """Mixing, top-k, licenses, quality rules, HTML and the pipeline against brute force."""
 
+import hashlib
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -161,28 +163,76 @@ def test_pages(spark, none):
     assert html.extract_pages(df.limit(0)).count() == 0
 
 
+def pure_quality(text):
+    """The policy web-1 in plain Python."""
+    words = WORD.findall(text or "")
+    grams = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    seen = Counter(grams)
+    repeat = {j for i, g in enumerate(grams) if seen[g] > 1 for j in range(i, i + 8)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    letters = [c for c in text or "" if c.isalpha()]
+    return not (len(words) < 20 or 100 * len(repeat) > 30 * len(words) or 10 * sum(c in "#*$%&|<>" for c in text) > len(words) or 2 * sum(map(str.isupper, letters)) > len(letters) or 2 * (len(lines) - len(set(lines))) > len(lines))
+
+
 def test_pipeline_is_its_stages_by_brute_force(spark, docs, rows, tmp_path):
+    """Every stage on what the one before it kept: null ids, repeated rows, null, empty and very long texts are among them."""
     cp = pytest.importorskip("corpus_pipeline")
-    pytest.importorskip("public_tokenizers")
-    from tests.llm.test_dedup import brute_repeats, brute_roots, brute_simhash
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
 
-    one = docs.where("doc_id IS NOT NULL")
-    one.write.parquet(str(tmp_path / "documents.parquet"))
-    at, kept = one, [r for r in rows if r[0] is not None]
-    for k, (name, stage) in enumerate(cp.STAGES[:3]):
+    from tests.llm.test_dedup import brute_repeats
+    from tests.llm.test_near import brute_least
+
+    library = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
+    docs.withColumns({"_h": F.lit("mine"), "key": F.lit(1), "row": F.col("lang"), "rest": F.lit(None).cast("int")}).write.parquet(str(tmp_path / "documents.parquet"))
+    at, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), rows
+    columns, order = at.columns, lambda x: sorted(x, key=str)
+    for k, (name, stage) in enumerate(cp.STAGES[:4]):
         path = str(tmp_path / name)
         stage(spark, at, str(tmp_path)).write.parquet(path)
         at = spark.read.parquet(path)
-        assert at.columns == docs.columns
+        assert at.columns == columns
+        got = order((r.doc_id, r.text) for r in at.collect())
         if k == 0:
-            good = {r.doc_id for r in quality.quality(one).where("kept").collect()}
-            kept = [r for r in kept if r[0] in good]
-        if k == 1:
-            fps = {r[0]: brute_simhash(r[1]) for r in kept}
-            root = brute_roots(set(fps.values()), [(a, b) for a in fps.values() for b in fps.values() if (a ^ b).bit_count() <= 2])
-            kept = [r for r in {r[0]: r for r in kept}.values() if r[0] == min(i for i in fps if root[fps[i]] == root[fps[r[0]]])]
-        if k == 2:
-            kept = [r for r, (n, gone, _) in zip(kept, brute_repeats([r[1] for r in kept], 35), strict=True) if not gone or gone < n]
-        assert sorted(r.doc_id for r in at.collect()) == sorted(r[0] for r in kept)
+            kept = [r for r in kept if pure_quality(r[1])]
+        elif k == 1:
+            least = brute_least([(r[0], r[1]) for r in kept])
+            kept = list({(r[0], r[1]): r for r, own in zip(kept, least, strict=True) if r[0] == own}.values())
+        elif k == 2:
+            split = [(r[1] or "").encode().split() for r in kept]
+            grams = Counter(tuple(w[i : i + 35]) for w in split for i in range(len(w) - 34))
+            cut = []
+            for r, w, (n, gone, _) in zip(kept, split, brute_repeats([r[1] for r in kept], 35), strict=True):
+                lost = {j for i in range(n - 34) if grams[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+                if gone < n or not gone:
+                    cut.append((r[0], b" ".join(x for j, x in enumerate(w) if j not in lost).decode() if gone else r[1], *r[2:]))
+            kept = cut
+        else:
+            words = lambda t: len(WORD.findall(t or ""))
+            sizes, taken = Counter(), Counter()
+            for r in kept:
+                sizes[r[3]] += words(r[1])
+            names = sorted(sizes, key=lambda s: (s is None, s or ""))
+            targets = mixing.reshared(dict(sizes), {s: 1 + i % 3 for i, s in enumerate(names)}, 3)
+            source = {(r[0], r[1]): r[3] for r in kept}
+            times = Counter(got)
+            assert set(times) <= set(source) and max(times.values()) <= 3
+            for (i, t), n in times.items():
+                taken[source[i, t]] += n * words(t)
+            largest = {s: max(words(r[1]) for r in kept if r[3] == s) for s in names}
+            assert all(abs(taken[s] - targets[s]) <= max(0.05 * targets[s], largest[s] / 2) for s in names)
+            continue
+        assert got == order((r[0], r[1]) for r in kept), name
     out = cp.run(spark, str(tmp_path))
-    assert out.count() == cp.STAGES[3][1](spark, at, "").count() and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    expected = []
+    for r in at.collect():
+        ids = library.encode(r.text, add_special_tokens=False).ids
+        expected.append((r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and order(map(tuple, out.collect())) == order(expected)
+
+
+def test_pipeline_of_an_empty_table(spark, none, tmp_path):
+    cp = pytest.importorskip("corpus_pipeline")
+    pytest.importorskip("public_tokenizers")
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    assert cp.run(spark, str(tmp_path)).count() == 0
