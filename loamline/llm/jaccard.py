@@ -84,6 +84,45 @@ def prefixed(size: int, frequency: np.ndarray):
     return f
 
 
+def slots(n: int) -> int:
+    """How many slots a sketch of n shingles has: a power of two, so that sketches of other lengths fold onto each other."""
+    return 1 << max(3, (n // 2).bit_length())
+
+
+def sketched(size: int):
+    """Each text's number of shingles and how many fall into each slot of a sketch, a byte each."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in pieces(whole, "text", 1 << 20):
+                ns, sketches = [], []
+                for t in lowered_texts(b["text"]):
+                    own = shingle_set(t, size)
+                    m = slots(len(own))
+                    ns.append(len(own))
+                    sketches.append(np.minimum(np.bincount((own & np.uint64(m - 1)).astype(np.int64), minlength=m), 255).astype(np.uint8).tobytes())
+                yield pa.RecordBatch.from_arrays([b["rep"], pa.array(ns, pa.int32()), pa.array(sketches, pa.binary())], names=["rep", "n", "sketch"])
+
+    return f
+
+
+def common_at_most(x: bytes, y: bytes) -> int:
+    """An upper bound of what two sets have in common: slot by slot the lesser count; 255 stands for any count from there."""
+    a, b = (np.frombuffer(s, np.uint8).astype(np.int64) for s in (x, y))
+    a, b = (np.where(s == 255, 1 << 31, s) for s in (a, b))
+    m = min(len(a), len(b))
+    a, b = (s.reshape(-1, m).sum(axis=0) for s in (a, b))
+    return int(np.minimum(a, b).sum())
+
+
+def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches don't rule out a similarity of 4/5."""
+    for b in batches:
+        columns = (b[c].to_pylist() for c in ("n_a", "n_b", "sketch_a", "sketch_b"))
+        good = [9 * common_at_most(x, y) >= 4 * (m + n) for m, n, x, y in zip(*columns, strict=True)]
+        yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
 def verified(size: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -99,7 +138,7 @@ def verified(size: int):
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The same rows from Parquet in the shared folder. Checkpoints carry on the sizes that Spark guesses, which joins
+    """The same rows from Parquet in the shared folder, compressed, and read by columns. Checkpoints carry on the sizes that Spark guesses, which joins
     multiply: after some rounds their digits alone take minutes."""
     path = f"{shared_folder(df.sparkSession)}/near-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -125,9 +164,17 @@ def links_of(base: DataFrame, size: int, radius: int) -> DataFrame:
     frequency = np.zeros(BUCKETS, np.uint8)
     frequency[heavy["bucket"].to_numpy(np.int64)] = heavy["k"].clip(1, 255).to_numpy(np.float64).astype(np.uint8)
 
+    sketches = keep(base.mapInArrow(sketched(size), "rep bigint, n int, sketch binary"))
+
+    def both(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+        a, b = (table.select(F.col("rep").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns)) for c in "ab")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", *(f"{x}_{c}" for x in columns for c in "ab"))
+
     def linked(pairs: DataFrame) -> DataFrame:
-        a, b = (base.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-        return keep(keep(pairs.distinct()).join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(verified(size), "a bigint, b bigint"))
+        """Those at 4/5: sketches, which are a tenth of the texts, leave few pairs whose texts must meet."""
+        few = keep(both(keep(pairs.distinct()), sketches, "n", "sketch").mapInArrow(possible, "a bigint, b bigint"))
+        some = few.select(F.col("a").alias("rep")).unionByName(few.select(F.col("b").alias("rep"))).distinct()
+        return keep(both(few, base.join(some, "rep", "left_semi"), "text").mapInArrow(verified(size), "a bigint, b bigint"))
 
     places = base.mapInArrow(prefixed(size, frequency), "shingle bigint, rep bigint, n int, at int")
     # most shingles are in one text only
@@ -157,7 +204,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     kind = dict(texts.dtypes)["doc_id"]
     found = texts.mapInArrow(represented, f"doc_id {kind}, rep bigint, text string")
     prints = keep(found.select("doc_id", "rep"))
-    base = keep(found.select("rep", "text").dropDuplicates(["rep"]))
+    base = written(found.select("rep", "text").dropDuplicates(["rep"]))
     tied = written(components(written(links_of(base, shingle, radius))))
     least = prints.groupBy("rep").agg(F.min("doc_id").alias("least"))
     classes = keep(least.join(tied, least["rep"] == tied["node"], "left").select("rep", F.coalesce("root", "rep").alias("root"), "least"))

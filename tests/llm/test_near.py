@@ -2,9 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from loamline.llm import jaccard
 from loamline.llm.jaccard import jaccard_components
 from tests.llm.test_dedup import brute_roots
 
@@ -67,3 +71,13 @@ def test_stage_leaves_no_near_copies(spark):
     rows = [(i, " ".join(words[:at] + ["x"] + words[at + 1 :])) for i, at in enumerate((10, 50, 90))] + [(7, " ".join(words)), (8, " ".join(words[::-1]))]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("lang", F.lit("en"))
     assert sorted(r.doc_id for r in cp.one_of_each_group(spark, df, "").collect()) == [0, 8]
+
+
+@given(st.integers(0, 3000), st.integers(0, 3000), st.integers(0, 3000))
+def test_sketches_bound_what_is_common(n, only_a, only_b):
+    rng = np.random.default_rng(n)
+    x = rng.integers(0, 1 << 64, n + only_a + only_b, np.uint64)
+    a, b = np.unique(x[: n + only_a]), np.unique(np.concatenate([x[:n], x[n + only_a :]]))
+    sketch = lambda s: np.minimum(np.bincount((s & np.uint64(jaccard.slots(len(s)) - 1)).astype(np.int64), minlength=jaccard.slots(len(s))), 255).astype(np.uint8).tobytes()
+    assert jaccard.common_at_most(sketch(a), sketch(b)) >= len(np.intersect1d(a, b))
+    assert jaccard.common_at_most(b"\xff" * 8, sketch(b)) >= len(b)
