@@ -6,12 +6,16 @@ the key columns.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions.text import cosine, tokens
+from loamline.session import checkpointed
 
 KEY = ["resource_id", "chunk_index"]
 #: Words too common to be searched in English.
@@ -52,34 +56,109 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def vector_topk(queries: DataFrame, chunks: DataFrame, scopes: DataFrame, k: int = 16, floor: float = 0.10) -> DataFrame:
-    """Per question and source, the k chunks in scope of highest cosine, none under the floor."""
-    asked = queries.select("query_id", F.col("embedding").alias("q")).join(scopes, "query_id")
-    pairs = chunks.where("embedding IS NOT NULL").join(asked, ["source", "scope"])
-    scored = pairs.select("query_id", "source", *KEY, cosine(F.col("q"), F.col("embedding")).alias("score")).where(F.col("score") >= floor)
-    return top(scored, ["query_id", "source"], [F.desc("score"), *map(F.asc, KEY)], k)
-
+def unit_rows(values: pa.Array) -> np.ndarray:
+    """Vectors as the rows of a matrix, each of length 1; those of no length become rows of nan, which score nothing."""
+    sizes = np.diff(np.asarray(values.offsets))
+    x = np.zeros((len(sizes), int(sizes.max(initial=0))))
+    flat = np.asarray(values.flatten(), np.float64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    x[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def best_of_blocks(k: int, floor: float):
+    """Of packs of questions and blocks of chunks of one source: each question's k best in the block."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                asked, block = b["asked"][i].values, b["block"][i].values
+                q, x = unit_rows(asked.field("embedding")), unit_rows(block.field("embedding"))
+                width = max(q.shape[1], x.shape[1])
+                q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, x))
+                score = np.round(q @ x.T, 12)  # sums in another order may differ in their last digits
+                row, col = np.nonzero(score >= floor)
+                keys = pc.rank(block.field("key"), sort_keys="ascending").to_numpy()
+                order = np.lexsort((keys[col], -score[row, col], row))
+                row, col = row[order], col[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, col = row[first], col[first]
+                source = pa.repeat(b["source"][i], len(row))
+                yield pa.RecordBatch.from_arrays([asked.field("query_id").take(pa.array(row)), source, *(block.field(c).take(pa.array(col)) for c in KEY), pa.array(score[row, col])], names=["query_id", "source", *KEY, "score"])
+
+    return f
+
+
+def blocked(df: DataFrame, by: list[str], rows: list[Column], name: str, most: int) -> DataFrame:
+    """Rows gathered by these columns, about most in each row of the result, however many there are of one kind."""
+    sizes = df.groupBy(*by).agg(F.ceil(F.count("*") / most).alias("_parts"))
+    dealt = df.join(sizes, by).withColumn("_part", F.pmod(F.xxhash64(*rows), F.col("_parts")))
+    return dealt.groupBy(*by, "_part").agg(F.collect_list(F.struct(*rows)).alias(name)).drop("_part")
+
+
+def scored(asked: DataFrame, chunks: DataFrame, by: list[str], k: int, floor: float) -> DataFrame:
+    """The k best chunks of each question (query_id, embedding) and source, among those with equal columns by."""
+    kinds = dict(asked.dtypes) | dict(chunks.dtypes)
+    blocks = blocked(chunks, by, [F.concat_ws("\x1f", "resource_id", F.lpad(F.col("chunk_index").cast("string"), 12, "0")).alias("key"), *map(F.col, KEY), F.col("embedding")], "block", 1024)
+    packs = blocked(asked, by, [F.col("query_id"), F.col("embedding")], "asked", 128)
+    pairs = packs.join(blocks, by).select("source", "asked", "block")
+    shape = f"query_id {kinds['query_id']}, source string, resource_id {kinds['resource_id']}, chunk_index {kinds['chunk_index']}, score double"
+    return top(pairs.mapInArrow(best_of_blocks(k, floor), shape), ["query_id", "source"], [F.desc("score"), *map(F.asc, KEY)], k)
 
-def vector_topk_approx(queries: DataFrame, chunks: DataFrame, scopes: DataFrame, k: int = 16, floor: float = 0.10, bucket: float = 0.6, tables: int = 6, seed: int = 11) -> DataFrame:
-    """vector_topk on candidates that share a bucket of a random projection; more tables find more of them."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
 
-    def unit(df: DataFrame, *keep: str) -> DataFrame:
-        length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
-        return df.where("embedding IS NOT NULL").select(*keep, "embedding", array_to_vector(F.transform("embedding", lambda x: F.try_divide(x.cast("double"), length))).alias("v"))
-
-    c, q = unit(chunks, "source", "scope", *KEY), unit(queries, "query_id")
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(c)
-    near = model.approxSimilarityJoin(c, q, (2 - 2 * floor) ** 0.5 + 1e-9, "distance")
-    flat = near.select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.source").alias("source"), F.col("datasetA.scope").alias("scope"), *(F.col(f"datasetA.{x}").alias(x) for x in KEY), cosine(F.col("datasetA.embedding"), F.col("datasetB.embedding")).alias("score"))
-    seen = flat.join(scopes, ["query_id", "source", "scope"], "left_semi").where(F.col("score") >= floor).drop("scope")
-    return top(seen, ["query_id", "source"], [F.desc("score"), *map(F.asc, KEY)], k)
+def vector_topk(queries: DataFrame, chunks: DataFrame, scopes: DataFrame, k: int = 16, floor: float = 0.10) -> DataFrame:
+    """Per question and source, the k chunks in scope of highest cosine, none under the floor. Null vectors and those of no
+    length take no part. Questions and chunks meet in blocks, as products of matrices; a scope of any size is many blocks."""
+    asked = queries.where("embedding IS NOT NULL").select("query_id", "embedding").join(scopes, "query_id")
+    return scored(asked, chunks.where("embedding IS NOT NULL").select("source", "scope", *KEY, "embedding"), ["source", "scope"], k, floor)
+
+
+def centres_of(chunks: DataFrame, cells: int, sample: int, steps: int = 6) -> np.ndarray:
+    """Cells of an index: means of what lies nearest to each other in a sample of fixed size, by the hash of the keys."""
+    rows = chunks.orderBy(F.xxhash64(*KEY)).limit(sample).select("embedding").toArrow()["embedding"].combine_chunks()
+    x = unit_rows(rows) if len(rows) else np.zeros((0, 1))
+    x = x[np.isfinite(x).all(axis=1)]
+    out = x[np.linspace(0, max(0, len(x) - 1), min(cells, len(x))).astype(int)]
+    for _ in range(steps):
+        home = (x @ out.T).argmax(axis=1) if len(x) else np.zeros(0, int)
+        sums = np.zeros_like(out)
+        np.add.at(sums, home, x)
+        length = np.sqrt((sums * sums).sum(axis=1))
+        out = np.where(length[:, None] > 0, sums / np.maximum(length, 1e-300)[:, None], out)
+    return out
+
+
+def vector_topk_approx(queries: DataFrame, chunks: DataFrame, scopes: DataFrame, k: int = 16, floor: float = 0.10, cells: int = 256, probes: int = 176, sample: int = 8192) -> DataFrame:
+    """vector_topk among the chunks in the probes cells nearest to each question: every chunk is in the cell of its nearest
+    centre, and centres are fitted on sample rows. More probes find more; with all cells the result is the exact one. The
+    default is for vectors that are spread evenly (recall 0.95 on such ones); clustered ones need fewer probes."""
+    kept = chunks.where("embedding IS NOT NULL").select("source", "scope", *KEY, "embedding")
+    centres = centres_of(kept, cells, sample)
+    if not len(centres):
+        return vector_topk(queries, chunks, scopes, k, floor)
+
+    def nearest(n: int):
+        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = np.nan_to_num(unit_rows(b["embedding"]))
+                near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :n].astype(np.int32)
+                row = np.repeat(np.arange(len(near)), near.shape[1])
+                yield b.take(pa.array(row)).append_column("cell", pa.array(near.ravel()))
+
+        return f
+
+    def with_cells(df: DataFrame, n: int) -> DataFrame:
+        return df.mapInArrow(nearest(n), ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", cell int")
+
+    asked = with_cells(queries.where("embedding IS NOT NULL").select("query_id", "embedding"), min(probes, len(centres)))
+    return scored(asked.join(scopes, "query_id"), with_cells(kept, 1), ["source", "scope", "cell"], k, floor)
 
 
 def stem(token: Column) -> Column:
-    """A light English stem: common endings go, if enough is left."""
-    cut = F.regexp_replace(F.regexp_replace(token, r"(?<=..)ies$", "y"), r"(?<=...)(?:ing|edly|ed|ly|es|s)$", "")
+    """A light English stem: common endings go, if enough is left, and a consonant doubled before one is single again."""
+    single = F.regexp_replace(F.regexp_replace(token, r"(?<=..)ies$", "y"), r"(?<=.)([bdfgmnprt])\1(?:ing|edly|ed)$", "$1")
+    cut = F.regexp_replace(single, r"(?<=...)(?:ing|edly|ed|ly|es|s)$", "")
     return F.when(F.char_length(token) > 3, cut).otherwise(token)
 
 
@@ -91,36 +170,59 @@ def tokenize(df: DataFrame, language: str = "simple", text: str = "text", field:
     return out.withColumn("field", F.lit(field))
 
 
-def postings(chunks: DataFrame, language: str = "simple") -> DataFrame:
-    """Titles with field A and texts with field B."""
-    return tokenize(chunks, language, "title", "A").unionByName(tokenize(chunks, language, "text", "B"))
+def postings(chunks: DataFrame, language: str = "simple", tokens_of: DataFrame | None = None) -> DataFrame:
+    """The inverted index: a row for each chunk and token, with the token's places in the title (a) and in the text (b).
+
+    It is meant to be stored, by token, and used for many questions. tokens_of: terms (see parse_search) whose tokens are
+    all that is wanted; then nothing else is gathered."""
+    every = tokenize(chunks, language, "title", "A").unionByName(tokenize(chunks, language, "text", "B"))
+    if tokens_of is not None:
+        every = every.join(tokens_of.select(F.explode("tokens").alias("token")).where("token IS NOT NULL").distinct(), "token", "left_semi")
+    places = lambda field: F.array_sort(F.collect_list(F.when(F.col("field") == field, F.col("pos"))))
+    return every.groupBy("source", "scope", *KEY, "token").agg(places("A").alias("a"), places("B").alias("b"))
 
 
 def parse_search(queries: DataFrame, language: str = "simple") -> DataFrame:
-    """(query_id, branch, term, negated, tokens): quoted phrases, OR between branches, a leading minus; else all terms."""
+    """(query_id, branch, term, negated, tokens): quoted phrases, OR between branches, a leading minus; else all terms.
+    Stop words of a phrase leave their places empty (null)."""
     found = F.regexp_extract_all("text", F.lit(r'(-?"[^"]*"|\S+)'), 1)
     items = queries.select("query_id", F.posexplode(F.coalesce(found, F.array())).alias("term", "raw"))
     branch = F.sum(F.when(F.lower("raw") == "or", 1).otherwise(0)).over(Window.partitionBy("query_id").orderBy("term"))
     rows = items.withColumn("branch", branch).where(F.lower("raw") != "or")
     words = tokens(F.col("raw"))
     if language == "english":
-        words = F.transform(F.filter(words, lambda w: ~w.isin(*STOP_WORDS)), stem)
-    return rows.select("query_id", "branch", "term", F.startswith("raw", F.lit("-")).alias("negated"), words.alias("tokens")).where(F.size("tokens") > 0)
+        words = F.transform(words, lambda w: F.when(~w.isin(*STOP_WORDS), stem(w)))
+    return rows.select("query_id", "branch", "term", F.startswith("raw", F.lit("-")).alias("negated"), words.alias("tokens")).where(F.exists("tokens", lambda w: w.isNotNull()))
 
 
 def keyword_match(terms: DataFrame, index: DataFrame, scopes: DataFrame) -> DataFrame:
     """(query_id, source, key, n_a, n_b, span): chunks in scope that satisfy a branch, with occurrences of its terms.
 
-    Phrases are found by the distance of their tokens' places, so every term is one equi-join on tokens."""
-    parts = terms.select("query_id", "branch", "term", "negated", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("i", "token"))
-    hits = parts.join(index, "token").join(scopes, ["query_id", "source", "scope"], "left_semi")
-    at = ["query_id", "branch", "term", "negated", "n_tokens", "source", *KEY, "field"]
-    whole = hits.groupBy(*at, (F.col("pos") - F.col("i")).alias("start")).agg(F.countDistinct("i").alias("found")).where("found = n_tokens")
-    negative = whole.where("negated").select("query_id", "branch", *KEY).distinct()
-    needed = terms.where("NOT negated").groupBy("query_id", "branch").agg(F.countDistinct("term").alias("needed"))
-    good = whole.where("NOT negated").groupBy("query_id", "branch", "source", *KEY).agg(F.countDistinct("term").alias("have"), F.count_if(F.col("field") == "A").alias("n_a"), F.count_if(F.col("field") == "B").alias("n_b"), (F.max(F.when(F.col("field") == "B", F.col("start"))) - F.min(F.when(F.col("field") == "B", F.col("start")))).alias("span"))
-    full = good.join(needed, ["query_id", "branch"]).where("have = needed").join(negative, ["query_id", "branch", *KEY], "left_anti")
-    return full.groupBy("query_id", "source", *KEY).agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.min("span").alias("span"))
+    A branch looks up its rarest token first, in its question's scopes; those chunks are asked for its other tokens by chunk
+    and token, and only where all are there are places compared. So no common token is ever looked up for its own sake."""
+    at, chunk = ["query_id", "branch"], ["source", *KEY]
+    parts = terms.select(*at, "term", "negated", F.size(F.filter("tokens", lambda w: w.isNotNull())).alias("n_tokens"), F.posexplode("tokens").alias("i", "token")).where("token IS NOT NULL")
+    wanted = parts.where("NOT negated").select(*at, "token").distinct()
+    counted = wanted.join(index.groupBy("token").agg(F.count("*").alias("n")), "token", "left")
+    rarest = counted.groupBy(*at).agg(F.count("*").alias("needed"), F.count("n").alias("known"), F.min_by("token", F.struct("n", "token")).alias("token")).where("known = needed")
+    first = rarest.join(scopes, "query_id").join(index.select("source", "scope", *KEY, "token"), ["source", "scope", "token"])
+    there = first.select(*at, "needed", *chunk).join(wanted, at).join(index.select(*KEY, "token"), [*KEY, "token"])
+    full = there.groupBy(*at, "needed", *chunk).agg(F.count("*").alias("have")).where("have = needed").select(*at, *chunk)
+    places = full.join(parts, at).join(index.select(*KEY, "token", "a", "b"), [*KEY, "token"])
+    by_term = places.groupBy(*at, *chunk, "term", "negated", "n_tokens").agg(F.collect_list(F.struct("i", "a", "b")).alias("p"))
+
+    def starts(field: str) -> Column:
+        """Where all tokens of a term stand in a row."""
+        own = F.transform("p", lambda x: F.transform(x[field], lambda pos: pos - x["i"]))
+        met = F.aggregate(F.slice(own, 2, F.size(own)), F.get(own, F.lit(0)), F.array_intersect)
+        return F.when(F.size("p") == F.col("n_tokens"), met).otherwise(F.array().cast("array<int>"))
+
+    met = by_term.select(*at, *chunk, "negated", starts("a").alias("a"), starts("b").alias("b")).withColumn("ok", F.size("a") + F.size("b") > 0)
+    good = F.col("ok") & ~F.col("negated")
+    sums = met.groupBy(*at, *chunk).agg(F.count_if(good).alias("have"), F.count_if(F.col("ok") & F.col("negated")).alias("bad"), F.sum(F.when(good, F.size("a"))).alias("n_a"), F.sum(F.when(good, F.size("b"))).alias("n_b"), (F.max(F.when(good, F.array_max("b"))) - F.min(F.when(good, F.array_min("b")))).alias("span"))
+    needed = terms.where("NOT negated").groupBy(*at).agg(F.count("*").alias("needed"))
+    whole = sums.join(needed, at).where("have = needed AND bad = 0")
+    return whole.groupBy("query_id", *chunk).agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.min("span").alias("span"))
 
 
 def keyword_rank(matched: DataFrame, k: int = 16) -> DataFrame:
@@ -153,8 +255,26 @@ def merge_hit_metadata(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumn("metadata", merged).withColumn("title", F.coalesce("title", F.try_element_at("metadata", F.lit("object_name"))))
 
 
+def keyword_leg(queries: DataFrame, chunks: DataFrame, scopes: DataFrame, k: int, language: str) -> DataFrame:
+    """keyword_rank for questions that each have a language: english, or any other for words as they are."""
+    spoken = F.when(F.coalesce("language", F.lit(language)) == "english", "english").otherwise("simple")
+    asked = queries.withColumn("_language", spoken) if "language" in queries.columns else queries.withColumn("_language", F.lit(language))
+    legs = []
+    for own in [r[0] for r in asked.select("_language").distinct().collect()]:  # two at most
+        terms = parse_search(asked.where(F.col("_language") == own), own)
+        index = checkpointed(postings(chunks, own, terms))
+        legs.append(keyword_match(terms, index, scopes))
+    if not legs:
+        legs.append(keyword_match(parse_search(asked), postings(chunks, tokens_of=parse_search(asked)), scopes))
+    matched = legs[0]
+    for other in legs[1:]:
+        matched = matched.unionByName(other)
+    return keyword_rank(matched, k)
+
+
 def retrieve(queries: DataFrame, chunks: DataFrame, grants: DataFrame, sources: list[str] | None = None, mode: str = "hybrid", top_k: int = 8, cap: int = 4, multiplier: int = 4, floor: float = 0.10, language: str = "simple") -> DataFrame:
-    """Scopes, candidates of each source, fusion and quota. Blank questions and empty scopes give no rows."""
+    """Scopes, candidates of each source, fusion and quota. Blank questions and empty scopes give no rows. language: that of
+    questions whose own is null."""
     asked = queries.where(F.trim(F.coalesce("text", F.lit(""))) != "")
     scopes = query_scopes(asked, grants, sources)
     k = max(top_k, cap * multiplier)
@@ -162,7 +282,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, grants: DataFrame, sources:
     if mode == "vector":
         ranked = vector.drop("rank").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *map(F.asc, KEY))))
     else:
-        ranked = rrf(vector, keyword_rank(keyword_match(parse_search(asked, language), postings(chunks, language), scopes), k))
+        ranked = rrf(vector, keyword_leg(asked, chunks, scopes, k, language))
     return source_quota(ranked, top_k, cap)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from loamline.functions.text import fingerprint, html_to_text, is_tracing
 from loamline.operators import index, lineage, search
 from loamline.plans import adhoc, retail, usage
+from loamline.session import checkpointed
 from loamline.sources import landed
 from loamline.streaming.ingest import latest_version, usage_windows
 
@@ -170,10 +171,10 @@ def query_scopes(spark, d):
     return search.query_scopes(questions(spark, d), grants(spark, d))
 
 
-@registered(f"WITH {CHUNKS} SELECT doc_id, source FROM c WHERE (source, scope) IN (SELECT source, scope FROM s WHERE query_id = 1)")
+@registered(f"WITH {CHUNKS} SELECT doc_id, source FROM c WHERE (source, scope) IN (SELECT source, scope FROM s)")
 def scope_filter(spark, d):
-    one = search.query_scopes(questions(spark, d).where("query_id = 1"), grants(spark, d))
-    return search.scope_filter_all(chunks(spark, d), one).select("doc_id", "source")
+    every = search.query_scopes(questions(spark, d), grants(spark, d))
+    return search.scope_filter_all(chunks(spark, d), every).select("doc_id", "source")
 
 
 @registered(f"WITH {CHUNKS} SELECT doc_id, source FROM c WHERE (source, scope) IN (SELECT source, scope FROM g WHERE user_id = 'u2')")
@@ -213,12 +214,6 @@ def numbered_context(spark, d):
     return search.numbered_context(hits.join(texts, ["resource_id", "chunk_index"])).select("query_id", "number", "resource_id")
 
 
-@registered()
-def retrieve_hybrid(spark, d):
-    hits = search.retrieve(questions(spark, d), chunks(spark, d), grants(spark, d))
-    return hits.select("query_id", "resource_id", "source", F.round("rrf", 9).alias("rrf"), "place")
-
-
 @registered(f"{QUOTA}, good AS (SELECT query_id, 'doc:' || doc_id AS resource_id FROM q, labels WHERE quality = 1 AND doc_id % 7 = query_id % 7), t AS (SELECT query_id, resource_id FROM p WHERE place <= 8), f AS (SELECT query_id, count(*) AS taken, count(good.resource_id) AS found FROM t LEFT JOIN good USING (query_id, resource_id) GROUP BY query_id), n AS (SELECT query_id, count(*) AS relevant FROM good GROUP BY query_id) SELECT query_id, round(coalesce(found / taken, 0), 6) AS precision, round(coalesce(found / relevant, 0), 6) AS recall FROM n FULL JOIN f USING (query_id)")
 def retrieval_quality(spark, d):
     q = questions(spark, d)
@@ -233,15 +228,67 @@ def tokenize_simple(spark, d):
     return search.tokenize(table(spark, d, "documents"), keep=["doc_id"]).select("doc_id", "pos", "token")
 
 
-@registered(f"""WITH {CHUNKS}, w AS (SELECT source, scope, resource_id, list_filter(regexp_split_to_array(lower(text), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM c),
-t AS (SELECT query_id, list_filter(regexp_split_to_array(lower(text), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')[1:2] AS t FROM q)
-SELECT query_id, w.source, resource_id FROM t JOIN s USING (query_id) JOIN w ON w.source = s.source AND w.scope = s.scope WHERE len(t) > 0 AND list_has_all(w, t)""")
+SPLIT = "list_filter(regexp_split_to_array(lower({}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+
+def searches(spark: SparkSession, d: str) -> DataFrame:
+    """Every question with its whole text, and for every hundredth document a search of phrases, OR and minus in its words."""
+    docs = table(spark, d, "documents").where("doc_id % 100 = 0").withColumn("w", search.tokens(F.col("text"))).where(F.size("w") >= 9)
+    w = lambda k: F.get("w", F.lit(k - 1))
+    text = F.concat(F.lit('"'), w(1), F.lit(" "), w(2), F.lit('" '), w(4), F.lit(" OR "), w(6), F.lit(" "), w(7), F.lit(" -"), w(9))
+    asked = docs.select((F.col("doc_id") + 1_000_000).alias("query_id"), F.concat(F.lit("u"), F.regexp_extract("source", r"(\d+)$", 1).cast("int") % 5).alias("user_id"), text.alias("text"), F.lit("simple").alias("language"))
+    return questions(spark, d).select("query_id", "user_id", "text", "language").unionByName(asked)
+
+
+#: The searches, their terms, and the chunks that satisfy a branch, with occurrences and span.
+SEARCH = f"""sq AS (SELECT item_id AS query_id, 'u' || (item_id % 5) AS user_id, text FROM benchmark JOIN embeddings ON vec_id = item_id UNION ALL
+    SELECT doc_id + 1000000, 'u' || (regexp_extract(source, '(\\d+)$', 1)::INT % 5), '"' || w[1] || ' ' || w[2] || '" ' || w[4] || ' OR ' || w[6] || ' ' || w[7] || ' -' || w[9] FROM (SELECT doc_id, source, {SPLIT.format("text")} AS w FROM documents WHERE doc_id % 100 = 0) WHERE len(w) >= 9),
+raws AS (SELECT query_id, unnest(r) AS raw, unnest(range(len(r))) AS term FROM (SELECT query_id, regexp_extract_all(text, '-?"[^"]*"|\\S+') AS r FROM sq)),
+branched AS (SELECT *, sum(CASE WHEN lower(raw) = 'or' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY term) AS branch FROM raws),
+terms AS (SELECT query_id, branch, term, starts_with(raw, '-') AS negated, {SPLIT.format("raw")} AS t FROM branched WHERE lower(raw) <> 'or' AND len({SPLIT.format("raw")}) > 0),
+cw AS (SELECT source, scope, resource_id, {SPLIT.format("title")} AS ta, {SPLIT.format("text")} AS tb, ' ' || array_to_string({SPLIT.format("text")}, ' ') || ' ' AS w FROM c),
+ss AS (SELECT DISTINCT query_id, g.source, g.scope FROM sq JOIN g USING (user_id)),
+met AS (SELECT query_id, branch, cw.source, resource_id, any_value(ta) AS ta, any_value(tb) AS tb FROM terms JOIN ss USING (query_id) JOIN cw ON cw.source = ss.source AND cw.scope = ss.scope
+    GROUP BY query_id, branch, cw.source, resource_id HAVING bool_and(negated <> contains(w, ' ' || array_to_string(t, ' ') || ' ')) AND NOT bool_and(negated)),
+places AS (SELECT query_id, branch, source, resource_id, list_filter(range(1, len(ta) + 1), lambda i: ta[i:i + len(t) - 1] = t) AS a, list_filter(range(1, len(tb) + 1), lambda i: tb[i:i + len(t) - 1] = t) AS b FROM met JOIN terms USING (query_id, branch) WHERE NOT negated),
+per AS (SELECT query_id, branch, source, resource_id, sum(len(a)) AS n_a, sum(len(b)) AS n_b, max(list_max(b)) - min(list_min(b)) AS span FROM places GROUP BY ALL),
+found AS (SELECT query_id, source, resource_id, max(n_a)::BIGINT AS n_a, max(n_b)::BIGINT AS n_b, min(span)::BIGINT AS span FROM per GROUP BY ALL),
+kw AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, resource_id) AS rank FROM (SELECT *, (n_a * 1.0::DOUBLE + n_b * 0.4::DOUBLE) / (1 + ln(1.0::DOUBLE + span)) AS score FROM found))"""
+
+
+@registered(f"WITH {CHUNKS}, {SEARCH} SELECT query_id, branch::BIGINT AS branch, term::INTEGER AS term, negated, array_to_string(t, ' ') AS tokens FROM terms")
+def search_terms(spark, d):
+    return search.parse_search(searches(spark, d)).select("query_id", "branch", "term", "negated", F.array_join("tokens", " ").alias("tokens"))
+
+
+def matched(spark: SparkSession, d: str) -> DataFrame:
+    asked = searches(spark, d)
+    terms = search.parse_search(asked)
+    index = checkpointed(search.postings(chunks(spark, d), tokens_of=terms))
+    return search.keyword_match(terms, index, search.query_scopes(asked, grants(spark, d)))
+
+
+@registered(f"WITH {CHUNKS}, {SEARCH} SELECT query_id, source, resource_id, n_a, n_b, span FROM found")
 def keyword_match(spark, d):
-    """Chunks that have the first two words of a question."""
-    q = questions(spark, d)
-    two = q.withColumn("text", F.array_join(F.slice(search.tokens(F.col("text")), 1, 2), " "))
-    hits = search.keyword_match(search.parse_search(two), search.tokenize(chunks(spark, d)), search.query_scopes(q, grants(spark, d)))
-    return hits.select("query_id", "source", "resource_id")
+    return matched(spark, d).select("query_id", "source", "resource_id", "n_a", "n_b", F.col("span").cast("bigint").alias("span"))
+
+
+@registered(f"WITH {CHUNKS}, {SEARCH} SELECT query_id, source, resource_id, round(score, 6) AS score, rank::INTEGER AS rank FROM kw WHERE rank <= 16")
+def keyword_rank(spark, d):
+    return search.keyword_rank(matched(spark, d)).select("query_id", "source", "resource_id", F.round("score", 6).alias("score"), "rank")
+
+
+@registered(f"""WITH {CHUNKS}, {SEARCH},
+legs AS (SELECT query_id, source, resource_id, 0 AS leg, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, resource_id) AS place FROM v
+    UNION ALL SELECT query_id, source, resource_id, 1, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, resource_id) FROM kw WHERE rank <= 16 AND query_id < 1000000),
+fused AS (SELECT query_id, source, resource_id, sum(1.0::DOUBLE / (60 + place)) AS rrf FROM legs GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, resource_id) AS r FROM fused),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY r) > 4 AS over FROM r),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY over, r) AS place FROM o)
+SELECT query_id, resource_id, source, round(rrf, 9) AS rrf, place::INTEGER AS place FROM p WHERE place <= 8""")
+def retrieve_hybrid(spark, d):
+    hits = search.retrieve(questions(spark, d), chunks(spark, d), grants(spark, d))
+    return hits.select("query_id", "resource_id", "source", F.round("rrf", 9).alias("rrf"), "place")
 
 
 @registered("SELECT source, scope FROM (SELECT DISTINCT source, lang AS scope FROM documents) WHERE source IN ('src1', 'src2') AND scope = 'en'")
