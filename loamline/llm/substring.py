@@ -28,7 +28,7 @@ FOUND = "piece bigint, docs binary, places binary, dids array<bigint>, keys arra
 #: repeat; the texts of a piece, which the others name by their number in it.
 PROBES, PRESENT, KNOWN, TEXTS = 0, 1, 2, 3
 #: Bytes of text for which there is one hash part, what a task gathers before it sends, and the parts that it sends to.
-PART, GATHER, FAN = 2 << 20, 4 << 20, 4096
+PART, GATHER, FAN = 2 << 20, 2 << 20, 2048
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 SIGN = np.uint32(1 << 31)
 
@@ -260,7 +260,7 @@ def anchors(window: int, parts: int):
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in gathered(batches, "text", GATHER):
-            for b in pieces(whole, "text", 2 * GATHER):
+            for b in pieces(whole, "text", GATHER):
                 data, offsets = raw(b["text"])
                 starts, ends, before = word_spans(data, offsets)
                 n = np.diff(before)
@@ -284,7 +284,7 @@ def extensions(window: int, parts: int):
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in gathered(batches, "text", GATHER):
-            for b in pieces(whole, "text", 2 * GATHER):
+            for b in pieces(whole, "text", GATHER):
                 data, offsets = raw(b["text"])
                 starts, ends, before = word_spans(data, offsets)
                 n = np.diff(before)
