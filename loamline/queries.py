@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.functions.text import fingerprint, html_to_text, is_tracing
+from loamline.functions.text import fingerprint, html_to_text
 from loamline.operators import index, lineage, search
 from loamline.plans import adhoc, retail, usage
 from loamline.session import checkpointed
@@ -340,11 +340,6 @@ def edge_search(spark, d):
     return lineage.edge_search(edges(spark, d), "S1")
 
 
-@registered("SELECT conv_id, turn FROM conversations WHERE role = 'user' AND regexp_matches(lower(text), '\\b(trace|traced|tracing|derive|derived|derivation|lineage|depends? on|dependency|dependencies|impact|breaks? if|affects?|affected by|where does .* come from|what references|downstream|upstream)\\b')")
-def tracing_questions(spark, d):
-    return table(spark, d, "conversations").where(F.col("role") == "user").where(is_tracing(F.col("text"))).select("conv_id", "turn")
-
-
 # reports
 
 
