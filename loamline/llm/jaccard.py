@@ -5,8 +5,9 @@ pairs are verified on their shingle sets. That finds most copies, but no small r
 rest is found through prefixes of ordered shingle sets: two sets at 4/5 or more, both in any one order, have a first
 common shingle, which stands among the first n // 9 + 1 of the smaller set and the first n // 5 + 1 of the larger one:
 these prefixes reach all pairs. The order is by frequency class (of a hashed count of fixed size), then by hash, so that
-what many texts have in common comes last; any order gives right results. A first round compares what the index links and
-neighbours by size under each shingle, and ties dense groups; the second compares all that is left to compare between
+what many texts have in common comes last; any order gives right results. A first round compares what the index links,
+neighbours by size under each shingle and, with all others there, the text whose shingles most others have; that ties
+dense groups and the many edited copies of one text; the second compares all that is left to compare between
 different components. Each pair is verified on its whole sets. Equality of shingles is equality of 64-bit hashes.
 """
 
@@ -179,11 +180,18 @@ def links_of(base: DataFrame, size: int, radius: int) -> DataFrame:
     places = base.mapInArrow(prefixed(size, frequency), "shingle bigint, rep bigint, n int, at int")
     # most shingles are in one text only
     window = Window.partitionBy("shingle")
-    places = keep(places.withColumn("before", F.lag(F.struct("n", "rep", "at")).over(window.orderBy("n", "rep"))).withColumn("after", F.lead("rep").over(window.orderBy("n", "rep"))).where("before IS NOT NULL OR after IS NOT NULL").drop("after"))
+    places = keep(places.withColumn("holders", F.count("*").over(window)).withColumn("before", F.lag(F.struct("n", "rep", "at")).over(window.orderBy("n", "rep"))).withColumn("after", F.lead("rep").over(window.orderBy("n", "rep"))).where("before IS NOT NULL OR after IS NOT NULL").drop("after"))
     near = places.where("before IS NOT NULL").select(F.col("before").alias("a"), F.struct("n", "at").alias("b"), F.col("rep"))
-    first = written(linked(near.where(REACHED).select(F.col("a.rep").alias("a"), F.col("rep").alias("b")).unionByName(index_links(base, size, radius))))
+    # of many copies of one text with edits of their own, none may be like another one but all like the text: under each
+    # shingle all meet the one whose shingles most others have
+    mass = places.groupBy("rep").agg((F.sum("holders") / (F.first("n") / 5 + 1)).alias("mass"))
+    me = F.struct("n", "rep", "at")
+    starred = places.join(mass, "rep").withColumn("hub", F.max(F.struct("mass", me.alias("x"))).over(window)["x"])
+    stars = starred.where("rep <> hub.rep").select(F.least(me, F.col("hub")).alias("a"), F.greatest(me, F.col("hub")).alias("b")).where(REACHED)
+    met = near.where(REACHED).select(F.col("a.rep").alias("a"), F.col("rep").alias("b")).unionByName(stars.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")))
+    first = written(linked(met.unionByName(index_links(base, size, radius))))
     tied = written(components(first))
-    labelled = keep(places.drop("before").join(tied, places["rep"] == tied["node"], "left").select("shingle", "rep", "n", "at", F.coalesce("root", "rep").alias("root")))
+    labelled = keep(places.drop("before", "holders").join(tied, places["rep"] == tied["node"], "left").select("shingle", "rep", "n", "at", F.coalesce("root", "rep").alias("root")))
     mixed = labelled.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("shingle")
     rest = keep(labelled.join(mixed, "shingle", "left_semi"))
     pairs = rest.alias("a").join(rest.alias("b"), F.expr(f"a.shingle = b.shingle AND a.root <> b.root AND (a.n < b.n OR a.n = b.n AND a.rep < b.rep) AND {REACHED}"))
