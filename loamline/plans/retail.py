@@ -85,7 +85,7 @@ def monthly_sales_by_region(t: dict[str, DataFrame], start: str | None = None, e
     """Sales by region and period, the prior period's, growth in percent, and the segment that sold most."""
     staged = stage_completed_lines(t, start, end)
     by_segment = staged.groupBy("region_id", "fiscal_period", "segment").agg(F.sum("net_amount").alias("amount"), F.min("order_date").alias("first"))
-    top = F.max_by("segment", F.struct("amount", F.transform(F.split("segment", ""), lambda c: -F.ascii(c)))).alias("top_segment")  # ties: the first by name
+    top = F.min_by("segment", F.struct((-F.col("amount")).alias("less"), "segment")).alias("top_segment")  # ties: the first by name
     totals = by_segment.groupBy("region_id", "fiscal_period").agg(F.sum("amount").alias("amount"), F.min("first").alias("first"), top)
     prior = F.lag("amount").over(Window.partitionBy("region_id").orderBy("first"))
     rows = totals.withColumn("prior", prior).join(t["regions"], "region_id")

@@ -137,15 +137,15 @@ def join_edges(spark, d):
 
 
 @registered(f"""WITH {K} SELECT 'dbo.v' || k AS name, x.* FROM k, LATERAL (VALUES ('#t' || k, 0, 'name', 's.name', 'dbo.b' || (k % 10), 'name'), ('#t' || k, 1, 'total', 'o.total', 'dbo.v' || (k // 2), 'total'),
-    ('dbo.r' || (k % 7), 0, 'name', 'name', '#t' || k, 'name'), ('dbo.r' || (k % 7), 1, 'total', 'SUM(total)', '#t' || k, 'total')) x(stage, ordinal, "column", expression, leaf_table, leaf_column)""")
+    ('dbo.r' || (k % 7), 0, 'name', 'name', '#t' || k, 'name'), ('dbo.r' || (k % 7), 1, 'total', 'SUM(total)', '#t' || k, 'total')) x(stage, ordinal, column_name, expression, leaf_table, leaf_column)""")
 def column_edges(spark, d):
-    return lineage.column_edges(definitions(spark, d)).select("name", "stage", "ordinal", "column", "expression", "leaf_table", "leaf_column")
+    return lineage.column_edges(definitions(spark, d)).select("name", "stage", "ordinal", F.col("column").alias("column_name"), "expression", "leaf_table", "leaf_column")
 
 
-@registered(f"WITH {K} SELECT 'dbo.v' || k AS name, 'dbo.r' || (k % 7) AS stage, 'total' AS \"column\", '`dbo.r' || (k % 7) || '.total` (SUM(total)) ← `#t' || k || '.total` ← `dbo.v' || (k // 2) || '.total`' AS path FROM k")
+@registered(f"WITH {K} SELECT 'dbo.v' || k AS name, 'dbo.r' || (k % 7) AS stage, 'total' AS column_name, '`dbo.r' || (k % 7) || '.total` (SUM(total)) ← `#t' || k || '.total` ← `dbo.v' || (k // 2) || '.total`' AS path FROM k")
 def lineage_paths(spark, d):
     wanted = numbers(spark, d).select(name("v", "k").alias("name"), name("r", "k % 7").alias("stage"), F.lit("total").alias("column"))
-    return lineage.lineage_paths(lineage.column_edges(definitions(spark, d)), wanted)
+    return lineage.lineage_paths(lineage.column_edges(definitions(spark, d)), wanted).withColumnRenamed("column", "column_name")
 
 
 # source files
