@@ -56,17 +56,35 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def unit_rows(values: pa.Array) -> np.ndarray:
-    """Vectors as the rows of a matrix, each of length 1; those of no length become rows of nan, which score nothing."""
+def matrix_of(values: pa.Array) -> np.ndarray:
+    """Vectors as the rows of a matrix."""
     sizes = np.diff(np.asarray(values.offsets))
     x = np.zeros((len(sizes), int(sizes.max(initial=0))))
     flat = np.asarray(values.flatten(), np.float64)
     row = np.repeat(np.arange(len(sizes)), sizes)
     x[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return x
+
+
+def unit_rows(values: pa.Array) -> np.ndarray:
+    """The same, each of length 1; those of no length become rows of nan."""
+    x = matrix_of(values)
     with np.errstate(invalid="ignore", divide="ignore"):
         return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Cosines of all rows of both, summed component by component, so that equal vectors have equal scores in any block;
+    nan for vectors of no length, which no floor lets through."""
+    dot, length_q, length_x = np.zeros((len(q), len(x))), np.zeros(len(q)), np.zeros(len(x))
+    for a, b in zip(q.T, x.T, strict=True):
+        dot += np.multiply.outer(a, b)
+        length_q += a * a
+        length_x += b * b
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return dot / np.multiply.outer(np.sqrt(length_q), np.sqrt(length_x))
+
+
 def best_of_blocks(k: int, floor: float):
     """Of packs of questions and blocks of chunks of one source: each question's k best in the block."""
 
@@ -74,10 +92,10 @@ def best_of_blocks(k: int, floor: float):
         for b in batches:
             for i in range(b.num_rows):
                 asked, block = b["asked"][i].values, b["block"][i].values
-                q, x = unit_rows(asked.field("embedding")), unit_rows(block.field("embedding"))
+                q, x = matrix_of(asked.field("embedding")), matrix_of(block.field("embedding"))
                 width = max(q.shape[1], x.shape[1])
                 q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, x))
-                score = np.round(q @ x.T, 12)  # sums in another order may differ in their last digits
+                score = cosines(q, x)
                 row, col = np.nonzero(score >= floor)
                 keys = pc.rank(block.field("key"), sort_keys="ascending").to_numpy()
                 order = np.lexsort((keys[col], -score[row, col], row))
