@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamline.llm.bpe import encode_decode
-from loamline.llm.common import prepared, removed, table
+from loamline.llm.common import prepared, removed, shared_folder, table
 from loamline.llm.jaccard import jaccard_components
 from loamline.llm.mixing import mixed_rows
 from loamline.llm.quality import kept_rows
 from loamline.llm.queries import tokenizer
 from loamline.llm.substring import substring_dedup
-from loamline.llm.token_files import shared_folder
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +53,19 @@ def keep(df: DataFrame) -> DataFrame:
         settings.set(CLEANUP, before)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under the one that the cluster names for checkpoints."""
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        import tempfile
+
+        root = tempfile.mkdtemp(prefix="spark-shards-")
+    root = root if "://" in root else "file://" + os.path.abspath(root.removeprefix("file:"))
+    return f"{root}/shards-{uuid.uuid4().hex}"
+
+
 def prepared(spark: SparkSession, rows: int = 1000) -> SparkSession:
     """The session, set to hand Python this many rows at a time at most: ten thousand long texts, the default, take tens of
     megabytes in Spark and several times as much in Python. The registered queries and the pipeline's stages, which are

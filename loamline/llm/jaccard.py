@@ -22,11 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamline.llm.common import keep, pieces, raw, text_of
+from loamline.llm.common import keep, pieces, raw, shared_folder, text_of
 from loamline.llm.components import components
 from loamline.llm.simhash import SEED, fingerprinted, shingle_hashes
 from loamline.llm.simhash import links_of as simhash_links
-from loamline.llm.token_files import shared_folder
 
 #: Fixed value: counters of shingles by their low bits.
 BUCKETS = 1 << 18

@@ -13,10 +13,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm.common import keep, pieces, raw, text_of
@@ -74,6 +73,13 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
     return x
 
 
+def about_rank(fp: Column) -> Column:
+    """The same as a double, for quantiles."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, shift))
+    return fp.cast("double") + F.when(fp < 0, 2.0**64).otherwise(0.0)
+
+
 def near_in_group(members: np.ndarray, probes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (as positions of members and probes) at radius bits or fewer. members: distinct, in Gray order."""
     left: list[np.ndarray] = []
@@ -101,7 +107,7 @@ def near_in_group(members: np.ndarray, probes: np.ndarray, radius: int) -> tuple
     return np.concatenate(left or [none]), np.concatenate(right or [none])
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of these links, stars with the same components: each node tied to one of its component."""
     nodes, code = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y, root = code[: len(a)], code[len(a) :], np.arange(len(nodes))
@@ -115,7 +121,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
         if (before == root).all():
             break
     own = root != np.arange(len(nodes))
-    return pd.DataFrame({"a": nodes[own], "b": nodes[root[own]]})
+    return nodes[own], nodes[root[own]]
 
 
 def links_of(fps: DataFrame, radius: int, group_size: int) -> DataFrame:
@@ -126,27 +132,25 @@ def links_of(fps: DataFrame, radius: int, group_size: int) -> DataFrame:
         return spark.createDataFrame([], "a bigint, b bigint")
     groups = int(min(65536, max(16, n // group_size)))  # at most as many nodes are sent to all tasks: 1.5 MB
 
-    @F.pandas_udf("double")
-    def rank(fp: pd.Series) -> pd.Series:
-        return pd.Series(gray_rank(fp.to_numpy().view(np.uint64)).astype(np.float64))
-
     # cuts at quantiles of the rank; any cuts give right results, even ones give even groups
-    cuts = np.unique(np.array(fps.select(rank("fp").alias("r")).approxQuantile("r", [i / groups for i in range(1, groups)], 0.5 / groups), np.float64))
+    cuts = np.unique(np.array(fps.select(about_rank(F.col("fp")).alias("r")).approxQuantile("r", [i / groups for i in range(1, groups)], 0.5 / groups), np.float64))
+
+    def group_of(fp: np.ndarray) -> np.ndarray:
+        return np.searchsorted(cuts, gray_rank(fp).astype(np.float64), side="right").astype(np.int32)
 
-    @F.pandas_udf("int")
-    def group(fp: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, gray_rank(fp.to_numpy().view(np.uint64)).astype(np.float64), side="right").astype(np.int32))
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["fp"], pa.array(group_of(np.asarray(b["fp"]).view(np.uint64)))], names=["fp", "g"])
 
-    grouped = fps.select("fp", group("fp").alias("g"))
-    nodes = grouped.groupBy("g").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("any")).toPandas().sort_values("g")
+    nodes = fps.select("fp").mapInArrow(grouped, "fp bigint, g int").groupBy("g").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("any")).toPandas().sort_values("g")
     ids, ones = nodes["g"].to_numpy(np.int32), nodes["ones"].to_numpy(np.int64).view(np.uint64)
     masks = ~(ones ^ nodes["any"].to_numpy(np.int64).view(np.uint64))
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, step := max(1, (1 << 22) // len(ids))):
-                b = whole.slice(at, step)
-                fp, g = np.asarray(b["fp"]).view(np.uint64), np.asarray(b["g"])
+                fp = np.asarray(whole.slice(at, step)["fp"]).view(np.uint64)
+                g = group_of(fp)
                 # a link between groups is found in the later one; one inside a group in that group
                 row, node = np.nonzero((np.bitwise_count((fp[:, None] ^ ones) & masks) <= radius) & (ids >= g[:, None]))
                 yield pa.RecordBatch.from_arrays([pa.array(fp[row].view(np.int64)), pa.array(ids[node]), pa.array(g[row] == ids[node])], names=["fp", "g", "member"])
@@ -162,10 +166,11 @@ def links_of(fps: DataFrame, radius: int, group_size: int) -> DataFrame:
             m, p = near_in_group(members, probes, radius)
             a, b = members[m].view(np.int64), probes[p].view(np.int64)
             out.append(forest(a[a != b], b[a != b]))
-        all_ = pd.concat(out)
-        return pa.Table.from_pandas(forest(all_["a"].to_numpy(np.int64), all_["b"].to_numpy(np.int64)), preserve_index=False, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        a, b = forest(*(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*out, strict=True)))
+        return pa.table({"a": a, "b": b})
 
-    return grouped.mapInArrow(routed, "fp bigint, g int, member boolean").groupBy("g").applyInArrow(linked, "a bigint, b bigint")
+    # one Python operator a stage: workers stay alive, and each holds what it has loaded
+    return fps.select("fp").mapInArrow(routed, "fp bigint, g int, member boolean").groupBy("g").applyInArrow(linked, "a bigint, b bigint")
 
 
 def simhash_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3, radius: int = 2, group_size: int = 2048) -> DataFrame:

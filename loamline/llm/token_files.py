@@ -16,7 +16,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loamline.llm.bpe import REMEMBERED, Remembered
-from loamline.llm.common import pieces, text_of, width
+from loamline.llm.common import pieces, shared_folder, text_of, width
 from loamline.llm.substring import mixed
 
 MAGIC = b"loamtok1"
@@ -206,19 +205,6 @@ def library_encoder(path: str, dtype: str):
     return Remembered(learn, dtype, 4 * REMEMBERED).encode
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the one that the cluster names for checkpoints."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no shared folder")
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="spark-shards-")
-    root = root if "://" in root else "file://" + os.path.abspath(root.removeprefix("file:"))
-    return f"{root}/shards-{uuid.uuid4().hex}"
-
-
 def write_token_files(docs: DataFrame, path: str, folder: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = 0) -> list[tuple[int, int, int]]:
     """Encode and write all documents; (shard, documents, ids) for each shard, in order. There is a shard for each SHARD
     bytes of text, and as many as the session has shuffle partitions at least."""
