@@ -244,3 +244,25 @@ def test_stream_usage_and_audit(spark, tmp_path):
     feed.write.parquet(str(tmp_path / "f"))
     ingest.stream_audit(spark.readStream.schema(feed.schema).parquet(str(tmp_path / "f")), str(tmp_path / "ao"), str(tmp_path / "ac")).awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "ao")), "record_id", "operation") == [(1, "INSERT"), (2, "UPDATE"), (3, "DELETE")]
+
+
+def test_stream_inventory_moves_each_batch_once(spark, tmp_path):
+    """The fullest warehouse of the customer's region serves, down to 0; a second run without new lines changes nothing."""
+    t = {
+        "employees": spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "employee_id int, region_id int"),
+        "orders": spark.createDataFrame([(10, 100)], "order_id int, customer_id int"),
+        "customers": spark.createDataFrame([(100, 7)], "customer_id int, region_id int"),
+        "stock": spark.createDataFrame([(5, 1, 4), (5, 2, 9), (5, 3, 50)], "product_id int, warehouse_id int, on_hand bigint"),
+    }
+    landing, out, state = (str(tmp_path / x) for x in ("lines", "stock", "state"))
+    lines = lambda *own: spark.createDataFrame([(10, no, 5, n) for no, n in own], "order_id int, line_no int, product_id int, quantity bigint")
+
+    def stock():
+        landed_lines = spark.readStream.schema(lines((1, 1)).schema).parquet(landing)
+        ingest.stream_inventory(landed_lines, lambda: t, out, state).awaitTermination()
+        return rows(ingest.versioned(spark, out, t["stock"].schema)[1], "warehouse_id", "on_hand")
+
+    lines((1, 6)).write.mode("append").parquet(landing)
+    assert stock() == stock() == [(1, 4), (2, 3), (3, 50)]
+    lines((2, 9)).write.mode("append").parquet(landing)
+    assert stock() == [(1, 0), (2, 3), (3, 50)]
