@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from loamline.llm.bpe import encode_decode
 from loamline.llm.common import prepared
 from loamline.llm.common import table as any_table
+from loamline.llm.filter_audit import ORACLE as AUDIT_SQL
+from loamline.llm.filter_audit import filter_audit
 from loamline.llm.html import extract_pages
 from loamline.llm.licenses import license_scan
 from loamline.llm.mixing import mix_documents
@@ -74,6 +76,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixture": op1_mixture,
     "op2_substring_dedup": op2_substring_dedup,
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_token_files": op9_token_files,
     "op10_html_text": op10_html_text,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLE: dict[str, str] = {"op3_topk": TOPK_SQL, "op7_quality": QUALITY_SQL}
+ORACLE: dict[str, str] = {"op3_topk": TOPK_SQL, "op7_quality": QUALITY_SQL, "op13_filter_audit": AUDIT_SQL}
