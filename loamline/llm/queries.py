@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loamline.llm.bpe import encode_decode
-from loamline.llm.common import prepared
+from loamline.llm.common import prepared, text_of
 from loamline.llm.common import table as any_table
 from loamline.llm.filter_audit import ORACLE as AUDIT_SQL
 from loamline.llm.filter_audit import filter_audit
@@ -16,6 +17,7 @@ from loamline.llm.licenses import license_scan
 from loamline.llm.mixing import mix_documents
 from loamline.llm.quality import ORACLE as QUALITY_SQL
 from loamline.llm.quality import quality
+from loamline.llm.runs import digests, periodic_runs, with_repeats
 from loamline.llm.simhash import simhash_components
 from loamline.llm.substring import substring_dedup
 from loamline.llm.token_counts import token_counts
@@ -76,6 +78,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return digests(periodic_runs(docs.select("doc_id", with_repeats(F.col("doc_id"), text_of()).alias("text"))))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -91,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_token_files": op9_token_files,
     "op10_html_text": op10_html_text,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_filter_audit": op13_filter_audit,
 }
 
