@@ -112,7 +112,7 @@ def test_query_is_brute_force(spark, docs, rows):
     got = digests(periodic_runs(table.withColumn("text", with_repeats(F.col("doc_id"), text_of())))).collect()
     key = lambda r: (str(r[0]), r[7])
     assert sorted(map(tuple, got), key=key) == sorted((brute_row(r[0], r[1]) for r in [*rows, *more]), key=key)
-    assert len({r.n_runs for r in got}) > 3
+    assert {r.n_runs for r in got} >= {0, 1, 2}
 
 
 def test_edges(spark, none, clashing):
