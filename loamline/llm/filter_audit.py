@@ -110,7 +110,8 @@ def filter_audit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     text = text_of(text_column)
     rows = docs.select(F.col(id_column).alias("id"), F.col(part_column).cast("string").alias("part"), text_filters(text).alias("mask"), F.sha2(text, 256).alias("h"), F.char_length(text).alias("n"))
     rows = keep(rows)
-    first = rows.groupBy("h", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("h", "n", "first")
+    # written before the join, so that a hot text's rows may be split between tasks there
+    first = keep(rows.groupBy("h", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("h", "n", "first"))
     known = labels.groupBy(F.col("doc_id").alias("id")).agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
     whole = rows.join(first, ["h", "n"], "left").join(known.where("id IS NOT NULL AND (good OR toxic)"), "id", "left")
     repeats = F.when(F.col("id") > F.col("first"), 16).otherwise(0)
