@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 from collections.abc import Iterator
@@ -20,6 +21,17 @@ BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+#: Odd multipliers that mix hashes.
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each pair of 64-bit hashes, in this order."""
+    x = a * MIX[0] + (b ^ (b >> np.uint64(29))) * MIX[1]
+    x = (x ^ (x >> np.uint64(32))) * MIX[2]
+    return x ^ (x >> np.uint64(29))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,14 +57,30 @@ def keep(df: DataFrame) -> DataFrame:
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         else:
             raise ValueError("spark.checkpoint.dir names no shared folder")
-    settings, before = df.sparkSession.conf, df.sparkSession.conf.get(CLEANUP)
+    with light(df.sparkSession):
+        return df.select("*").checkpoint()  # planned under the setting
+
+
+@contextlib.contextmanager
+def light(spark: SparkSession) -> Iterator[None]:
+    """What is run meanwhile removes its shuffle files at its end; the session's own setting is put back."""
+    settings, before = spark.conf, spark.conf.get(CLEANUP)
     settings.set(CLEANUP, "true")
     try:
-        return df.select("*").checkpoint()  # planned under the setting
+        yield
     finally:
         settings.set(CLEANUP, before)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows from Parquet in the shared folder, compressed, and read by columns. Checkpoints carry on the sizes
+    that Spark guesses, which joins multiply: after some rounds their digits alone take minutes."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    with light(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under the one that the cluster names for checkpoints."""
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()

@@ -12,6 +12,7 @@ from loamline.llm.common import prepared, text_of
 from loamline.llm.common import table as any_table
 from loamline.llm.filter_audit import ORACLE as AUDIT_SQL
 from loamline.llm.filter_audit import filter_audit
+from loamline.llm.forest import minhash_components
 from loamline.llm.html import extract_pages
 from loamline.llm.licenses import license_scan
 from loamline.llm.mixing import mix_documents
@@ -78,6 +79,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_components(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return digests(periodic_runs(docs.select("doc_id", with_repeats(F.col("doc_id"), text_of()).alias("text"))))
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_token_files": op9_token_files,
     "op10_html_text": op10_html_text,
+    "op11_minhash": op11_minhash,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_filter_audit": op13_filter_audit,
 }

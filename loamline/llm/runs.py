@@ -23,22 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import pieces, raw, text_of
+from loamline.llm.common import mixed, pieces, raw, text_of
 from loamline.llm.quality import BLANKS, let
 
 MIN_LENGTH, MIN_PERIODS = 6, 4
-#: Odd multipliers that mix hashes.
-MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 SOME = 1 << 20
 Spans = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = a * MIX[0] + (b ^ (b >> np.uint64(29))) * MIX[1]
-    x = (x ^ (x >> np.uint64(32))) * MIX[2]
-    return x ^ (x >> np.uint64(29))
-
-
 class Words:
     """Hashed words of some texts, one text after the other, and hashes of 2, 4, 8, ... consecutive ones."""
 
