@@ -1,149 +1,21 @@
-"""Near-duplicates by word shingles: SimHash's index first, then an exact completion at a Jaccard similarity of 0.8.
+"""Near-duplicates by word shingles: SimHash's index first, then an LSH forest's completion at a Jaccard similarity of 0.8.
 
 Texts of the same words meet as one. The Gray-order index of SimHash links fingerprints at few differing bits, and such
-pairs are verified on their shingle sets. That finds most copies, but no small radius reaches all pairs at 0.8, so the
-rest is found through prefixes of ordered shingle sets: two sets at 4/5 or more, both in any one order, have a first
-common shingle, which stands among the first n // 9 + 1 of the smaller set and the first n // 5 + 1 of the larger one:
-these prefixes reach all pairs. The order is by frequency class (of a hashed count of fixed size), then by hash, so that
-what many texts have in common comes last; any order gives right results. A first round compares what the index links,
-neighbours by size under each shingle and, with all others there, the text whose shingles most others have; that ties
-dense groups and the many edited copies of one text; the second compares all that is left to compare between
-different components. Each pair is verified on its whole sets. Equality of shingles is equality of 64-bit hashes.
+pairs are confirmed on their shingle sets. That finds most copies, but no small radius reaches all pairs at 0.8, so the
+rest is found by the forest of ``forest.py``, which compares what is left between different components.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import keep, pieces, raw, shared_folder, text_of
+from loamline.llm.common import keep, text_of, written
 from loamline.llm.components import components
-from loamline.llm.simhash import SEED, fingerprinted, shingle_hashes
+from loamline.llm.forest import labels_of, represented, similar_links
+from loamline.llm.simhash import fingerprinted
 from loamline.llm.simhash import links_of as simhash_links
 
-#: Fixed value: counters of shingles by their low bits.
-BUCKETS = 1 << 18
-#: Bounds that a pair at 4/5 meets at its first common shingle: sizes, prefix of the smaller set, and what can still be common.
-REACHED = "a.n * 5 >= b.n * 4 AND a.at < a.n DIV 9 + 1 AND 9 * least(a.n - a.at, b.n - b.at) >= 4 * (a.n + b.n)"
-
-
-def lowered_texts(column: pa.Array) -> Iterator[bytes]:
-    data, offsets = raw(column)
-    lowered = data.tobytes().lower()
-    for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        yield lowered[x:y]
-
-
-def shingle_set(lowered: bytes, size: int) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(lowered, size), np.uint64))
-
-
-def represented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's hash of its words in lower case."""
-    for whole in batches:
-        for b in pieces(whole, "text", 1 << 20):
-            reps = np.array([xxhash.xxh3_64_intdigest(b" ".join(t.split()), SEED) for t in lowered_texts(b["text"])], np.uint64)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(reps.view(np.int64)), b["text"]], names=["doc_id", "rep", "text"])
-
-
-def counted(size: int):
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
-        for whole in batches:
-            for b in pieces(whole, "text", 1 << 20):
-                for t in lowered_texts(b["text"]):
-                    np.add.at(counts, (shingle_set(t, size) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-        some = np.flatnonzero(counts)
-        for at in range(0, len(some), 1 << 14):
-            part = some[at : at + (1 << 14)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["bucket", "n"])
-
-    return f
-
-
-def prefixed(size: int, frequency: np.ndarray):
-    """The first n // 5 + 1 shingles of each text: shingle, rep, n (size of the set), at (place in the order)."""
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in pieces(whole, "text", 1 << 20):
-                reps, found, ns, ats = np.asarray(b["rep"]), [], [], []
-                for t in lowered_texts(b["text"]):
-                    own = shingle_set(t, size)
-                    first = own[np.argsort(frequency[(own & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")][: len(own) // 5 + 1]
-                    found.append(first), ns.append(len(own)), ats.append(np.arange(len(first), dtype=np.int32))
-                lengths = [len(x) for x in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(reps, lengths)), pa.array(np.repeat(np.array(ns, np.int32), lengths)), pa.array(np.concatenate(ats))], names=["shingle", "rep", "n", "at"])
-
-    return f
-
-
-def slots(n: int) -> int:
-    """How many slots a sketch of n shingles has: a power of two, so that sketches of other lengths fold onto each other."""
-    return 1 << max(3, (n // 2).bit_length())
-
-
-def sketched(size: int):
-    """Each text's number of shingles and how many fall into each slot of a sketch, a byte each."""
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in pieces(whole, "text", 1 << 20):
-                ns, sketches = [], []
-                for t in lowered_texts(b["text"]):
-                    own = shingle_set(t, size)
-                    m = slots(len(own))
-                    ns.append(len(own))
-                    sketches.append(np.minimum(np.bincount((own & np.uint64(m - 1)).astype(np.int64), minlength=m), 255).astype(np.uint8).tobytes())
-                yield pa.RecordBatch.from_arrays([b["rep"], pa.array(ns, pa.int32()), pa.array(sketches, pa.binary())], names=["rep", "n", "sketch"])
-
-    return f
-
-
-def common_at_most(x: bytes, y: bytes) -> int:
-    """An upper bound of what two sets have in common: slot by slot the lesser count; 255 stands for any count from there."""
-    a, b = (np.frombuffer(s, np.uint8).astype(np.int64) for s in (x, y))
-    a, b = (np.where(s == 255, 1 << 31, s) for s in (a, b))
-    m = min(len(a), len(b))
-    a, b = (s.reshape(-1, m).sum(axis=0) for s in (a, b))
-    return int(np.minimum(a, b).sum())
-
-
-def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sketches don't rule out a similarity of 4/5."""
-    for b in batches:
-        columns = (b[c].to_pylist() for c in ("n_a", "n_b", "sketch_a", "sketch_b"))
-        good = [9 * common_at_most(x, y) >= 4 * (m + n) for m, n, x, y in zip(*columns, strict=True)]
-        yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-
-def verified(size: int):
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in pieces(whole, "text_a", 1 << 20):
-                good = []
-                for x, y in zip(lowered_texts(b["text_a"]), lowered_texts(b["text_b"]), strict=True):
-                    x, y = shingle_set(x, size), shingle_set(y, size)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(5 * both >= 4 * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return f
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The same rows from Parquet in the shared folder, compressed, and read by columns. Checkpoints carry on the sizes that Spark guesses, which joins
-    multiply: after some rounds their digits alone take minutes."""
-    path = f"{shared_folder(df.sparkSession)}/near-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
 
 def index_links(base: DataFrame, size: int, radius: int) -> DataFrame:
     """Pairs (a, b) of base's reps that SimHash's index links, each fingerprint standing for one of its reps."""
@@ -155,66 +27,24 @@ def index_links(base: DataFrame, size: int, radius: int) -> DataFrame:
     return own.unionByName(near.join(a, "a").join(b, "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b")))
 
 
-def links_of(base: DataFrame, size: int, radius: int) -> DataFrame:
-    """Links (a, b) that have the components of all pairs of base's reps at 4/5 or more. base: rep, text, a row for each rep."""
-    counts = base.select("text").mapInArrow(counted(size), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    counts = keep(counts)
-    mean = (counts.agg(F.sum("n")).first()[0] or 0) / BUCKETS
-    heavy = counts.where(F.col("n") > max(2 * mean, 4)).select("bucket", F.log2(F.col("n") / F.lit(max(mean, 1e-9))).alias("k")).toPandas()
-    frequency = np.zeros(BUCKETS, np.uint8)
-    frequency[heavy["bucket"].to_numpy(np.int64)] = heavy["k"].clip(1, 255).to_numpy(np.float64).astype(np.uint8)
-
-    sketches = keep(base.mapInArrow(sketched(size), "rep bigint, n int, sketch binary"))
-
-    def both(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
-        a, b = (table.select(F.col("rep").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns)) for c in "ab")
-        return pairs.join(a, "a").join(b, "b").select("a", "b", *(f"{x}_{c}" for x in columns for c in "ab"))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Those at 4/5: sketches, which are a tenth of the texts, leave few pairs whose texts must meet."""
-        few = keep(both(keep(pairs.distinct()), sketches, "n", "sketch").mapInArrow(possible, "a bigint, b bigint"))
-        some = few.select(F.col("a").alias("rep")).unionByName(few.select(F.col("b").alias("rep"))).distinct()
-        return keep(both(few, base.join(some, "rep", "left_semi"), "text").mapInArrow(verified(size), "a bigint, b bigint"))
-
-    places = base.mapInArrow(prefixed(size, frequency), "shingle bigint, rep bigint, n int, at int")
-    # most shingles are in one text only
-    window = Window.partitionBy("shingle")
-    places = keep(places.withColumn("holders", F.count("*").over(window)).withColumn("before", F.lag(F.struct("n", "rep", "at")).over(window.orderBy("n", "rep"))).withColumn("after", F.lead("rep").over(window.orderBy("n", "rep"))).where("before IS NOT NULL OR after IS NOT NULL").drop("after"))
-    near = places.where("before IS NOT NULL").select(F.col("before").alias("a"), F.struct("n", "at").alias("b"), F.col("rep"))
-    # of many copies of one text with edits of their own, none may be like another one but all like the text: under each
-    # shingle all meet the one whose shingles most others have
-    mass = places.groupBy("rep").agg((F.sum("holders") / (F.first("n") / 5 + 1)).alias("mass"))
-    me = F.struct("n", "rep", "at")
-    starred = places.join(mass, "rep").withColumn("hub", F.max(F.struct("mass", me.alias("x"))).over(window)["x"])
-    stars = starred.where("rep <> hub.rep").select(F.least(me, F.col("hub")).alias("a"), F.greatest(me, F.col("hub")).alias("b")).where(REACHED)
-    met = near.where(REACHED).select(F.col("a.rep").alias("a"), F.col("rep").alias("b")).unionByName(stars.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")))
-    first = written(linked(met.unionByName(index_links(base, size, radius))))
-    tied = written(components(first))
-    labelled = keep(places.drop("before", "holders").join(tied, places["rep"] == tied["node"], "left").select("shingle", "rep", "n", "at", F.coalesce("root", "rep").alias("root")))
-    mixed = labelled.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("shingle")
-    rest = keep(labelled.join(mixed, "shingle", "left_semi"))
-    pairs = rest.alias("a").join(rest.alias("b"), F.expr(f"a.shingle = b.shingle AND a.root <> b.root AND (a.n < b.n OR a.n = b.n AND a.rep < b.rep) AND {REACHED}"))
-    pairs = pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).join(first, ["a", "b"], "left_anti")
-    return first.unionByName(linked(pairs))
-
-
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, radius: int = 2) -> DataFrame:
     """One row per input row: doc_id, component_id.
 
     A-Z become lower case, words part at white space; a text's set holds its shingles of ``shingle`` words (fewer words:
     the whole sequence). Texts of the same words, and those whose sets' Jaccard similarity is 0.8 or more, are linked;
     component_id is the least doc_id that links reach, the row's own included. Null, empty and blank texts are the same.
-    radius is the index's, and changes no result. A null id takes part without being the least. Repeated rows come out as often as they come in. Other columns are
-    ignored. An empty table gives an empty result.
+    radius is the index's, and changes no result. A null id takes part without being the least. Repeated rows come out as
+    often as they come in. Other columns are ignored. An empty table gives an empty result.
     """
     texts = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"))
     kind = dict(texts.dtypes)["doc_id"]
     found = texts.mapInArrow(represented, f"doc_id {kind}, rep bigint, text string")
     prints = keep(found.select("doc_id", "rep"))
     base = written(found.select("rep", "text").dropDuplicates(["rep"]))
-    tied = written(components(written(links_of(base, shingle, radius))))
+    labels = labels_of(base, shingle, 4, 5)
+    tied = written(components(similar_links(base, labels, shingle, 4, 5, index_links(base, shingle, radius))))
     least = prints.groupBy("rep").agg(F.min("doc_id").alias("least"))
     classes = keep(least.join(tied, least["rep"] == tied["node"], "left").select("rep", F.coalesce("root", "rep").alias("root"), "least"))
     roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = classes.join(roots, "root").select("rep", "component_id")
+    labelled = keep(classes.join(roots, "root").select("rep", "component_id"))
     return prints.join(labelled, "rep").select("doc_id", "component_id")
