@@ -6,15 +6,18 @@ questions, events audit rows and steps, orders and lines the retail tables. User
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loamline.functions.text import fingerprint, html_to_text
 from loamline.operators import index, lineage, search
 from loamline.plans import adhoc, retail, usage
-from loamline.session import checkpointed
+from loamline.operators.snapshots import SnapshotTable
+from loamline.session import checkpointed, shared_root
 from loamline.sources import landed
 from loamline.streaming.ingest import latest_version, usage_windows
 
@@ -125,6 +128,20 @@ def upsert_chunks(spark, d):
     return after.select("resource_id", "chunk_index", "fingerprint", (F.col("created_at") < F.to_timestamp(F.lit(AS_OF))).alias("was_there"), (F.col("updated_at") == F.to_timestamp(F.lit(AS_OF))).alias("is_new"))
 
 
+@registered(f"WITH {CHUNKS} SELECT resource_id, chunk_index, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE sha256(plain) END AS fingerprint, doc_id % 2 = 0 AS was_there, 2::BIGINT AS versions FROM c WHERE doc_id % 5 > 0 AND (doc_id % 2 = 0 OR doc_id % 3 = 0)")
+def snapshot_upsert(spark, d):
+    """Two batches into a bucketed table, the second one twice: every third document is new or changed, every fifth empties."""
+    new = dated(chunks(spark, d))
+    stored = SnapshotTable(spark, f"{shared_root(spark)}/snapshot-{uuid.uuid4().hex}", StructType([f for f in new.schema if f.name != "doc_id"]), buckets=32)
+    half = new.where("doc_id % 2 = 0")
+    stale = half.withColumn("fingerprint", F.when(F.col("doc_id") % 3 == 0, F.lit("old")).otherwise(F.col("fingerprint")))
+    stored.upsert(stale, "2001-01-01", 0)
+    counts = new.where("doc_id % 5 = 0").select("resource_id", F.lit(0).alias("n"))
+    for _ in range(2):
+        stored.upsert(new.where("doc_id % 3 = 0").drop("created_at", "updated_at"), AS_OF, 1, counts)
+    return stored.read().select("resource_id", "chunk_index", "fingerprint", (F.col("created_at") < F.to_timestamp(F.lit(AS_OF))).alias("was_there"), F.lit(len(stored.versions())).cast("bigint").alias("versions"))
+
+
 @registered("SELECT doc_id, i AS chunk_index FROM (SELECT doc_id, unnest(range(0, (greatest(length(text) - 200, 1) - 1) // 800 + 1)) AS i FROM documents WHERE length(text) > 0) WHERE doc_id % 3 > 0 OR i < doc_id % 2")
 def prune_tail(spark, d):
     docs = table(spark, d, "documents")

@@ -14,14 +14,22 @@ def session(name: str = "loamline", **options: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpointed(df):
-    """Cut the lineage in the shared folder that the session names; a test session without one gets its own."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder that the session names; a test session without one gets its own."""
+    context = spark.sparkContext
+    root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         import tempfile
 
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        if not named and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no shared folder")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        root = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
+    return root
+
+
+def checkpointed(df):
+    """Cut the lineage in the shared folder."""
+    shared_root(df.sparkSession)
     return df.checkpoint()

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loamline.operators.index import incremental_ingest
+from loamline.operators.snapshots import SnapshotTable
 from loamline.plans.retail import decrement_inventory, restock_inventory
 
 
@@ -18,29 +19,19 @@ def latest_version(batch: DataFrame, key: str = "resource_id", version: str = "l
     return batch.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
 
 
-def versioned(spark: SparkSession, path: str, schema) -> tuple[int, DataFrame]:
-    """The newest whole version of a table that is written as a new folder by each batch; -1 and no rows at first."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    names = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
-    done = sorted(int(p.getName()[2:]) for p in names if p.getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-    return (done[-1], spark.read.schema(schema).parquet(f"{path}/v={done[-1]}")) if done else (-1, spark.createDataFrame([], schema))
+def stream_ingest(landing: DataFrame, index: SnapshotTable, checkpoint: str, as_of: str) -> StreamingQuery:
+    """Resources that land change the buckets of the index that they lie in; a batch is a version. A batch that is run
+    again changes nothing; what is older than the stored row is ignored."""
 
+    def batch(df: DataFrame, batch_id: int) -> None:
+        fresh = latest_version(df)
 
-def stream_ingest(landing: DataFrame, index_path: str, checkpoint: str, as_of: str, schema) -> StreamingQuery:
-    """Resources that land become index versions, one for each batch. A batch that is run again writes its version again,
-    from the one before it; what is older than the stored row is ignored."""
+        def change(stored: DataFrame) -> DataFrame:
+            known = stored.groupBy("resource_id").agg(F.max("last_updated").alias("_known"))
+            newer = fresh.join(known, "resource_id", "left").where("_known IS NULL OR last_updated >= _known").drop("_known")
+            return incremental_ingest(newer, stored, None, as_of)[0]
 
-    def batch(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        newest, stored = versioned(spark, index_path, schema)
-        if newest >= batch_id:
-            return
-        known = stored.groupBy("resource_id").agg(F.max("last_updated").alias("_known"))
-        fresh = latest_version(df).join(known, "resource_id", "left").where("_known IS NULL OR last_updated >= _known").drop("_known")
-        after, _ = incremental_ingest(fresh, stored, None, as_of)
-        after.write.mode("overwrite").parquet(f"{index_path}/v={batch_id}")
+        index.upsert(fresh, as_of, batch_id, change=change)
 
     return landing.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -52,17 +43,13 @@ def stream_audit(changes: DataFrame, out: str, checkpoint: str) -> StreamingQuer
     return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_inventory(lines: DataFrame, tables: Callable[[], dict[str, DataFrame]], stock_path: str, checkpoint: str, returned: bool = False) -> StreamingQuery:
-    """Stock versions, one for each batch of new lines or returns; a batch that is run again changes nothing twice."""
+def stream_inventory(lines: DataFrame, tables: Callable[[], dict[str, DataFrame]], stock: SnapshotTable, checkpoint: str, returned: bool = False) -> StreamingQuery:
+    """Stock after each batch of new lines or returns. stock is bucketed by product and holds the stock before the first
+    batch; a batch reads and writes the buckets of its products only, and run again it changes nothing twice."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        t = tables()
-        newest, stored = versioned(df.sparkSession, stock_path, t["stock"].schema)
-        if newest >= batch_id:
-            return
-        t = t | ({"stock": stored} if newest >= 0 else {})
-        after = (restock_inventory if returned else decrement_inventory)(t, df)
-        after.select(*(F.col(f.name).cast(f.dataType) for f in t["stock"].schema)).write.mode("overwrite").parquet(f"{stock_path}/v={batch_id}")
+        move = restock_inventory if returned else decrement_inventory
+        stock.upsert(df, "", batch_id, change=lambda stored: move(tables() | {"stock": stored}, df))
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

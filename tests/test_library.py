@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loamline.functions.text import fingerprint, html_to_text, is_tracing
 from loamline.operators import index, search
+from loamline.operators.snapshots import SnapshotTable
 from loamline.plans import adhoc, retail, usage
 from loamline.schemas import CHUNKS
 from loamline.sources import landed
@@ -222,16 +223,16 @@ def test_windows_of_time(spark):
 
 
 def test_stream_ingest_is_the_batch_one(spark, tmp_path):
-    landing, out, state = (str(tmp_path / x) for x in ("landing", "index", "state"))
+    landing, state = (str(tmp_path / x) for x in ("landing", "state"))
+    out = SnapshotTable(spark, str(tmp_path / "index"), CHUNKS, buckets=8)
     first = resources(spark, ("a", "x" * 1200, "2001-01-01"), ("a", "old", "2000-01-01"), ("b", "hello", "2001-01-02"))
     first.write.mode("append").parquet(landing)
     for _ in range(2):  # the second run finds nothing new
-        ingest.stream_ingest(spark.readStream.schema(first.schema).parquet(landing), out, state, "2001-02-01", CHUNKS).awaitTermination()
+        ingest.stream_ingest(spark.readStream.schema(first.schema).parquet(landing), out, state, "2001-02-01").awaitTermination()
     resources(spark, ("b", "changed", "2001-01-03"), ("a", "older", "2000-06-01")).write.mode("append").parquet(landing)
-    ingest.stream_ingest(spark.readStream.schema(first.schema).parquet(landing), out, state, "2001-02-01", CHUNKS).awaitTermination()
-    _, got = ingest.versioned(spark, out, CHUNKS)
+    ingest.stream_ingest(spark.readStream.schema(first.schema).parquet(landing), out, state, "2001-02-01").awaitTermination()
     expected, _ = index.incremental_ingest(resources(spark, ("a", "x" * 1200, "2001-01-01"), ("b", "changed", "2001-01-03")), spark.createDataFrame([], CHUNKS), None, "2001-02-01")
-    assert rows(got, "resource_id", "chunk_index", "text") == rows(expected, "resource_id", "chunk_index", "text")
+    assert rows(out.read(), "resource_id", "chunk_index", "text") == rows(expected, "resource_id", "chunk_index", "text")
 
 
 def test_stream_usage_and_audit(spark, tmp_path):
@@ -254,13 +255,15 @@ def test_stream_inventory_moves_each_batch_once(spark, tmp_path):
         "customers": spark.createDataFrame([(100, 7)], "customer_id int, region_id int"),
         "stock": spark.createDataFrame([(5, 1, 4), (5, 2, 9), (5, 3, 50)], "product_id int, warehouse_id int, on_hand bigint"),
     }
-    landing, out, state = (str(tmp_path / x) for x in ("lines", "stock", "state"))
+    landing, state = (str(tmp_path / x) for x in ("lines", "state"))
+    out = SnapshotTable(spark, str(tmp_path / "stock"), t["stock"].schema, "product_id", 4)
+    out.replace(t["stock"], list(range(4)), -1)
     lines = lambda *own: spark.createDataFrame([(10, no, 5, n) for no, n in own], "order_id int, line_no int, product_id int, quantity bigint")
 
     def stock():
         landed_lines = spark.readStream.schema(lines((1, 1)).schema).parquet(landing)
         ingest.stream_inventory(landed_lines, lambda: t, out, state).awaitTermination()
-        return rows(ingest.versioned(spark, out, t["stock"].schema)[1], "warehouse_id", "on_hand")
+        return rows(out.read(), "warehouse_id", "on_hand")
 
     lines((1, 6)).write.mode("append").parquet(landing)
     assert stock() == stock() == [(1, 4), (2, 3), (3, 50)]
