@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamline.functions.text import is_tracing
+from loamline.operators.contains import containing
 from loamline.session import checkpointed
 
 NAME = r"(?:\[[^\]]+\]|[#\w]+)(?:\.(?:\[[^\]]+\]|\w+)){0,2}"
@@ -112,23 +113,38 @@ def git_imports(files: DataFrame) -> DataFrame:
     return found.select("git_scope", F.col("path").alias("subject"), F.lit("imports").alias("predicate"), F.col("target").alias("object")).distinct()
 
 
-def edge_search(edges: DataFrame, entity: str, cap: int = 20) -> DataFrame:
-    """Distinct triples that have the text in their subject or object, the first cap (1 to 100) in order."""
+def edge_search(edges: DataFrame, entity: str, cap: int = 20, scopes: DataFrame | None = None) -> DataFrame:
+    """Distinct triples that have the text in their subject or object, the first cap (1 to 100) in order. scopes (source,
+    resource_identifier): what the asker may see; other edges take no part."""
+    if scopes is not None:
+        edges = edges.join(scopes.select("source", "resource_identifier").distinct(), ["source", "resource_identifier"], "left_semi")
     has = lambda c: F.contains(F.lower(c), F.lit(entity.lower()))
     return edges.where(has("subject") | has("object")).select("subject", "predicate", "object").distinct().orderBy("subject", "predicate", "object").limit(max(1, min(cap, 100)))
 
 
+def edge_searches(edges: DataFrame, wanted: DataFrame, scopes: DataFrame, cap: int = 20) -> DataFrame:
+    """(query_id, subject, predicate, object, rank): edge_search for many askers at once. wanted: query_id, entity; scopes:
+    query_id, source, resource_identifier. Names are looked up by trigrams (see contains.py); the empty name finds nothing."""
+    ends = edges.select(F.col("subject").alias("text")).unionByName(edges.select(F.col("object").alias("text")))
+    names = containing(wanted, ends, "entity").select(F.col("needle").alias("entity"), "text")
+    own = edges.select("source", "resource_identifier", "subject", "predicate", "object")
+    hits = [wanted.join(names, "entity").join(own, F.col("text") == F.col(c)).select("query_id", "source", "resource_identifier", "subject", "predicate", "object") for c in ("subject", "object")]
+    seen = hits[0].unionByName(hits[1]).join(scopes.distinct(), ["query_id", "source", "resource_identifier"], "left_semi").select("query_id", "subject", "predicate", "object").distinct()
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy("subject", "predicate", "object"))
+    return seen.withColumn("rank", order).where(F.col("rank") <= max(1, min(cap, 100)))
+
+
 def walk(edges: DataFrame, starts: DataFrame, hops: int = 3, direction: str = "upstream", match: str = "exact", cap: int | None = 500) -> DataFrame:
     """(start, hop, subject, predicate, object): breadth first, each hop an equi-join, five hops at most.
 
     upstream goes from subject to object, downstream back. A node is entered once for each start; an edge may be listed
-    at more than one hop. contains: starts are first resolved to the nodes that contain them, in any case. cap: edges of
+    at more than one hop. contains: starts are first resolved to the nodes that contain them, in any case, by trigrams. cap: edges of
     one start and hop, in order; None for all."""
     own, other = ("subject", "object") if direction == "upstream" else ("object", "subject")
     e = edges.select("subject", "predicate", "object").distinct()
     nodes = e.select(F.col(own).alias("node")).distinct()
     s = starts.select("start").distinct()
-    frontier = s.withColumn("node", F.col("start")) if match == "exact" else s.join(nodes, F.contains(F.lower("node"), F.lower("start"))).select("start", "node")
+    frontier = s.withColumn("node", F.col("start")) if match == "exact" else containing(s, nodes, "start", "node").toDF("start", "node")
     visited, out = frontier, None
     for hop in range(1, min(hops, 5) + 1):
         step = frontier.join(e, F.col("node") == F.col(own)).select("start", F.lit(hop).alias("hop"), "subject", "predicate", "object").distinct()

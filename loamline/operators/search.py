@@ -115,10 +115,15 @@ def blocked(df: DataFrame, by: list[str], rows: list[Column], name: str, most: i
     return dealt.groupBy(*by, "_part").agg(F.collect_list(F.struct(*rows)).alias(name)).drop("_part")
 
 
+def ranked_key() -> Column:
+    """The key as a string in the key's order."""
+    return F.concat_ws("\x1f", "resource_id", F.lpad(F.col("chunk_index").cast("string"), 12, "0")).alias("key")
+
+
 def scored(asked: DataFrame, chunks: DataFrame, by: list[str], k: int, floor: float) -> DataFrame:
     """The k best chunks of each question (query_id, embedding) and source, among those with equal columns by."""
     kinds = dict(asked.dtypes) | dict(chunks.dtypes)
-    blocks = blocked(chunks, by, [F.concat_ws("\x1f", "resource_id", F.lpad(F.col("chunk_index").cast("string"), 12, "0")).alias("key"), *map(F.col, KEY), F.col("embedding")], "block", 1024)
+    blocks = blocked(chunks, by, [ranked_key(), *map(F.col, KEY), F.col("embedding")], "block", 1024)
     packs = blocked(asked, by, [F.col("query_id"), F.col("embedding")], "asked", 128)
     pairs = packs.join(blocks, by).select("source", "asked", "block")
     shape = f"query_id {kinds['query_id']}, source string, resource_id {kinds['resource_id']}, chunk_index {kinds['chunk_index']}, score double"
@@ -132,47 +137,6 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, scopes: DataFrame, k: int
     return scored(asked, chunks.where("embedding IS NOT NULL").select("source", "scope", *KEY, "embedding"), ["source", "scope"], k, floor)
 
 
-def centres_of(chunks: DataFrame, cells: int, sample: int, steps: int = 6) -> np.ndarray:
-    """Cells of an index: means of what lies nearest to each other in a sample of fixed size, by the hash of the keys."""
-    rows = chunks.orderBy(F.xxhash64(*KEY)).limit(sample).select("embedding").toArrow()["embedding"].combine_chunks()
-    x = unit_rows(rows) if len(rows) else np.zeros((0, 1))
-    x = x[np.isfinite(x).all(axis=1)]
-    out = x[np.linspace(0, max(0, len(x) - 1), min(cells, len(x))).astype(int)]
-    for _ in range(steps):
-        home = (x @ out.T).argmax(axis=1) if len(x) else np.zeros(0, int)
-        sums = np.zeros_like(out)
-        np.add.at(sums, home, x)
-        length = np.sqrt((sums * sums).sum(axis=1))
-        out = np.where(length[:, None] > 0, sums / np.maximum(length, 1e-300)[:, None], out)
-    return out
-
-
-def vector_topk_approx(queries: DataFrame, chunks: DataFrame, scopes: DataFrame, k: int = 16, floor: float = 0.10, cells: int = 256, probes: int = 176, sample: int = 8192) -> DataFrame:
-    """vector_topk among the chunks in the probes cells nearest to each question: every chunk is in the cell of its nearest
-    centre, and centres are fitted on sample rows. More probes find more; with all cells the result is the exact one. The
-    default is for vectors that are spread evenly (recall 0.95 on such ones); clustered ones need fewer probes."""
-    kept = chunks.where("embedding IS NOT NULL").select("source", "scope", *KEY, "embedding")
-    centres = centres_of(kept, cells, sample)
-    if not len(centres):
-        return vector_topk(queries, chunks, scopes, k, floor)
-
-    def nearest(n: int):
-        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x = np.nan_to_num(unit_rows(b["embedding"]))
-                near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :n].astype(np.int32)
-                row = np.repeat(np.arange(len(near)), near.shape[1])
-                yield b.take(pa.array(row)).append_column("cell", pa.array(near.ravel()))
-
-        return f
-
-    def with_cells(df: DataFrame, n: int) -> DataFrame:
-        return df.mapInArrow(nearest(n), ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", cell int")
-
-    asked = with_cells(queries.where("embedding IS NOT NULL").select("query_id", "embedding"), min(probes, len(centres)))
-    return scored(asked.join(scopes, "query_id"), with_cells(kept, 1), ["source", "scope", "cell"], k, floor)
-
-
 def stem(token: Column) -> Column:
     """A light English stem: common endings go, if enough is left, and a consonant doubled before one is single again."""
     single = F.regexp_replace(F.regexp_replace(token, r"(?<=..)ies$", "y"), r"(?<=.)([bdfgmnprt])\1(?:ing|edly|ed)$", "$1")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamline.operators.contains import containing
+
 #: What an unknown model costs per 1000 tokens in and out.
 DEFAULT_RATE = (0.001, 0.003)
 
@@ -13,7 +15,8 @@ def estimate_cost(audit: DataFrame, rates: DataFrame) -> DataFrame:
     """cost of each row by the rate (provider, model_key, rate_in, rate_out) whose key is the longest in the model's name."""
     own = audit.withColumn("_model", F.lower(F.coalesce("model", F.lit(""))))
     models = own.select("provider", "_model").distinct()
-    fit = models.join(rates, "provider").where(F.contains("_model", F.lower("model_key")))
+    named = containing(rates, models, "model_key", "_model").toDF("model_key", "_model")
+    fit = models.join(named, "_model").join(rates, ["provider", "model_key"])
     best = fit.groupBy("provider", "_model").agg(F.max_by(F.struct("rate_in", "rate_out"), F.struct(F.char_length("model_key"), "model_key")).alias("r"))
     priced = own.join(best, ["provider", "_model"], "left")
     cost = F.coalesce("prompt_tokens", F.lit(0)) / 1000.0 * F.coalesce("r.rate_in", F.lit(DEFAULT_RATE[0])) + F.coalesce("completion_tokens", F.lit(0)) / 1000.0 * F.coalesce("r.rate_out", F.lit(DEFAULT_RATE[1]))

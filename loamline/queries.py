@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from loamline.functions.text import fingerprint, html_to_text
-from loamline.operators import index, lineage, search
+from loamline.operators import index, lineage, quantized, search
 from loamline.plans import adhoc, retail, usage
 from loamline.operators.snapshots import SnapshotTable
 from loamline.session import checkpointed, shared_root
@@ -209,10 +209,20 @@ def vector_topk(spark, d):
 @registered()
 def vector_topk_approx(spark, d):
     q = questions(spark, d)
-    hits = search.vector_topk_approx(q, chunks(spark, d), search.query_scopes(q, grants(spark, d)))
+    hits = quantized.vector_topk_approx(q, chunks(spark, d), search.query_scopes(q, grants(spark, d)))
     return hits.select("query_id", "source", "resource_id", F.round("score", 6).alias("score"), "rank")
 
 
+@registered(f"WITH {CHUNKS} SELECT query_id, count(*) AS n_exact, true AS over_nine_tenths FROM v WHERE rank <= 8 GROUP BY query_id")
+def vector_recall(spark, d):
+    """The recall of the approximate search at 8, over all questions, beside what the exact one finds."""
+    q, c = questions(spark, d), chunks(spark, d)
+    scopes = search.query_scopes(q, grants(spark, d))
+    counts = checkpointed(quantized.recall_of(quantized.vector_topk_approx(q, c, scopes, 8), search.vector_topk(q, c, scopes, 8)))
+    share = counts.agg(F.sum("n_found") >= 0.9 * F.sum("n_exact")).first()[0]
+    return counts.select("query_id", "n_exact", F.lit(share).alias("over_nine_tenths"))
+
+
 QUOTA = f"""WITH {CHUNKS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, resource_id, chunk_index) AS r FROM v),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY r) > 4 AS over FROM r),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY over, r) AS place FROM o)"""

@@ -1,10 +1,13 @@
 """Retrieval against brute force: recall of the index, phrases, OR, minus, and a language for each question."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamline.operators import search
+from loamline.operators import quantized, search
+from loamline.operators.contains import containing
 
 CHUNK = "source string, scope string, resource_id string, chunk_index int, title string, text string, embedding array<double>"
 
@@ -42,14 +45,39 @@ def test_vector_topk_is_brute_force(vectors):
     assert got == exact(rows, asked, 5)
 
 
-def test_approximate_recall_is_above_its_floor(vectors):
+def test_approximate_recall_with_a_tenth_of_the_vectors(vectors):
+    """Evenly spread vectors, 250 in scope of each question and source: under a tenth of them are scored exactly."""
     rows, asked, chunks, queries, scopes = vectors
-    best = {(q, s, r) for (q, s, _), r in exact(rows, asked, 16).items()}
-    got = {(r.query_id, r.source, r.resource_id) for r in search.vector_topk_approx(queries, chunks, scopes, 16).collect()}
+    books = quantized.fit_codebooks(chunks, parts=16)
+    codes = quantized.encoded(chunks, books)
+    best = {(q, s, r) for (q, s, _), r in exact(rows, asked, 8).items()}
+    got = {(r.query_id, r.source, r.resource_id) for r in quantized.vector_topk_approx(queries, chunks, scopes, 8, most=24, books=books, codes=codes).collect()}
     assert len(got & best) >= 0.9 * len(best)
-    whole = search.vector_topk_approx(queries, chunks, scopes, 16, cells=8, probes=8)
+    listed = quantized.short_list(queries, codes, scopes, books, 24)
+    in_scope = scopes.join(chunks.where("embedding IS NOT NULL"), ["source", "scope"]).join(queries.where("embedding IS NOT NULL"), "query_id").count()
+    assert listed.count() < 0.1 * in_scope
+    assert quantized.recall_of(listed, listed).where("n_exact <> n_found").count() == 0
+
+
+def test_a_long_list_is_exact(vectors):
+    rows, asked, chunks, queries, scopes = vectors
+    best = {(q, s, r) for (q, s, _), r in exact(rows, asked, 16).items()}
+    whole = quantized.vector_topk_approx(queries, chunks, scopes, 16, most=1000)
     assert {(r.query_id, r.source, r.resource_id) for r in whole.collect()} == best
-    assert search.vector_topk_approx(queries, chunks.limit(0), scopes).count() == 0
+    assert quantized.vector_topk_approx(queries, chunks.limit(0), scopes).count() == 0
+
+
+def test_containing_is_brute_force(spark):
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abAÉ_.x") for _ in range(n))
+    texts = [word(rng.randrange(0, 14)) for _ in range(300)] + [None, "aaaa", "A"]
+    needles = [word(rng.randrange(0, 6)) for _ in range(150)] + [None, "", "AA", "aaa", "zzz"]
+    df = lambda x, c: spark.createDataFrame([(v,) for v in x], f"{c} string")
+    found = containing(df(needles, "needle"), df(texts, "text"))
+    expected = sorted({(n, t) for n in needles for t in texts if n and t and n.lower() in t.lower()})
+    assert sorted(map(tuple, found.collect())) == expected
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_phrases_or_minus_and_languages(spark):
