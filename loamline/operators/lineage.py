@@ -5,13 +5,12 @@ Text never meets a catalog by a product of both: names are taken out of the text
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loamline.functions.text import is_tracing
 from loamline.operators.contains import containing
+from loamline.operators.tsql import column_sources, join_chains
 from loamline.session import checkpointed
 
 NAME = r"(?:\[[^\]]+\]|[#\w]+)(?:\.(?:\[[^\]]+\]|\w+)){0,2}"
@@ -263,63 +262,17 @@ def trace_gaps(questions: DataFrame, hits: DataFrame, answers: DataFrame) -> Dat
     return rows.where(~F.contains(F.lower("answer"), F.lower("name"))).select("question_id", "name")
 
 
-@F.pandas_udf(T.StringType())
-def shielded(texts: pd.Series) -> pd.Series:
-    """Texts in which commas and spaces inside parentheses or quotes don't count as such (see unshielded)."""
-
-    def one(text: str | None) -> str | None:
-        depth, quoted, out = 0, False, []
-        for c in text or "":
-            quoted ^= c == "'"
-            depth += (c == "(") - (c == ")") if not quoted else 0
-            out.append("‚" if c == "," and (depth or quoted) else "·" if c.isspace() and (depth or quoted) else ";" if c == ";" else c)
-        return "".join(out)
-
-    return texts.map(one)
-
-
-def unshielded(text: Column) -> Column:
-    return F.translate(text, "‚·", ", ")
-
-
-def statements(defs: DataFrame) -> DataFrame:
-    """(name, n, stmt, target, columns): SELECT statements that fill something, CTEs as statements of their own, with what is
-    inside parentheses shielded. target: the temporary table, the CTE, the table inserted into, or null."""
-    clean = F.regexp_replace(strip_sql_comments(F.col("definition")), r"\s+", " ")
-    body = F.regexp_replace(clean, r"(?i)^.*?\bAS BEGIN\b", "")
-    cte = F.regexp_replace(body, r"(?i);? ?\bWITH (\w+) AS \(", "; SELECT_CTE $1 (")
-    cut = F.regexp_replace(F.regexp_replace(cte, r"(?i)\) ?(INSERT INTO|SELECT)\b", ") ; $1"), r"(?i)(\)|\w) ; (SELECT)\b(?! .*SELECT_CTE)", "$1 $2")
-    parts = defs.select("name", F.posexplode(F.split(cut, ";")).alias("n", "raw"))
-    inner = F.regexp_extract("raw", r"(?i)^\s*SELECT_CTE \w+ \((.*)\)\s*$", 1)
-    rows = parts.select("name", "n", "raw", F.when(inner != "", F.trim(inner)).otherwise(F.trim("raw")).alias("s"), F.nullif(F.regexp_extract("raw", r"(?i)SELECT_CTE (\w+)", 1), F.lit("")).alias("cte"))
-    flat = rows.withColumn("stmt", shielded(F.col("s"))).where(F.lower("stmt").rlike(r"\bselect\b"))
-    get = lambda pattern: F.nullif(F.regexp_extract("stmt", pattern, 1), F.lit(""))
-    target = F.coalesce("cte", get(rf"(?i)\bINSERT INTO ({NAME})"), get(r"(?i)\bINTO (#\w+)"))
-    return flat.select("name", "n", "stmt", target.alias("target"), F.split(unshielded(get(rf"(?i)\bINSERT INTO {NAME}\s*\(([^)]*)\)")), r",\s*").alias("columns"), "cte")
-
-
 def join_edges(defs: DataFrame) -> DataFrame:
-    """(name, n, i, prior, joined, kind, target): a row for each join of a statement's FROM, prior being the table before it in
-    the text. CTEs are left out; a comma list, a derived table, APPLY and CROSS JOIN end the chain."""
-    rows = statements(defs).where("cte IS NULL")
-    source = F.regexp_extract("stmt", r"(?i)\bFROM (.*?)(?: WHERE | GROUP BY | ORDER BY | HAVING |$)", 1)
-    chain = F.regexp_extract(source, r"(?i)^(.*?)(?:,| CROSS | OUTER APPLY| JOIN ?\(|$)", 1)
-    head = F.regexp_extract(chain, rf"(?i)^\s*({NAME})", 1)
-    step = F.regexp_extract_all(chain, F.lit(rf"(?i)\b((?:(?:LEFT|RIGHT|FULL|INNER)(?: OUTER)? )?JOIN {NAME})"), 1)
-    table = lambda s: F.regexp_extract(s, rf"(?i)JOIN ({NAME})", 1)
-    kind = lambda s: F.coalesce(F.nullif(F.upper(F.regexp_extract(s, r"(?i)^(LEFT|RIGHT|FULL)", 1)), F.lit("")), F.lit("INNER"))
-    each = rows.select("name", "n", F.coalesce("target", "name").alias("target"), head.alias("head"), step.alias("steps")).where("head <> ''")
-    flat = each.select("name", "n", "target", "head", "steps", F.posexplode("steps").alias("i", "s"))
-    prior = F.when(F.col("i") == 0, F.col("head")).otherwise(table(F.get("steps", F.col("i") - 1)))
-    return flat.select("name", "n", "i", prior.alias("prior"), table(F.col("s")).alias("joined"), kind(F.col("s")).alias("kind"), "target")
+    """(name, n, i, prior, joined, kind, target): see tsql.join_chains."""
+    return join_chains(defs).select("name", "n", "i", "prior", "joined", "kind", "target")
 
 
 #: What is said of a join by its kind; {p}, {j} and {t} stand for the tables and the target.
 WORDING = {
     "INNER": "`{j}` is INNER-joined to `{p}` when building `{t}` — a row in either table with no matching join key is silently excluded (dropped, not nulled) from what continues downstream",
     "LEFT": "`{p}` LEFT-joins `{j}` when building `{t}` — every `{p}` row is kept even without a match, but a `{j}` row with no matching key in `{p}` is silently excluded from the result",
-    "RIGHT": "`{p}` RIGHT-joins `{j}` when building `{t}` — every `{j}` row is kept even without a match, but a `{p}` row with no matching key in `{j}` is silently excluded from the result",
-    "FULL": "`{p}` FULL-joins `{j}` when building `{t}` — every row of both tables is kept, with nulls where there is no match",
+    "RIGHT": "`{j}` RIGHT-joins `{p}` when building `{t}` — every `{j}` row is kept even without a match, but a `{p}` row with no matching key in `{j}` is silently excluded from the result",
+    "FULL": "`{j}` is FULL-joined to `{p}` when building `{t}` — a row from either side with no match on the other is kept but arrives with the other side's columns NULLed, not excluded — a downstream filter without NULL-handling can still drop it later",
 }
 
 
@@ -345,32 +298,28 @@ def join_risk_findings(questions: DataFrame, hits: DataFrame, most: int = 5) ->
 
 
 def column_edges(defs: DataFrame) -> DataFrame:
-    """(name, stage, ordinal, column, expression, leaf_table, leaf_column, leaf_ordinal) of each output column of SELECT INTO,
-    CTE and INSERT statements. Columns whose table can't be told are left out."""
-    rows = statements(defs).where("target IS NOT NULL")
-    picked = F.regexp_extract("stmt", r"(?i)\bSELECT (?:DISTINCT )?(.*?)(?: INTO #\w+)? FROM ", 1)
-    source = F.regexp_extract("stmt", r"(?i)\bFROM (.*?)(?: WHERE | GROUP BY | ORDER BY | HAVING |$)", 1)
-    items = rows.select("name", "n", F.col("target").alias("stage"), "columns", source.alias("source"), F.posexplode(F.split(picked, r",\s*")).alias("i", "item"))
-    said = F.regexp_extract("item", r"(?i)^(.*?)(?:\s+AS\s+(\[?\w+\]?))?\s*$", 1)
-    alias = F.nullif(F.regexp_extract("item", r"(?i)\s+AS\s+\[?(\w+)\]?\s*$", 1), F.lit(""))
-    own = F.coalesce(F.get("columns", F.col("i")), alias, F.regexp_extract("item", r"(\w+)\s*$", 1))
-    cols = items.select("name", "n", "stage", "source", F.col("i").alias("ordinal"), F.trim(own).alias("column"), F.trim(unshielded(said)).alias("expression"))
-    code = F.regexp_replace("expression", r"'[^']*'", "")
-    words = F.regexp_extract_all(code, F.lit(r"(?<![\w.#@])([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)(?!\s*\(|\w|\.)"), 1)
-    #: Words of expressions that name no column.
-    keywords = ("case", "when", "then", "else", "end", "and", "or", "not", "null", "is", "in", "like", "between", "as", "distinct", "day", "month", "year", "int", "date", "decimal", "over", "partition", "by", "order", "desc", "asc", "exists")
-    leaves = cols.withColumn("_w", F.filter(words, lambda w: ~F.lower(w).isin(*keywords)))
-    flat = leaves.select("name", "n", "stage", "source", "ordinal", "column", "expression", F.posexplode("_w").alias("leaf_ordinal", "w"))
-    tables = F.regexp_extract_all("source", F.lit(rf"(?i)(?:^|\bJOIN )\s*({NAME}(?: (?:AS )?(?!(?:ON|JOIN|LEFT|RIGHT|FULL|INNER|CROSS|WHERE|GROUP)\b)\w+)?)"), 1)
-    t = rows.select("name", "n", source.alias("source")).select("name", "n", F.size(tables).alias("n_tables"), F.explode(tables).alias("x"))
-    t = t.select("name", "n", "n_tables", F.regexp_extract("x", rf"^({NAME})", 1).alias("leaf_table"), F.regexp_extract("x", r"(\w+)\s*$", 1).alias("alias"))
-    parts = F.split("w", r"\.")
-    named = flat.withColumns({"leaf_column": F.element_at(parts, -1), "_q": F.when(F.size(parts) == 2, F.lower(parts[0]))})
-    hit = named.alias("a").join(t.alias("b"), (F.col("a.name") == F.col("b.name")) & (F.col("a.n") == F.col("b.n")) & F.when(F.col("a._q").isNull(), F.col("b.n_tables") == 1).otherwise(F.lower("b.alias") == F.col("a._q")))
-    return hit.select("a.name", "a.stage", "a.ordinal", "a.column", "a.expression", "b.leaf_table", "a.leaf_column", "a.leaf_ordinal")
-
-
-def lineage_paths(edges: DataFrame, wanted: DataFrame, depth: int = 6, longest: int = 60) -> DataFrame:
+    """(name, stage, ordinal, column, expression, leaf_table, leaf_column, leaf_ordinal): see tsql.column_sources."""
+    return column_sources(defs).drop("n", "final")
+
+
+def column_lineage_findings(questions: DataFrame, hits: DataFrame, most: int = 3) -> DataFrame:
+    """(question_id, i, finding): paths of the columns of the anchor's last INSERT that a tracing question names, or of its
+    first ``most`` ones where it names none. A column without a path is passed over."""
+    asked = questions.where(is_tracing(F.col("text"))).select("question_id", F.lower("text").alias("_asked"))
+    a = anchors(hits).join(asked, "question_id").withColumn("name", F.col("question_id").cast("string"))
+    edges = checkpointed(column_sources(a.select("name", F.col("text").alias("definition"))))
+    filled = edges.where("final").withColumn("_last", F.max("n").over(Window.partitionBy("name"))).where("n = _last").select("name", "stage", "column", "ordinal").distinct()
+    word = F.regexp_like("_asked", F.concat(F.lit(r"(?<!\w)\Q"), F.lower("column"), F.lit(r"\E(?!\w)")))
+    known = filled.join(a.select("name", "question_id", "_asked"), "name").withColumn("_named", word)
+    per = Window.partitionBy("name")
+    rank = F.row_number().over(per.orderBy("ordinal"))
+    wanted = known.withColumns({"_any": F.max("_named").over(per), "_rank": rank}).where(F.when(F.col("_any"), F.col("_named")).otherwise(F.col("_rank") <= most))
+    found = lineage_paths(edges, wanted).join(wanted.select("name", "stage", "column", "ordinal", "question_id"), ["name", "stage", "column"])
+    order = F.row_number().over(Window.partitionBy("question_id").orderBy("ordinal"))
+    return found.select("question_id", order.alias("i"), F.col("path").alias("finding")).where(F.col("i") <= most)
+
+
+def lineage_paths(edges: DataFrame, wanted: DataFrame, depth: int = 6, longest: int = 70) -> DataFrame:
     """(name, stage, column, path): chains of labels from a column to base tables, for (name, stage, column).
 
     A chain follows the first leaf that is a stage itself; the other leaves of an expression are listed with it, sorted.
@@ -381,7 +330,7 @@ def lineage_paths(edges: DataFrame, wanted: DataFrame, depth: int = 6, longest:
     short = F.when(F.char_length("expression") > longest, F.concat(F.substring("expression", 1, longest - 3), F.lit("..."))).otherwise(F.col("expression"))
     passed = F.lower(F.element_at(F.split("expression", r"\."), -1)) == low("column")
     by = e.groupBy("name", low("stage").alias("k_stage"), low("column").alias("k_column")).agg(
-        F.first("stage").alias("stage"), F.first("column").alias("column"), F.first(F.when(passed & F.col("expression").rlike(r"^[\w.]+$"), "").otherwise(F.concat(F.lit(" ("), short, F.lit(")")))).alias("note"),
+        F.min_by("stage", "leaf_ordinal").alias("stage"), F.min_by("column", "leaf_ordinal").alias("column"), F.min_by(F.when(passed & F.col("expression").rlike(r"^[\w.]+$"), "").otherwise(F.concat(F.lit(" ("), short, F.lit(")"))), "leaf_ordinal").alias("note"),
         F.min_by(F.struct("leaf_table", "leaf_column"), F.when(F.col("is_stage"), F.col("leaf_ordinal"))).alias("next"), F.min(F.when(F.col("is_stage"), F.col("leaf_ordinal"))).alias("at"),
         F.array_sort(F.collect_set(F.struct("leaf_ordinal", "leaf_table", "leaf_column"))).alias("leaves"))
     rest = F.array_sort(F.array_distinct(F.transform(F.filter("leaves", lambda x: F.coalesce(x["leaf_ordinal"] != F.col("at"), F.lit(True))), lambda x: F.concat(F.lit("`"), x["leaf_table"], F.lit("."), x["leaf_column"], F.lit("`")))))
