@@ -6,6 +6,7 @@ the key columns.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -120,10 +121,11 @@ def ranked_key() -> Column:
     return F.concat_ws("\x1f", "resource_id", F.lpad(F.col("chunk_index").cast("string"), 12, "0")).alias("key")
 
 
-def scored(asked: DataFrame, chunks: DataFrame, by: list[str], k: int, floor: float) -> DataFrame:
-    """The k best chunks of each question (query_id, embedding) and source, among those with equal columns by."""
+def scored(asked: DataFrame, chunks: DataFrame, by: list[str], k: int, floor: float, key: Column | None = None) -> DataFrame:
+    """The k best chunks of each question (query_id, embedding) and source, among those with equal columns by. key: a string
+    in whose order equal scores stand; that of resource and chunk if None."""
     kinds = dict(asked.dtypes) | dict(chunks.dtypes)
-    blocks = blocked(chunks, by, [ranked_key(), *map(F.col, KEY), F.col("embedding")], "block", 1024)
+    blocks = blocked(chunks, by, [ranked_key() if key is None else key.alias("key"), *map(F.col, KEY), F.col("embedding")], "block", 1024)
     packs = blocked(asked, by, [F.col("query_id"), F.col("embedding")], "asked", 128)
     pairs = packs.join(blocks, by).select("source", "asked", "block")
     shape = f"query_id {kinds['query_id']}, source string, resource_id {kinds['resource_id']}, chunk_index {kinds['chunk_index']}, score double"
@@ -312,12 +314,50 @@ def scope_fingerprint(scopes: DataFrame, queries: DataFrame) -> DataFrame:
     return by.join(queries.select("query_id", "language"), "query_id").select("query_id", F.sha2(F.concat_ws("\x1e", "s", F.coalesce("language", F.lit(""))), 256).alias("scope_fingerprint"))
 
 
+def pivots_of(rows: DataFrame, n: int = 3, sample: int = 1024) -> list[list[float]]:
+    """Vectors that lie far from each other, of a sample of fixed size by the hash of the rows; of one length, the commonest."""
+    taken = [r[0] for r in rows.where("embedding IS NOT NULL").orderBy(F.xxhash64("embedding")).limit(sample).select("embedding").collect()]
+    sizes = Counter(map(len, taken))
+    x = np.array([v for v in taken if len(v) == sizes.most_common(1)[0][0]], np.float64) if taken else np.zeros((0, 1))
+    x = x[np.isfinite(x).all(axis=1) & (np.abs(x).sum(axis=1) > 0)]
+    out: list[int] = [0] if len(x) else []
+    unit = x / np.sqrt((x * x).sum(axis=1))[:, None] if len(x) else x
+    while 0 < len(out) < min(n, len(x)):
+        out.append(int((unit @ unit[out].T).max(axis=1).argmin()))
+    return x[out].tolist()
+
+
+def banded(rows: DataFrame, pivots: list[list[float]], floor: float, around: bool) -> DataFrame:
+    """rows with the column bands: by angles to the pivots. Two vectors at an angle of t or less have angles to any third one
+    that differ by t at most, so where one has its band (of width t) only, the other has up to three: around. Vectors that
+    have no angle to a pivot, by their length, share a band of their own."""
+    reach = float(np.arccos(np.clip(floor, -1.0, 1.0)))
+    wide = max(reach, 0.01)
+    out, names = rows, []
+    for k, pivot in enumerate(pivots):
+        angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(F.col("embedding"), F.array(*map(F.lit, pivot))))))
+        at = lambda x: F.floor(x / wide).cast("int")
+        own = F.sequence(at(angle - reach - 1e-6), at(angle + reach + 1e-6)) if around else F.array(at(angle))
+        out = out.withColumn(f"_band{k}", F.explode(F.coalesce(F.when(angle.isNotNull() & ~F.isnan(angle), own), F.array(F.lit(-1000)))))
+        names.append(f"_band{k}")
+    return out.withColumn("bands", F.concat_ws(",", F.lit(""), *names)).drop(*names)
+
+
 def cache_lookup(queries: DataFrame, cache: DataFrame, as_of: str, ttl: int = 3600, floor: float = 0.97) -> DataFrame:
-    """The nearest answer of equal scope that is young enough, for questions (query_id, scope_fingerprint, embedding)."""
+    """The nearest answer of equal scope that is young enough, for questions (query_id, scope_fingerprint, embedding).
+
+    Questions and answers meet by scope and bands of angles (see banded), so the higher the floor the fewer are compared;
+    what meets is scored in blocks."""
     now = F.to_timestamp(F.lit(as_of))
-    young = cache.where((F.col("created_at") <= now) & (F.unix_timestamp(now) - F.unix_timestamp("created_at") <= ttl)).select("answer_id", "scope_fingerprint", F.col("embedding").alias("e"), "answer")
-    scored = queries.join(young, "scope_fingerprint").withColumn("similarity", cosine(F.col("embedding"), F.col("e"))).where(F.col("similarity") >= floor)
-    return top(scored, ["query_id"], [F.desc("similarity"), F.asc("answer_id")], 1, "_rn").select("query_id", "answer_id", "answer", "similarity")
+    young = cache.where((F.col("created_at") <= now) & (F.unix_timestamp(now) - F.unix_timestamp("created_at") <= ttl) & F.col("embedding").isNotNull())
+    pivots = pivots_of(young)
+    kind = dict(cache.dtypes)["answer_id"]
+    key = F.col("resource_id") if kind == "string" else F.lpad(F.col("resource_id").cast("string"), 20, "0")
+    answers = banded(young.select(F.col("scope_fingerprint").alias("source"), F.col("answer_id").alias("resource_id"), F.lit(0).alias("chunk_index"), "embedding"), pivots, floor, False)
+    asked = banded(queries.where("embedding IS NOT NULL").select("query_id", F.col("scope_fingerprint").alias("source"), "embedding"), pivots, floor, True)
+    best = top(scored(asked, answers, ["source", "bands"], 1, floor, key), ["query_id"], [F.desc("score"), F.asc("resource_id")], 1, "_rn")
+    text = young.select(F.col("answer_id"), "answer").dropDuplicates(["answer_id"])
+    return best.select("query_id", F.col("resource_id").alias("answer_id"), F.col("score").alias("similarity")).join(text, "answer_id").select("query_id", "answer_id", "answer", "similarity")
 
 
 def cache_store(cache: DataFrame, answers: DataFrame) -> DataFrame:

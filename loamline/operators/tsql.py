@@ -66,19 +66,19 @@ def scoped(defs: DataFrame) -> DataFrame:
     innermost query around it; 0: the statement), own (whether it stands at that query's own level), and cte (the name of
     the common table expression that is around it)."""
     low, n = F.col("low"), by_name()
-    rows = tokens(defs).withColumns({"prev": before(low), "prev2": F.lag("low", 2).over(n), "prev2_tok": F.lag("tok", 2).over(n), "next": F.lead("low").over(n), "next2": F.lead("low", 2).over(n), "next3": F.lead("low", 3).over(n)})
+    rows = tokens(defs).withColumns({"prev": F.lag("low", 1, "").over(n), "prev2": F.lag("low", 2, "").over(n), "prev2_tok": F.lag("tok", 2).over(n), "next": F.lead("low", 1, "").over(n), "next2": F.lead("low", 2, "").over(n), "next3": F.lead("low", 3, "").over(n)})
     rows = rows.withColumn("depth", summed(low == "(") - summed(F.coalesce(before(low) == ")", F.lit(False))))
     # an END belongs to the last CASE or BEGIN of its depth
-    block = (low == "case") | ((low == "begin") & ~F.coalesce(F.col("next").isin("tran", "transaction", "distributed"), F.lit(False)))
+    block = (low == "case") | ((low == "begin") & ~F.col("next").isin("tran", "transaction", "distributed"))
     rows = opened(rows, block, low == "end", [low.alias("word")], "block")
     top = F.col("depth") == 0
     fence = top & ((low == ";") | (low.isin("begin", "end") & (F.col("block.word") == "begin")))
     # WITH begins a statement where common table expressions follow, not hints or options; ELSE doesn't inside of CASE
-    expressions = F.coalesce((F.col("next2") == "(") | ((F.col("next2") == "as") & (F.col("next3") == "(")), F.lit(False)) & (F.col("next") != "(")
+    expressions = ((F.col("next2") == "(") | ((F.col("next2") == "as") & (F.col("next3") == "("))) & (F.col("next") != "(")
     start = top & low.isin(*STARTS) & ((low != "with") | expressions) & ~F.coalesce(F.col("block.word") == "case", F.lit(False))
     major = last(F.when(fence | (start & (low != "set")), low), n.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_major", F.coalesce(major, F.lit(";"))).withColumn("_start", start).withColumn("_fence", fence)
-    prev = F.coalesce("prev", F.lit(";"))
+    prev = F.col("prev")
     goes_on = (
         ((low == "select") & (F.col("_major").isin("insert", "with") | prev.isin("union", "all", "except", "intersect", "as", "for")))
         | (low.isin("insert", "update", "delete", "merge") & ((F.col("_major") == "with") & (prev == ")") | prev.isin("then", "for", "after", "of", ",")))
@@ -147,7 +147,7 @@ def targets(rows: DataFrame) -> DataFrame:
     """(name, stmt, target, insert): the table that SELECT INTO makes, or that INSERT fills, for each statement."""
     into = (F.col("query") == 0) & F.col("own") & F.col("cte").isNull()
     inserts = rows.where(into & ((F.col("prev") == "into") & (F.col("prev2") == "insert") | (F.col("prev") == "insert") & (F.col("low") != "into"))).select("name", "stmt", unquoted(F.col("tok")).alias("target"), F.col("i").alias("at"), F.lit(True).alias("insert"))
-    makes = rows.where(into & (F.col("prev") == "into") & (F.col("clause") == "into") & ~F.coalesce("prev2", F.lit("")).isin("insert", "merge")).select("name", "stmt", unquoted(F.col("tok")).alias("target"), F.col("i").alias("at"), F.lit(False).alias("insert"))
+    makes = rows.where(into & (F.col("prev") == "into") & (F.col("clause") == "into") & ~F.col("prev2").isin("insert", "merge")).select("name", "stmt", unquoted(F.col("tok")).alias("target"), F.col("i").alias("at"), F.lit(False).alias("insert"))
     both = inserts.unionByName(makes)
     return both.groupBy("name", "stmt").agg(F.min_by("target", "at").alias("target"), F.min("at").alias("at"), F.min_by("insert", "at").alias("insert"))
 
@@ -227,7 +227,7 @@ def column_sources(defs: DataFrame) -> DataFrame:
     cols = cols.join(listed.withColumnsRenamed({"ordinal": "item", "column": "listed"}), ["name", "stmt", "item"], "left")
     one = Window.partitionBy("name", "stmt", "query", "item").orderBy("branch")
     cols = cols.withColumn("column", F.coalesce(F.when(F.col("insert"), F.col("listed")), F.first("own_name").over(one))).where("column IS NOT NULL")
-    leaf = is_name(F.col("low")) & (F.coalesce("next", F.lit("")) != "(") & ~F.col("low").isin(*UNITS) & ~F.col("low").startswith("@") & ~F.col("low").endswith("*") & (F.coalesce("prev", F.lit("")) != "as")
+    leaf = is_name(F.col("low")) & (F.col("next") != "(") & ~F.col("low").isin(*UNITS) & ~F.col("low").startswith("@") & ~F.col("low").endswith("*") & (F.col("prev") != "as")
     leaves = items.where(leaf).withColumn("leaf_ordinal", F.row_number().over(Window.partitionBy(*by).orderBy("i")) - 1)
     pieces = F.split(unquoted(F.col("tok")), r"\.")
     leaves = leaves.select(*by, "leaf_ordinal", F.element_at(pieces, -1).alias("leaf_column"), F.when(F.size(pieces) > 1, F.lower(F.element_at(pieces, -2))).alias("_q"))

@@ -367,6 +367,28 @@ def edge_search(spark, d):
     return lineage.edge_search(edges(spark, d), "S1")
 
 
+SEEN = "x AS (SELECT *, 'graph' AS source, left(subject, 1) AS part FROM e), w AS (SELECT DISTINCT o_custkey % 1000 AS query_id, 'C' || (o_custkey % 1000) AS entity FROM orders)"
+
+
+@registered(f"""WITH {EDGES}, {SEEN}, found AS (SELECT DISTINCT query_id, subject, 'references' AS predicate, object FROM w JOIN x ON contains(subject, lower(entity)) OR contains(object, lower(entity)) WHERE part = 'c' OR query_id % 2 = 0)
+SELECT *, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY subject, predicate, object) AS rank FROM found) WHERE rank <= 20""".replace("SELECT *, rank::INTEGER AS rank FROM (", "SELECT query_id, subject, predicate, object, rank::INTEGER AS rank FROM ("))
+def edge_searches(spark, d):
+    """Many askers at once: every customer number of the orders asks for what contains it; odd ones see customers' edges only."""
+    own = edges(spark, d).withColumns({"source": F.lit("graph"), "resource_identifier": F.substring("subject", 1, 1)})
+    wanted = table(spark, d, "orders").select((F.col("o_custkey") % 1000).alias("query_id")).distinct().withColumn("entity", F.concat(F.lit("C"), F.col("query_id").cast("string")))
+    every = F.when(F.col("query_id") % 2 == 0, F.array(*map(F.lit, "csn"))).otherwise(F.array(F.lit("c")))
+    scopes = wanted.select("query_id", F.lit("graph").alias("source"), F.explode(every).alias("resource_identifier"))
+    return lineage.edge_searches(own, wanted, scopes).select("query_id", "subject", "predicate", "object", "rank")
+
+
+@registered(f"""WITH RECURSIVE {EDGES}, s AS (SELECT DISTINCT n_name AS start, 'n' || (n_nationkey % 10) AS word FROM nation), w AS (SELECT word AS start, 1 AS hop, subject, object FROM (SELECT DISTINCT word FROM s) JOIN e ON contains(subject, word)
+    UNION SELECT start, hop + 1, e.subject, e.object FROM w JOIN e ON e.subject = w.object WHERE hop < 2) SELECT start, hop, subject, object FROM w""")
+def walk_containing(spark, d):
+    """Upstream from every node whose name contains a nation's letter and last digit, two letters."""
+    starts = table(spark, d, "nation").select(F.concat(F.lit("n"), (F.col("n_nationkey") % 10).cast("string")).alias("start")).distinct()
+    return lineage.walk(edges(spark, d), starts, 2, match="contains", cap=None).select("start", "hop", "subject", "object")
+
+
 # reports
 
 

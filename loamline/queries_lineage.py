@@ -148,6 +148,37 @@ def lineage_paths(spark, d):
     return lineage.lineage_paths(lineage.column_edges(definitions(spark, d)), wanted).withColumnRenamed("column", "column_name")
 
 
+#: Shapes beyond one template, by the number modulo 4: chained common table expressions with EXISTS, a union, a derived
+#: table behind APPLY, and statements of an IF without semicolons.
+SHAPES = (
+    "WITH a{k} AS (SELECT s.x, s.y FROM dbo.b{b} s), c{k} AS (SELECT x, y * 2 AS z FROM a{k} WHERE EXISTS (SELECT 1 FROM dbo.b{n} q JOIN dbo.r{r} w ON w.i = q.i)) INSERT INTO dbo.r{r} (p, q) SELECT x, z FROM c{k}",
+    "SELECT t.x AS u INTO #t{k} FROM dbo.b{b} t LEFT JOIN dbo.v{h} v ON v.i = t.i UNION ALL SELECT w.y FROM dbo.r{r} w JOIN dbo.b{n} z ON z.i = w.i",
+    "SELECT d.x, m.best INTO #t{k} FROM dbo.b{b} m JOIN dbo.v{h} AS j ON j.i = m.i CROSS APPLY dbo.fn_x(m.i) f JOIN (SELECT x FROM dbo.r{r}) d ON 1 = 1",
+    "IF 1 = 1 BEGIN UPDATE u SET u.x = 1 FROM dbo.r{r} u JOIN dbo.b{b} z ON z.i = u.i END ELSE SELECT CASE WHEN o.x > 0 THEN o.y ELSE p.y END AS yy INTO #t{k} FROM dbo.b{b} o FULL JOIN dbo.b{n} p ON p.i = o.i",
+)
+SHAPE = "CASE k % 4 " + " ".join(f"WHEN {i} THEN {filled(x)}" for i, x in enumerate(SHAPES)) + " END"
+
+
+def shapes(spark: SparkSession, d: str) -> DataFrame:
+    return numbers(spark, d).select(name("v", "k").alias("name"), spark_sql(SHAPE).alias("definition"))
+
+
+@registered(f"""WITH {K}, t AS (SELECT k, 'dbo.v' || k AS name, '#t' || k AS target, 'dbo.b' || (k % 10) AS b, 'dbo.v' || (k // 2) AS v, 'dbo.r' || (k % 7) AS r, 'dbo.b' || ((k + 3) % 10) AS n FROM k)
+SELECT name, b AS prior, v AS joined, 'LEFT' AS kind, target FROM t WHERE k % 4 = 1 UNION ALL SELECT name, r, n, 'INNER', target FROM t WHERE k % 4 = 1
+UNION ALL SELECT name, b, v, 'INNER', target FROM t WHERE k % 4 = 2 UNION ALL SELECT name, b, n, 'FULL', target FROM t WHERE k % 4 = 3""")
+def join_shapes(spark, d):
+    return lineage.join_edges(shapes(spark, d)).select("name", "prior", "joined", "kind", "target")
+
+
+@registered(f"""WITH {K}, t AS (SELECT k, 'dbo.v' || k AS name, '#t' || k AS t, 'dbo.b' || (k % 10) AS b, 'dbo.r' || (k % 7) AS r, 'dbo.b' || ((k + 3) % 10) AS n FROM k)
+SELECT name, x.* FROM t, LATERAL (VALUES (0, 'a' || k, 0, 'x', 's.x', b, 'x'), (0, 'a' || k, 1, 'y', 's.y', b, 'y'), (0, 'c' || k, 0, 'x', 'x', 'a' || k, 'x'), (0, 'c' || k, 1, 'z', 'y * 2', 'a' || k, 'y'),
+    (0, r, 0, 'p', 'x', 'c' || k, 'x'), (0, r, 1, 'q', 'z', 'c' || k, 'z'), (1, t.t, 0, 'u', 't.x', b, 'x'), (1, t.t, 0, 'u', 'w.y', r, 'y'), (2, t.t, 1, 'best', 'm.best', b, 'best'),
+    (3, t.t, 0, 'yy', 'CASE WHEN o.x > 0 THEN o.y ELSE p.y END', b, 'x'), (3, t.t, 0, 'yy', 'CASE WHEN o.x > 0 THEN o.y ELSE p.y END', b, 'y'), (3, t.t, 0, 'yy', 'CASE WHEN o.x > 0 THEN o.y ELSE p.y END', n, 'y')
+    ) x(shape, stage, ordinal, column_name, expression, leaf_table, leaf_column) WHERE k % 4 = shape""".replace("SELECT name, x.* FROM", "SELECT name, stage, ordinal, column_name, expression, leaf_table, leaf_column FROM"))
+def column_shapes(spark, d):
+    return lineage.column_edges(shapes(spark, d)).select("name", "stage", "ordinal", F.col("column").alias("column_name"), "expression", "leaf_table", "leaf_column")
+
+
 # source files
 
 
@@ -257,11 +288,17 @@ def trace_gaps(spark, d):
 
 
 @registered(f"""WITH {K} SELECT k::BIGINT AS question_id, 1 AS i, CASE k % 4 WHEN 0 THEN '`dbo.v' || (k // 2) || '` is INNER-joined to `dbo.b' || (k % 10) || '` when building `#t' || k || '` — a row in either table with no matching join key is silently excluded (dropped, not nulled) from what continues downstream'
-    ELSE '`dbo.b' || (k % 10) || '` RIGHT-joins `dbo.v' || (k // 2) || '` when building `#t' || k || '` — every `dbo.v' || (k // 2) || '` row is kept even without a match, but a `dbo.b' || (k % 10) || '` row with no matching key in `dbo.v' || (k // 2) || '` is silently excluded from the result' END AS finding FROM k WHERE k % 2 = 0 AND k > 0""")
+    ELSE '`dbo.v' || (k // 2) || '` RIGHT-joins `dbo.b' || (k % 10) || '` when building `#t' || k || '` — every `dbo.v' || (k // 2) || '` row is kept even without a match, but a `dbo.b' || (k % 10) || '` row with no matching key in `dbo.v' || (k // 2) || '` is silently excluded from the result' END AS finding FROM k WHERE k % 2 = 0 AND k > 0""")
 def join_risk_findings(spark, d):
     return lineage.join_risk_findings(asked(spark, d), hits(spark, d))
 
 
+@registered(f"""WITH {K} SELECT k::BIGINT AS question_id, x.* FROM k, LATERAL (VALUES (1, '`dbo.r' || (k % 7) || '.name` ← `#t' || k || '.name` ← `dbo.b' || (k % 10) || '.name`'),
+    (2, '`dbo.r' || (k % 7) || '.total` (SUM(total)) ← `#t' || k || '.total` ← `dbo.v' || (k // 2) || '.total`')) x(i, finding) WHERE k % 2 = 0""")
+def column_lineage_findings(spark, d):
+    return lineage.column_lineage_findings(asked(spark, d), hits(spark, d))
+
+
 def file_hits(spark: SparkSession, d: str) -> DataFrame:
     """For each module a question: its own text first, then the modules of a half, of a third and of the next number."""
     now = lineage.current_files(files(spark, d), 400).where("path LIKE 'pkg%'").withColumn("i", F.regexp_extract("path", r"m(\d+)\.py$", 1).cast("bigint"))

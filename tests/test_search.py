@@ -67,6 +67,30 @@ def test_a_long_list_is_exact(vectors):
     assert quantized.vector_topk_approx(queries, chunks.limit(0), scopes).count() == 0
 
 
+def test_cache_bands_are_brute_force(spark):
+    """At any floor the answers of all pairs; at a high one few pairs meet."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 8))
+    point = lambda i: (centres[i % 6] + 0.15 * rng.normal(size=8)).tolist()
+    answers = [(i, f"s{i % 2}", point(i), f"a{i}", "2001-01-01 00:30:00" if i % 7 else "2000-12-31 22:00:00") for i in range(300)] + [(900, "s0", [0.0] * 8, "z", "2001-01-01 00:30:00"), (901, "s0", [1.0, 2.0], "short", "2001-01-01 00:30:00"), (902, "s0", None, "n", "2001-01-01 00:30:00")]
+    asked = [(i, f"s{i % 2}", point(i)) for i in range(60)] + [(90, "s0", [0.0] * 8), (91, "s0", [2.0, 4.1]), (92, "s0", None)]
+    cache = spark.createDataFrame(answers, "answer_id bigint, scope_fingerprint string, embedding array<double>, answer string, created_at string").withColumn("created_at", F.to_timestamp("created_at"))
+    queries = spark.createDataFrame(asked, "query_id int, scope_fingerprint string, embedding array<double>")
+    for floor in (0.97, 0.3):
+        expected = {}
+        for q, s, a in asked:
+            for i, t, b, _, at in answers:
+                if s == t and a and b and len(a) == len(b) and any(a) and any(b) and at > "2001":
+                    score = round(float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))), 9)
+                    if score >= floor and (q not in expected or (-score, i) < expected[q]):
+                        expected[q] = (-score, i)
+        got = {r.query_id: (-round(r.similarity, 9), r.answer_id) for r in search.cache_lookup(queries, cache, "2001-01-01 01:00:00", floor=floor).collect()}
+        assert got == expected
+    pivots = search.pivots_of(cache)
+    meet = search.banded(queries, pivots, 0.97, True).join(search.banded(cache.select("scope_fingerprint", F.col("embedding")), pivots, 0.97, False), ["scope_fingerprint", "bands"]).count()
+    assert meet < 0.5 * queries.join(cache, "scope_fingerprint").count()
+
+
 def test_containing_is_brute_force(spark):
     rng = random.Random(2)
     word = lambda n: "".join(rng.choice("abAÉ_.x") for _ in range(n))
