@@ -314,10 +314,12 @@ def removal(window: int, texts: bool):
             for b in pieces(whole, "text"):
                 data, offsets = raw(b["text"])
                 n_words, n_removed, digests, kept_texts = [], [], [], []
-                for i, found in enumerate(b["places"]):
+                for i, (found, twice) in enumerate(zip(b["places"], b["twice"].to_pylist(), strict=True)):
                     words = data[offsets[i] : offsets[i + 1]].tobytes().split()
                     n_words.append(n := len(words))
-                    if found.is_valid and len(found):
+                    if twice and n >= window:
+                        words = []
+                    elif found.is_valid and len(found):
                         edge = np.zeros(n + window + 1, np.int64)
                         p = np.unique(np.asarray(found.values))
                         edge[p] += 1
@@ -328,8 +330,8 @@ def removal(window: int, texts: bool):
                     digests.append(hashlib.sha256(kept).hexdigest())
                     if texts:
                         kept_texts.append(kept.decode() if n_removed[-1] else data[offsets[i] : offsets[i + 1]].tobytes().decode())
-                out = [b.column(b.schema.get_field_index(c)) for c in b.schema.names if c not in ("text", "places")] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
-                names = [c for c in b.schema.names if c not in ("text", "places")] + ["n_words", "n_removed", "kept_sha256"]
+                out = [b.column(b.schema.get_field_index(c)) for c in b.schema.names if c not in ("text", "places", "twice")] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
+                names = [c for c in b.schema.names if c not in ("text", "places", "twice")] + ["n_words", "n_removed", "kept_sha256"]
                 yield pa.RecordBatch.from_arrays(out + [pa.array(kept_texts, pa.string())] * texts, names=names + ["kept_text"] * texts)
 
     return f
@@ -366,13 +368,21 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
     A word goes if a window of ``window`` consecutive words covers it whose word sequence also starts at another place,
     in any text, the same one included; windows are judged on the input. Kept words are joined by one space.
     Null and empty texts have no words, and the hash of the empty text. Texts shorter than the window lose nothing.
-    Rows repeated with the same id and text count as two places each, so they lose all that they can. A null id stays
+    Rows repeated with the same id and text count as two places each, so they lose all words if a window fits, and are
+    looked at once however many they are. A null id stays
     null. Other columns, whatever their names, are ignored. An empty table gives an empty result.
     """
     texts = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"), *(carry or []))
     carried = [c for c in texts.columns if c not in ("doc_id", "text")]
     kinds = dict(texts.dtypes)
     texts = texts.withColumns({"did": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "key": F.xxhash64("doc_id", "text")})
-    found = repeated_windows(texts.select("did", "key", "text"), window, part, fan)
+    # of rows alike in id and text one goes on, as all their windows repeat: its places would be every row's, and theirs its
+    twice = keep(texts.groupBy("did", "key").agg(F.count("*").alias("n")).where("n > 1").select("did", "key", F.lit(True).alias("twice")))
+    once = texts.select("did", "key", "text")
+    if not twice.isEmpty():
+        one = once.join(twice, ["did", "key"], "left_semi").dropDuplicates(["did", "key"])
+        once = once.join(twice, ["did", "key"], "left_anti").unionByName(one)
+    found = repeated_windows(once, window, part, fan)
     schema = "".join(f"{c} {kinds[c]}, " for c in ("doc_id", *carried)) + "n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text
-    return texts.join(found, ["did", "key"], "left").select("doc_id", *carried, "text", "places").mapInArrow(removal(window, with_text), schema)
+    known = texts.join(found, ["did", "key"], "left").join(twice, ["did", "key"], "left")
+    return known.select("doc_id", *carried, "text", "places", "twice").mapInArrow(removal(window, with_text), schema)

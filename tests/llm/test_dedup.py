@@ -1,6 +1,7 @@
 """Substring dedup and SimHash against brute force."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -12,6 +13,7 @@ from loamline.llm import simhash
 from loamline.llm.components import components
 from loamline.llm.simhash import simhash_components
 from loamline.llm.substring import substring_dedup
+from tests.llm.conftest import words
 
 
 def brute_repeats(texts, window):
@@ -29,6 +31,16 @@ def test_substring_dedup_is_brute_force(docs, rows, window):
     assert got == sorted((str(r[0]), *x) for r, x in zip(rows, brute_repeats([r[1] for r in rows], window), strict=True))
 
 
+def test_many_repeated_rows(spark):
+    """Five thousand rows alike in id and text lose all their words, once looked at; a text that holds a part of theirs loses that."""
+    rng = random.Random(9)
+    text = words(rng, 500)
+    part = " ".join(text.split()[100:150])
+    rows = [(7, text)] * 5000 + [(8, "a b c " + part + " d e"), (9, "a b"), (9, "a b")]
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(7, 500, 500, 5000), (8, 55, 50, 1), (9, 2, 0, 2)]
+
+
 @pytest.mark.parametrize(("part", "fan"), [(4000, 4096), (4000, 3), (1000, 2)])
 def test_substring_dedup_whatever_the_parts(docs, rows, part, fan):
     got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(docs, window=4, part=part, fan=fan).collect())
