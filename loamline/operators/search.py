@@ -15,12 +15,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamline.functions.stemming import STOP_WORDS, stem
 from loamline.functions.text import cosine, tokens
-from loamline.session import checkpointed
 
 KEY = ["resource_id", "chunk_index"]
-#: Words too common to be searched in English.
-STOP_WORDS = ("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with").split()
 #: Weights of a match in the title and in the text, and the constant of reciprocal-rank fusion.
 TITLE_WEIGHT, TEXT_WEIGHT, RRF_K = 1.0, 0.4, 60
 
@@ -139,13 +137,6 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, scopes: DataFrame, k: int
     return scored(asked, chunks.where("embedding IS NOT NULL").select("source", "scope", *KEY, "embedding"), ["source", "scope"], k, floor)
 
 
-def stem(token: Column) -> Column:
-    """A light English stem: common endings go, if enough is left, and a consonant doubled before one is single again."""
-    single = F.regexp_replace(F.regexp_replace(token, r"(?<=..)ies$", "y"), r"(?<=.)([bdfgmnprt])\1(?:ing|edly|ed)$", "$1")
-    cut = F.regexp_replace(single, r"(?<=...)(?:ing|edly|ed|ly|es|s)$", "")
-    return F.when(F.char_length(token) > 3, cut).otherwise(token)
-
-
 def tokenize(df: DataFrame, language: str = "simple", text: str = "text", field: str = "B", keep: list[str] | None = None) -> DataFrame:
     """Postings: the columns to keep, token, field, pos. simple: verbatim in lower case; english: stop words go, stems stay."""
     out = df.select(*(keep or ["source", "scope", *KEY]), F.posexplode(tokens(F.col(text))).alias("pos", "token"))
@@ -155,15 +146,18 @@ def tokenize(df: DataFrame, language: str = "simple", text: str = "text", field:
 
 
 def postings(chunks: DataFrame, language: str = "simple", tokens_of: DataFrame | None = None) -> DataFrame:
-    """The inverted index: a row for each chunk and token, with the token's places in the title (a) and in the text (b).
+    """The inverted index: a row for each chunk and token, with the token's places in the title (a) and in the text (b), and
+    how many words the title has (shift).
 
-    It is meant to be stored, by token, and used for many questions. tokens_of: terms (see parse_search) whose tokens are
+    It is meant to be stored, by token (see keywords.py), and used for many questions. tokens_of: terms (see parse_search) whose tokens are
     all that is wanted; then nothing else is gathered."""
-    every = tokenize(chunks, language, "title", "A").unionByName(tokenize(chunks, language, "text", "B"))
+    kept = ["source", "scope", *KEY, "shift"]
+    chunks = chunks.withColumn("shift", F.size(tokens(F.col("title"))))
+    every = tokenize(chunks, language, "title", "A", kept).unionByName(tokenize(chunks, language, "text", "B", kept))
     if tokens_of is not None:
         every = every.join(tokens_of.select(F.explode("tokens").alias("token")).where("token IS NOT NULL").distinct(), "token", "left_semi")
     places = lambda field: F.array_sort(F.collect_list(F.when(F.col("field") == field, F.col("pos"))))
-    return every.groupBy("source", "scope", *KEY, "token").agg(places("A").alias("a"), places("B").alias("b"))
+    return every.groupBy(*kept, "token").agg(places("A").alias("a"), places("B").alias("b"))
 
 
 def parse_search(queries: DataFrame, language: str = "simple") -> DataFrame:
@@ -180,7 +174,8 @@ def parse_search(queries: DataFrame, language: str = "simple") -> DataFrame:
 
 
 def keyword_match(terms: DataFrame, index: DataFrame, scopes: DataFrame) -> DataFrame:
-    """(query_id, source, key, n_a, n_b, span): chunks in scope that satisfy a branch, with occurrences of its terms.
+    """(query_id, source, key, n_a, n_b, span, terms): chunks in scope that satisfy a branch, with occurrences of its terms,
+    and the places where each term of its satisfied branches begins.
 
     A branch looks up its rarest token first, in its question's scopes; those chunks are asked for its other tokens by chunk
     and token, and only where all are there are places compared. So no common token is ever looked up for its own sake."""
@@ -192,8 +187,8 @@ def keyword_match(terms: DataFrame, index: DataFrame, scopes: DataFrame) -> Data
     first = rarest.join(scopes, "query_id").join(index.select("source", "scope", *KEY, "token"), ["source", "scope", "token"])
     there = first.select(*at, "needed", *chunk).join(wanted, at).join(index.select(*KEY, "token"), [*KEY, "token"])
     full = there.groupBy(*at, "needed", *chunk).agg(F.count("*").alias("have")).where("have = needed").select(*at, *chunk)
-    places = full.join(parts, at).join(index.select(*KEY, "token", "a", "b"), [*KEY, "token"])
-    by_term = places.groupBy(*at, *chunk, "term", "negated", "n_tokens").agg(F.collect_list(F.struct("i", "a", "b")).alias("p"))
+    places = full.join(parts, at).join(index.select(*KEY, "token", "shift", "a", "b"), [*KEY, "token"])
+    by_term = places.groupBy(*at, *chunk, "term", "negated", "n_tokens").agg(F.collect_list(F.struct("i", "a", "b")).alias("p"), F.min("shift").alias("shift"), (F.max("i") + 1).alias("length"))
 
     def starts(field: str) -> Column:
         """Where all tokens of a term stand in a row."""
@@ -201,18 +196,12 @@ def keyword_match(terms: DataFrame, index: DataFrame, scopes: DataFrame) -> Data
         met = F.aggregate(F.slice(own, 2, F.size(own)), F.get(own, F.lit(0)), F.array_intersect)
         return F.when(F.size("p") == F.col("n_tokens"), met).otherwise(F.array().cast("array<int>"))
 
-    met = by_term.select(*at, *chunk, "negated", starts("a").alias("a"), starts("b").alias("b")).withColumn("ok", F.size("a") + F.size("b") > 0)
+    met = by_term.select(*at, *chunk, "term", "negated", "shift", "length", starts("a").alias("a"), starts("b").alias("b")).withColumn("ok", F.size("a") + F.size("b") > 0)
     good = F.col("ok") & ~F.col("negated")
-    sums = met.groupBy(*at, *chunk).agg(F.count_if(good).alias("have"), F.count_if(F.col("ok") & F.col("negated")).alias("bad"), F.sum(F.when(good, F.size("a"))).alias("n_a"), F.sum(F.when(good, F.size("b"))).alias("n_b"), (F.max(F.when(good, F.array_max("b"))) - F.min(F.when(good, F.array_min("b")))).alias("span"))
+    sums = met.groupBy(*at, *chunk).agg(F.count_if(good).alias("have"), F.count_if(F.col("ok") & F.col("negated")).alias("bad"), F.sum(F.when(good, F.size("a"))).alias("n_a"), F.sum(F.when(good, F.size("b"))).alias("n_b"), (F.max(F.when(good, F.array_max("b"))) - F.min(F.when(good, F.array_min("b")))).alias("span"), F.collect_list(F.when(good, F.struct("branch", "term", "length", "shift", "a", "b"))).alias("terms"))
     needed = terms.where("NOT negated").groupBy(*at).agg(F.count("*").alias("needed"))
     whole = sums.join(needed, at).where("have = needed AND bad = 0")
-    return whole.groupBy("query_id", *chunk).agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.min("span").alias("span"))
-
-
-def keyword_rank(matched: DataFrame, k: int = 16) -> DataFrame:
-    """Per question and source the k best: weighted occurrences, discounted by how far apart they stand."""
-    score = (F.col("n_a") * TITLE_WEIGHT + F.col("n_b") * TEXT_WEIGHT) / (1 + F.log(1.0 + F.coalesce("span", F.lit(0))))
-    return top(matched.withColumn("score", score), ["query_id", "source"], [F.desc("score"), *map(F.asc, KEY)], k).select("query_id", "source", *KEY, "score", "rank")
+    return whole.groupBy("query_id", *chunk).agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.min("span").alias("span"), F.array_sort(F.flatten(F.collect_list("terms"))).alias("terms"))
 
 
 def rrf(vector: DataFrame, keyword: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -239,37 +228,6 @@ def merge_hit_metadata(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumn("metadata", merged).withColumn("title", F.coalesce("title", F.try_element_at("metadata", F.lit("object_name"))))
 
 
-def keyword_leg(queries: DataFrame, chunks: DataFrame, scopes: DataFrame, k: int, language: str) -> DataFrame:
-    """keyword_rank for questions that each have a language: english, or any other for words as they are."""
-    spoken = F.when(F.coalesce("language", F.lit(language)) == "english", "english").otherwise("simple")
-    asked = queries.withColumn("_language", spoken) if "language" in queries.columns else queries.withColumn("_language", F.lit(language))
-    legs = []
-    for own in [r[0] for r in asked.select("_language").distinct().collect()]:  # two at most
-        terms = parse_search(asked.where(F.col("_language") == own), own)
-        index = checkpointed(postings(chunks, own, terms))
-        legs.append(keyword_match(terms, index, scopes))
-    if not legs:
-        legs.append(keyword_match(parse_search(asked), postings(chunks, tokens_of=parse_search(asked)), scopes))
-    matched = legs[0]
-    for other in legs[1:]:
-        matched = matched.unionByName(other)
-    return keyword_rank(matched, k)
-
-
-def retrieve(queries: DataFrame, chunks: DataFrame, grants: DataFrame, sources: list[str] | None = None, mode: str = "hybrid", top_k: int = 8, cap: int = 4, multiplier: int = 4, floor: float = 0.10, language: str = "simple") -> DataFrame:
-    """Scopes, candidates of each source, fusion and quota. Blank questions and empty scopes give no rows. language: that of
-    questions whose own is null."""
-    asked = queries.where(F.trim(F.coalesce("text", F.lit(""))) != "")
-    scopes = query_scopes(asked, grants, sources)
-    k = max(top_k, cap * multiplier)
-    vector = vector_topk(asked, chunks, scopes, k, floor)
-    if mode == "vector":
-        ranked = vector.drop("rank").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *map(F.asc, KEY))))
-    else:
-        ranked = rrf(vector, keyword_leg(asked, chunks, scopes, k, language))
-    return source_quota(ranked, top_k, cap)
-
-
 def best_per_resource(hits: DataFrame) -> DataFrame:
     return top(hits, ["query_id", "resource_id"], [F.desc("score"), F.asc("chunk_index")], 1, "_rn").drop("_rn")
 

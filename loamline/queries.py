@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from loamline.functions.text import fingerprint, html_to_text
-from loamline.operators import index, lineage, quantized, search
+from loamline.operators import index, keywords, lineage, quantized, search
 from loamline.plans import adhoc, retail, usage
 from loamline.operators.snapshots import SnapshotTable
 from loamline.session import checkpointed, shared_root
@@ -230,13 +230,13 @@ p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY over, r) AS pl
 
 @registered(f"{QUOTA} SELECT query_id, resource_id, source, place::INTEGER AS place FROM p WHERE place <= 8")
 def vector_topk_quota(spark, d):
-    hits = search.retrieve(questions(spark, d), chunks(spark, d), grants(spark, d), mode="vector")
+    hits = keywords.retrieve(questions(spark, d), chunks(spark, d), grants(spark, d), mode="vector")
     return hits.select("query_id", "resource_id", "source", "place")
 
 
 @registered(f"{QUOTA} SELECT query_id, number::INTEGER AS number, resource_id FROM (SELECT query_id, resource_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, resource_id) AS number FROM p WHERE place <= 8)")
 def numbered_context(spark, d):
-    hits = search.retrieve(questions(spark, d), chunks(spark, d), grants(spark, d), mode="vector")
+    hits = keywords.retrieve(questions(spark, d), chunks(spark, d), grants(spark, d), mode="vector")
     texts = chunks(spark, d).select("resource_id", "chunk_index", "text")
     return search.numbered_context(hits.join(texts, ["resource_id", "chunk_index"])).select("query_id", "number", "resource_id")
 
@@ -244,7 +244,7 @@ def numbered_context(spark, d):
 @registered(f"{QUOTA}, good AS (SELECT query_id, 'doc:' || doc_id AS resource_id FROM q, labels WHERE quality = 1 AND doc_id % 7 = query_id % 7), t AS (SELECT query_id, resource_id FROM p WHERE place <= 8), f AS (SELECT query_id, count(*) AS taken, count(good.resource_id) AS found FROM t LEFT JOIN good USING (query_id, resource_id) GROUP BY query_id), n AS (SELECT query_id, count(*) AS relevant FROM good GROUP BY query_id) SELECT query_id, round(coalesce(found / taken, 0), 6) AS precision, round(coalesce(found / relevant, 0), 6) AS recall FROM n FULL JOIN f USING (query_id)")
 def retrieval_quality(spark, d):
     q = questions(spark, d)
-    hits = search.retrieve(q, chunks(spark, d), grants(spark, d), mode="vector")
+    hits = keywords.retrieve(q, chunks(spark, d), grants(spark, d), mode="vector")
     labels = table(spark, d, "labels").where("quality = 1").withColumn("m", F.col("doc_id") % 7)
     judged = q.select("query_id", (F.col("query_id") % 7).alias("m")).join(labels, "m").select("query_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("resource_id"))
     return search.retrieval_quality(hits, judged).select("query_id", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
@@ -255,6 +255,19 @@ def tokenize_simple(spark, d):
     return search.tokenize(table(spark, d, "documents"), keep=["doc_id"]).select("doc_id", "pos", "token")
 
 
+#: Words with their published stems.
+STEMS = dict(zip("consistency conspiracies knackeries knitting consolatory generously happiness rationally hopping skies agreed luxuriated".split(), "consist conspiraci knackeri knit consolatori generous happi ration hop sky agre luxuri".split(), strict=True))
+WORDS = ", ".join(f"'{w}'" for w in STEMS)
+STEMMED = ", ".join(f"'{w}'" for w in STEMS.values())
+
+
+@registered(f"""SELECT p_partkey::BIGINT AS k, x.* FROM part, LATERAL (VALUES (1, [{STEMMED}][1 + p_partkey % {len(STEMS)}]), (2, 'k' || p_partkey)) x(pos, token)""")
+def tokenize_english(spark, d):
+    """A stop word, a word of each part's number and its name: the second and third are left, stemmed."""
+    text = F.concat(F.lit("The "), F.expr(f"get(array({WORDS}), cast(p_partkey % {len(STEMS)} AS INT))"), F.lit(", k"), F.col("p_partkey").cast("string"))
+    return search.tokenize(table(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("k"), text.alias("text")), "english", keep=["k"]).select("k", "pos", "token")
+
+
 SPLIT = "list_filter(regexp_split_to_array(lower({}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 
 
@@ -277,10 +290,18 @@ cw AS (SELECT source, scope, resource_id, {SPLIT.format("title")} AS ta, {SPLIT.
 ss AS (SELECT DISTINCT query_id, g.source, g.scope FROM sq JOIN g USING (user_id)),
 met AS (SELECT query_id, branch, cw.source, resource_id, any_value(ta) AS ta, any_value(tb) AS tb FROM terms JOIN ss USING (query_id) JOIN cw ON cw.source = ss.source AND cw.scope = ss.scope
     GROUP BY query_id, branch, cw.source, resource_id HAVING bool_and(negated <> contains(w, ' ' || array_to_string(t, ' ') || ' ')) AND NOT bool_and(negated)),
-places AS (SELECT query_id, branch, source, resource_id, list_filter(range(1, len(ta) + 1), lambda i: ta[i:i + len(t) - 1] = t) AS a, list_filter(range(1, len(tb) + 1), lambda i: tb[i:i + len(t) - 1] = t) AS b FROM met JOIN terms USING (query_id, branch) WHERE NOT negated),
+places AS (SELECT query_id, branch, term, source, resource_id, len(t) AS n, len(ta) AS shift, list_filter(range(1, len(ta) + 1), lambda i: ta[i:i + len(t) - 1] = t) AS a, list_filter(range(1, len(tb) + 1), lambda i: tb[i:i + len(t) - 1] = t) AS b FROM met JOIN terms USING (query_id, branch) WHERE NOT negated),
 per AS (SELECT query_id, branch, source, resource_id, sum(len(a)) AS n_a, sum(len(b)) AS n_b, max(list_max(b)) - min(list_min(b)) AS span FROM places GROUP BY ALL),
 found AS (SELECT query_id, source, resource_id, max(n_a)::BIGINT AS n_a, max(n_b)::BIGINT AS n_b, min(span)::BIGINT AS span FROM per GROUP BY ALL),
-kw AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, resource_id) AS rank FROM (SELECT *, (n_a * 1.0::DOUBLE + n_b * 0.4::DOUBLE) / (1 + ln(1.0::DOUBLE + span)) AS score FROM found))"""
+occ AS (SELECT *, s + n - 1 AS e FROM (SELECT query_id, source, resource_id, branch, term, n, shift, unnest(list_concat(a, list_transform(b, lambda i: i + shift))) AS s FROM places)),
+ends AS (SELECT DISTINCT query_id, source, resource_id, e FROM occ),
+lasts AS (SELECT x.query_id, x.source, x.resource_id, x.e, o.branch, o.term, max(o.s) AS s FROM ends x JOIN occ o ON o.query_id = x.query_id AND o.source = x.source AND o.resource_id = x.resource_id AND o.e <= x.e GROUP BY ALL),
+need AS (SELECT query_id, branch, count(*) AS needed FROM terms WHERE NOT negated GROUP BY ALL),
+late AS (SELECT query_id, source, resource_id, e, max(p) AS p FROM (SELECT query_id, source, resource_id, e, branch, min(s) AS p, count(*) AS have FROM lasts GROUP BY ALL) JOIN need USING (query_id, branch) WHERE have = needed GROUP BY ALL),
+cover AS (SELECT * FROM (SELECT *, max(p) OVER (PARTITION BY query_id, source, resource_id ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM late) WHERE earlier IS NULL OR p > earlier),
+points AS (SELECT DISTINCT query_id, source, resource_id, q, CASE WHEN q <= shift THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END AS weight FROM (SELECT query_id, source, resource_id, shift, unnest(range(s, s + n)) AS q FROM occ)),
+dense AS (SELECT c.query_id, c.source, c.resource_id, c.p, c.e, count(*) AS n, sum(1.0::DOUBLE / weight) AS inverse FROM cover c JOIN points o ON o.query_id = c.query_id AND o.source = c.source AND o.resource_id = c.resource_id AND o.q BETWEEN c.p AND c.e GROUP BY ALL),
+kw AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, resource_id) AS rank FROM (SELECT query_id, source, resource_id, round(sum(n / inverse / (1 + greatest((e - p) - (n - 1), 0))), 9) AS score FROM dense GROUP BY ALL))"""
 
 
 @registered(f"WITH {CHUNKS}, {SEARCH} SELECT query_id, branch::BIGINT AS branch, term::INTEGER AS term, negated, array_to_string(t, ' ') AS tokens FROM terms")
@@ -288,11 +309,26 @@ def search_terms(spark, d):
     return search.parse_search(searches(spark, d)).select("query_id", "branch", "term", "negated", F.array_join("tokens", " ").alias("tokens"))
 
 
+STORED: dict[tuple, keywords.KeywordIndex] = {}
+
+
+def stored_keywords(spark: SparkSession, d: str) -> keywords.KeywordIndex:
+    """The keyword index of the documents, made once in a session for a version of their table."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    made = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(where).getModificationTime()
+    key = (spark.sparkContext.applicationId, d, made)
+    if key not in STORED:
+        new = keywords.KeywordIndex(spark, f"{shared_root(spark)}/keywords-{uuid.uuid4().hex}", ("simple",))
+        new.update(chunks(spark, d), 0)
+        STORED[key] = new
+    return STORED[key]
+
+
 def matched(spark: SparkSession, d: str) -> DataFrame:
     asked = searches(spark, d)
     terms = search.parse_search(asked)
-    index = checkpointed(search.postings(chunks(spark, d), tokens_of=terms))
-    return search.keyword_match(terms, index, search.query_scopes(asked, grants(spark, d)))
+    found = checkpointed(stored_keywords(spark, d).of(terms, "simple"))
+    return search.keyword_match(terms, found, search.query_scopes(asked, grants(spark, d)))
 
 
 @registered(f"WITH {CHUNKS}, {SEARCH} SELECT query_id, source, resource_id, n_a, n_b, span FROM found")
@@ -302,7 +338,7 @@ def keyword_match(spark, d):
 
 @registered(f"WITH {CHUNKS}, {SEARCH} SELECT query_id, source, resource_id, round(score, 6) AS score, rank::INTEGER AS rank FROM kw WHERE rank <= 16")
 def keyword_rank(spark, d):
-    return search.keyword_rank(matched(spark, d)).select("query_id", "source", "resource_id", F.round("score", 6).alias("score"), "rank")
+    return keywords.keyword_rank(matched(spark, d)).select("query_id", "source", "resource_id", F.round("score", 6).alias("score"), "rank")
 
 
 @registered(f"""WITH {CHUNKS}, {SEARCH},
@@ -314,7 +350,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY r) > 4
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY over, r) AS place FROM o)
 SELECT query_id, resource_id, source, round(rrf, 9) AS rrf, place::INTEGER AS place FROM p WHERE place <= 8""")
 def retrieve_hybrid(spark, d):
-    hits = search.retrieve(questions(spark, d), chunks(spark, d), grants(spark, d))
+    hits = keywords.retrieve(questions(spark, d), chunks(spark, d), grants(spark, d), index=stored_keywords(spark, d))
     return hits.select("query_id", "resource_id", "source", F.round("rrf", 9).alias("rrf"), "place")
 
 

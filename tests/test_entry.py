@@ -1,6 +1,7 @@
 """The driver's contract, plans that must not hold a product, and every registered query against its SQL."""
 
 import os
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -50,11 +51,15 @@ def test_top_k_is_cut_before_the_shuffle(spark):
 
 
 def test_the_rest_stands_alone(tmp_path):
-    """Without the subpackage and the pipeline the registry still has the library's queries."""
-    for name in ("loamline", "__spark_entry__.py"):
-        subprocess.run(["cp", "-r", str(REPO / name), str(tmp_path)], check=True)
-    (tmp_path / "loamline" / "llm").rename(tmp_path / "gone")
+    """Without the subpackage, its tests and the pipeline the registry has the library's queries, and the other tests run."""
+    gone = shutil.ignore_patterns("llm", "__pycache__")
+    for name in ("loamline", "tests"):
+        shutil.copytree(REPO / name, tmp_path / name, ignore=gone)
+    shutil.copy(REPO / "__spark_entry__.py", tmp_path)
+    env = os.environ | {"PYTHONPATH": str(tmp_path)}
     code = "import __spark_entry__ as e; assert not any(n.startswith('op') for n in e.queries()); print(len(e.queries()))"
-    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=env)
     assert out.returncode == 0, out.stderr
     assert int(out.stdout) == len(queries.QUERIES)
+    rest = subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "tests/test_lineage.py", "tests/test_stemming.py", "-k", "imports or stems"], cwd=tmp_path, capture_output=True, text=True, env=env)
+    assert rest.returncode == 0, rest.stdout

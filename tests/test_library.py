@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamline.functions.text import fingerprint, html_to_text, is_tracing
-from loamline.operators import index, search
+from loamline.operators import index, keywords, search
 from loamline.operators.snapshots import SnapshotTable
 from loamline.plans import adhoc, retail, usage
 from loamline.schemas import CHUNKS
@@ -100,7 +100,7 @@ def test_search_grammar(spark):
     chunks = spark.createDataFrame([("s", "x", "a", 0, "t", "red apple pie"), ("s", "x", "b", 0, "apple", "green pie apple"), ("s", "x", "c", 0, "t", "blue sky")], "source string, scope string, resource_id string, chunk_index int, title string, text string")
     ask = lambda text: {r.resource_id for r in search.keyword_match(search.parse_search(spark.createDataFrame([(1, text)], "query_id int, text string")), search.postings(chunks), spark.createDataFrame([(1, "s", "x")], "query_id int, source string, scope string")).collect()}
     assert ask("apple pie") == {"a", "b"} and ask('"apple pie"') == {"a"} and ask("apple -red") == {"b"} and ask("sky OR red") == {"a", "c"} and ask('"" -') == set()
-    ranked = search.keyword_rank(search.keyword_match(search.parse_search(spark.createDataFrame([(1, "apple")], "query_id int, text string")), search.postings(chunks), spark.createDataFrame([(1, "s", "x")], "query_id int, source string, scope string")))
+    ranked = keywords.keyword_rank(search.keyword_match(search.parse_search(spark.createDataFrame([(1, "apple")], "query_id int, text string")), search.postings(chunks), spark.createDataFrame([(1, "s", "x")], "query_id int, source string, scope string")))
     assert [r.resource_id for r in ranked.orderBy("rank").collect()] == ["b", "a"]
 
 

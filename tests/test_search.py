@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loamline.operators import quantized, search
+from loamline.operators import keywords, quantized, search
 from loamline.operators.contains import containing
 
 CHUNK = "source string, scope string, resource_id string, chunk_index int, title string, text string, embedding array<double>"
@@ -111,8 +113,50 @@ def test_phrases_or_minus_and_languages(spark):
     queries = spark.createDataFrame([(i, "u", t, g, [1.0, 0.0]) for i, t, g in asked], "query_id int, user_id string, text string, language string, embedding array<double>")
     scopes = queries.select("query_id").withColumns({"source": F.lit("s"), "scope": F.lit("k")})
     got = {}
-    for r in search.keyword_leg(queries, chunks, scopes, 10, "simple").collect():
+    for r in keywords.keyword_leg(queries, scopes, 10, "simple", chunks=chunks).collect():
         got.setdefault(r.query_id, set()).add(r.resource_id)
     assert got == {1: {"r0"}, 2: {"r1", "r2"}, 3: {"r0"}, 4: {"r2"}, 7: {"r1", "r5"}}
-    hits = search.retrieve(queries, chunks, spark.createDataFrame([("u", "s", "k")], "user_id string, source string, scope string"))
+    hits = keywords.retrieve(queries, chunks, spark.createDataFrame([("u", "s", "k")], "user_id string, source string, scope string"))
     assert hits.where("query_id = 8").count() == 0 and hits.where("query_id = 1").orderBy("place").first().resource_id == "r0"
+
+
+def brute_covers(occurrences, branch_of):
+    """Shortest stretches that satisfy a branch, by trying all."""
+    ends = sorted({(s, e) for s0, _, _ in occurrences for _, e0, _ in occurrences for s, e in [(s0, e0)] if s <= e})
+    full = lambda s, e: any(all(any(t == own and s <= x and y <= e for x, y, t in occurrences) for own, b in enumerate(branch_of) if b == branch) for branch in set(branch_of))
+    good = [(s, e) for s, e in ends if full(s, e)]
+    return sorted((s, e) for s, e in good if not any((x, y) != (s, e) and s <= x and y <= e for x, y in good))
+
+
+@given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 2), st.integers(0, 3)), min_size=1, max_size=14), st.lists(st.integers(0, 2), min_size=4, max_size=4))
+def test_covers_are_brute_force(found, branch_of):
+    occurrences = sorted({(s, s + more, t) for s, more, t in found})
+    arrays = (np.array(x, np.int64) for x in zip(*occurrences, strict=True))
+    first, last = keywords.covers(*arrays, np.array(branch_of))
+    assert sorted(zip(first.tolist(), last.tolist(), strict=True)) == brute_covers(occurrences, branch_of)
+
+
+def test_density():
+    """Two covers of two places: adjacent ones count whole, others by the words between; the title weighs more."""
+    one = keywords.density(np.array([1, 10]), np.array([2, 14]), np.array([1, 2, 10, 14]), np.array([1.0, 1.0, 0.4, 0.4]))
+    assert one == pytest.approx(1.0 + 0.4 / 4)
+
+
+def test_stored_index_follows_its_chunks(spark, tmp_path):
+    texts = ["red apple pie", "green pie", "blue sky", None, "apple apple"]
+    chunks = spark.createDataFrame([("s", "k", f"r{i}", 0, "t", t, [1.0]) for i, t in enumerate(texts)], CHUNK)
+    stored = keywords.KeywordIndex(spark, str(tmp_path / "k"), buckets=16)
+    stored.update(chunks, 0)
+    queries = spark.createDataFrame([(1, "u", "apple", "simple"), (2, "u", "pies", "english"), (3, "u", '"sky" OR violet', None)], "query_id int, user_id string, text string, language string")
+    scopes = queries.select("query_id").withColumns({"source": F.lit("s"), "scope": F.lit("k")})
+    hits = lambda **by: sorted((r.query_id, r.resource_id, r.score) for r in keywords.keyword_leg(queries, scopes, 9, "simple", **by).collect())
+    assert hits(index=stored) == hits(chunks=chunks) and {h[:2] for h in hits(index=stored)} == {(1, "r0"), (1, "r4"), (2, "r0"), (2, "r1"), (3, "r2")}
+    before = stored.table.manifest().folders
+    changed = spark.createDataFrame([("s", "k", "r2", 0, "t", "violet", [1.0])], CHUNK)
+    for _ in range(2):
+        stored.update(changed, 1, chunks.where("resource_id IN ('r2', 'r4')"))
+    now = chunks.where("resource_id NOT IN ('r2', 'r4')").unionByName(changed)
+    assert hits(index=stored) == hits(chunks=now)
+    assert 0 < sum(f != before.get(b) for b, f in stored.table.manifest().folders.items()) < len(before)
+    plan = stored.of(search.parse_search(queries), "simple")._jdf.queryExecution().toString()
+    assert "title" not in plan  # no chunk is read
