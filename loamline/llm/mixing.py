@@ -196,7 +196,10 @@ def mix(docs: DataFrame, sources: Column, size: Column, id_column: str = "doc_id
     if not known:
         none = {"repeats": "int", "taken": "bigint", "source_size": "bigint", "target": "double"}
         return out.drop("h").withColumns({c: F.lit(0 if c in ("repeats", "taken") else None).cast(t) for c, t in none.items()})
-    sizes = {s: sum(n for own, n in patterns if s in own) for s in known}
+    sizes = dict.fromkeys(known, 0)
+    for own, n in patterns:
+        for s in own:
+            sizes[s] += n
     targets = reshared(sizes, weights or {s: 1 + k % 3 for k, s in enumerate(known)}, most)
     number = {s: k for k, s in enumerate(known)}
     flow = min_cost_flow([n for _, n in patterns], [[number[s] for s in own] for own, _ in patterns], [round(targets[s]) for s in known], most)
