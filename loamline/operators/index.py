@@ -11,6 +11,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loamline.functions.text import fingerprint, without_nul
 from loamline.schemas import POPPED, PROMOTED, SCOPE_KEY
@@ -64,10 +65,22 @@ def chunk_recursive(df: DataFrame, size: int = 1000, overlap: int = 200, text: s
     return df.select(*(c for c in df.columns if c != text), F.posexplode(pieces(F.col(text))).alias("chunk_index", text))
 
 
+def cleaned(value: Column, kind: T.DataType) -> Column:
+    """A value of any type without NUL in its strings, however deep they lie."""
+    if isinstance(kind, T.StringType):
+        return without_nul(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: cleaned(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, v: cleaned(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(cleaned(value[f.name], f.dataType).alias(f.name) for f in kind)))
+    return value
+
+
 def strip_nul(df: DataFrame) -> DataFrame:
-    """Without NUL in strings and in maps of strings."""
-    kinds = {"string": without_nul, "map<string,string>": lambda c: F.transform_values(c, lambda _, v: without_nul(v))}
-    return df.withColumns({c: kinds[t](F.col(c)) for c, t in df.dtypes if t in kinds})
+    """Without NUL in strings, nested ones included; keys of maps stay as they are."""
+    return df.select(*(cleaned(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema))
 
 
 def promote_metadata(df: DataFrame, bag: str = "metadata") -> DataFrame:

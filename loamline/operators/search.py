@@ -254,10 +254,19 @@ def token_overlap(question: Column, text: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(q, t)).cast("double"), F.size(q).cast("double")), F.lit(0.0))
 
 
-def rerank(hits: DataFrame, top_n: int = 8, model: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """Hits (with question and text) scored anew and cut. A model gives a logit, which becomes a probability."""
+def rerank(hits: DataFrame, top_n: int = 8, model: Callable[[Column, Column], Column] | None = None, enabled: bool = True, order: str = "rank") -> DataFrame:
+    """Hits (with question and text) scored anew and cut. A model gives a logit, which becomes a probability. Where it is not
+    enabled, or gives null for any hit of a question, that question's hits stay in their order, by the column order."""
+    if not enabled:
+        kept = hits.withColumn("rerank_score", F.lit(None).cast("double"))
+        return top(kept, ["query_id"], [F.asc(order), *map(F.asc, KEY)], top_n, "place")
     score = F.lit(1.0) / (1.0 + F.exp(-model(F.col("question"), F.col("text")))) if model else token_overlap(F.col("question"), F.col("text"))
-    return top(hits.withColumn("rerank_score", score), ["query_id"], [F.desc("rerank_score"), *map(F.asc, KEY)], top_n, "place")
+    scored_ = hits.withColumn("rerank_score", score)
+    if model is None or order not in hits.columns:
+        return top(scored_, ["query_id"], [F.desc("rerank_score"), *map(F.asc, KEY)], top_n, "place")
+    failed = F.max(F.col("rerank_score").isNull()).over(Window.partitionBy("query_id"))
+    whole = scored_.withColumn("_failed", failed).withColumn("rerank_score", F.when(~F.col("_failed"), F.col("rerank_score")))
+    return top(whole, ["query_id"], [F.asc(F.when(F.col("_failed"), F.col(order))), F.desc("rerank_score"), *map(F.asc, KEY)], top_n, "place").drop("_failed")
 
 
 def confidence_gate(queries: DataFrame, hits: DataFrame, floor: float = 0.3) -> DataFrame:
@@ -332,13 +341,19 @@ def reassemble_objects(hits: DataFrame, chunks: DataFrame, most: int = 15) -> Da
     return joined.withColumn("_rn", first).where("NOT _whole OR _rn = 1").drop("_rn", "_whole", "body", "n")
 
 
-def include_dependencies(hits: DataFrame, edges: DataFrame, objects: DataFrame, extra: int = 5) -> DataFrame:
-    """Objects next to a question's SQL hits on any edge, by exact name: (query_id, resource_id, name, score 0), 5 at most."""
+def include_dependencies(hits: DataFrame, edges: DataFrame, objects: DataFrame, extra: int = 5, hops: int = 1) -> DataFrame:
+    """Objects within some hops of a question's SQL hits on any edges, either way, by exact name: (query_id, resource_id, name,
+    score 0), 5 at most, nearer ones first."""
     own = hits.where("source = 'sql'").select("query_id", "resource_id").distinct()
-    named = own.join(objects.select("resource_id", "name"), "resource_id").select("query_id", "name")
-    out = named.join(edges, F.col("name") == F.col("subject")).select("query_id", F.col("object").alias("other")).unionByName(named.join(edges, F.col("name") == F.col("object")).select("query_id", F.col("subject").alias("other"))).distinct()
-    new = out.join(objects, F.col("other") == objects["name"]).select("query_id", "resource_id", "name").join(own, ["query_id", "resource_id"], "left_anti")
-    return top(new.distinct(), ["query_id"], [F.asc("name"), F.asc("resource_id")], extra, "_rn").drop("_rn").withColumn("score", F.lit(0.0))
+    ends = edges.select(F.col("subject").alias("name"), F.col("object").alias("other")).unionByName(edges.select(F.col("object").alias("name"), F.col("subject").alias("other"))).distinct()
+    seen = own.join(objects.select("resource_id", "name"), "resource_id").select("query_id", "name", F.lit(0).alias("hop"))
+    live = seen
+    for hop in range(1, hops + 1):
+        step = live.drop("hop").join(ends, "name").select("query_id", F.col("other").alias("name")).distinct()
+        live = step.join(seen, ["query_id", "name"], "left_anti").withColumn("hop", F.lit(hop))
+        seen = seen.unionByName(live)
+    new = seen.where("hop > 0").join(objects.select("resource_id", "name"), "name").join(own, ["query_id", "resource_id"], "left_anti")
+    return top(new, ["query_id"], [F.asc("hop"), F.asc("name"), F.asc("resource_id")], extra, "_rn").select("query_id", "resource_id", "name", F.lit(0.0).alias("score"))
 
 
 def numbered_context(hits: DataFrame) -> DataFrame:
