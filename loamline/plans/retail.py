@@ -81,10 +81,27 @@ def customer_segment_snapshot(t: dict[str, DataFrame]) -> DataFrame:
     return t["customers"].select("customer_id", "customer_name", "segment", "region_id")
 
 
-def monthly_sales_by_region(t: dict[str, DataFrame], start: str | None = None, end: str | None = None) -> DataFrame:
+def sales_cube(t: dict[str, DataFrame], start: str | None = None, end: str | None = None) -> DataFrame:
+    """Completed lines between two dates, both included, summed by product, employee, customer and fiscal period: quantity,
+    net_amount and first (order date). What the sales reports have in common, to be stored and rolled up by each of them:
+    lines are read once and meet their orders only. Keys of products and customers are taken to exist."""
+    orders = t["orders"].where("status = 'F'").select("order_id", "customer_id", "order_date")
+    if start is not None:
+        orders = orders.where(F.col("order_date") >= F.to_date(F.lit(start)))
+    if end is not None:
+        orders = orders.where(F.col("order_date") <= F.to_date(F.lit(end)))
+    net = net_line_amount(F.col("quantity"), F.col("unit_price"), F.col("discount_pct"))
+    rows = t["lines"].select("order_id", "product_id", "employee_id", "quantity", net.alias("net")).join(orders, "order_id")
+    by = rows.groupBy("product_id", "employee_id", "customer_id", fiscal_period(F.col("order_date")).alias("fiscal_period"))
+    return by.agg(F.sum("quantity").alias("quantity"), F.sum("net").alias("net_amount"), F.min("order_date").alias("first"))
+
+
+def monthly_sales_by_region(t: dict[str, DataFrame], start: str | None = None, end: str | None = None, cube: DataFrame | None = None) -> DataFrame:
     """Sales by region and period, the prior period's, growth in percent, and the segment that sold most."""
-    staged = stage_completed_lines(t, start, end)
-    by_segment = staged.groupBy("region_id", "fiscal_period", "segment").agg(F.sum("net_amount").alias("amount"), F.min("order_date").alias("first"))
+    cube = sales_cube(t, start, end) if cube is None else cube
+    by_customer = cube.groupBy("customer_id", "fiscal_period").agg(F.sum("net_amount").alias("net_amount"), F.min("first").alias("first"))
+    staged = by_customer.join(t["customers"].select("customer_id", "region_id", "segment"), "customer_id")
+    by_segment = staged.groupBy("region_id", "fiscal_period", "segment").agg(F.sum("net_amount").alias("amount"), F.min("first").alias("first"))
     top = F.min_by("segment", F.struct((-F.col("amount")).alias("less"), "segment")).alias("top_segment")  # ties: the first by name
     totals = by_segment.groupBy("region_id", "fiscal_period").agg(F.sum("amount").alias("amount"), F.min("first").alias("first"), top)
     prior = F.lag("amount").over(Window.partitionBy("region_id").orderBy("first"))
@@ -93,20 +110,23 @@ def monthly_sales_by_region(t: dict[str, DataFrame], start: str | None = None, e
     return rows.select("region_id", "region_name", "fiscal_period", F.col("amount").cast("double").alias("total_net"), F.col("prior").cast("double").alias("prior_net"), growth.alias("growth_pct"), "top_segment")
 
 
-def product_performance(t: dict[str, DataFrame], start: str | None = None, end: str | None = None) -> DataFrame:
-    sums = stage_completed_lines(t, start, end).groupBy("product_id").agg(F.sum("quantity").alias("quantity"), F.sum("net_amount").alias("revenue"), F.sum(F.col("quantity") * F.col("unit_cost")).alias("cost"))
+def product_performance(t: dict[str, DataFrame], start: str | None = None, end: str | None = None, cube: DataFrame | None = None) -> DataFrame:
+    cube = sales_cube(t, start, end) if cube is None else cube
+    sums = cube.groupBy("product_id").agg(F.sum("quantity").alias("quantity"), F.sum("net_amount").alias("revenue"))
+    rows = sums.join(t["products"].select("product_id", "product_name", "category", "unit_cost"), "product_id").withColumn("cost", F.col("quantity") * F.col("unit_cost"))
     margin = F.when(F.col("revenue") != 0, F.round((F.col("revenue").cast("double") - F.col("cost").cast("double")) / F.col("revenue").cast("double") * 100, 2))
-    return sums.join(t["products"].select("product_id", "product_name", "category"), "product_id").select("product_id", "product_name", "category", "quantity", F.col("revenue").cast("double").alias("revenue"), F.col("cost").cast("double").alias("cost"), margin.alias("margin_pct"))
+    return rows.select("product_id", "product_name", "category", "quantity", F.col("revenue").cast("double").alias("revenue"), F.col("cost").cast("double").alias("cost"), margin.alias("margin_pct"))
 
 
-def employee_commission(t: dict[str, DataFrame], start: str | None = None, end: str | None = None) -> DataFrame:
+def employee_commission(t: dict[str, DataFrame], start: str | None = None, end: str | None = None, cube: DataFrame | None = None) -> DataFrame:
     """Commission by employee and period at the rate of the tier that the employee has now."""
-    sums = stage_completed_lines(t, start, end).groupBy("employee_id", "fiscal_period").agg(F.sum("net_amount").alias("sales"))
+    cube = sales_cube(t, start, end) if cube is None else cube
+    sums = cube.groupBy("employee_id", "fiscal_period").agg(F.sum("net_amount").alias("sales"))
     rate = F.lit("0.025").cast("decimal(4,3)")
     for tier, share in COMMISSION.items():
         rate = F.when(F.col("tier") == tier, F.lit(share).cast("decimal(4,3)")).otherwise(rate)
     rows = sums.join(t["employees"].select("employee_id", "employee_name", "tier"), "employee_id")
-    return rows.select("employee_id", "employee_name", "fiscal_period", "tier", F.col("sales").cast("double").alias("sales"), (rate * 100).cast("double").alias("rate_pct"), (F.col("sales") * rate).cast("decimal(20,2)").cast("double").alias("commission"))
+    return rows.select("employee_id", "employee_name", "fiscal_period", "tier", F.col("sales").cast("double").alias("sales"), (rate * 100).cast("double").alias("rate_pct"), (F.col("sales").cast("decimal(22,2)") * rate).cast("decimal(20,2)").cast("double").alias("commission"))
 
 
 def customer_churn_risk(t: dict[str, DataFrame], as_of: str) -> DataFrame:

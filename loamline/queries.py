@@ -488,6 +488,23 @@ def employee_commission(spark, d):
     return retail.employee_commission(t(spark, d))
 
 
+@registered(f"WITH {LINES} SELECT l_partkey AS product_id, l_suppkey AS employee_id, o_custkey AS customer_id, period AS fiscal_period, sum(quantity)::BIGINT AS quantity, sum(net)::DOUBLE AS net_amount, min(order_date) AS first FROM done GROUP BY ALL")
+def sales_cube(spark, d):
+    return retail.sales_cube(t(spark, d)).withColumn("net_amount", F.col("net_amount").cast("double"))
+
+
+@registered(f"""WITH {LINES} SELECT 'region' AS report, c_nationkey::VARCHAR AS key, sum(net)::DOUBLE AS amount FROM done GROUP BY c_nationkey UNION ALL SELECT 'product', l_partkey::VARCHAR, sum(net)::DOUBLE FROM done GROUP BY l_partkey
+UNION ALL SELECT 'employee', l_suppkey::VARCHAR, sum(net)::DOUBLE FROM done GROUP BY l_suppkey""")
+def reports_of_one_scan(spark, d):
+    """The totals of three reports that share one stored aggregate: lines are scanned once."""
+    own = t(spark, d)
+    cube = checkpointed(retail.sales_cube(own))
+    total = lambda df, report, key, amount: df.groupBy(F.col(key).cast("string").alias("key")).agg(F.round(F.sum(amount), 2).alias("amount")).withColumn("report", F.lit(report))
+    out = total(retail.monthly_sales_by_region(own, cube=cube), "region", "region_id", "total_net")
+    out = out.unionByName(total(retail.product_performance(own, cube=cube), "product", "product_id", "revenue"))
+    return out.unionByName(total(retail.employee_commission(own, cube=cube), "employee", "employee_id", "sales")).select("report", "key", "amount")
+
+
 @registered(f"""WITH {LINES}, r AS (SELECT o_custkey, max(order_date) AS last_order, count(DISTINCT l_orderkey) AS n, sum(net) AS net FROM done GROUP BY ALL),
 e AS (SELECT c_custkey, c_name, c_mktsegment, c_nationkey, last_order, date_diff('day', last_order, DATE '{AS_OF}')::INT AS days, coalesce(n, 0) AS n, coalesce(net, 0)::DOUBLE AS net FROM customer LEFT JOIN r ON o_custkey = c_custkey WHERE c_acctbal >= 0),
 s AS (SELECT *, (CASE WHEN days IS NULL OR days > 365 THEN 100 WHEN days > 180 THEN 70 WHEN days > 90 THEN 40 ELSE 10 END * 6 + CASE WHEN n = 0 THEN 100 WHEN n <= 2 THEN 60 WHEN n <= 5 THEN 30 ELSE 5 END * 4)::DOUBLE / 10 AS score FROM e)
