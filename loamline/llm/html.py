@@ -7,8 +7,8 @@ the paths above a threshold are content. The lowest element that holds all conte
 right before it; inside of it nothing is dropped but what is something else by its element (navigation, forms, asides and
 the like) or by its class names and ids, and outside of it nothing is kept.
 
-Names only suggest: an element that they mark stays if most of the page's content is in it, and one inside a marked
-article stays if its own ratios are those of content. Elements that are named as reader comments always go, unless there
+Names and elements only suggest: one that they mark stays if most of the page's content is in it, and one inside a marked
+article stays if its own ratios are those of content; article elements count where a good part of the content is in them. Elements that are named as reader comments always go, unless there
 is nothing else. Elements are rows of lists, a path is a number (of its parent's path and a tag), and each step goes over
 all elements once, so time and memory grow with the page's length however deep it is.
 """
@@ -29,9 +29,11 @@ from loamline.llm.common import text_of
 
 #: Elements of HTML by what becomes of their text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math object select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
+RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg select annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark object q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split()) | frozenset("math menclose mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 OTHER = frozenset("nav header footer aside form button dialog menu fieldset".split())
+#: Those of them that may hold a whole page.
+SOFT = frozenset("form dialog fieldset".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dt dd tr td th tbody".split())
 ARTICLE = frozenset("article main".split())
 #: What an element closes of its own kind, unless one of these stands between.
@@ -42,7 +44,15 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|nav|navbar|navigation|menu|breadcrumbs?|sidebar|widget|footer|masthead|site-?header|header|share|sharing|social|related|recommended|comments?|commentlist|respond|disqus|discussion|replies|login|signup|search|pagination|pager|toolbar)(?:$|[-_\s\d])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
+#: A header of the text itself, and attributes without what they are set to.
+OWN_HEADER = re.compile(r"(?:page|entry|post|article|content|story|section|title|main)[-_]?header", re.I)
+VALUES = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+)")
+#: A heading of reader comments, and how many of a list's texts are links for it to be a menu.
+COMMENT_HEADING = re.compile(r"\W*(?:\d+\s+)?(?:reader\s+)?(?:comments?|responses?|replies|discussion)\W*(?:\d+\W*)?(?:(?:to|on)\s.*)?", re.I)
+LINKS = 3
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？¿¡]")
+#: The part of the content from which article elements are the article, and of the largest one's that any has.
+TEASERS, SMALL = 0.3, 0.15
 SMOOTHING = np.exp(-0.5 * np.arange(-2, 3) ** 2)
 SMOOTHING /= SMOOTHING.sum()
 
@@ -58,28 +68,29 @@ class Page:
     number of the block that the text is in, and the text as it stands."""
 
     def __init__(self) -> None:
-        self.names, self.parents, self.paths, self.others, self.marks, self.blocks = [""], [0], [0], [False], [PLAIN], [0]
+        self.names, self.parents, self.paths, self.others, self.marks, self.blocks = [""], [0], [0], [0], [PLAIN], [0]
         self.texts: list[tuple[int, int, str]] = []
         self.known: dict[tuple[int, str], int] = {}
 
-    def open(self, name: str, parent: int, other: bool, mark: int) -> int:
+    def open(self, name: str, parent: int, other: int, mark: int) -> int:
         self.names.append(name), self.parents.append(parent)
         self.paths.append(self.known.setdefault((self.paths[parent], name), len(self.known) + 1))
-        self.others.append(other or self.others[parent]), self.marks.append(mark)
+        self.others.append(other), self.marks.append(mark)
         own = len(self.names) - 1
         self.blocks.append(self.blocks[parent] if name in INLINE else own)
         return own
 
 
-def is_other(name: str, attrs: str, inside_article: bool) -> bool:
-    """Whether an element is something else than the article. Inside an article a header is a part of it."""
-    if name in OTHER and not (name == "header" and inside_article):
-        return True
+def is_other(name: str, attrs: str, inside_article: bool, quoted: bool) -> int:
+    """Whether an element is something else than the article: 0 no, 1 yes, 2 unless it holds most of the page. Inside an
+    article a header is a part of it, and in a quotation a footer tells whose it is."""
+    if name in OTHER and not (name == "header" and inside_article) and not (name in ("header", "footer") and quoted):
+        return 2 if name in SOFT else 1
     if "=" in attrs:
         found = attributes(attrs)
         if found.get("role", "").lower() in ROLES or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
-            return True
-    return bool(attrs and re.search(r"(?:^|\s)hidden(?:\s|$)", attrs))
+            return 1
+    return int("hidden" in attrs and re.search(r"(?:^|\s)hidden(?:[\s=/]|$)", VALUES.sub("=", attrs)) is not None)
 
 
 def attributes(attrs: str) -> dict[str, str]:
@@ -96,7 +107,7 @@ def mark_of(name: str, attrs: str, inside_article: bool) -> int:
         return COMMENT
     if name in ARTICLE or name == "header":
         return PLAIN
-    parts = [m.group().strip("-_ \t\n").lower() for x in own for m in MARKS.finditer(x)]
+    parts = [m.group().strip("-_ \t\n").lower() for x in own for m in MARKS.finditer(OWN_HEADER.sub("", x))]
     return MARKED if any(not inside_article or x != "header" for x in parts) else PLAIN
 
 
@@ -162,7 +173,7 @@ def parsed(page: str) -> Page:
                 close(x)
         if attrs.endswith("/") and name not in INLINE and name not in ENDS_P:
             continue
-        top = out.open(name, top, is_other(name, attrs, articles > 0), mark_of(name, attrs, articles > 0))
+        top = out.open(name, top, is_other(name, attrs, articles > 0, open_now["blockquote"] > 0), mark_of(name, attrs, articles > 0))
         open_now[name] += 1
         articles += name in ARTICLE
     return out
@@ -213,11 +224,67 @@ def sums(pairs: Iterable[tuple[int, int]]) -> dict[int, int]:
     return out
 
 
+def others_of(page: Page) -> list[bool]:
+    """For each element whether it is, or lies in, something else than the article. Forms and the like are so unless they
+    hold half of the text that isn't in menus and footers, as a form around the whole page does."""
+    hard = [False] * len(page.names)
+    for x in range(1, len(hard)):
+        hard[x] = hard[page.parents[x]] or page.others[x] == 1
+    if 2 not in page.others:
+        return hard
+    length = held(page, sums((x, len(t.strip())) for x, _, t in page.texts if not hard[x]))
+    out = list(hard)
+    for x in range(1, len(out)):
+        out[x] = out[page.parents[x]] or hard[x] or (page.others[x] == 2 and 2 * length[x] < length[0])
+    return out
+
+
+def outermost_articles(page: Page, articles: list) -> list[int]:
+    """For each element the outermost article element around it, 0 if there is none."""
+    out = [0] * len(page.names)
+    for x in range(1, len(out)):
+        out[x] = out[page.parents[x]] or (x if articles[x] == x else 0)
+    return out
+
+
+def drop_by_place(page: Page, nodes: list[tuple[int, str]], gone: list[bool]) -> None:
+    """Mark what only its place and its form tell: lists of links before the first or after the last running text, and what
+    follows a heading of reader comments, if most of the content stands before it."""
+    names, parents = page.names, page.parents
+    running = [k for k, (x, t) in enumerate(nodes) if len(t) >= 60 and PUNCTUATION.search(t)]
+    first, last = (running[0], running[-1]) if running else (len(nodes), -1)
+    links = inherited(page, lambda x: x if names[x] == "a" else None)
+    lists = inherited(page, lambda x: x if names[x] in ("ul", "ol") else None)
+    found: dict[int, list[tuple[int, bool, str]]] = defaultdict(list)
+    for k, (x, t) in enumerate(nodes):
+        if lists[x] is not None:
+            found[lists[x]].append((k, links[x] is not None, t))
+    for x, own in found.items():
+        outside = own[-1][0] < first or own[0][0] > last
+        if outside and len(own) >= LINKS and all(link and len(t) < 60 for _, link, t in own):
+            gone[x] = True
+    heading = inherited(page, lambda x: x if names[x] in HEADINGS else None)
+    total, so_far = sum(len(t) for _, t in nodes), 0
+    for k, (x, t) in enumerate(nodes):
+        h = heading[x]
+        if h is not None and COMMENT_HEADING.fullmatch(t) and 2 * so_far >= total:
+            within = inherited(page, lambda y, top=parents[h]: True if y == top else None)
+            for y, _ in nodes[k:]:
+                if within[y] or parents[h] == 0:
+                    gone[y] = True
+            gone[h] = True
+            break
+        so_far += len(t)
+    for x in range(1, len(names)):
+        gone[x] = gone[x] or gone[parents[x]]
+
+
 def main_text(html: str) -> str:
     """The text of a page's article, one line for each block."""
     page = parsed(html)
     names, parents, paths = page.names, page.parents, page.paths
-    texts = [(x, block, text) for x, block, text in page.texts if not page.others[x]]
+    other = others_of(page)
+    texts = [(x, block, text) for x, block, text in page.texts if not other[x]]
     nodes = [(x, t.strip()) for x, _, t in texts if t.strip()]
     if not nodes:
         return ""
@@ -239,8 +306,19 @@ def main_text(html: str) -> str:
                 drop = length[x] / count[x] * (1 + marks[x]) / count[x] < threshold
             gone[x] = gone[x] or drop or gone[parents[x]]
     nodes = [(x, t) for x, t in nodes if not gone[x]]
-    # an article that is marked as one stands above what lies outside of it
-    nodes = [(x, t) for x, t in nodes if articles[x] is not None] or nodes
+    # elements of articles with a good part of the content stand above what lies outside of them; others are teasers
+    good, _ = content_paths([(paths[x], t) for x, t in nodes])
+    whole = sum(len(t) for x, t in nodes if paths[x] in good)
+    outermost = outermost_articles(page, articles)
+    own = sums((outermost[x], len(t)) for x, t in nodes if paths[x] in good and outermost[x])
+    least = SMALL * max(own.values(), default=0) if sum(own.values()) >= TEASERS * whole else whole + 1
+    for x in range(1, len(names)):
+        gone[x] = gone[x] or bool(outermost[x] and own.get(outermost[x], 0) < least)
+    if least <= whole:
+        nodes = [(x, t) for x, t in nodes if outermost[x]]
+    nodes = [(x, t) for x, t in nodes if not gone[x]]
+    drop_by_place(page, nodes, gone)
+    nodes = [(x, t) for x, t in nodes if not gone[x]] or nodes
     good, _ = content_paths([(paths[x], t) for x, t in nodes])
     # the lowest element with all of the content holds the article
     content = {page.blocks[x]: 1 for x, _ in nodes if paths[x] in good}
@@ -248,7 +326,7 @@ def main_text(html: str) -> str:
     holder = max(x for x in range(len(names)) if inner[x] == len(content))
     while holder and names[holder] in ("p", "li", "td", "blockquote"):
         holder = parents[holder]
-    outer = inherited(page, lambda x: x if names[x] in ARTICLE else None)[holder]
+    outer = inherited(page, lambda x: x if names[x] in ARTICLE and not gone[x] else None)[holder]
     holder = holder if outer is None else outer
     within = inherited(page, lambda x: True if x == holder else None)
     heading = inherited(page, lambda x: True if names[x] in HEADINGS else None)

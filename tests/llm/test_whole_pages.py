@@ -35,6 +35,32 @@ def test_comments_are_no_article_and_names_only_suggest():
     assert html.main_text(f"<div class=comments><p>Only. {LONG}</p></div>").startswith("Only.")
 
 
+def starts(page):
+    return [x[:5] for x in html.main_text(page).split("\n")]
+
+
+def test_elements_only_suggest():
+    text = f"<h1>Title</h1><p>One.. {LONG}</p><p>Two.. {LONG}</p>"
+    teasers = "<article><h3>Card one</h3><p>Short, so.</p></article><article><h3>Card two</h3><p>Short, too.</p></article>"
+    whole = ["Title", "One..", "Two.."]
+    assert starts(f'<body><div class="content">{text}</div><div>{teasers}</div></body>') == whole
+    assert starts(f'<body><form id="aspnetForm"><nav><a href=/>Home</a></nav><div>{text}</div></form></body>') == whole
+    assert starts(f'<body><form action=/s><label>Search this, now</label></form><div>{text}</div></body>') == whole
+    assert starts(f'<body><div class="overflow hidden wide" title="the hidden door">{text}</div></body>') == whole
+    for hidden in ("hidden", 'hidden=""', 'class="x" hidden', "hidden id=a"):
+        assert starts(f"<body><div {hidden}><p>Gone. {LONG}</p></div><div>{text}</div></body>") == whole
+    assert starts(f'<body><div class="page-header"><h1>Title</h1></div><div><p>One.. {LONG}</p><p>Two.. {LONG}</p></div></body>') == whole
+    assert starts(f"<body><ul><li><a href=/a>Home</a><li><a href=/b>News</a><li><a href=/c>About</a></ul>{text}</body>") == whole
+    assert starts(f"<body><div>{text}</div><div><h2>3 Comments</h2><p>Nice. {LONG}</p><p>Good.</p></div></body>") == whole
+    assert starts(f"<body><div>{text}<h3>Comments (2)</h3><p>Nice, one.</p><p>Good.</p></div></body>") == whole
+
+
+def test_formulas_objects_and_quoted_authors():
+    page = f"<article><p>Let <math><mi>x</mi> <mo>=</mo> <mn>2</mn></math> hold, {LONG}</p><p>See <object data=a>the figure</object> here, {LONG}</p><blockquote><p>Said. {LONG}</p><footer>An Author</footer></blockquote></article>"
+    got = html.main_text(page).split("\n")
+    assert got[0].startswith("Let x = 2 hold, This") and got[1].startswith("See the figure here, This") and got[-1] == "An Author" and len(got) == 4
+
+
 @given(st.integers(0, 10**6))
 @settings(max_examples=150, deadline=None)
 def test_generated_pages_give_their_article(seed):
@@ -56,9 +82,10 @@ def test_generated_pages_give_their_article(seed):
         expected.append(plain(t))
     article = "<h1>Title of it</h1>" + "\n".join(blocks)
     whole = rng.choice(["<article>{}</article>", "<main><article>{}</article></main>", '<div class="post">{}</div>', "<main>{}</main>"]).format(article)
-    before = "".join(rng.sample(["<nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>", "<header><a href=/>Site</a></header>", '<div class="cookie-notice"><p>We use cookies, yes.</p></div>', "<script>if (a < b) { x('</p>') }</script>"], rng.randrange(0, 4)))
-    after = "".join(rng.sample(["<aside><p>Read this, too.</p></aside>", "<footer>&copy; me</footer>", "<form><p>Name</p><input></form>", '<div id="comments"><p>I like it, a lot.</p></div>', '<div class="related-posts"><a href=/c>Next</a></div>', "<!-- gone -->"], rng.randrange(0, 5)))
-    assert html.main_text(f"<html><head><title>T</title></head><body>{before}{whole}{after}</body></html>").split("\n") == expected
+    before = "".join(rng.sample(["<nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>", "<header><a href=/>Site</a></header>", '<div class="cookie-notice"><p>We use cookies, yes.</p></div>', "<script>if (a < b) { x('</p>') }</script>", "<ul><li><a href=/x>One</a></li><li><a href=/y>Two</a></li><li><a href=/z>Three</a></li></ul>", '<form action=/s><label>Search</label><input></form>'], rng.randrange(0, 5)))
+    after = "".join(rng.sample(["<aside><p>Read this, too.</p></aside>", "<footer>&copy; me</footer>", "<form><p>Name</p><input></form>", '<div id="comments"><p>I like it, a lot.</p></div>', '<div class="related-posts"><a href=/c>Next</a></div>', "<!-- gone -->", '<div><h3>2 comments</h3><p>Well, I like it.</p></div>', "<div><article><h3>Next</h3><p>More, soon.</p></article></div>"], rng.randrange(0, 5)))
+    body = rng.choice(["{}", "{}", '<form id="aspnetForm" method=post>{}</form>', '<div class="page hidden-sm" title="not hidden">{}</div>']).format(before + whole + after)
+    assert html.main_text(f"<html><head><title>T</title></head><body>{body}</body></html>").split("\n") == expected
 
 
 def test_deep_pages_take_memory_in_proportion():
