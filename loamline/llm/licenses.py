@@ -33,26 +33,26 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 #: apart as white space and signs part them), and their short identifiers.
 LICENSES: list[tuple[str, str, str]] = [
     ("mit", r"mit(?: x11)?|expat", r"mit"),
-    ("apache-2", r"apache(?: software)?(?: license)?(?: version)? (?:v?2|v2)(?: 0)?", r"apache 2 0"),
+    ("apache-2", r"apache(?: software)?(?: license)?(?: version)? ?v?2(?: 0)?", r"apache 2 0"),
     ("apache-1.1", r"apache(?: software)?(?: license)?(?: version)? 1 1", r"apache 1 1"),
-    ("bsd-2-clause", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)", r"bsd 2 clause"),
-    ("bsd-3-clause", r"(?:bsd 3 clause|3 clause bsd)", r"bsd 3 clause"),
+    ("bsd-2-clause", r"(?:bsd 2(?: clause)?|2 clause bsd|simplified bsd|freebsd)", r"bsd 2 clause"),
+    ("bsd-3-clause", r"(?:bsd 3(?: clause)?|3 clause bsd)", r"bsd 3 clause"),
     ("bsd-3-clause", r"(?:new|modified|revised) bsd", r"bsd 3 clause"),
     ("bsd-4-clause", r"(?:bsd 4 clause|4 clause bsd|original bsd)", r"bsd 4 clause"),
     ("0bsd", r"(?:0bsd|zero clause bsd|bsd zero clause)", r"0bsd"),
-    ("gpl-1", r"(?:gpl|gnu general public license|gnu gpl)(?: version)? v?1(?: 0)?", r"gpl 1 0(?: only| or later)?"),
-    ("gpl-2", r"(?:gpl|gnu general public license|gnu gpl)(?: version)? v?2(?: 0)?", r"gpl 2 0(?: only| or later)?"),
-    ("gpl-3", r"(?:gpl|gnu general public license|gnu gpl)(?: version)? v?3(?: 0)?", r"gpl 3 0(?: only| or later)?"),
-    ("lgpl-2", r"(?:lgpl|gnu (?:library|lesser) general public license|gnu lgpl)(?: version)? v?2(?: 0)?", r"lgpl 2 0(?: only| or later)?"),
-    ("lgpl-2.1", r"(?:lgpl|gnu (?:library|lesser) general public license|gnu lgpl)(?: version)? v?2 1", r"lgpl 2 1(?: only| or later)?"),
-    ("lgpl-3", r"(?:lgpl|gnu lesser general public license|gnu lgpl)(?: version)? v?3(?: 0)?", r"lgpl 3 0(?: only| or later)?"),
-    ("agpl-3", r"(?:agpl|gnu affero general public license|gnu agpl)(?: version)? v?3(?: 0)?", r"agpl 3 0(?: only| or later)?"),
+    ("gpl-1", r"(?:gpl|gnu general public license|gnu gpl)(?: version)? ?v?1(?: 0)?", r"gpl 1 0(?: only| or later)?"),
+    ("gpl-2", r"(?:gpl|gnu general public license|gnu gpl)(?: version)? ?v?2(?: 0)?", r"gpl 2 0(?: only| or later)?"),
+    ("gpl-3", r"(?:gpl|gnu general public license|gnu gpl)(?: version)? ?v?3(?: 0)?", r"gpl 3 0(?: only| or later)?"),
+    ("lgpl-2", r"(?:lgpl|gnu (?:library|lesser) general public license|gnu lgpl|gnu lesser gpl|lesser gpl)(?: version)? ?v?2(?: 0)?", r"lgpl 2 0(?: only| or later)?"),
+    ("lgpl-2.1", r"(?:lgpl|gnu (?:library|lesser) general public license|gnu lgpl|gnu lesser gpl|lesser gpl)(?: version)? ?v?2 1", r"lgpl 2 1(?: only| or later)?"),
+    ("lgpl-3", r"(?:lgpl|gnu lesser general public license|gnu lgpl|gnu lesser gpl|lesser gpl)(?: version)? ?v?3(?: 0)?", r"lgpl 3 0(?: only| or later)?"),
+    ("agpl-3", r"(?:agpl|gnu affero general public license|gnu agpl|gnu affero gpl|affero gpl)(?: version)? ?v?3(?: 0)?", r"agpl 3 0(?: only| or later)?"),
     ("gfdl-1.3", r"gnu free documentation license(?: version)? 1 3", r"gfdl 1 3"),
-    ("mpl-1.1", r"(?:mozilla public license|mpl)(?: version)? v?1 1", r"mpl 1 1"),
-    ("mpl-2", r"(?:mozilla public license|mpl)(?: version)? v?2(?: 0)?", r"mpl 2 0"),
-    ("epl-1", r"(?:eclipse public license|epl)(?: version)? v?1(?: 0)?", r"epl 1 0"),
-    ("epl-2", r"(?:eclipse public license|epl)(?: version)? v?2(?: 0)?", r"epl 2 0"),
-    ("eupl-1.2", r"(?:european union public licen[cs]e|eupl)(?: version)? v?1 2", r"eupl 1 2"),
+    ("mpl-1.1", r"(?:mozilla public license|mpl)(?: version)? ?v?1 1", r"mpl 1 1"),
+    ("mpl-2", r"(?:mozilla public license|mpl)(?: version)? ?v?2(?: 0)?", r"mpl 2 0"),
+    ("epl-1", r"(?:eclipse public license|epl)(?: version)? ?v?1(?: 0)?", r"epl 1 0"),
+    ("epl-2", r"(?:eclipse public license|epl)(?: version)? ?v?2(?: 0)?", r"epl 2 0"),
+    ("eupl-1.2", r"(?:european union public licen[cs]e|eupl)(?: version)? ?v?1 2", r"eupl 1 2"),
     ("cddl-1", r"common development and distribution license(?: version)?(?: 1 0)?|cddl(?: 1 0)?", r"cddl 1 0"),
     ("cpl-1", r"common public license(?: version)?(?: 1 0)?", r"cpl 1 0"),
     ("artistic-1", r"artistic license(?: version)? 1(?: 0)?", r"artistic 1 0"),
@@ -82,7 +82,16 @@ LICENSES: list[tuple[str, str, str]] = [
     ("cc-by-nc", r"(?:creative commons attribution non ?commercial|cc by nc)(?: [1-4] [05])?(?: international| unported)?", r"cc by nc [1-4] [05]"),
     ("cc-by-nc-sa", r"(?:creative commons attribution non ?commercial share ?alike|cc by nc sa)(?: [1-4] [05])?(?: international| unported)?", r"cc by nc sa [1-4] [05]"),
     ("cc-by-nc-nd", r"(?:creative commons attribution non ?commercial no ?deriv\w*|cc by nc nd)(?: [1-4] [05])?(?: international| unported)?", r"cc by nc nd [1-4] [05]"),
+    ("gpl", r"(?:gpl|gnu gpl|gnu general public license)", r"gpl"),
+    ("lgpl", r"(?:lgpl|gnu lgpl|gnu lesser gpl|lesser gpl|gnu (?:lesser|library) general public license)", r"lgpl"),
+    ("agpl", r"(?:agpl|gnu agpl|gnu affero gpl|affero gpl|gnu affero general public license)", r"agpl"),
+    ("mpl", r"mozilla public license", r"mpl"),
+    ("epl", r"eclipse public license", r"epl"),
+    ("bsd", r"bsd", r"bsd"),
+    ("apache", r"apache software license|apache license", r"apache"),
 ]
+#: Labels of families whose version isn't told: with a label of a version of the family they go.
+FAMILIES = ("gpl", "lgpl", "agpl", "mpl", "epl", "bsd", "apache")
 #: Ways to refer to a license: a kind, the pattern with the name (or the identifier) in it, its confidence.
 REFERENCES: list[tuple[str, str, float]] = [
     ("tag", r"spdx license identifier {id}", 1.0),
@@ -171,7 +180,7 @@ SENTENCES: list[tuple[str, str]] = [
     ("proprietary", r"(?:may not|not to) be (?:reproduced|copied|redistributed)(?: \S+){1,12}? without(?: the)?(?: express| prior)* written (?:permission|consent)"),
 ]
 #: Names that are words of their own: they tell a license only in company.
-WEAK = frozenset((r"mit(?: x11)?|expat", r"isc", r"zlib(?: libpng)?", r"openssl(?: toolkit)?", r"postgresql", r"(?:university of illinois )?ncsa(?: open source)?", r"unlicense", r"(?:new|modified|revised) bsd"))
+WEAK = frozenset((r"mit(?: x11)?|expat", r"isc", r"zlib(?: libpng)?", r"openssl(?: toolkit)?", r"postgresql", r"(?:university of illinois )?ncsa(?: open source)?", r"unlicense", r"(?:new|modified|revised) bsd", r"bsd"))
 
 
 @dataclass(frozen=True)
@@ -197,6 +206,10 @@ class Rule:
     score: float
 
 
+#: A word with a version right behind it, as in "gplv2"; words as they stand in a text, and what ends a clause between two.
+GLUED = re.compile(r"([a-z]+?)v?[0-9]")
+AS_WRITTEN = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
+CLAUSE_END = re.compile(r"[,;:!?]|\.(?:\s|$)|\n\s*\n")
 #: What isn't a literal in a sentence: groups, classes and escapes with what repeats them, and single letters that may miss.
 LOOSE = re.compile(r"(?:\(\?[:!=][^()]*\)|\[[^\]]*\]|\\\w)(?:\{[\d,]+\}|[?*+])?\??|.[?*]")
 
@@ -287,17 +300,38 @@ def settled(found: list[Detection]) -> list[Detection]:
     return kept
 
 
-def detections(joined: str, gated: bool = True) -> list[Detection]:
-    """Kept detections of a license, by places in the words joined by one space."""
+def clause_ends(text: str) -> list[int]:
+    """The places, in the words joined by one space, of the spaces where a clause ends in the text."""
+    out, at, before = [], 0, 0
+    for m in AS_WRITTEN.finditer(text):
+        if at and CLAUSE_END.search(text, before, m.start()):
+            out.append(at - 1)
+        at += m.end() - m.start() + 1
+        before = m.end()
+    return out
+
+
+def detections(joined: str, gated: bool = True, text: str | None = None) -> list[Detection]:
+    """Kept detections of a license, by places in the words joined by one space. text: that the words are from, so that
+    denials end with their clauses."""
     words = set(joined.split(" "))
+    # a name is looked for by its first word, which a version may stand right behind
+    words |= {m[1] for m in map(GLUED.match, words) if m}
     met = {need for need in GATES if need.met(joined, words)} if gated else set()
     if gated and not met:
         return []
-    found = []
+    found, ends = [], None
     for r in RULES:
         if not gated or r.needs in met or not r.label:
-            found += [Detection(m.start(), m.end(), r.label, r.priority, r.score) for m in r.pattern.finditer(joined)]
-    return [d for d in settled(found) if d.label]
+            for m in r.pattern.finditer(joined):
+                if not r.label and text is not None:
+                    ends = clause_ends(text) if ends is None else ends
+                    if bisect_left(ends, m.start()) < bisect_left(ends, m.end()):
+                        continue
+                found.append(Detection(m.start(), m.end(), r.label, r.priority, r.score))
+    kept = [d for d in settled(found) if d.label]
+    versions = {f for f in FAMILIES if any(d.label.startswith(f"{f}-") for d in kept)}
+    return [d for d in kept if d.label not in versions]
 
 
 def base_places(joined: str) -> list[tuple[int, str]]:
@@ -322,7 +356,7 @@ def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = [w for w in words if w]
                 n, joined = len(words), b" ".join(words).decode()
                 base = base_places(joined)
-                kept = detections(joined)
+                kept = detections(joined, text=(text or b"").decode())
                 spaces = [m.start() for m in re.finditer(" ", joined)] if base or kept else []
                 word = lambda at: bisect_left(spaces, at)
                 firsts = [word(at) for at, _ in base]

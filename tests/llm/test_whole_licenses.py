@@ -33,6 +33,17 @@ def test_labels(text, label):
     assert row["labels"] == label
 
 
+@pytest.mark.parametrize(("text", "label"), [
+    ("GPLv2", "gpl-2"), ("This is LGPLv3 code", "lgpl-3"), ("AGPLv3", "agpl-3"), ("MPLv2", "mpl-2"), ("GPL3", "gpl-3"), ("Apache2 license", "apache-2"), ("the Apache License", "apache"), ("under ASL, the Apache Software License 2.0", "apache-2"),
+    ("BSD-3", "bsd-3-clause"), ("BSD license", "bsd"), ("a BSD system", ""), ("GPL", "gpl"), ("GNU General Public License", "gpl"), ("Mozilla Public License", "mpl"), ("licensed under the terms of the GPL", "gpl"),
+    ("gnu lesser gpl v3", "lgpl-3"), ("GNU Lesser General Public License", "lgpl"), ("GPL-2.0-or-later", "gpl-2"), ("GPL, version 2", "gpl-2"), ("GPLv2. See the GNU General Public License for more", "gpl-2"),
+    ("Instead of waiting, read the MIT license", "mit"), ("Instead of the MIT license we have none", ""), ("It is not released. Under the terms of the ISC license", "isc"), ("not released under the terms of the ISC license", ""),
+    ("Other than that: see the zlib license", "zlib"), ("Rather than fight; license MIT", "mit"), ("EPL-2.0", "epl-2"), ("Eclipse Public License", "epl"), ("dual licensed under MIT and the GPLv3", "gpl-3,mit"),
+])
+def test_what_people_write(text, label):
+    assert scan([text])[0]["labels"] == label
+
+
 def scan(texts):
     import pyarrow as pa
 
