@@ -6,15 +6,18 @@ landed record follows from the row's numbers, so the SQL side builds the expecte
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamline.functions.text import html_to_text
-from loamline.operators import index, search
+from loamline.operators import index, search, snapshots
+from loamline.operators.snapshots import SnapshotTable
 from loamline.plans import retail, usage
 from loamline.queries import AS_OF, CHUNKS, QUOTA, chunks, grants, questions, registered, table
 from loamline.schemas import CHUNKS as CHUNK_COLUMNS
-from loamline.session import checkpointed
+from loamline.session import checkpointed, shared_root
 from loamline.sources import landed
 
 TIME = "TIMESTAMP '2001-02-03 04:05:06'"
@@ -258,6 +261,18 @@ def incremental_ingest(spark, d):
     return after.select("resource_id", "chunk_index", "text", (F.col("updated_at") == F.to_timestamp(F.lit(AS_OF))).alias("is_new"))
 
 
+@registered("""WITH p AS (SELECT doc_id, text, unnest(range(0, (greatest(length(text) - 200, 1) - 1) // 800 + 1)) AS i FROM documents WHERE length(text) > 0), c AS (SELECT doc_id, length(substr(text, i * 800 + 1, 1000)) > 900 AS long FROM p)
+SELECT 1 AS batch, (SELECT count(*) FROM documents) AS read, count(*) FILTER (WHERE NOT long) AS chunks, count(*) FILTER (WHERE NOT long AND doc_id % 2 = 1) AS written, count(*) FILTER (WHERE NOT long AND doc_id % 2 = 0) AS unchanged, count(*) FILTER (WHERE long) AS rejected FROM c""")
+def ingest_run(spark, d):
+    """The log of a second run over all documents, of which every second one is in the index; chunks over 900 characters are refused."""
+    docs = expr(table(spark, d, "documents"), doc_id="doc_id", source="source", scope="lang", resource_id="concat('doc:', doc_id)", title="'t'", text="text", url="''", last_updated=TIME, metadata="map('k', 'v')")
+    folder = f"{shared_root(spark)}/run-{uuid.uuid4().hex}"
+    stored = SnapshotTable(spark, f"{folder}/index", CHUNK_COLUMNS, buckets=16)
+    for batch, part in enumerate((docs.where("doc_id % 2 = 0"), docs)):
+        snapshots.ingest_run(part.drop("doc_id"), stored, f"{folder}/rejects", f"{folder}/log", batch, AS_OF, "u", "s", "all", model=lambda t: F.array(F.char_length(t).cast("float")), max_chars=900)
+    return spark.read.parquet(f"{folder}/log").where("batch = 1").select("batch", "read", "chunks", "written", "unchanged", "rejected")
+
+
 @registered(f"SELECT 'u' AS user_id, 's' AS source, count(*) AS n_resources, sum((length(text) - 1) // 800 + 1)::BIGINT AS n_chunks, {TIME} AS last_item, 'done' AS message FROM documents")
 def log_row(spark, d):
     results = expr(table(spark, d, "documents"), resource_id="doc_id", n="(char_length(text) - 1) DIV 800 + 1", last_updated=f"CASE WHEN doc_id % 2 = 1 THEN {TIME} ELSE TIMESTAMP '2000-01-01 00:00:00' END")
