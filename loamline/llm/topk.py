@@ -28,6 +28,8 @@ BLOCK = 1024
 PACK = 256
 #: Blocks of a ring that one key of the join holds.
 PART = 64
+#: Stands for all scores below what fits a long.
+LEAST = 1 - (1 << 63)
 
 
 def quantized(vectors: DataFrame, id_column: str, vector_column: str, scale: int) -> DataFrame:
@@ -81,8 +83,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "
     Pivots are fitted on ``sample`` rows with the least hashes of their ids; every row is indexed and the results don't
     depend on the pivots. Null and not finite vectors, and null ids, take no part; vectors of unequal lengths meet as if
     zeros filled them up, empty ones too. Repeated rows are rows of their own. Products are taken in doubles where these
-    are exact and in 64-bit integers beyond; components so large that a score might not fit a long are refused with an
-    error. Other columns are ignored. Empty tables give an empty result.
+    are exact and in 64-bit integers beyond; only one that doesn't fit a long and is too large, or among a block's k best, is
+    refused with an error. Other columns are ignored. Empty tables give an empty result.
     """
     spark = vectors.sparkSession
     none = "query_id bigint, rank int, vec_id bigint, score bigint"
@@ -92,8 +94,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "
     if facts.dim is None:
         return spark.createDataFrame([], none)
     dim, length2 = facts.dim, facts.length2
-    if dim * facts.top**2 >= 1 << 63:
-        raise ValueError("scores of such components may not fit a long")
+    if facts.top >= 1 << 63:
+        raise ValueError("a component doesn't fit a long")
+    # sums of 64-bit products are right whenever the score itself fits, however far they run over on the way
+    wide = dim * facts.top**2 >= 1 << 63
     stored = "<i2" if facts.top < 1 << 15 else "<i4" if facts.top < 1 << 31 else "<i8"
     exact = np.float64 if dim * facts.top**2 < 1 << 53 else np.int64
     fitted = points.orderBy(F.xxhash64("vec_id")).limit(sample).select("v").toArrow()["v"].combine_chunks()
@@ -153,8 +157,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "
                 q_ids, ids = np.asarray(b["q_ids"][i].values), np.asarray(b["ids"][i].values)
                 q = np.frombuffer(b["q_xs"][i].as_py(), stored).reshape(len(q_ids), dim).astype(exact)
                 floor = np.asarray(b["floors"][i].values)
-                scores = np.rint(q @ np.frombuffer(b["xs"][i].as_py(), stored).reshape(len(ids), dim).astype(exact).T).astype(np.int64)
+                x = np.frombuffer(b["xs"][i].as_py(), stored).reshape(len(ids), dim).astype(exact)
+                scores = q @ x.T if exact is np.int64 else np.rint(q @ x.T).astype(np.int64)
                 own = q_ids[:, None] == ids[None, :]
+                if wide:
+                    about, most = np.where(own, 0, q.astype(np.float64) @ x.T.astype(np.float64)), 2.0**63 * (1 - 1e-9)
+                    if (about > most).any():
+                        raise ValueError("a score doesn't fit a long")
+                    scores = np.where(about < -most, LEAST, scores)
                 masked = np.where(own, np.iinfo(np.int64).min, scores)
                 if len(ids) > k:
                     kth = np.partition(masked, len(ids) - k, axis=1)[:, len(ids) - k]
@@ -165,6 +175,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "
                 row, col = row[order_], col[order_]
                 at = np.arange(len(row)) - np.searchsorted(row, row)
                 row, col = row[at < k], col[at < k]
+                if wide and (scores[row, col] == LEAST).any():
+                    raise ValueError("a score doesn't fit a long")
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(ids[col]), pa.array(scores[row, col])], names=["query_id", "vec_id", "score"])
 
     hit = "query_id bigint, vec_id bigint, score bigint"
@@ -191,7 +203,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "
 
     # one block of each ring stands for it in the first look: any k rows give a right floor
     first = blocks.groupBy("ring").agg(F.min_by(F.struct("ids", "xs"), F.abs(F.size("ids") - BLOCK)).alias("b")).select("ring", "b.ids", "b.xs")
-    lowest = F.lit(-(1 << 62)).cast("bigint")
+    lowest = F.lit(LEAST).cast("bigint")
     looked = packs(asked.select("ring", "vec_id", "x", lowest.alias("floor"))).join(first, "ring").select(*pair).mapInArrow(best, hit)
     floors = kth_best(looked, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
     floored = asked.join(floors, "vec_id", "left").select("vec_id", "x", F.coalesce("floor", lowest).alias("floor"))

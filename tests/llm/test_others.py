@@ -104,9 +104,16 @@ def test_topk_of_large_components_and_full_rings(spark, monkeypatch):
     whole = [[int(v) * 64 for v in row] for row in x]
     expected = [(q, k + 1, i, s) for q in range(0, 300, 50) for k, (s, i) in enumerate(sorted(((sum(a * b for a, b in zip(whole[q], w, strict=True)), i) for i, w in enumerate(whole) if i != q), key=lambda t: (-t[0], t[1]))[:3])]
     assert sorted(map(tuple, got.collect())) == expected
-    with pytest.raises(ValueError, match="long"):
-        big = spark.createDataFrame([(1, [1e12]), (2, [1.0])], "vec_id bigint, embedding array<double>")
-        topk.top_k(big, big)
+    # one huge component: products with itself would not fit, but no score is one
+    rows = [(0, [3e9, 1.0])] + [(i, [float(i), -2.0 * i]) for i in range(1, 30)] + [(30, [-3e9, 5.0])]
+    big = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    ints = [[int(c) * 64 for c in v] for _, v in rows]
+    score = lambda a, b: sum(x * y for x, y in zip(ints[a], ints[b], strict=True))
+    expected = sorted((q, k + 1, i, s) for q in range(31) for k, (s, i) in enumerate(sorted(((score(q, i), i) for i in range(31) if i != q), key=lambda t: (-t[0], t[1]))[:3]))
+    assert sorted(map(tuple, topk.top_k(big, big, k=3, scale=64).collect())) == expected
+    with pytest.raises(Exception, match="long"):
+        two = spark.createDataFrame([(1, [1e12]), (2, [1e12])], "vec_id bigint, embedding array<double>")
+        topk.top_k(two, two).collect()
 
 
 def test_base_phrases_and_labels(spark, docs, rows, none, clashing):
