@@ -371,6 +371,16 @@ def cache_lookup(spark, d):
     return search.cache_lookup(asked, cache, AS_OF, floor=0.3).select("query_id", "answer_id", F.round("similarity", 6).alias("similarity"))
 
 
+@registered("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, list_transform(embedding::DOUBLE[], lambda x: 2 * x + 0.01::DOUBLE) AS w FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id AS answer_id, list_dot_product(a.v, b.w) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.w, b.w))) AS s FROM e a JOIN e b ON a.label = b.label WHERE b.vec_id % 3 > 0)
+SELECT query_id, answer_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, answer_id) AS r FROM p WHERE s >= 0.97) WHERE r = 1""")
+def cache_lookup_near(spark, d):
+    """At the cache's own floor: answers to nearly the same questions, those of every third too old."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("scope_fingerprint"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    age = F.when(F.col("vec_id") % 3 == 0, "2001-07-30 00:00:00").otherwise("2001-07-31 23:30:00")
+    cache = e.select(F.col("vec_id").alias("answer_id"), "scope_fingerprint", F.transform("embedding", lambda x: 2 * x + 0.01).alias("embedding"), F.lit("a").alias("answer"), F.to_timestamp(age).alias("created_at"))
+    return search.cache_lookup(e.withColumnRenamed("vec_id", "query_id"), cache, AS_OF).select("query_id", "answer_id", F.round("similarity", 6).alias("similarity"))
+
+
 # dependency graphs
 
 
