@@ -1,8 +1,9 @@
 """SimHash near-duplicates through a hierarchical index in Gray order.
 
 Fingerprints are sorted by Gray rank, in which neighbours differ in few bits, and cut into groups of about equal size.
-A group's upper node holds what its members share: a mask of the bits in which all agree, and their pattern. A
-fingerprint goes to those groups only from whose pattern it differs in at most ``radius`` masked bits. Inside a group
+A group's node holds what its members share: a mask of the bits in which all agree, and their pattern; upper nodes hold
+what neighbouring groups share, up to the root. A fingerprint descends from there, differences add up on the way, and it
+goes to those groups only from whose pattern it differs in at most ``radius`` masked bits. Inside a group
 the same is done again and again: each half's node holds the further bits its members share, differences add up on the
 way down, and whole halves are dropped as soon as the sum is above the radius. Pairs are met in leaves only, and a task
 hands on no more links than a spanning forest of its fingerprints has.
@@ -107,6 +108,47 @@ def near_in_group(members: np.ndarray, probes: np.ndarray, radius: int) -> tuple
     return np.concatenate(left or [none]), np.concatenate(right or [none])
 
 
+class Tree:
+    """Upper nodes over groups in Gray order: halves of halves down to LEAF groups, each with what its groups share."""
+
+    def __init__(self, ones: np.ndarray, any_one: np.ndarray):
+        self.ones, self.masks = ones, ~(ones ^ any_one)
+        self.nodes: list[tuple[int, int, np.uint64, np.uint64, int]] = []  # first and end, pattern, mask, the second half's place
+
+        def grown(a: int, b: int) -> None:
+            own, most = np.bitwise_and.reduce(ones[a:b]), np.bitwise_or.reduce(any_one[a:b])
+            at = len(self.nodes)
+            self.nodes.append((a, b, own, ~(own ^ most), 0))
+            if b - a > LEAF:
+                grown(a, (a + b) // 2)
+                self.nodes[at] = (*self.nodes[at][:4], len(self.nodes))
+                grown((a + b) // 2, b)
+
+        if len(ones):
+            grown(0, len(ones))
+
+    def near(self, probes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a probe and a group (as positions) that differ in at most radius of the bits that the group shares."""
+        rows: list[np.ndarray] = [np.zeros(0, np.int64)]
+        groups: list[np.ndarray] = [np.zeros(0, np.int64)]
+        stack = [(0, np.uint64(0), np.arange(len(probes)), np.zeros(len(probes), np.uint8))] if self.nodes else []
+        while stack:
+            node, above, at, differ = stack.pop()
+            a, b, own, shared, second = self.nodes[node]
+            differ = differ + np.bitwise_count((probes[at] ^ own) & (shared & ~above))
+            within = differ <= radius
+            at, differ = at[within], differ[within]
+            if not len(at):
+                continue
+            if b - a <= LEAF:
+                gap = np.bitwise_count((probes[at][:, None] ^ self.ones[None, a:b]) & self.masks[None, a:b])
+                p, g = np.nonzero(gap <= radius)
+                rows.append(at[p]), groups.append(a + g)
+            else:
+                stack += [(node + 1, shared, at, differ), (second, shared, at, differ)]
+        return np.concatenate(rows), np.concatenate(groups)
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of these links, stars with the same components: each node tied to one of its component."""
     nodes, code = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -144,15 +186,17 @@ def links_of(fps: DataFrame, radius: int, group_size: int) -> DataFrame:
 
     nodes = fps.select("fp").mapInArrow(grouped, "fp bigint, g int").groupBy("g").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("any")).toPandas().sort_values("g")
     ids, ones = nodes["g"].to_numpy(np.int32), nodes["ones"].to_numpy(np.int64).view(np.uint64)
-    masks = ~(ones ^ nodes["any"].to_numpy(np.int64).view(np.uint64))
+    upper = Tree(ones, nodes["any"].to_numpy(np.int64).view(np.uint64))
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, step := max(1, (1 << 22) // len(ids))):
-                fp = np.asarray(whole.slice(at, step)["fp"]).view(np.uint64)
+            for at in range(0, whole.num_rows, 1 << 14):
+                fp = np.asarray(whole.slice(at, 1 << 14)["fp"]).view(np.uint64)
                 g = group_of(fp)
                 # a link between groups is found in the later one; one inside a group in that group
-                row, node = np.nonzero((np.bitwise_count((fp[:, None] ^ ones) & masks) <= radius) & (ids >= g[:, None]))
+                row, node = upper.near(fp, radius)
+                later = ids[node] >= g[row]
+                row, node = row[later], node[later]
                 yield pa.RecordBatch.from_arrays([pa.array(fp[row].view(np.int64)), pa.array(ids[node]), pa.array(g[row] == ids[node])], names=["fp", "g", "member"])
 
     def linked(table: pa.Table) -> pa.Table:

@@ -115,3 +115,16 @@ def test_edges_of_the_input(none, clashing):
     assert substring_dedup(none).count() == simhash_components(none).count() == 0
     assert [(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup(clashing).orderBy("doc_id").collect()] == [(1, 3, 0), (2, 0, 0)]
     assert [(r.doc_id, r.component_id) for r in simhash_components(clashing).orderBy("doc_id").collect()] == [(1, 1), (2, 2)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 30, 700])
+def test_upper_nodes_lose_no_group(n):
+    rng = np.random.default_rng(n)
+    base = np.sort(simhash.gray_rank(rng.integers(0, 1 << 64, n, np.uint64)))
+    own = base & ~(rng.integers(0, 1 << 64, n, np.uint64) & rng.integers(0, 1 << 64, n, np.uint64))
+    ones, any_one = own, own | (rng.integers(0, 1 << 64, n, np.uint64) & rng.integers(0, 1 << 64, n, np.uint64) & rng.integers(0, 1 << 64, n, np.uint64))
+    probes = np.concatenate([own[: n // 2] ^ (np.uint64(1) << rng.integers(0, 64, n // 2).astype(np.uint64)), rng.integers(0, 1 << 64, 200, np.uint64)])
+    for radius in (0, 2, 12):
+        row, group = simhash.Tree(ones, any_one).near(probes, radius)
+        expected = np.argwhere(np.bitwise_count((probes[:, None] ^ ones[None, :]) & ~(ones ^ any_one)[None, :]) <= radius)
+        assert sorted(zip(row.tolist(), group.tolist(), strict=True)) == [tuple(x) for x in expected.tolist()]
