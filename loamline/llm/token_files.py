@@ -183,24 +183,28 @@ def library_encoder(path: str, dtype: str):
     lengths[list(vocab.values())] = [len(t) for t in vocab]  # in a byte-level vocabulary a character stands for a byte
     size = np.dtype(dtype).itemsize
 
-    def alone(unit: str) -> bytes:
-        return np.array(tokenizer.encode(unit, add_special_tokens=False).ids, dtype).tobytes()
+    def encoded(texts: list[str]) -> list[list[int]]:
+        """Ids of each text; places of tokens, which nobody asks for, aren't told."""
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def alone(units: list[str]) -> list[bytes]:
+        return [np.array(ids, dtype).tobytes() for ids in encoded(units)]
 
     def learn(units: list[str]) -> list[bytes]:
         whole = "\0".join(units)
         clean = not any(c in whole for c in specials)
         joinable = [JOINABLE.match(u) is not None and (clean or not any(c in u for c in specials)) for u in units]
         many = [u for u, j in zip(units, joinable, strict=True) if j]
-        parts = ("".join(many[i : i + 32]) for i in range(0, len(many), 32))
-        ids = np.fromiter(chain.from_iterable(tokenizer.encode(t, add_special_tokens=False).ids for t in parts), dtype)
+        ids = np.fromiter(chain.from_iterable(encoded(["".join(many[i : i + 32]) for i in range(0, len(many), 32)])), dtype)
         ends = np.cumsum([len(u.encode()) for u in many])
         upto = np.cumsum(lengths[ids])
         cuts = np.searchsorted(upto, ends)
         if len(many) and (cuts[-1] >= len(upto) or not (upto[cuts] == ends).all()):
-            return list(map(alone, units))  # a token across units: not in a vocabulary like this
+            return alone(units)  # a token across units: not in a vocabulary like this
         data, at = ids.tobytes(), (size * (cuts + 1)).tolist()
         joined = iter([data[x:y] for x, y in zip([0, *at], at, strict=False)])
-        return [next(joined) if j else alone(u) for u, j in zip(units, joinable, strict=True)]
+        others = iter(alone([u for u, j in zip(units, joinable, strict=True) if not j]))
+        return [next(joined) if j else next(others) for j in joinable]
 
     return Remembered(learn, dtype, 4 * REMEMBERED).encode
 
