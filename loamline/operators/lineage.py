@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loamline.functions.text import is_tracing
 from loamline.operators.contains import containing
-from loamline.operators.tsql import column_sources, join_chains
+from loamline.operators.tsql import column_sources, join_chains, joined, spread
 from loamline.session import checkpointed
 
 NAME = r"(?:\[[^\]]+\]|[#\w]+)(?:\.(?:\[[^\]]+\]|\w+)){0,2}"
@@ -225,7 +225,7 @@ def candidate_names(hits: DataFrame, types: tuple[str, ...] | None = None) -> Da
     others = hits.where("source = 'sql' AND object_name IS NOT NULL")
     if types:
         others = others.where(F.col("object_type").isin(*types))
-    named = others.select("question_id", "object_name").distinct().join(a, "question_id").where("object_name <> coalesce(_own, '')")
+    named = joined(others.select("question_id", "object_name").distinct(), a, ["question_id"]).where("object_name <> coalesce(_own, '')")
     found = named.where(F.contains(F.lower("_text"), bare(F.col("object_name")))).select("question_id", F.col("object_name").alias("name"))
     return (found if types else temp.unionByName(found)).distinct()
 
@@ -279,20 +279,20 @@ WORDING = {
 def join_risk_findings(questions: DataFrame, hits: DataFrame, most: int = 5) -> DataFrame:
     """(question_id, i, finding): what the joins of a tracing question's anchor may drop, for chains that touch a candidate."""
     asked = questions.where(is_tracing(F.col("text"))).select("question_id")
-    a = anchors(hits).join(asked, "question_id", "left_semi")
+    a = joined(anchors(hits), asked, ["question_id"], "left_semi")
     edges = join_edges(a.select(F.col("question_id").cast("string").alias("name"), F.col("text").alias("definition")))
     own = a.select("question_id", F.col("question_id").cast("string").alias("name"), "object_name")
-    edges = edges.join(own, "name").withColumn("target", F.when(F.col("target") == F.col("name"), F.col("object_name")).otherwise(F.col("target")))
+    edges = joined(edges, own, ["name"]).withColumn("target", F.when(F.col("target") == F.col("name"), F.col("object_name")).otherwise(F.col("target")))
     names = candidate_names(hits).select(F.col("question_id").cast("string").alias("name"), plain(F.col("name")).alias("_c"))
     touched = edges.select("name", "n", F.explode(F.array("prior", "joined")).alias("t")).withColumn("_c", plain(F.col("t")))
-    chains = touched.join(names, ["name", "_c"], "left_semi").select("name", "n").distinct()
+    chains = joined(touched, names, ["name", "_c"], "left_semi").select("name", "n").distinct()
     text = F.lit(None).cast("string")
     for kind, words in WORDING.items():
         said: Column = F.lit(words)
         for mark, c in (("{p}", "prior"), ("{j}", "joined"), ("{t}", "target")):
             said = F.replace(said, F.lit(mark), F.col(c))
         text = F.when(F.col("kind") == kind, said).otherwise(text)
-    rows = edges.join(chains, ["name", "n"], "left_semi").withColumn("finding", text)
+    rows = joined(edges, chains, ["name", "n"], "left_semi").withColumn("finding", text)
     order = F.row_number().over(Window.partitionBy("name").orderBy("n", "i"))
     return rows.withColumn("_rn", order).where(F.col("_rn") <= most).select("question_id", F.col("_rn").alias("i"), "finding")
 
@@ -306,15 +306,15 @@ def column_lineage_findings(questions: DataFrame, hits: DataFrame, most: int = 3
     """(question_id, i, finding): paths of the columns of the anchor's last INSERT that a tracing question names, or of its
     first ``most`` ones where it names none. A column without a path is passed over."""
     asked = questions.where(is_tracing(F.col("text"))).select("question_id", F.lower("text").alias("_asked"))
-    a = anchors(hits).join(asked, "question_id").withColumn("name", F.col("question_id").cast("string"))
+    a = joined(anchors(hits), asked, ["question_id"]).withColumn("name", F.col("question_id").cast("string"))
     edges = checkpointed(column_sources(a.select("name", F.col("text").alias("definition"))))
     filled = edges.where("final").withColumn("_last", F.max("n").over(Window.partitionBy("name"))).where("n = _last").select("name", "stage", "column", "ordinal").distinct()
     word = F.regexp_like("_asked", F.concat(F.lit(r"(?<!\w)\Q"), F.lower("column"), F.lit(r"\E(?!\w)")))
-    known = filled.join(a.select("name", "question_id", "_asked"), "name").withColumn("_named", word)
+    known = joined(filled, a.select("name", "question_id", "_asked"), ["name"]).withColumn("_named", word)
     per = Window.partitionBy("name")
     rank = F.row_number().over(per.orderBy("ordinal"))
     wanted = known.withColumns({"_any": F.max("_named").over(per), "_rank": rank}).where(F.when(F.col("_any"), F.col("_named")).otherwise(F.col("_rank") <= most))
-    found = lineage_paths(edges, wanted).join(wanted.select("name", "stage", "column", "ordinal", "question_id"), ["name", "stage", "column"])
+    found = joined(lineage_paths(edges, wanted), wanted.select("name", "stage", "column", "ordinal", "question_id"), ["name", "stage", "column"])
     order = F.row_number().over(Window.partitionBy("question_id").orderBy("ordinal"))
     return found.select("question_id", order.alias("i"), F.col("path").alias("finding")).where(F.col("i") <= most)
 
@@ -326,7 +326,7 @@ def lineage_paths(edges: DataFrame, wanted: DataFrame, depth: int = 6, longest:
     Chains that meet themselves or don't end within depth are left out. A table of joins, one for each step."""
     low = lambda c: F.lower(F.col(c))
     stages = edges.select("name", low("stage").alias("_s")).distinct().withColumn("is_stage", F.lit(True))
-    e = edges.withColumn("_s", low("leaf_table")).join(stages, ["name", "_s"], "left").withColumn("is_stage", F.coalesce("is_stage", F.lit(False)))
+    e = joined(edges.withColumn("_s", low("leaf_table")), stages, ["name", "_s"], "left").withColumn("is_stage", F.coalesce("is_stage", F.lit(False)))
     short = F.when(F.char_length("expression") > longest, F.concat(F.substring("expression", 1, longest - 3), F.lit("..."))).otherwise(F.col("expression"))
     passed = F.lower(F.element_at(F.split("expression", r"\."), -1)) == low("column")
     by = e.groupBy("name", low("stage").alias("k_stage"), low("column").alias("k_column")).agg(
@@ -334,12 +334,14 @@ def lineage_paths(edges: DataFrame, wanted: DataFrame, depth: int = 6, longest:
         F.min_by(F.struct("leaf_table", "leaf_column"), F.when(F.col("is_stage"), F.col("leaf_ordinal"))).alias("next"), F.min(F.when(F.col("is_stage"), F.col("leaf_ordinal"))).alias("at"),
         F.array_sort(F.collect_set(F.struct("leaf_ordinal", "leaf_table", "leaf_column"))).alias("leaves"))
     rest = F.array_sort(F.array_distinct(F.transform(F.filter("leaves", lambda x: F.coalesce(x["leaf_ordinal"] != F.col("at"), F.lit(True))), lambda x: F.concat(F.lit("`"), x["leaf_table"], F.lit("."), x["leaf_column"], F.lit("`")))))
+    # each step below joins them again
     steps = by.select("name", "k_stage", "k_column", F.concat(F.lit("`"), "stage", F.lit("."), "column", F.lit("`"), "note").alias("label"), F.when(F.col("at").isNotNull(), F.col("next")).alias("next"), rest.alias("rest"))
+    steps = checkpointed(steps)
     live = wanted.select("name", "stage", "column", low("stage").alias("k_stage"), low("column").alias("k_column"), F.array().cast("array<string>").alias("hops"), F.array().cast("array<array<string>>").alias("tails"), F.array().cast("array<string>").alias("seen"))
     out = None
     for _ in range(depth + 1):
         key = F.concat_ws("\x1f", "k_stage", "k_column")
-        moved = live.where(~F.array_contains("seen", key)).withColumn("seen", F.concat("seen", F.array(key))).join(steps, ["name", "k_stage", "k_column"])
+        moved = joined(live.where(~F.array_contains("seen", key)).withColumn("seen", F.concat("seen", F.array(key))), steps, ["name", "k_stage", "k_column"])
         moved = moved.withColumns({"hops": F.concat("hops", F.array("label")), "tails": F.concat("tails", F.array("rest"))}).drop("label", "rest")
         ended = moved.where("next IS NULL").select("name", "stage", "column", "hops", "tails")
         out = ended if out is None else out.unionByName(ended)

@@ -52,10 +52,23 @@ def opened(rows: DataFrame, opens: Column, closes: Column, kept: list[Column], a
     return marked.withColumn(as_, F.when(F.col("_depth") > 0, last(F.col("_open"), level))).drop("_open", "_depth")
 
 
+def spread(defs: DataFrame, chars: int = 1 << 18) -> DataFrame:
+    """Definitions dealt by name, about ``chars`` characters to a task however many there are. Their tokens stay there: all
+    windows over them begin with the name, and a task's tokens can be sorted in memory."""
+    total = defs.agg(F.sum(F.char_length("definition"))).first()[0] or 0
+    return defs.select("name", "definition").repartition(total // chars + 1, "name")
+
+
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join by sorting: what tokens grow to can't be told from the sizes of definitions, so neither side may be
+    gathered for a broadcast."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def tokens(defs: DataFrame) -> DataFrame:
     """(name, i, tok, low, spaced): the tokens of each definition in order, comments left out; a qualified name is one."""
     clean = F.regexp_replace(F.coalesce("definition", F.lit("")), COMMENT, "$1 ")
-    found = defs.select("name", F.posexplode(F.regexp_extract_all(clean, F.lit(TOKEN), 0)).alias("i", "raw"))
+    found = spread(defs).select("name", F.posexplode(F.regexp_extract_all(clean, F.lit(TOKEN), 0)).alias("i", "raw"))
     tok = F.regexp_replace("raw", r"^\s+", "")
     one = F.when(tok.startswith("'"), tok).otherwise(F.regexp_replace(tok, r"\s*\.\s*", "."))
     return found.select("name", "i", one.alias("tok"), F.lower(one).alias("low"), F.col("raw").rlike(r"^\s").alias("spaced"))
@@ -110,8 +123,7 @@ def parts(defs: DataFrame) -> DataFrame:
     branch = Window.partitionBy("name", "stmt", "query", "branch").orderBy("i")
     word = own & low.isin(*CLAUSES) & ~F.col("edge")
     rows = rows.withColumn("clause", last(F.when(word, low), branch))
-    out = rows.withColumn("item", F.when(F.col("clause") == "select", summed(own & (low == ",") & (F.col("clause") == "select"), branch)))
-    return checkpointed(out)  # what follows reads it several times
+    return rows.withColumn("item", F.when(F.col("clause") == "select", summed(own & (low == ",") & (F.col("clause") == "select"), branch)))
 
 
 def is_name(low: Column) -> Column:
@@ -140,22 +152,23 @@ def sources(rows: DataFrame) -> DataFrame:
     side = F.when(F.col("p2").isin("left", "right", "full", "inner", "cross"), F.col("p2")).when(F.col("p2") == "outer", F.col("p3")).otherwise("inner")
     kind = F.when(F.col("p1") == "join", F.upper(side)).when(F.col("p1") == "apply", "APPLY")
     order = Window.partitionBy("name", "stmt", "query", "branch").orderBy("i")
-    return refs.select("name", "stmt", "query", "branch", (F.row_number().over(order) - 1).alias("j"), "i", table.alias("table"), alias.alias("alias"), kind.alias("kind"), F.upper("p1").alias("link"), "cte", "starts")
+    return refs.select("name", "stmt", "query", "branch", (F.row_number().over(order) - 1).alias("j"), "i", table.alias("table"), alias.alias("alias"), kind.alias("kind"), F.upper("p1").alias("link"), "cte", "starts", F.col("into.target").alias("target"))
 
 
-def targets(rows: DataFrame) -> DataFrame:
-    """(name, stmt, target, insert): the table that SELECT INTO makes, or that INSERT fills, for each statement."""
+def with_targets(rows: DataFrame) -> DataFrame:
+    """rows with the struct into (target, at, insert): the table that SELECT INTO makes, or that INSERT fills, of each
+    token's statement, and where it stands."""
     into = (F.col("query") == 0) & F.col("own") & F.col("cte").isNull()
-    inserts = rows.where(into & ((F.col("prev") == "into") & (F.col("prev2") == "insert") | (F.col("prev") == "insert") & (F.col("low") != "into"))).select("name", "stmt", unquoted(F.col("tok")).alias("target"), F.col("i").alias("at"), F.lit(True).alias("insert"))
-    makes = rows.where(into & (F.col("prev") == "into") & (F.col("clause") == "into") & ~F.col("prev2").isin("insert", "merge")).select("name", "stmt", unquoted(F.col("tok")).alias("target"), F.col("i").alias("at"), F.lit(False).alias("insert"))
-    both = inserts.unionByName(makes)
-    return both.groupBy("name", "stmt").agg(F.min_by("target", "at").alias("target"), F.min("at").alias("at"), F.min_by("insert", "at").alias("insert"))
+    inserts = into & ((F.col("prev") == "into") & (F.col("prev2") == "insert") | (F.col("prev") == "insert") & (F.col("low") != "into"))
+    makes = into & (F.col("prev") == "into") & (F.col("clause") == "into") & ~F.col("prev2").isin("insert", "merge")
+    found = F.when(inserts | makes, F.struct(unquoted(F.col("tok")).alias("target"), F.col("i").alias("at"), inserts.alias("insert")))
+    whole = Window.partitionBy("name", "stmt").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return rows.withColumn("into", F.first(found, ignorenulls=True).over(whole))
 
 
-def insert_columns(rows: DataFrame, into: DataFrame) -> DataFrame:
+def insert_columns(rows: DataFrame) -> DataFrame:
     """(name, stmt, ordinal, column): the column list behind the table of an INSERT."""
-    filled = into.where("insert").select("name", "stmt", "at")
-    own = rows.where("query = 0 AND cte IS NULL").join(filled, ["name", "stmt"]).where("i > at")
+    own = rows.where("query = 0 AND cte IS NULL AND into.insert AND i > into.at")
     w = Window.partitionBy("name", "stmt").orderBy("i")
     listed = own.withColumns({"_first": F.first("low").over(w), "_closed": summed(F.col("low") == ")", w)}).where("_first = '(' AND _closed = 0 AND low <> '('")
     return listed.where("low <> ','").select("name", "stmt", (F.row_number().over(w) - 1).alias("ordinal"), unquoted(F.col("tok")).alias("column"))
@@ -165,14 +178,12 @@ def join_chains(defs: DataFrame) -> DataFrame:
     """(name, n, i, prior, joined, kind, target): a row for each join at a statement's own level, prior being the table
     before it in the text. Statements with common table expressions are left out; a comma, a derived table, a function, APPLY
     and CROSS JOIN end a chain. Subqueries, of EXISTS and others, are not looked into."""
-    rows = parts(defs)
-    into = targets(rows).select("name", "stmt", "target")
-    own = sources(rows).where("query = 0 AND branch > 0 AND cte IS NULL AND starts <> 'with'")
+    own = sources(with_targets(parts(defs))).where("query = 0 AND branch > 0 AND cte IS NULL AND starts <> 'with'")
     branch = Window.partitionBy("name", "stmt", "branch").orderBy("j")
     broken = F.col("table").isNull() | F.coalesce(F.col("kind").isin("CROSS", "APPLY"), F.lit(False)) | (F.col("link") == ",")
     chain = own.withColumns({"prior": before(F.col("table"), branch), "_broken": summed(broken, branch)})
     good = chain.where("_broken = 0 AND j > 0")
-    return good.join(into, ["name", "stmt"], "left").select("name", F.col("stmt").alias("n"), (F.col("j") - 1).cast("int").alias("i"), "prior", F.col("table").alias("joined"), "kind", F.coalesce("target", "name").alias("target"), "branch")
+    return good.select("name", F.col("stmt").alias("n"), (F.col("j") - 1).cast("int").alias("i"), "prior", F.col("table").alias("joined"), "kind", F.coalesce("target", "name").alias("target"), "branch")
 
 
 def select_items(rows: DataFrame) -> DataFrame:
@@ -209,12 +220,14 @@ def column_sources(defs: DataFrame) -> DataFrame:
     Each branch of a UNION has rows of its own, under the first one's column names. A column without a qualifier counts
     where its query reads one table only; what derived tables, functions or outer queries give is left out, as are columns
     inside subqueries."""
-    rows = parts(defs)
-    into = targets(rows)
-    listed = insert_columns(rows, into)
+    rows = with_targets(parts(defs))
+    # what follows reads it several times: only select items, FROM clauses and column lists of INSERT are written, and of
+    # their tokens what is asked for
+    asked = (F.col("clause") == "select") | ((F.col("clause") == "from") & F.col("own")) | ((F.col("query") == 0) & F.col("cte").isNull() & F.col("into.insert") & (F.col("i") > F.col("into.at")))
+    rows = checkpointed(rows.where(asked).select("name", "i", "tok", "low", "spaced", "prev", "next", "stmt", "query", "own", "cte", "branch", "clause", "item", "starts", "into"))
+    listed = insert_columns(rows)
     # a stage is a statement's own query that fills something, or the bracket of a common table expression
-    level = rows.where("low = 'select' AND own").select("name", "stmt", "query", "branch", "cte", F.lag("branch").over(Window.partitionBy("name", "stmt", "query").orderBy("i")).alias("_b"))
-    heads = level.join(into.select("name", "stmt", "target", "insert"), ["name", "stmt"], "left")
+    heads = rows.where("low = 'select' AND own").select("name", "stmt", "query", "branch", "cte", "into.target", "into.insert")
     first_of_cte = Window.partitionBy("name", "stmt", "cte")
     stages = heads.withColumn("_outer", F.min("query").over(first_of_cte)).withColumn("stage", F.when(F.col("cte").isNotNull(), F.when(F.col("query") == F.col("_outer"), unquoted(F.col("cte")))).when(F.col("query") == 0, F.col("target"))).where("stage IS NOT NULL")
     stages = stages.select("name", "stmt", "query", "branch", "stage", F.coalesce(F.col("insert") & F.col("cte").isNull(), F.lit(False)).alias("insert"))
@@ -223,8 +236,9 @@ def column_sources(defs: DataFrame) -> DataFrame:
     # subqueries' tokens have queries of their own: the text of an item needs them, its leaves don't
     texts = written(items, by)
     names = F.coalesce("alias", F.when((F.col("n") == 1) & is_name(F.lower("only")), F.element_at(F.split(unquoted(F.col("only")), r"\."), -1)))
-    cols = texts.withColumn("own_name", names).join(stages, ["name", "stmt", "query", "branch"])
-    cols = cols.join(listed.withColumnsRenamed({"ordinal": "item", "column": "listed"}), ["name", "stmt", "item"], "left")
+    cols = texts.withColumn("own_name", names)
+    cols = joined(cols, stages, ["name", "stmt", "query", "branch"])
+    cols = joined(cols, listed.withColumnsRenamed({"ordinal": "item", "column": "listed"}), ["name", "stmt", "item"], "left")
     one = Window.partitionBy("name", "stmt", "query", "item").orderBy("branch")
     cols = cols.withColumn("column", F.coalesce(F.when(F.col("insert"), F.col("listed")), F.first("own_name").over(one))).where("column IS NOT NULL")
     leaf = is_name(F.col("low")) & (F.col("next") != "(") & ~F.col("low").isin(*UNITS) & ~F.col("low").startswith("@") & ~F.col("low").endswith("*") & (F.col("prev") != "as")
@@ -234,7 +248,7 @@ def column_sources(defs: DataFrame) -> DataFrame:
     reads = sources(rows)
     whole = Window.partitionBy("name", "stmt", "query", "branch")
     reads = reads.withColumn("_reads", F.count("*").over(whole)).where("table IS NOT NULL").select("name", "stmt", "query", "branch", "table", F.lower("alias").alias("_alias"), "_reads")
-    found = leaves.join(reads, ["name", "stmt", "query", "branch"]).where("_q IS NULL AND _reads = 1 OR _q = _alias")
+    found = joined(leaves, reads, ["name", "stmt", "query", "branch"]).where("_q IS NULL AND _reads = 1 OR _q = _alias")
     over = F.row_number().over(Window.partitionBy("name", "stmt", "query", "item").orderBy("branch", "leaf_ordinal")) - 1
-    every = found.join(cols, by).withColumn("_leaf", over)
+    every = joined(found, cols, by).withColumn("_leaf", over)
     return every.select("name", F.col("stmt").alias("n"), "stage", F.col("item").cast("int").alias("ordinal"), "column", "expression", F.col("table").alias("leaf_table"), "leaf_column", F.col("_leaf").cast("int").alias("leaf_ordinal"), F.col("insert").alias("final"))

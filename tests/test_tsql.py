@@ -152,3 +152,22 @@ def test_tokens(spark):
     text = "SELECT [a b].c, 'it''s -- no', 1.5 /* x, y */ FROM dbo . T -- end"
     got = [r.tok for r in tsql.tokens(defs(spark, text)).orderBy("i").collect()]
     assert got == ["SELECT", "[a b].c", ",", "'it''s -- no'", ",", "1.5", "FROM", "dbo.T"]
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tokens_are_dealt_once_and_never_broadcast(spark):
+    """Definitions are moved before they are cut into tokens; joins of tokens don't trust the size of the definitions."""
+    text = "SELECT s.a INTO #t FROM dbo.b s JOIN dbo.c c ON c.i = s.i; INSERT INTO dbo.r (a) SELECT a FROM #t"
+    joins = plan_of(tsql.join_chains(defs(spark, text)))
+    assert joins.count("Exchange") == 1 and "Join" not in joins
+    columns = plan_of(tsql.column_sources(defs(spark, text)))
+    assert "Broadcast" not in columns and columns.count("SortMergeJoin") == 4
+
+
+def test_definitions_are_dealt_by_their_size(spark):
+    many = defs(spark, *("SELECT a FROM b " * 10 for _ in range(20)))
+    assert tsql.spread(many, 1000).rdd.getNumPartitions() == 4
+    assert tsql.spread(many.limit(0), 1000).rdd.getNumPartitions() == 1
