@@ -217,7 +217,10 @@ def gmail_parts(payload: Column) -> Column:
 
 
 def mail_bytes_to_resources(binary: DataFrame, provider: str = "imap") -> DataFrame:
-    """RFC 822 bytes (folder, uid, content) as resources. The id is the Message-ID, else a hash of folder, uid and date."""
+    """RFC 822 bytes (folder, uid, content) as resources. The id is the Message-ID, else a hash of folder, uid and date.
+
+    Messages are dealt by their size first, about a MB to a task: parsing takes far longer than reading, and a file of some
+    hundred thousand small ones is read by one task."""
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -230,7 +233,9 @@ def mail_bytes_to_resources(binary: DataFrame, provider: str = "imap") -> DataFr
                 out.append((row.folder, row.uid, m["Message-ID"], m["Subject"], m["From"], m["To"], m["Cc"] or "", m["Date"].datetime.astimezone(None).timestamp() if m["Date"] and m["Date"].datetime else None, any(True for _ in m.iter_attachments()), text, kind))
             yield pd.DataFrame(out, columns=["folder", "uid", "mid", "subject", "sender", "to", "cc", "sent", "attached", "body", "kind"])
 
-    rows = binary.select("folder", "uid", "content").mapInPandas(parse, "folder string, uid string, mid string, subject string, sender string, to string, cc string, sent double, attached boolean, body string, kind string")
+    size = binary.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    dealt = binary.select("folder", "uid", "content").repartition(size // (1 << 20) + 1, "folder", "uid")
+    rows = dealt.mapInPandas(parse, "folder string, uid string, mid string, subject string, sender string, to string, cc string, sent double, attached boolean, body string, kind string")
     sent = F.timestamp_seconds("sent")
     own = F.coalesce(F.regexp_replace("mid", "^<|>$", ""), F.sha1(F.concat_ws("|", "folder", "uid", sent.cast("string"))))
     body = F.when(F.col("kind") == "text/html", html_to_text(F.col("body"))).otherwise(F.col("body"))

@@ -269,3 +269,18 @@ def test_stream_inventory_moves_each_batch_once(spark, tmp_path):
     assert stock() == stock() == [(1, 4), (2, 3), (3, 50)]
     lines((2, 9)).write.mode("append").parquet(landing)
     assert stock() == [(1, 0), (2, 3), (3, 50)]
+
+
+def test_vectors_by_hashing_are_sums_of_signs(spark):
+    """Also of null; the text is parted once, not for each component."""
+    df = spark.createDataFrame([("One two, two. THREE one two",), ("",), (None,)], "text string")
+    got = [r[0] for r in df.select(index.hashed_vector(F.col("text"), 8)).collect()]
+    signs = spark.sql("SELECT pmod(xxhash64(w), 8) AS i, IF(pmod(xxhash64(w, 1), 2) = 0, 1.0D, -1.0D) AS x FROM VALUES ('one'), ('two'), ('two'), ('three'), ('one'), ('two') AS t(w)").collect()
+    assert got == [[sum(r.x for r in signs if r.i == i) for i in range(8)], [0.0] * 8, [None] * 8]
+    plan = df.select(index.hashed_vector(F.col("text")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("split(") < plan.index("sequence(") if "sequence(" in plan else plan.count("split(") == 1
+
+
+def test_mail_is_dealt_to_tasks_by_its_size(spark):
+    raw = spark.range(4000).coalesce(1).select(F.lit("INBOX").alias("folder"), F.col("id").cast("string").alias("uid"), F.encode(F.concat(F.lit("Message-ID: <"), F.col("id").cast("string"), F.lit("@x>\r\n\r\n"), F.repeat(F.lit("x"), 800)), "UTF-8").alias("content"))
+    assert landed.mail_bytes_to_resources(raw).rdd.getNumPartitions() == 4
