@@ -19,6 +19,8 @@ REFERENCES = "from|join|into|update|table|exec|execute"
 WRITES = r"insert\s+into|update|merge(?:\s+into)?|truncate\s+table"
 JS_SUFFIXES = ("", ".js", ".jsx", ".ts", ".tsx", ".mjs", "/index.js", "/index.ts", "/index.tsx")
 CALLED = ("procedure", "function")
+#: So many mentions of a name are too many for one task.
+FREQUENT = 50_000
 
 
 def strip_sql_comments(text: Column) -> Column:
@@ -45,16 +47,21 @@ def write_targets(defs: DataFrame) -> DataFrame:
 def sql_references(defs: DataFrame, catalog: DataFrame) -> DataFrame:
     """(subject, predicate, object): known objects that each definition mentions, by qualified name anywhere or, in dbo, by
     bare name after a referencing word. defs: name, definition; catalog: name, object_type."""
+    defs = spread(defs)  # names are taken out and told apart in many small tasks
     text = strip_sql_comments(F.col("definition"))
     known = catalog.select(F.col("name").alias("object"), "object_type", F.lower("name").alias("key"))
-    me = defs.join(catalog.select(F.lower("name").alias("_k"), F.col("name").alias("subject")), F.lower(defs["name"]) == F.col("_k")).drop("_k")
-    qualified = me.select("subject", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?<!\w)((?:\[[^\]]+\]|\w+)\.(?:\[[^\]]+\]|\w+))(?!\w)"), 1), plain))).alias("key"))
-    after = me.select("subject", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"(?i)\b(?:{REFERENCES})\s+\[?(\w+)\]?(?![\w.])"), 1), lambda x: F.concat(F.lit("dbo."), F.lower(x))))).alias("key"))
-    written = write_targets(defs).select(F.lower("name").alias("_s"), "target")
-    hits = qualified.unionByName(after).distinct().join(known, "key").where(F.lower("subject") != F.col("key"))
-    marks = hits.join(written, (F.lower("subject") == F.col("_s")) & ((F.col("target") == F.col("key")) | (F.col("target") == bare(F.col("key")))), "left")
-    predicate = F.when(F.col("object_type").isin(*CALLED), "calls").when(F.col("target").isNotNull(), "writes_to").otherwise("references")
-    return marks.select("subject", predicate.alias("predicate"), "object").distinct()
+    qualified = F.transform(F.regexp_extract_all(text, F.lit(r"(?<!\w)((?:\[[^\]]+\]|\w+)\.(?:\[[^\]]+\]|\w+))(?!\w)"), 1), plain)
+    after = F.transform(F.regexp_extract_all(text, F.lit(rf"(?i)\b(?:{REFERENCES})\s+\[?(\w+)\]?(?![\w.])"), 1), lambda x: F.concat(F.lit("dbo."), F.lower(x)))
+    targets = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"(?i)\b(?:{WRITES})\s+({NAME})"), 1), plain))
+    mentioned = defs.select(F.lower("name").alias("_k"), F.explode(F.array_union(qualified, after)).alias("key"), targets.alias("targets"))
+    pairs = mentioned.select("_k", "key", (F.array_contains("targets", F.col("key")) | F.array_contains("targets", bare(F.col("key")))).alias("written")).where("_k <> key")
+    pairs = checkpointed(joined(pairs, catalog.select(F.lower("name").alias("_k"), F.col("name").alias("subject")), ["_k"]).select("subject", "key", "written"))
+    # what very many definitions mention is looked up where they are, and doesn't gather in one task; few names can be so
+    frequent = F.broadcast(checkpointed(pairs.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > FREQUENT).select("key")))
+    common = pairs.join(F.broadcast(known.join(frequent, "key", "left_semi")), "key")
+    hits = common.unionByName(joined(pairs.join(frequent, "key", "left_anti"), known, ["key"]))
+    predicate = F.when(F.col("object_type").isin(*CALLED), "calls").when(F.max("written"), "writes_to").otherwise("references")
+    return hits.groupBy("subject", "object", "object_type").agg(predicate.alias("predicate")).select("subject", "predicate", "object").distinct()
 
 
 def qualify_edges(edges: DataFrame, prefix: str) -> DataFrame:
@@ -137,21 +144,21 @@ def walk(edges: DataFrame, starts: DataFrame, hops: int = 3, direction: str = "u
     """(start, hop, subject, predicate, object): breadth first, each hop an equi-join, five hops at most.
 
     upstream goes from subject to object, downstream back. A node is entered once for each start; an edge may be listed
-    at more than one hop. contains: starts are first resolved to the nodes that contain them, in any case, by trigrams. cap: edges of
+    at more than one hop. The edges are made once, not for each hop. contains: starts are first resolved to the nodes that contain them, in any case, by trigrams. cap: edges of
     one start and hop, in order; None for all."""
     own, other = ("subject", "object") if direction == "upstream" else ("object", "subject")
-    e = edges.select("subject", "predicate", "object").distinct()
+    e = checkpointed(edges.select("subject", "predicate", "object").distinct())
     nodes = e.select(F.col(own).alias("node")).distinct()
     s = starts.select("start").distinct()
     frontier = s.withColumn("node", F.col("start")) if match == "exact" else containing(s, nodes, "start", "node").toDF("start", "node")
     visited, out = frontier, None
     for hop in range(1, min(hops, 5) + 1):
-        step = frontier.join(e, F.col("node") == F.col(own)).select("start", F.lit(hop).alias("hop"), "subject", "predicate", "object").distinct()
+        step = frontier.join(e.hint("merge"), F.col("node") == F.col(own)).select("start", F.lit(hop).alias("hop"), "subject", "predicate", "object").distinct()
         if cap is not None:
             step = step.withColumn("_rn", F.row_number().over(Window.partitionBy("start").orderBy("subject", "predicate", "object"))).where(F.col("_rn") <= cap).drop("_rn")
         step = checkpointed(step)
         out = step if out is None else out.unionByName(step)
-        frontier = checkpointed(step.select("start", F.col(other).alias("node")).distinct().join(visited, ["start", "node"], "left_anti"))
+        frontier = checkpointed(step.select("start", F.col(other).alias("node")).distinct().join(visited.hint("merge"), ["start", "node"], "left_anti"))
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
@@ -163,6 +170,8 @@ def sql_dependency_graph(edges: DataFrame, starts: DataFrame, hops: int = 3, dir
     own = edges.where("source = 'sql'")
     if methods != "all":
         own = own.where(F.col("extraction_method") == methods)
+    if direction == "both":
+        own = checkpointed(own.select("subject", "predicate", "object"))  # both walks read it
     ways = ("upstream", "downstream") if direction == "both" else (direction,)
     parts = [walk(own, starts, hops, w, match).withColumn("direction", F.lit(w)) for w in ways]
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

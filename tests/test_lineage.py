@@ -94,3 +94,25 @@ def test_walk_ends_in_a_cycle_and_counts_hops(spark):
     starts = spark.createDataFrame([("a",)], "start string")
     assert rows(L.walk(edges, starts, 5), "hop", "subject", "object") == [(1, "a", "b"), (2, "b", "c"), (3, "c", "a")]
     assert rows(L.walk(edges, starts, 5, "downstream"), "hop", "subject") == [(1, "c"), (2, "b"), (3, "a"), (3, "x")]
+
+
+def test_names_that_very_many_mention_give_the_same_edges(spark, monkeypatch):
+    defs, catalog = tables(spark)
+    usual = rows(L.sql_references(defs, catalog), "subject", "predicate", "object")
+    monkeypatch.setattr(L, "FREQUENT", 0)
+    assert rows(L.sql_references(defs, catalog), "subject", "predicate", "object") == usual
+
+
+def test_edges_are_made_once_for_all_hops(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        made.add(1)
+        return x
+
+    from pyspark.sql import functions as F
+
+    edges = spark.createDataFrame([(f"n{i}", "reads", f"n{i + 1}") for i in range(4)], "subject string, predicate string, object string").coalesce(1)
+    counted = edges.withColumn("object", F.udf(count, "string").asNondeterministic()("object")).withColumns({"source": F.lit("sql"), "extraction_method": F.lit("deterministic")})
+    out = L.sql_dependency_graph(counted, spark.createDataFrame([("n0",)], "start string"), 3)
+    assert out.count() == 3 and made.value == 4
