@@ -160,3 +160,12 @@ def test_stored_index_follows_its_chunks(spark, tmp_path):
     assert 0 < sum(f != before.get(b) for b, f in stored.table.manifest().folders.items()) < len(before)
     plan = stored.of(search.parse_search(queries), "simple")._jdf.queryExecution().toString()
     assert "title" not in plan  # no chunk is read
+
+
+def test_postings_move_texts_and_no_words(spark):
+    """One exchange, of whole chunks; rows of one key are still gathered."""
+    rows = [("s", "k", "r", 0, "b a", "a b a", None), ("s", "k", "r", 0, "x y", "a", None), ("s", "k", "r", 1, None, None, None)]
+    index = search.postings(spark.createDataFrame(rows, CHUNK))
+    assert index._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = sorted((r.token, r.shift, r.a, r.b) for r in index.collect())
+    assert got == [("a", 2, [1], [0, 0, 2]), ("b", 2, [0], [1]), ("x", 2, [0], []), ("y", 2, [1], [])]
