@@ -7,6 +7,12 @@ goes to those groups only from whose pattern it differs in at most ``radius`` ma
 the same is done again and again: each half's node holds the further bits its members share, differences add up on the
 way down, and whole halves are dropped as soon as the sum is above the radius. Pairs are met in leaves only, and a task
 hands on no more links than a spanning forest of its fingerprints has.
+
+There are up to three such orders, each of the fingerprints turned so that another block of bits leads. Of a pair's
+differing bits one block holds no more than its share (none, at a radius of two), so an order looks for pairs with no more
+in its leading block than that. As groups are told apart by their leading bits, a fingerprint goes to about as many groups
+however many there are; one order alone would send it to more of them, as the square of the number of bits they share.
+A pair belongs to the first order that finds it.
 """
 
 from __future__ import annotations
@@ -81,29 +87,44 @@ def about_rank(fp: Column) -> Column:
     return fp.cast("double") + F.when(fp < 0, 2.0**64).otherwise(0.0)
 
 
-def near_in_group(members: np.ndarray, probes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (as positions of members and probes) at radius bits or fewer. members: distinct, in Gray order."""
+def turned(fp: np.ndarray, by: int) -> np.ndarray:
+    """The bits turned to the left, so that those behind the first ``by`` lead."""
+    return (fp << np.uint64(by)) | (fp >> np.uint64(64 - by)) if by % 64 else fp
+
+
+def orders_of(radius: int) -> tuple[list[int], list[np.uint64], int]:
+    """The places where the blocks of bits begin, each order's leading block as a mask, and how many bits of one block a pair
+    at radius bits differs in at most, in one order at least."""
+    blocks = min(radius + 1, 3)
+    at = [64 * k // blocks for k in range(blocks + 1)]
+    return at[:-1], [np.uint64((1 << 64) - (1 << (64 - (y - x)))) for x, y in zip(at[:-1], at[1:], strict=True)], radius // blocks
+
+
+def near_in_group(members: np.ndarray, probes: np.ndarray, radius: int, lead: np.uint64 = np.uint64(0), share: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Links (as positions of members and probes) at radius bits or fewer, of them at most share in lead. members: distinct, in Gray order."""
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    stack = [(0, len(members), np.uint64(0), np.arange(len(probes)), np.zeros(len(probes), np.uint8))]
+    none = np.zeros(len(probes), np.uint8)
+    stack = [(0, len(members), np.uint64(0), np.arange(len(probes)), none, none)]
     while stack:
-        a, b, above, at, differ = stack.pop()
+        a, b, above, at, differ, first = stack.pop()
         own = members[a:b]
         ones, any_one = np.bitwise_and.reduce(own), np.bitwise_or.reduce(own)
         shared = ~(ones ^ any_one)
-        differ = differ + np.bitwise_count((probes[at] ^ ones) & (shared & ~above))
-        within = differ <= radius
-        at, differ = at[within], differ[within]
+        gap = (probes[at] ^ ones) & (shared & ~above)
+        differ, first = differ + np.bitwise_count(gap), first + np.bitwise_count(gap & lead)
+        within = (differ <= radius) & (first <= share)
+        at, differ, first = at[within], differ[within], first[within]
         if not len(at):
             continue
         if b - a <= LEAF:
-            gap = np.bitwise_count((probes[at][:, None] ^ own[None, :]) & (full & ~shared)) + differ[:, None]
-            p, m = np.nonzero(gap <= radius)
+            gap = (probes[at][:, None] ^ own[None, :]) & (full & ~shared)
+            p, m = np.nonzero((np.bitwise_count(gap) + differ[:, None] <= radius) & (np.bitwise_count(gap & lead) + first[:, None] <= share))
             left.append(a + m), right.append(at[p])
         else:
             middle = (a + b) // 2
-            stack += [(a, middle, shared, at, differ), (middle, b, shared, at, differ)]
+            stack += [(a, middle, shared, at, differ, first), (middle, b, shared, at, differ, first)]
     none = np.zeros(0, np.int64)
     return np.concatenate(left or [none]), np.concatenate(right or [none])
 
@@ -127,25 +148,28 @@ class Tree:
         if len(ones):
             grown(0, len(ones))
 
-    def near(self, probes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of a probe and a group (as positions) that differ in at most radius of the bits that the group shares."""
+    def near(self, probes: np.ndarray, radius: int, lead: np.uint64 = np.uint64(0), share: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a probe and a group (as positions) that differ in at most radius of the bits that the group shares, and
+        in at most share of those in lead."""
         rows: list[np.ndarray] = [np.zeros(0, np.int64)]
         groups: list[np.ndarray] = [np.zeros(0, np.int64)]
-        stack = [(0, np.uint64(0), np.arange(len(probes)), np.zeros(len(probes), np.uint8))] if self.nodes else []
+        none = np.zeros(len(probes), np.uint8)
+        stack = [(0, np.uint64(0), np.arange(len(probes)), none, none)] if self.nodes else []
         while stack:
-            node, above, at, differ = stack.pop()
+            node, above, at, differ, first = stack.pop()
             a, b, own, shared, second = self.nodes[node]
-            differ = differ + np.bitwise_count((probes[at] ^ own) & (shared & ~above))
-            within = differ <= radius
-            at, differ = at[within], differ[within]
+            gap = (probes[at] ^ own) & (shared & ~above)
+            differ, first = differ + np.bitwise_count(gap), first + np.bitwise_count(gap & lead)
+            within = (differ <= radius) & (first <= share)
+            at, differ, first = at[within], differ[within], first[within]
             if not len(at):
                 continue
             if b - a <= LEAF:
-                gap = np.bitwise_count((probes[at][:, None] ^ self.ones[None, a:b]) & self.masks[None, a:b])
-                p, g = np.nonzero(gap <= radius)
+                gap = (probes[at][:, None] ^ self.ones[None, a:b]) & self.masks[None, a:b]
+                p, g = np.nonzero((np.bitwise_count(gap) <= radius) & (np.bitwise_count(gap & lead) <= share))
                 rows.append(at[p]), groups.append(a + g)
             else:
-                stack += [(node + 1, shared, at, differ), (second, shared, at, differ)]
+                stack += [(node + 1, shared, at, differ, first), (second, shared, at, differ, first)]
         return np.concatenate(rows), np.concatenate(groups)
 
 
@@ -166,40 +190,72 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[root[own]]
 
 
-def links_of(fps: DataFrame, radius: int, group_size: int) -> DataFrame:
-    """Links (a, b) that have the components of all pairs of distinct fingerprints at radius bits or fewer."""
-    spark = fps.sparkSession
-    n = fps.count()
-    if n < 2:
-        return spark.createDataFrame([], "a bigint, b bigint")
-    groups = int(min(65536, max(16, n // group_size)))  # at most as many nodes are sent to all tasks: 1.5 MB
+class Order:
+    """One order of the turned fingerprints: the ranks where its groups are cut, and what each group's members share."""
 
-    # cuts at quantiles of the rank; any cuts give right results, even ones give even groups
-    cuts = np.unique(np.array(fps.select(about_rank(F.col("fp")).alias("r")).approxQuantile("r", [i / groups for i in range(1, groups)], 0.5 / groups), np.float64))
+    def __init__(self, cuts: np.ndarray, radius: int, lead: np.uint64, share: int):
+        self.cuts, self.radius, self.lead, self.share = np.unique(cuts), radius, lead, share
+
+    def group_of(self, fp: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.cuts, gray_rank(fp).astype(np.float64), side="right").astype(np.int32)
 
-    def group_of(fp: np.ndarray) -> np.ndarray:
-        return np.searchsorted(cuts, gray_rank(fp).astype(np.float64), side="right").astype(np.int32)
+    def told(self, ids: np.ndarray, ones: np.ndarray, any_one: np.ndarray) -> None:
+        """The bits that all members of the groups ids have, and that any has."""
+        self.ids, self.upper = ids, Tree(ones, any_one)
+
+    def routed(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Fingerprints, the groups that each goes to, and whether it is its own. A link between groups is found in the later
+        one; one inside a group in that group."""
+        g = self.group_of(fp)
+        row, node = self.upper.near(fp, self.radius, self.lead, self.share)
+        later = self.ids[node] >= g[row]
+        row, to = row[later], self.ids[node[later]]
+        return fp[row], to, g[row] == to
+
+
+def index_of(fps: DataFrame, n: int, radius: int, group_size: int) -> list[Order]:
+    """The orders of n distinct fingerprints, in groups of about group_size."""
+    starts, leads, share = orders_of(radius)
+    groups = int(min(65536, max(16, n // group_size)))  # at most as many nodes an order are sent to all tasks: 1.5 MB each
+
+    # cuts at quantiles of the rank; any cuts give right results, even ones give even groups
+    ranks = {f"r{k}": about_rank(F.shiftleft("fp", s).bitwiseOR(F.shiftrightunsigned("fp", 64 - s)) if s else F.col("fp")) for k, s in enumerate(starts)}
+    cuts = fps.select(*(r.alias(c) for c, r in ranks.items())).approxQuantile(list(ranks), [i / groups for i in range(1, groups)], 0.5 / groups)
+    orders = [Order(np.array(c, np.float64), radius, lead, share) for c, lead in zip(cuts, leads, strict=True)]
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["fp"], pa.array(group_of(np.asarray(b["fp"]).view(np.uint64)))], names=["fp", "g"])
+            for k, o in enumerate(orders):
+                fp = turned(np.asarray(b["fp"]).view(np.uint64), starts[k])
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(o.group_of(fp) | np.int32(k << 16))], names=["fp", "g"])
 
     nodes = fps.select("fp").mapInArrow(grouped, "fp bigint, g int").groupBy("g").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("any")).toPandas().sort_values("g")
-    ids, ones = nodes["g"].to_numpy(np.int32), nodes["ones"].to_numpy(np.int64).view(np.uint64)
-    upper = Tree(ones, nodes["any"].to_numpy(np.int64).view(np.uint64))
+    g = nodes["g"].to_numpy(np.int32)
+    ones, any_one = (nodes[c].to_numpy(np.int64).view(np.uint64) for c in ("ones", "any"))
+    for k, o in enumerate(orders):
+        o.told(g[g >> 16 == k] & np.int32(0xFFFF), ones[g >> 16 == k], any_one[g >> 16 == k])
+    return orders
+
+
+def links_of(fps: DataFrame, radius: int, group_size: int) -> DataFrame:
+    """Links (a, b) that have the components of all pairs of distinct fingerprints at radius bits or fewer."""
+    spark = fps.sparkSession
+    n = fps.count()
+    if n < 2:
+        return spark.createDataFrame([], "a bigint, b bigint")
+    starts, leads, share = orders_of(radius)
+    orders = index_of(fps, n, radius, group_size)
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1 << 14):
                 fp = np.asarray(whole.slice(at, 1 << 14)["fp"]).view(np.uint64)
-                g = group_of(fp)
-                # a link between groups is found in the later one; one inside a group in that group
-                row, node = upper.near(fp, radius)
-                later = ids[node] >= g[row]
-                row, node = row[later], node[later]
-                yield pa.RecordBatch.from_arrays([pa.array(fp[row].view(np.int64)), pa.array(ids[node]), pa.array(g[row] == ids[node])], names=["fp", "g", "member"])
+                for k, o in enumerate(orders):
+                    x, g, member = o.routed(turned(fp, starts[k]))
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(g | np.int32(k << 16)), pa.array(member)], names=["fp", "g", "member"])
 
     def linked(table: pa.Table) -> pa.Table:
+        k = table["g"][0].as_py() >> 16
         fp, member = np.asarray(table["fp"]).view(np.uint64), np.asarray(table["member"])
         members = fp[member]
         members = members[np.argsort(gray_rank(members))]
@@ -207,9 +263,12 @@ def links_of(fps: DataFrame, radius: int, group_size: int) -> DataFrame:
         others = np.concatenate([members, fp[~member]])
         for at in range(0, len(others), 1 << 16):
             probes = others[at : at + (1 << 16)]
-            m, p = near_in_group(members, probes, radius)
-            a, b = members[m].view(np.int64), probes[p].view(np.int64)
-            out.append(forest(a[a != b], b[a != b]))
+            m, p = near_in_group(members, probes, radius, leads[k], share)
+            a, b = turned(members[m], 64 - starts[k]), turned(probes[p], 64 - starts[k])
+            own = a != b
+            for j in range(k):  # pairs that an order before this one finds
+                own &= np.bitwise_count(turned(a ^ b, starts[j]) & leads[j]) > share
+            out.append(forest(a[own].view(np.int64), b[own].view(np.int64)))
         a, b = forest(*(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*out, strict=True)))
         return pa.table({"a": a, "b": b})
 

@@ -128,3 +128,34 @@ def test_upper_nodes_lose_no_group(n):
         row, group = simhash.Tree(ones, any_one).near(probes, radius)
         expected = np.argwhere(np.bitwise_count((probes[:, None] ^ ones[None, :]) & ~(ones ^ any_one)[None, :]) <= radius)
         assert sorted(zip(row.tolist(), group.tolist(), strict=True)) == [tuple(x) for x in expected.tolist()]
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 7])
+def test_orders_find_every_pair_once(spark, radius):
+    """Whatever the radius and however small the groups: all pairs' components, near ones across the blocks of bits included."""
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 1 << 64, 60, np.uint64)
+    flips = [base]
+    for _ in range(radius + 1):
+        flips.append(flips[-1] ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)))
+    fps = np.unique(np.concatenate([*flips, [np.uint64(0), np.uint64((1 << 64) - 1)]]))
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp bigint").repartition(3)
+    a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius, 1))
+    signed = fps.view(np.int64).tolist()
+    pairs = [(signed[x], signed[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    got = {r.node: r.root for r in components(simhash.links_of(df, radius, 16)).collect()}
+    assert got == brute_roots({x for p in pairs for x in p}, pairs)
+
+
+@pytest.mark.parametrize("biased", [False, True])
+def test_fingerprints_go_to_no_more_groups_as_groups_grow_in_number(spark, biased):
+    """16 times the fingerprints in 16 times the groups: one order sent each of them to over twice as many groups."""
+    rng = np.random.default_rng(3)
+    made = lambda n: rng.integers(0, 1 << 64, n, np.uint64)
+    rows = {}
+    for n in (4000, 64000):
+        fps = np.unique(made(n) | (made(n) & made(n)) if biased else made(n))
+        df = spark.range(0, len(fps), 1, 4).select("id").join(spark.createDataFrame([(i, int(x)) for i, x in enumerate(fps.view(np.int64))], "id bigint, fp bigint"), "id").select("fp")
+        orders, (starts, _, _) = simhash.index_of(df, len(fps), 2, 64), simhash.orders_of(2)
+        rows[n] = sum(len(o.routed(simhash.turned(fps, s))[0]) for o, s in zip(orders, starts, strict=True)) / len(fps)
+    assert rows[64000] < 1.25 * rows[4000] < 10, rows
