@@ -171,3 +171,17 @@ def test_definitions_are_dealt_by_their_size(spark):
     many = defs(spark, *("SELECT a FROM b " * 10 for _ in range(20)))
     assert tsql.spread(many, 1000).rdd.getNumPartitions() == 4
     assert tsql.spread(many.limit(0), 1000).rdd.getNumPartitions() == 1
+
+
+def test_places_are_told_without_windows_over_tokens(spark):
+    """Joins of statements need neither a window nor a sort of tokens, and the tokens are read once."""
+    joins = plan_of(tsql.join_chains(defs(spark, PROC)))
+    assert "Window" not in joins and "Sort" not in joins and joins.count("ArrowEvalPython") == 1
+    assert "Window" not in plan_of(tsql.placed(defs(spark, PROC)))
+
+
+def test_places_of_many_definitions_are_those_of_each_alone(spark):
+    text = "WITH q AS (SELECT a.x FROM dbo.A a) INSERT INTO dbo.R (k) SELECT x FROM q; SELECT r.k AS v INTO #t FROM dbo.R r LEFT JOIN dbo.S s ON s.i = r.i"
+    alone = [[r[1:] for r in lineage.column_edges(defs(spark, t)).orderBy("stage", "column", "leaf_ordinal").collect()] for t in (PROC, text)]
+    both = lineage.column_edges(defs(spark, PROC, "", None, text, ") ) BEGIN (")).orderBy("stage", "column", "leaf_ordinal").collect()
+    assert [[r[1:] for r in both if r.name == n] for n in ("dbo.p0", "dbo.p3")] == alone and {r.name for r in both} == {"dbo.p0", "dbo.p3"}
