@@ -140,12 +140,13 @@ def edge_searches(edges: DataFrame, wanted: DataFrame, scopes: DataFrame, cap: i
     return seen.withColumn("rank", order).where(F.col("rank") <= max(1, min(cap, 100)))
 
 
-def walk(edges: DataFrame, starts: DataFrame, hops: int = 3, direction: str = "upstream", match: str = "exact", cap: int | None = 500) -> DataFrame:
+def walk(edges: DataFrame, starts: DataFrame, hops: int = 3, direction: str = "upstream", match: str = "exact", cap: int | None = None) -> DataFrame:
     """(start, hop, subject, predicate, object): breadth first, each hop an equi-join, five hops at most.
 
     upstream goes from subject to object, downstream back. A node is entered once for each start; an edge may be listed
-    at more than one hop. The edges are made once, not for each hop. contains: starts are first resolved to the nodes that contain them, in any case, by trigrams. cap: edges of
-    one start and hop, in order; None for all."""
+    at more than one hop. The edges are made once, not for each hop. contains: starts are first resolved to the nodes that
+    contain them, in any case, by trigrams. All edges of a start and hop are followed; a caller may ask for the first cap of
+    them, in order."""
     own, other = ("subject", "object") if direction == "upstream" else ("object", "subject")
     e = checkpointed(edges.select("subject", "predicate", "object").distinct())
     nodes = e.select(F.col(own).alias("node")).distinct()

@@ -116,3 +116,12 @@ def test_edges_are_made_once_for_all_hops(spark):
     counted = edges.withColumn("object", F.udf(count, "string").asNondeterministic()("object")).withColumns({"source": F.lit("sql"), "extraction_method": F.lit("deterministic")})
     out = L.sql_dependency_graph(counted, spark.createDataFrame([("n0",)], "start string"), 3)
     assert out.count() == 3 and made.value == 4
+
+
+def test_walks_of_the_graphs_follow_every_edge(spark):
+    """Over 500 objects that refer to one start, each with an own one behind it."""
+    edges = [(f"u{k}", "calls", "hub") for k in range(620)] + [(f"w{k}", "calls", f"u{k}") for k in range(620)]
+    frame = spark.createDataFrame(edges, "subject string, predicate string, object string")
+    starts = spark.createDataFrame([("hub",)], "start string")
+    for found in (L.catalog_dependencies(frame, starts, 2), L.sql_dependency_graph(frame.selectExpr("*", "'sql' AS source", "'deterministic' AS extraction_method"), starts, 2)):
+        assert sorted((r.subject, r.object) for r in found.where("direction = 'downstream'").collect()) == sorted((s, o) for s, _, o in edges)
