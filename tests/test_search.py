@@ -169,3 +169,18 @@ def test_postings_move_texts_and_no_words(spark):
     assert index._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     got = sorted((r.token, r.shift, r.a, r.b) for r in index.collect())
     assert got == [("a", 2, [1], [0, 0, 2]), ("b", 2, [0], [1]), ("x", 2, [0], []), ("y", 2, [1], [])]
+
+
+def test_words_are_shuffled_once_and_packed(spark, tmp_path):
+    """Chunks are dealt as texts, their words then go to the buckets in packed rows; looking words up moves no posting."""
+    chunks = spark.createDataFrame([("s", "x", f"r{k}", "one two", f"one two\nwords{k} and two, more één") for k in range(40)], "source string, scope string, resource_id string, title string, text string").withColumn("chunk_index", F.lit(0))
+    index = keywords.KeywordIndex(spark, str(tmp_path / "index"), ("simple", "english"), 4)
+    plan = index.rows(chunks)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == len(index.languages) + 1 and "ENSURE_REQUIREMENTS" not in plan
+    index.update(chunks, 0)
+    told = lambda rows: sorted((r.language, r.token, r.resource_id, r["shift"], tuple(r.a), tuple(r.b)) for r in rows.collect())
+    plain = [search.postings(chunks, own).withColumn("language", F.lit(own)) for own in index.languages]
+    assert told(index.table.read()) == told(plain[0].unionByName(plain[1]))
+    terms = search.parse_search(spark.createDataFrame([(1, "words3 two")], "query_id int, text string"))
+    found = index.of(terms, "simple")
+    assert found.count() == 41 and "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
