@@ -1,5 +1,6 @@
 """Index maintenance, retrieval, reports, usage, sources, ad hoc queries and streams on small literal tables."""
 
+import datetime
 import json
 
 import pytest
@@ -284,3 +285,21 @@ def test_vectors_by_hashing_are_sums_of_signs(spark):
 def test_mail_is_dealt_to_tasks_by_its_size(spark):
     raw = spark.range(4000).coalesce(1).select(F.lit("INBOX").alias("folder"), F.col("id").cast("string").alias("uid"), F.encode(F.concat(F.lit("Message-ID: <"), F.col("id").cast("string"), F.lit("@x>\r\n\r\n"), F.repeat(F.lit("x"), 800)), "UTF-8").alias("content"))
     assert landed.mail_bytes_to_resources(raw).rdd.getNumPartitions() == 4
+
+
+def test_a_run_moves_texts_once_to_their_key(spark):
+    """Behind the join of stored and new rows nothing is joined or shuffled again."""
+    kinds = "source string, scope string, resource_id string, title string, text string, url string, last_updated timestamp, metadata map<string,string>"
+    time = datetime.datetime(2001, 2, 3)
+    row = lambda k, text, day=0: ("s", "x", f"r{k}", "t", text, "", time + datetime.timedelta(days=day), {})
+    empty = spark.createDataFrame([], CHUNKS)
+    first, _ = index.incremental_ingest(spark.createDataFrame([row(k, "a" * 2500) for k in range(4)], kinds), empty, None, "2001-03-01")
+    stored = first.localCheckpoint()
+    new = spark.createDataFrame([row(0, "b" * 900, 1), row(0, "old"), row(1, ""), row(2, "a" * 2500), row(3, "a" * 1700)], kinds)
+    after, counts = index.incremental_ingest(new, stored, None, "2001-04-01")
+    got = sorted((r.resource_id, r.chunk_index, len(r.text), r.updated_at.month) for r in after.collect())
+    assert got == [("r0", 0, 900, 4), ("r2", 0, 1000, 3), ("r2", 1, 1000, 3), ("r2", 2, 900, 3), ("r3", 0, 1000, 3), ("r3", 1, 900, 4)]
+    assert sorted((r.resource_id, r.n) for r in counts.collect()) == [("r0", 1), ("r1", 0), ("r2", 3), ("r3", 2)]
+    plan = after._jdf.queryExecution().executedPlan().toString()
+    top = plan[: plan.index("FullOuter")]
+    assert "Join" not in top.replace("SortMergeJoin", "", 1) and "Exchange" not in top
