@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from loamline.functions.text import is_tracing
 from loamline.operators import lineage
 from loamline.queries import registered, table
+from loamline.session import checkpointed
 
 DEFINITION = """CREATE PROCEDURE dbo.v{k} AS BEGIN{c}
 SELECT s.name, o.total AS total INTO #t{k} FROM dbo.b{b} s {j}JOIN dbo.v{h} o ON o.id = s.id AND s.x = 'a, -- b' WHERE s.y > 1;{d}
@@ -145,7 +146,8 @@ def column_edges(spark, d):
 @registered(f"WITH {K} SELECT 'dbo.v' || k AS name, 'dbo.r' || (k % 7) AS stage, 'total' AS column_name, '`dbo.r' || (k % 7) || '.total` (SUM(total)) ← `#t' || k || '.total` ← `dbo.v' || (k // 2) || '.total`' AS path FROM k")
 def lineage_paths(spark, d):
     wanted = numbers(spark, d).select(name("v", "k").alias("name"), name("r", "k % 7").alias("stage"), F.lit("total").alias("column"))
-    return lineage.lineage_paths(lineage.column_edges(definitions(spark, d)), wanted).withColumnRenamed("column", "column_name")
+    # paths read the edges twice
+    return lineage.lineage_paths(checkpointed(lineage.column_edges(definitions(spark, d))), wanted).withColumnRenamed("column", "column_name")
 
 
 #: Shapes beyond one template, by the number modulo 4: chained common table expressions with EXISTS, a union, a derived
